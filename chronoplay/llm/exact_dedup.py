@@ -8,11 +8,11 @@ text beside its digest:
    sends a text of any number of copies to one salt only, once;
 3. globally: the salts' winners meet, at most ``salts`` rows a text.
 
-Then each row looks up its group by digest and length. Both sides of that join
-are dealt by the planner, so adaptive execution splits a digest that a third
-of all rows share. If two different texts share a digest, their rows take a
-second look-up by digest *and* text; the list of such digests is empty in
-practice, and adaptive execution then drops that branch.
+The groups, a short row each, are checkpointed. Then each row looks up its
+group by digest and length. Both sides of that join are dealt by the planner,
+so adaptive execution splits a digest that a third of all rows share. Only if
+two different texts were found to share a digest, a second look-up by digest
+*and* text is planned for their rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpointed, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -55,18 +55,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("_len", F.octet_length("_norm"))
     )
     rows = base.select("_id", "_digest", F.octet_length("_norm").alias("_len"), F.sha2("_norm", 256).alias("_sha"))
-    plain = classes.groupBy("_digest", "_len").agg(
-        F.count("*").alias("_texts"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size")
+    groups = checkpointed(
+        classes.groupBy("_digest", "_len").agg(F.count("*").alias("_texts"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size"))
     )
-    one = rows.join(plain.filter("_texts = 1").drop("_texts"), ["_digest", "_len"])
-    clash = plain.filter("_texts > 1").select("_digest", "_len")
-    other = (
-        base.withColumn("_len", F.octet_length("_norm"))
-        .join(F.broadcast(clash), ["_digest", "_len"], "left_semi")
-        .join(classes, ["_digest", "_norm", "_len"])
-        .select("_digest", "_len", "_id", F.sha2("_norm", 256).alias("_sha"), "_keep", "_size")
-    )
-    return one.unionByName(other).select(
+    found = rows.join(groups.filter("_texts = 1").drop("_texts"), ["_digest", "_len"])
+    clash = groups.filter("_texts > 1").select("_digest", "_len")
+    if not clash.isEmpty():
+        whole = base.withColumn("_len", F.octet_length("_norm")).join(clash, ["_digest", "_len"], "left_semi")
+        found = found.unionByName(
+            whole.join(classes, ["_digest", "_norm", "_len"]).select("_digest", "_len", "_id", F.sha2("_norm", 256).alias("_sha"), "_keep", "_size")
+        )
+    return found.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
