@@ -6,18 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .sharding import stratified_shards
+from .token_counts import token_counts
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op9_sharding)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
