@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
+from .secrets import secret_scan
 from .sharding import stratified_shards
 from .token_counts import token_counts
 
@@ -30,11 +32,19 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op5_decontamination, op8_secrets, op9_sharding)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
