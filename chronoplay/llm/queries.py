@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .licenses import license_scan
 from .secrets import secret_scan
 from .sharding import stratified_shards
@@ -44,7 +45,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op5_decontamination, op8_secrets, op9_sharding)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op5_decontamination, op8_secrets, op9_sharding, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
