@@ -10,8 +10,10 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .licenses import license_scan
 from .secrets import secret_scan
+from .sentencepiece_codec import sentencepiece_codec
 from .sharding import stratified_shards
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -37,6 +43,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -49,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_licenses, op5_decontamination, op8_secrets, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_token_counts, op4_licenses, op5_decontamination, op6_toxicity, op8_secrets, op9_sharding, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
