@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .html_extraction import extract_pages
 from .jaccard_join import jaccard_components
 from .licenses import license_scan
 from .secrets import secret_scan
@@ -48,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -60,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_token_counts, op4_licenses, op5_decontamination, op6_toxicity, op8_secrets, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_token_counts, op4_licenses, op5_decontamination, op6_toxicity, op7_html_extraction, op8_secrets, op9_sharding, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
