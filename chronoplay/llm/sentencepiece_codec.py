@@ -20,15 +20,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import byte_slices
+
 SPACE = "▁"
 #: Characters of new words that are indexed at a time.
 INDEXED = 200_000
+#: Bytes of texts that are encoded at a time, or one longer text.
+SLICE = 2 << 20
 #: Words that a worker remembers.
 REMEMBER = 300_000
 NEVER = np.int64(1) << 40
@@ -60,9 +65,13 @@ class Vocabulary:
             raise ValueError("pieces over word ends are not supported")
         chars = {p for p in self.id if len(p) == 1}
         self.chars = chars
-        # a word: spaces and what follows them, up to the next space or to a character without a piece
-        other = "".join(re.escape(c) for c in "\n\t\r" if c not in chars)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}{other}]*|[^{SPACE}{other}]+" + (f"|[{other}]" if other else ""))
+        # A word: spaces and what follows them, up to the next space, to white space without a piece, or
+        # to a mark that no piece has right after a letter or digit. Pieces never go over its end.
+        inner = {c for p in self.id for a, c in zip(p, p[1:]) if a.isalnum() or a == "_"}
+        marks = "".join(re.escape(c) for c in sorted({*chars, *map(chr, range(33, 127))} - inner) if not (c.isalnum() or c in "_" + SPACE))
+        other = "".join(c for c in "\n\t\r" if c not in chars)
+        gap = rf"[^\w{SPACE}{other}]*+"
+        self.words = re.compile(rf"{SPACE}*+(?:{gap}\w++" + (f"(?![{marks}])" if marks else "") + rf")*+{gap}\w*+" + (f"|[{other}]" if other else ""))
         usable = self._merge_order() if self.bpe else list(self.id)
         self.usable = sorted(usable)
         self.usable_ids = np.array([self.id[p] for p in self.usable], np.int64)
@@ -159,8 +168,8 @@ def occurrences(text: str, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nd
     return start, start + lengths[which], v.usable_ids[which]
 
 
-def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
-    """The piece ids of each word."""
+def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The piece ids of all words, and how many each has."""
     text = "\0".join(words) + "\0"
     size = np.array([len(w) for w in words], np.int64)
     begin = np.cumsum(size + 1) - size - 1
@@ -202,54 +211,57 @@ def encode_words(words: list[str], v: Vocabulary) -> list[np.ndarray]:
             best[e] = score[top]
         last[e], from_[e] = p, s
     # all words go back from their ends together
-    at, live, ids, owner = begin + size, np.arange(len(words)), [], []
+    at, live, places, owner = begin + size, np.arange(len(words)), [], []
     while len(live):
         going = at > begin[live]
         live, at = live[going], at[going]
-        ids.append(last[at])
+        places.append(at)
         owner.append(live)
         at = from_[at]
-    flat, who = np.concatenate(ids), np.concatenate(owner)
-    turn = np.argsort(who[::-1], kind="stable")
-    flat, who = flat[::-1][turn], who[::-1][turn]
-    parts = np.split(flat, np.searchsorted(who, np.arange(1, len(words))))
-    return [_with_bytes(p, w, v) if len(p) and p.max() == n else p for p, w in zip(parts, words, strict=True)]
-
-
-def _with_bytes(ids: np.ndarray, word: str, v: Vocabulary) -> np.ndarray:
-    out, at = [], 0
-    for i in ids.tolist():
-        if i == len(v.pieces):
-            out += [v.bytes[b] for b in word[at].encode()] if v.bytes else [v.unknown]
-            at += 1
-        else:
-            out.append(i)
-            at += len(v.pieces[i])
-    return np.array(out, np.int64)
+    ends, who = np.concatenate(places)[::-1], np.concatenate(owner)[::-1]
+    turn = np.argsort(who, kind="stable")
+    ends, who = ends[turn], who[turn]
+    flat = last[ends]
+    if len(odd := np.flatnonzero(flat == n)):
+        spelled = [[v.bytes[x] for x in text[i].encode()] if v.bytes else [v.unknown] for i in from_[ends[odd]].tolist()]
+        times = np.ones(len(flat), np.int64)
+        times[odd] = [len(x) for x in spelled]
+        flat, who = np.repeat(flat, times), np.repeat(who, times)
+        flat[flat == n] = [x for part in spelled for x in part]
+    return flat.astype(np.int32), np.bincount(who, minlength=len(words))
 
 
 def encoder(path: str):
-    """A function from texts to lists of piece ids, which remembers words between calls."""
-    known: dict[str, np.ndarray] = {}
+    """A function from texts to (piece ids of all, ids of each), which remembers words between calls."""
+    v = load(path)
+    known: dict[str, int] = {}
+    flat, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        v = load(path)
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal flat, count
         cut = [v.words.findall(((SPACE if v.dummy_prefix else "") + t.replace(" ", SPACE)) if t else "") for t in texts]
-        new, waiting, chars = {w for ws in cut for w in ws if w not in known}, [], 0
-        fresh: dict[str, np.ndarray] = {}
-        for w in sorted(new):
+        words = list(chain.from_iterable(cut))
+        new = sorted(set(words).difference(known))  # the empty word, which the pattern finds at ends, has no ids
+        parts, waiting, chars = [(flat, count)], [], 0
+        for w in new:
             waiting.append(w)
             chars += len(w) + 1
             if chars > INDEXED:
-                fresh.update(zip(waiting, encode_words(waiting, v), strict=True))
+                parts.append(encode_words(waiting, v))
                 waiting, chars = [], 0
         if waiting:
-            fresh.update(zip(waiting, encode_words(waiting, v), strict=True))
-        none = np.zeros(0, np.int64)
-        out = [np.concatenate([known[w] if w in known else fresh[w] for w in ws]) if ws else none for ws in cut]
-        if len(known) < REMEMBER:  # frequent words come early
-            known.update((w, x.astype(np.int32)) for w, x in fresh.items())
-        return out
+            parts.append(encode_words(waiting, v))
+        ids, sizes = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+        index = known if len(known) < REMEMBER else dict(known)  # frequent words come early
+        index.update(zip(new, range(len(count), len(sizes)), strict=True))
+        if index is known:
+            flat, count = ids, sizes
+        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        each, start = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        done = np.cumsum(each)
+        out = ids[np.repeat(start - (done - each), each) + np.arange(done[-1] if len(done) else 0)]
+        total = np.concatenate(([0], done))
+        return out, np.diff(total[np.concatenate(([0], np.cumsum([len(c) for c in cut])))])
 
     return encode
 
@@ -284,17 +296,19 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_path)
         for whole in batches:
-            for low in range(0, len(whole), 512):
-                b = whole.slice(low, 512)
+            for low, high, _, _ in byte_slices(whole.column(1), SLICE):
+                b = whole.slice(low, high - low)
                 texts = b.column(1).to_pylist()
-                ids = encode(texts)
-                back = [decode(x, model_path) for x in ids]
+                ids, counts = encode(texts)
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                each = [ids[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                back = [decode(x, model_path) for x in each]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                        pa.array(counts, pa.int64()),
+                        pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in each], pa.string()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
                         pa.array([t == o for t, o in zip(back, texts, strict=True)], pa.bool_()),
                     ],
