@@ -1,0 +1,211 @@
+"""Operators that look at one row: against brute force, with hard rows."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from chronoplay.llm import queries, sentencepiece_codec
+from chronoplay.llm.html_extraction import default_model, extract_pages, main_text, marginals, parse
+from chronoplay.llm.licenses import evaluate, expression_tokens, license_scan
+from chronoplay.llm.page_samples import labelled_pages
+from chronoplay.llm.secrets import secret_scan
+from chronoplay.llm.sharding import stratified_shards
+from chronoplay.llm.token_counts import count_huge, load, token_counts
+
+SF = "/root/testdata/sf0.01"
+HARD = ["", None, " ", "\n\n", "a", "the the the", "x" * 70_000, "word " * 20_000, "日本語 テキスト", "tab\there\x0b\x0c\r\n", "é" * 9, "\x00nul", "▁under ▁", "😀 emoji", "A" * 10 + " " * 50 + "b", "GNU General Public License mit license", "token = 'abcdefghijkl0123'"]
+
+
+def documents(spark, texts=HARD):
+    """Rows with null ids, repeated rows, and columns whose names clash with inner ones."""
+    rows = [(i, t, "s", "en", 1, "x", "y") for i, t in enumerate(texts)] + [(None, "null id", None, None, 1, "x", "y"), (1_000, "twice", "s", "en", 1, "x", "y"), (1_000, "twice", "s", "en", 1, "x", "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int, _id string, n_tokens string")
+
+
+def empty(spark):
+    return documents(spark).limit(0)
+
+
+def sample():
+    return pq.read_table(f"{SF}/documents.parquet").to_pylist()
+
+
+def test_op3_equals_the_library(spark):
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    texts = HARD + [d["text"] for d in sample()[:300]]
+    got = sorted((r for r in token_counts(documents(spark, texts), path).collect() if r["doc_id"] is not None and r["doc_id"] < 1000), key=lambda r: r["doc_id"])
+    assert [r["n_tokens"] for r in got] == [len(load(path).encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r["n_bytes"] for r in got] == [len((t or "").encode()) for t in texts]
+    assert token_counts(empty(spark), path).count() == 0
+
+
+def test_op3_splices_wherever_it_cuts():
+    tokenizer = load(queries.tokenizer_file("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for _ in range(40):
+        text = "".join(rng.choices(["the", " ", "  ", "\n", "é", "12", "'s", "日", "x" * 9, "!?"], k=600))
+        assert count_huge(tokenizer, text, rng.randint(20, 90), rng.randint(1, 9)) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_op2_equals_the_library_and_goes_round(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    odd = ["".join(rng.choices(list("ab thé▁\n\t.,!-=") + ["  ", "    ", "ing", "er", "中", "😀"], k=rng.randint(0, 60))) for _ in range(400)]
+    texts = HARD + odd + [" " * k + "x" for k in range(40)] + [d["text"] for d in sample()[:300]]
+    got = sorted((r for r in sentencepiece_codec.sentencepiece_codec(documents(spark, texts).filter("doc_id <> 1000"), path).collect()), key=lambda r: r["doc_id"])
+    assert [r["ids"] for r in got] == [library.encode(t or "") for t in texts if True][: len(got)]
+    assert [sentencepiece_codec.decode(r["ids"], path) for r in got] == [library.decode(r["ids"]) for r in got]
+    assert all(r["round_trip"] for r, t in zip(got, texts, strict=False) if "▁" not in (t or ""))
+    assert sentencepiece_codec.sentencepiece_codec(empty(spark), path).count() == 0
+
+
+def test_op2_remembers_only_so_much(monkeypatch):
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    texts = [d["text"] for d in sample()[:60]]
+    want = [sentencepiece_codec.encoder(path)([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBER", 50)
+    monkeypatch.setattr(sentencepiece_codec, "INDEXED", 64)
+    encode = sentencepiece_codec.encoder(path)
+    assert [encode([t])[0].tolist() for t in texts] == want
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_op4_base_is_brute_force(spark):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    texts = HARD + ["cc by cc by-cc BY", "Apache License apache license", "GNU General Public License, GNU general", "mit\nlicense"] + [d["text"] for d in sample()[:400]]
+    got = {r["doc_id"]: r for r in license_scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r, starts = got[i], [k for k, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        assert 0 <= r["score"] <= 1
+    assert license_scan(empty(spark)).count() == 0
+
+
+def test_op4_expressions(spark):
+    for text, labels, restriction in [("MIT", {"mit"}, 1), ("MIT OR GPL-3.0-only", {"mit", "gpl"}, 1), ("MIT and GPL-2.0+", {"mit", "gpl"}, 3), ("(MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0", {"mit", "apache", "gpl"}, 2), ("MIT AND", {"mit"}, 1), ("(MIT", {"mit"}, 1)]:
+        found, level = evaluate(expression_tokens(text, 0))
+        assert (set(found) - {"classpath-exception-2.0"}, level) == (labels, restriction), text
+    assert evaluate(expression_tokens("AND MIT", 0)) is None
+    row = license_scan(documents(spark, ["// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"])).filter("doc_id = 0").first()
+    assert row["labels"] == "apache,mit" and row["n_tags"] == 1 and row["n_base"] == 0
+
+
+def test_op8_base_is_brute_force(spark):
+    import hashlib
+
+    kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16)]
+    texts = HARD + ["😀 token=abcdefghijkl", "TOKEN: short secret='0123456789abcdef'", "AKIA" + "A" * 14 + " AKIAshort", "f" * 40] + [d["text"] for d in sample()[:400]]
+    got = {r["doc_id"]: r for r in secret_scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(kinds) for m in p.finditer(t or "") if len(m[g]) >= least)
+        names = [f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans]
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in spans) for j in range(3)), (i, t)
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest() and set(names) <= set(filter(None, r["spans"].split(","))) | {""}
+    assert secret_scan(empty(spark)).count() == 0
+
+
+def test_op8_ownership(spark):
+    live, copied = "q7Zr9Lm2Xv8Kp4Tn6Wb3", "Zt5Yh8Nw2Qc7Lk4Rj9Vd"
+    rows = [(1, f"token = {live}", "a", "x")] + [(10 + i, f"token = {copied}", f"o{i}", "x") for i in range(4)]
+    got = {r["doc_id"]: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert (got[1]["n_live"], got[1]["n_copied"], got[1]["max_owners"]) == (1, 0, 1)
+    assert (got[10]["n_live"], got[10]["n_copied"], got[10]["max_owners"]) == (0, 1, 4)
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_op9_law_and_mixture(spark, digits):
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = stratified_shards(docs, digits=digits).join(docs, "doc_id").collect()
+    shards: dict = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+        assert r["size"] == len((r["text"] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((r["text"] or "").encode())
+    sizes = [len(s) for s in shards.values()]
+    assert len(shards) == 16 and max(sizes) - min(sizes) <= 1
+    for s in shards.values():
+        assert sorted(r["slot"] for r in s) == list(range(len(s)))
+    total = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    for s in shards.values():
+        for source, n in total.items():
+            assert abs(sum(r["source"] == source for r in s) - n / 16) <= 2
+    hard = stratified_shards(documents(spark)).collect()
+    assert len(hard) == len(HARD) + 3 and max(sum(r["shard"] == k for r in hard) for k in range(16)) <= 2
+    assert stratified_shards(empty(spark)).count() == 0
+
+
+def test_op7_articles_of_the_test_pages():
+    model = default_model()
+    docs = {(d["text"] or "")[:80] for d in sample()}
+    import html as entities
+
+    for page in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        inside = re.search(r"<article>(.*?)</article>", page["html"], re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
+        assert main_text(page["html"], model) == "\n".join(b for b in blocks if b)
+    assert docs
+
+
+def test_op7_held_out_pages():
+    """Blocks of new pages from the generator: content is found, the rest stays out."""
+    model, right, found, there = default_model(), 0, 0, 0
+    for page in labelled_pages(150, seed=99):
+        nodes, label = parse(page), []
+        for n in nodes:
+            label.append(n.y if n.y is not None else label[n.parent] if n.parent >= 0 else 0)
+        for n, p, y in zip(nodes, marginals(nodes, model), label, strict=True):
+            if n.text:
+                right += p >= 0.5 and y == 1
+                found += p >= 0.5
+                there += y == 1
+    assert right / found > 0.95 and right / there > 0.95
+
+
+def test_op7_marginals_are_exact():
+    """Sum-product against summing over all labellings of a small tree."""
+    import itertools
+    import math
+
+    from chronoplay.llm.html_extraction import features, relation
+
+    model = default_model()
+    nodes = parse("<body><nav><a>x</a></nav><article><p>One, two.<p>Three</article></body>")
+    assert len(nodes) <= 10
+    weight = [sum(model.weights[i] * v for i, v in features(n, nodes[0].chars)) for n in nodes]
+    total, ones = 0.0, [0.0] * len(nodes)
+    for ys in itertools.product((0, 1), repeat=len(nodes)):
+        p = math.exp(sum(w * y for w, y in zip(weight, ys, strict=True)))
+        for i, n in enumerate(nodes[1:], 1):
+            p *= model.edges[relation(nodes[n.parent], n)][ys[n.parent]][ys[i]]
+        total += p
+        for i, y in enumerate(ys):
+            ones[i] += p * y
+    assert marginals(nodes, model) == pytest.approx([x / total for x in ones], rel=1e-6)
+
+
+def test_op7_hard_pages(spark):
+    site = """<html><body><header><h1>My site</h1></header><div class="nav"><a href=x>Home</a> <a href=y>About</a></div><div class="post-content"><h2>A day at the sea</h2>
+      <p>We went to the sea,&nbsp;and it was a <b>fine</b> day for &lt;all&gt; of us.<p>The water was&#32;cold.<div class="ad-box">Buy our new shoes, now with a discount!</div><script>var a = "<p>no</p>";</script>
+      <p>Then we went home, tired and happy.</p><section class="comments"><p>Nice article, I liked it a lot. Thank you for it!</p></section></div><footer>&copy; 2020 My site</footer>"""
+    rows = [(1, "u", site, "x"), (2, "u", "", "x"), (3, None, None, "x"), (4, "u", "<p>" * 3000, "x"), (None, "u", "<!-- open", "x"), (5, "u", "<a href='", "x"), (5, "u", "</div></p>", "x")]
+    got = {r["page_id"]: r for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    assert got[1]["text"] == "A day at the sea\nWe went to the sea, and it was a fine day for <all> of us.\nThe water was cold.\nThen we went home, tired and happy."
+    assert got[1]["n_chars"] == len(got[1]["text"]) and [got[i]["text"] for i in (2, 3, 4, 5)] == [""] * 4
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert F is not None
