@@ -6,8 +6,7 @@
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. SentencePiece: what is left is encoded.
 
-Rows without an id can't be referred to: stages 1, 3 and 4 keep them, stage 2
-keeps them unless a row with an id has their text.
+A stage refers to rows by their ids, so rows without one always stay.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplay.llm.common import checkpointed, table, without
+from chronoplay.llm.common import checkpointed, small_side, table, without
 from chronoplay.llm.decontamination import contaminated
 from chronoplay.llm.exact_dedup import exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
@@ -33,8 +32,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; repeated rows of the id that stays are one row."""
-    return without(docs, exact_dedup(docs).filter(~F.col("kept")).select("doc_id")).dropDuplicates(["doc_id"])
+    """One row of each group of equal texts; a repeated row of the id that stays goes too."""
+    left = without(docs, exact_dedup(docs).filter(~F.col("kept")).select("doc_id"))
+    again = checkpointed(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():  # the texts needn't be shuffled
+        return left
+    twice = left.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(small_side(again), "doc_id", "left_anti").unionByName(twice)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
