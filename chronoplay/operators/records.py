@@ -107,3 +107,13 @@ def accolades(lib: Library, entity: str, week_start: str = "monday", sort: str =
     boards = records(lib, entity, week_start, sort, depth)
     live = boards.filter("board = 'inMostPlaylists'").withColumn("board", F.lit("inPlaylists"))
     return boards.unionByName(live).filter(F.col("position") <= top)
+
+
+def store_records(lib: Library, path: str, week_start: str = "friday", sort: str = "time", limit: int = 50) -> None:
+    """Boards of all kinds of entities and all users, written for look-ups: the job that a scheduler runs every few hours.
+
+    Files are partitioned by kind and by settings, and sorted by user, so a user's boards are few row groups.
+    """
+    for entity in ("track", "album", "artist"):
+        rows = records(lib, entity, week_start, sort, limit)
+        rows.repartitionByRange("user_id").sortWithinPartitions("user_id", "board", "position").write.mode("overwrite").parquet(f"{path}/entity={entity}/week_start={week_start}/sort={sort}")

@@ -56,12 +56,18 @@ def _import_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def _utc_plays(plays: DataFrame) -> DataFrame:
+    """Imported plays with their times as text in UTC, whatever the session's zone."""
+    at = F.to_utc_timestamp("played_at", F.current_timezone())
+    return plays.select("user_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("played_at"), "track_id", "ms_played")
+
+
 def import_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.import_history(_import_extended(spark, sf_dir)).plays.select("user_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss").alias("played_at"), "track_id", "ms_played")
+    return _utc_plays(ingest.import_history(_import_extended(spark, sf_dir)).plays)
 
 
 def import_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.import_history(_import_basic(spark, sf_dir)).plays.select("user_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss").alias("played_at"), "track_id", "ms_played")
+    return _utc_plays(ingest.import_history(_import_basic(spark, sf_dir)).plays)
 
 
 def import_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +160,7 @@ def stream_dedupe_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = events.select("user_id", F.col("ts").cast("timestamp").alias("played_at"), F.get_json_object("props", "$.k").cast("long").alias("track_id"))
         return stream.deduplicated(rows.unionByName(rows), lateness=None)
 
-    return _streamed(spark, sf_dir, "deduped", plan)
+    return _streamed(spark, sf_dir, "deduped", plan).select("user_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("played_at"), "track_id")
 
 
 def stream_local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,9 +259,13 @@ QUERIES: dict[str, Query] = {
     "rec_most_playlists": _star(lambda lib: records.in_most_playlists(lib, "artist")),
     "rec_most_playlists_track": _star(lambda lib: records.in_most_playlists(lib, "track")),
     "rec_most_playlists_album": _star(lambda lib: records.in_most_playlists(lib, "album")),
+    "records_track": _star(lambda lib: records.records(lib, "track")),
+    "records_album": _star(lambda lib: records.records(lib, "album", "friday", "plays")),
+    "records_artist": _star(lambda lib: records.records(lib, "artist")),
     "accolades": _star(lambda lib: records.accolades(lib, "album")),
     "top_genres": _events(top.genres),
     "heatmap": _events(top.heatmap),
+    "missing_metadata": _star(lambda lib: ingest.missing_metadata(lib.tracks, lib.albums, lib.artists)),
     "streaks": _events(islands.streaks),
     "search_artists": _folded(lambda lib: search.search_artists(lib, 1, "0003")),
     "search_albums": _folded(lambda lib: search.search_albums(lib, 1, "brand#2")),

@@ -94,6 +94,14 @@ def _no1(of: str) -> str:
     return f"SELECT r.user_id, c.artist_id AS entity_id, count(DISTINCT r.entity_id) AS value, CAST(NULL AS VARCHAR) AS week FROM ranks r JOIN ({credit}) c ON c.e = r.entity_id WHERE r.rank = 1 GROUP BY 1, 2"
 
 
+def _records(entity: str, week_start: str = "monday", metric: str = "total_ms") -> str:
+    boards = (("peakWeek", _PEAK_WEEK), ("biggestDebut", _DEBUT), ("weeksAtNo1", _weeks(1)), ("weeksInChart", _weeks(25)), ("longestRun", _RUN), ("inMostPlaylists", _in_playlists(entity)))
+    parts = [f"({_board(n, q.replace('total_ms', metric))})" for n, q in boards]
+    if entity == "artist":
+        parts += [f"(SELECT * FROM ({ranks(of)} {_board(f'mostNo1{of.capitalize()}s', _no1(of))}))" for of in ("track", "album")]
+    return f"{ranks(entity, 'week', week_start, metric)} " + " UNION ALL ".join(parts)
+
+
 def _rankings(entity: str, binding: str, now: str, metric: str) -> str:
     value = "1" if metric == "plays" else "duration_ms"
     starts = {"week": f"{now} - INTERVAL 7 DAY", "month": f"{now} - INTERVAL 30 DAY", "this_year": f"date_trunc('year', {now})"}
@@ -205,9 +213,13 @@ ORACLES: dict[str, str] = {
     "rec_most_playlists": f"{STAR} {_board('inMostPlaylists', _in_playlists('artist'))}",
     "rec_most_playlists_track": f"{STAR} {_board('inMostPlaylists', _in_playlists('track'))}",
     "rec_most_playlists_album": f"{STAR} {_board('inMostPlaylists', _in_playlists('album'))}",
+    "records_track": _records("track"),
+    "records_album": _records("album", "friday", "play_count"),
+    "records_artist": _records("artist"),
     "accolades": f"{ranks('album')} " + " UNION ALL ".join(f"({_board(n, q, 25)})" for n, q in (("peakWeek", _PEAK_WEEK), ("biggestDebut", _DEBUT), ("weeksAtNo1", _weeks(1)), ("weeksInChart", _weeks(25)), ("longestRun", _RUN), ("inMostPlaylists", _in_playlists("album")), ("inPlaylists", _in_playlists("album")))),
     "top_genres": f"{EVENTS} SELECT user_id, genre, play_count, total_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY play_count DESC, genre) AS rank FROM (SELECT user_id, genre, {_COUNTS} FROM (SELECT p.user_id, t.duration_ms, unnest(n.genres) AS genre FROM plays p JOIN tracks t USING (track_id) JOIN track_artists a USING (track_id) JOIN artists n USING (artist_id)) GROUP BY 1, 2)) WHERE rank <= 50",
     "heatmap": f"{EVENTS} SELECT user_id, CAST(dayofweek(played_at) AS INT) AS dow, CAST(hour(played_at) AS INT) AS hour, count(*) AS play_count FROM plays GROUP BY 1, 2, 3",
+    "missing_metadata": f"{STAR} SELECT count(*) AS tracks, count(*) FILTER (album_id IS NULL) AS tracks_without_album, count(*) FILTER (popularity IS NULL) AS tracks_without_popularity, (SELECT count(*) FROM artists) AS artists, (SELECT count(*) FROM artists WHERE len(genres) = 0) AS artists_without_genres, (SELECT count(*) FROM albums) AS albums FROM tracks",
     "streaks": f"""{EVENTS}, days AS (SELECT DISTINCT user_id, CAST(played_at AS DATE) AS day FROM plays), runs AS (SELECT user_id, island, count(*) AS n, max(day) AS last FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS island FROM days) GROUP BY 1, 2)
         SELECT user_id, CAST(sum(n) AS BIGINT) AS days, max(n) AS longest, coalesce(max(CASE WHEN last >= DATE '2024-01-30' THEN n END), 0) AS current FROM runs GROUP BY 1""",
     "search_artists": _found("artist_id", "SELECT artist_id, name FROM artists WHERE lower(strip_accents(name)) LIKE '%0003%'", "SELECT a.artist_id, count(*) AS n FROM plays p JOIN track_artists a USING (track_id) WHERE p.user_id = 1 GROUP BY 1"),
@@ -237,7 +249,7 @@ ORACLES: dict[str, str] = {
     "import_basic": f"WITH e AS (SELECT user_id, event_id AS seq, date_trunc('minute', ts) AS at_, 'Track ' || k AS track_name, 'Artist ' || (k % 7) AS artist_name, k * 1000 AS ms_played FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k >= 30) SELECT user_id, strftime(at_, '%Y-%m-%d %H:%M:%S') AS played_at, {_hex_id('artist_name', 'track_name')} AS track_id, ms_played FROM e QUALIFY row_number() OVER (PARTITION BY user_id, at_ ORDER BY seq) = 1",
     "import_dedupe": f"WITH {_ENTRIES} SELECT e.user_id, 2 * count(*) AS total, any_value(o.n) AS imported, 2 * count(*) - 2 * count(*) FILTER (track_name IS NULL OR ms_played < 30000) - any_value(o.n) AS duplicates, 2 * count(*) FILTER (track_name IS NULL OR ms_played < 30000) AS skipped FROM entries e LEFT JOIN (SELECT u.user_id, count(o.user_id) AS n FROM (SELECT DISTINCT user_id FROM entries) u LEFT JOIN once o USING (user_id) GROUP BY 1) o USING (user_id) GROUP BY 1",
     "import_tracks": f"WITH {_ENTRIES} SELECT track_id, arg_min(track_name, seq) AS name, arg_min(CASE WHEN album_name IS NOT NULL THEN {_hex_id('artist_name', 'album_name')} ELSE '' END, seq) AS a, arg_min(ms_played, seq) AS duration_ms FROM valid GROUP BY 1",
-    "stream_dedupe_plays": f"{EVENTS} SELECT DISTINCT ON (user_id, played_at) user_id, CAST(played_at AS TIMESTAMPTZ) AS played_at, track_id FROM plays",
+    "stream_dedupe_plays": f"{EVENTS} SELECT DISTINCT ON (user_id, played_at) user_id, strftime(played_at, '%Y-%m-%d %H:%M:%S.%f') AS played_at, track_id FROM plays",
     "local_plays": f"""WITH {_SNAPS}, l AS (SELECT user_id, at_, CASE WHEN is_playing AND item_id LIKE 'local:%' THEN item_id END AS t, progress_ms AS p, duration_ms AS d FROM snaps),
         b AS (SELECT *, lag(t) OVER w AS lt, lag(p) OVER w AS lp FROM l WINDOW w AS (PARTITION BY user_id ORDER BY at_)),
         s AS (SELECT *, sum(CASE WHEN t IS DISTINCT FROM lt OR p < lp THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_) AS run FROM b),
