@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Free the disk of shuffles and checkpoints that nothing needs any more.
+
+    Spark removes them when the driver's garbage is collected, which it else
+    does on a timer (spark.cleaner.periodicGC.interval). Call it between the
+    phases of a long job, once the frames of the last one are out of scope.
+    """
+    for _ in range(2):  # what the first collection frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -29,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_side
+from .common import checkpointed, release, small_side
 from .components import connected_components
 from .shingles import WORDS, shingle_sets
 
 #: Lists of at most so many sets are checked pair by pair, longer ones in blocks.
 SHORT_LIST = 64
 BLOCK = 256
+#: One in so many of a set's tokens must be shared under the first order.
+SHARE = 10
+#: Bits of tokens and signatures under the first order, where a collision only weakens the filter.
+NARROW = 48
 
 
 def _need(n: Column | np.ndarray | int, percent: int):
@@ -50,8 +54,11 @@ def _signature(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _prefixes(docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """(_id, _sig, _n, _p): each row's set, and its first-order prefix where the task hasn't sent that set yet."""
+def _prefixes(docs: DataFrame, percent: int, words: int, share: int) -> DataFrame:
+    """(_id, _sig, _n, _p): each row's set, and its first-order prefix where the task hasn't sent that set yet.
+
+    Prefix tokens are cut to their first ``NARROW`` bits, which keeps the order.
+    """
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +74,7 @@ def _prefixes(docs: DataFrame, percent: int, words: int) -> DataFrame:
                 else:
                     sent.add(key)
                     need = _need(len(tokens), percent)
-                    prefix.append(tokens[: len(tokens) - need + max(1, len(tokens) // 10)].view(np.int64))
+                    prefix.append((tokens[: len(tokens) - need + max(1, len(tokens) // share)] >> np.uint64(64 - NARROW)).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix], dtype=np.int64))).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -150,30 +157,26 @@ def _block_links(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id.
+def _sets(rows: DataFrame) -> DataFrame:
+    """(_sig, _n, _first): each distinct set, and the smallest id of its rows."""
+    return rows.filter("_sig is not null").groupBy("_sig").agg(F.first("_n").alias("_n"), F.min("_id").alias("_first"))
 
-    Two texts link when 100 * intersection >= percent * union of their sets;
-    ``component_id`` is the smallest id reachable by links, a row's own
-    included. Texts without words, null or empty, have no shingles and link
-    with nothing; rows without an id link with nothing and get a null
-    component. Repeated rows share a component. An empty table gives an empty
-    result. Only the two named columns are read.
-    """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = checkpointed(_prefixes(base, percent, words))
-    sets = rows.filter("_sig is not null").groupBy("_sig").agg(F.first("_n").alias("_n"), F.min("_id").alias("_first"))
-
-    # first order
-    tokens = rows.select("_sig", F.explode("_p").alias("_t"))
-    shared = checkpointed(tokens.groupBy("_t").agg(F.min("_sig").alias("_a"), F.max("_sig").alias("_b")).filter("_a <> _b").select("_t"))
-    counts = tokens.join(shared.hint("shuffle_hash"), "_t").groupBy("_sig").agg(F.size(F.collect_set("_t")).alias("_c"))
-    least = F.greatest(F.lit(1), F.floor(_need(F.col("_n"), percent) / 10))
-    stay = checkpointed(counts.join(sets, "_sig").filter(F.col("_c") >= least).select("_sig", "_first"))
-    picked = base.join(small_side(stay), base["_id"] == stay["_first"]).select("_sig", "_text")
-    whole = checkpointed(_whole_sets(picked, words))
 
-    # second order
+def _first_order(base: DataFrame, percent: int, words: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _sig, _n), and the sets (_sig, _first) that share enough of their prefix with others."""
+    sent = checkpointed(_prefixes(base, percent, words, share))
+    rows = checkpointed(sent.select("_id", "_sig", "_n"))
+    # a set that several tasks sent only passes more easily
+    tokens = sent.select(F.shiftrightunsigned("_sig", 64 - NARROW).alias("_s"), F.explode("_p").alias("_t"))
+    shared = checkpointed(tokens.groupBy("_t").agg(F.count("*").alias("_m")).filter("_m > 1").select("_t"))
+    counts = tokens.join(shared.hint("shuffle_hash"), "_t").groupBy("_s").agg(F.count("*").alias("_c"))
+    least = F.greatest(F.lit(1), F.floor(F.col("_n") / share))
+    keyed = _sets(rows).withColumn("_s", F.shiftrightunsigned("_sig", 64 - NARROW))
+    return rows, checkpointed(counts.join(keyed, "_s").filter(F.col("_c") >= least).select("_sig", "_first"))
+
+
+def _second_order(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (t, sig, n) of the sets whose prefix by rarity holds a token, and the whole sets that are in lists."""
     each = whole.select("sig", "n", F.explode("tokens").alias("t"))
     times = checkpointed(each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
     ranked = (
@@ -184,6 +187,32 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
         .filter("_left > 0")
     )
     lists = checkpointed(ranked.select("sig", "n", F.explode(F.slice("_r", F.lit(1), F.col("_left"))).alias("_e")).select(F.col("_e.t").alias("t"), "sig", "n"))
+    return lists, checkpointed(_only(whole, lists))
+
+
+def _only(whole: DataFrame, lists: DataFrame) -> DataFrame:
+    """The sets that are in ``lists``."""
+    listed = checkpointed(lists.select(F.col("sig").alias("_in")).distinct())
+    return whole.join(small_side(listed), whole["sig"] == listed["_in"], "left_semi")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id.
+
+    Two texts link when 100 * intersection >= percent * union of their sets;
+    ``component_id`` is the smallest id reachable by links, a row's own
+    included. Texts without words, null or empty, have no shingles and link
+    with nothing; rows without an id link with nothing and get a null
+    component. Repeated rows share a component. An empty table gives an empty
+    result. Only the two named columns are read.
+    """
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows, stay = _first_order(base, percent, words, share)
+    release(docs.sparkSession)
+    sets = _sets(rows)
+    picked = base.join(small_side(stay), base["_id"] == stay["_first"]).select("_sig", "_text")
+    lists, whole = _second_order(checkpointed(_whole_sets(picked, words)), percent)
+    release(docs.sparkSession)
 
     # each list's least set against its others
     least_of = lists.groupBy("t").agg(F.min(F.struct("sig", "n")).alias("_m"))
@@ -205,6 +234,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
         .select("t", "m")
     )
     open_lists = checkpointed(labelled.join(checkpointed(mixed), "t"))
+    whole = checkpointed(_only(whole, open_lists))
     short = open_lists.filter(F.col("m") <= short_list)
     one, two = (short.select("t", F.col("sig").alias(x), F.col("n").alias(f"_n{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
     rest = one.join(two, "t").filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits(F.col("_na"), F.col("_nb"))).select("a", "b").distinct()
