@@ -7,32 +7,57 @@ longer text), which bounds a task's memory whatever the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 4 << 20
 
 
-def byte_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row offsets into them) for slices of ``texts``; null is empty."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+def row_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of slices that hold about ``size`` bytes, or one longer text."""
     if not len(texts):
         return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        end = min(end, len(texts))
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        before = int(ends[row - 1]) if row else 0
+        end = min(len(texts), max(row + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield row, end
         row = end
 
 
+def byte_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row offsets into them) for slices of ``texts``; null is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    for row, end in row_slices(texts, size):
+        part = texts.slice(row, end - row).cast(pa.large_string()).fill_null("")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        yield row, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def tidy(run):
+    """``run`` for mapInArrow, giving memory back at the task's end: Spark keeps its Python workers, and they what they hold."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 def spans_array(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The byte strings ``data[starts[i]:starts[i + 1]]`` (the last to the end), without a copy."""
     offsets = np.append(starts, len(data)).astype(np.int64)

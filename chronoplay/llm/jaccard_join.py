@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import tidy
 from .common import checkpointed, release, small_side
 from .components import connected_components
 from .shingles import WORDS, shingle_sets
@@ -80,7 +81,7 @@ def _prefixes(docs: DataFrame, percent: int, words: int, share: int) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), lists], ["_id", "_sig", "_n", "_p"])
 
-    return docs.mapInArrow(run, f"_id {kind}, _sig long, _n long, _p array<long>")
+    return docs.mapInArrow(tidy(run), f"_id {kind}, _sig long, _n long, _p array<long>")
 
 
 def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -95,7 +96,7 @@ def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
                 ["sig", "n", "tokens"],
             )
 
-    return docs.mapInArrow(run, "sig long, n long, tokens array<long>")
+    return docs.mapInArrow(tidy(run), "sig long, n long, tokens array<long>")
 
 
 def _similar(overlap, a, b, percent: int):
@@ -116,7 +117,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep = [bool(_similar(np.intersect1d(x, y, assume_unique=True).size, len(x), len(y), percent)) for x, y in zip(*lists, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _block_links(percent: int):

@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import byte_slices
+from .batches import row_slices, tidy
 
 SPACE = "▁"
 #: Characters of new words that are indexed at a time.
-INDEXED = 200_000
+INDEXED = 100_000
 #: Bytes of texts that are encoded at a time, or one longer text.
 SLICE = 2 << 20
 #: Words that a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 200_000
 NEVER = np.int64(1) << 40
 
 
@@ -296,7 +296,7 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_path)
         for whole in batches:
-            for low, high, _, _ in byte_slices(whole.column(1), SLICE):
+            for low, high in row_slices(whole.column(1), SLICE):
                 b = whole.slice(low, high - low)
                 texts = b.column(1).to_pylist()
                 ids, counts = encode(texts)
@@ -315,5 +315,5 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id"
                     ["_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
                 )
 
-    out = base.mapInArrow(run, f"_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    out = base.mapInArrow(tidy(run), f"_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     return out.select(F.col("_id").alias(id_col), *out.columns[1:])

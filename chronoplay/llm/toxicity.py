@@ -30,19 +30,21 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import byte_slices, sums_by_row
+from .batches import byte_slices, sums_by_row, tidy
 from .common import checkpointed, small_side
 
 FOLDS = 4
 #: Most labelled rows that the model is fitted on; a hash of the id picks them.
 MAX_TRAIN = 16_000
 PREFIXES = range(4, 9)
+#: A unit must be in three toxic documents of the sample, and in one of so many.
+SUPPORT = 300
 NEAR = 4
 FEATURES = ("words", "density", "hits", "kinds", "strongest", "mean_hit", "second_person", "capitals", "shouts", "punctuation", "obfuscated", "masked_hits")
 #: Second persons in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr sie tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
 #: Words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _masked = re.compile(r"[^\W\d_]+(?:[0-9@$!*|+.\-]{1,2}[^\W\d_]+)+")
@@ -59,20 +61,16 @@ def units_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
 
 
-def weights(counts: dict[str, tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, clean: np.ndarray, without: int | None = None) -> dict[str, float]:
-    """The units' weights from their counts by fold, leaving out one fold; weak units go."""
+def weights(units: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, toxic: np.ndarray, clean: np.ndarray, without: int | None = None) -> dict[str, float]:
+    """The units' weights from their counts by fold (a row each), leaving out one fold; weak units go."""
     use = np.arange(FOLDS) != (-1 if without is None else without)
-    n_t, n_c, out = toxic[use].sum() + 1, clean[use].sum() + 1, {}
-    for unit, (by_t, by_c) in counts.items():
-        t, c = by_t[use].sum() + 0.5, by_c[use].sum() + 0.5
-        bound = math.log(t / n_t) - math.log(c / n_c) - math.sqrt(1 / t + 1 / c)
-        if t > 2.5 and bound > 0.8:
-            out[unit] = round(bound, 4)
-    return out
+    t, c = in_toxic[:, use].sum(axis=1) + 0.5, in_clean[:, use].sum(axis=1) + 0.5
+    bound = np.log(t / (toxic[use].sum() + 1)) - np.log(c / (clean[use].sum() + 1)) - np.sqrt(1 / t + 1 / c)
+    return {units[i]: round(float(bound[i]), 4) for i in np.flatnonzero((t > 2.5) & (bound > 0.8))}
 
 
 def _unit_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(unit, fold, n): documents of a fold that hold a unit; task by task, then by shuffle."""
+    """(unit, n0, n1, …): documents of each fold that hold a unit; task by task, then by shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -91,7 +89,7 @@ def _unit_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return sample.select("_fold", "_text").mapInArrow(run, "unit string, fold int, n long").groupBy("unit", "fold").agg(F.sum("n").alias("n"))
+    return sample.select("_fold", "_text").mapInArrow(tidy(run), "unit string, fold int, n long").groupBy("unit").agg(*(F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)))
 
 
 def _features(docs: DataFrame, lexicons: list[dict[str, float]], keep: str) -> DataFrame:
@@ -140,7 +138,7 @@ def _features(docs: DataFrame, lexicons: list[dict[str, float]], keep: str) -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], x], [*b.schema.names[:-2], "_x"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep.split())
-    return docs.select(*keep.split(), "_lexicon", "_text").mapInArrow(run, f"{kinds}, _x array<double>")
+    return docs.select(*keep.split(), "_lexicon", "_text").mapInArrow(tidy(run), f"{kinds}, _x array<double>")
 
 
 @dataclass
@@ -183,14 +181,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return ToxicityModel({}, rate)
 
     # units of few toxic documents can't get a weight, so the others' counts are looked up for the rest only
-    in_toxic = _unit_counts(sample.filter("_y = 1"), None).withColumn("_all", F.expr("sum(n) over (partition by unit)")).filter("_all >= 3")
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in in_toxic.collect():  # bounded by the sample
-        counts.setdefault(r["unit"], (np.zeros(FOLDS), np.zeros(FOLDS)))[0][r["fold"]] = r["n"]
-    for r in _unit_counts(sample.filter("_y = 0"), frozenset(counts)).collect():
-        counts[r["unit"]][1][r["fold"]] = r["n"]
-    lexicons = [weights(counts, toxic, clean, k) for k in range(FOLDS)]
-    whole = weights(counts, toxic, clean)
+    least = max(3, math.ceil(toxic.sum() / SUPPORT))
+    folds = [f"n{k}" for k in range(FOLDS)]
+    found = _unit_counts(sample.filter("_y = 1"), None).filter(" + ".join(folds) + f" >= {least}").toArrow()  # bounded by the sample
+    units = found["unit"].to_pylist()
+    in_toxic = np.stack([found[c].to_numpy() for c in folds], axis=1)
+    place, in_clean = {u: i for i, u in enumerate(units)}, np.zeros_like(in_toxic)
+    found = _unit_counts(sample.filter("_y = 0"), frozenset(units)).toArrow()
+    in_clean[[place[u] for u in found["unit"].to_pylist()]] = np.stack([found[c].to_numpy() for c in folds], axis=1)
+    lexicons = [weights(units, in_toxic, in_clean, toxic, clean, k) for k in range(FOLDS)]
+    whole = weights(units, in_toxic, in_clean, toxic, clean)
+    del found, units, in_toxic, in_clean, place
 
     rows = _features(sample.withColumn("_lexicon", F.col("_fold")), lexicons, "_fold _y").withColumn("label", F.col("_y").cast("double"))
     rows = checkpointed(rows.coalesce(4))
