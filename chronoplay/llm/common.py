@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of ids that a filter may broadcast (about 16 bytes each).
 BROADCAST_IDS = 4_000_000
+#: Most row keys that a filter may broadcast (about 120 bytes each).
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +56,24 @@ def small_side(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``dropped`` (one column of ids).
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text; null has none."""
+    return F.sha2(text.cast("string"), 256)
 
-    Rows without an id stay. A short list of dropped ids is broadcast, so the
-    texts aren't shuffled; a long one is joined by shuffle.
+
+def row_key(id_col: str = "doc_id", sha: Column | None = None) -> Column:
+    """16 bytes that stand for a row's id and text (by default ``text``, else the digest ``sha``); never null, whatever is null in the row."""
+    sha = text_sha(F.col("text")) if sha is None else sha
+    known = F.coalesce(F.concat(F.lit("s"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(sha, F.lit("n")), F.lit(":"), known), 256), 1, 32))
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: Column | None = None) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` (by default ``row_key()``) isn't in ``dropped`` (one column of keys).
+
+    A short list of dropped keys is broadcast, so the texts aren't shuffled; a
+    long one is joined by shuffle.
     """
-    gone = checkpointed(dropped.select(F.col(dropped.columns[0]).alias("_gone")).dropna().distinct())
-    return docs.join(small_side(gone), docs[id_col] == gone["_gone"], "left_anti")
+    gone = checkpointed(dropped.select(F.col(dropped.columns[0]).alias("_gone")).distinct())
+    keyed = docs.withColumn("_key", row_key() if key is None else key)
+    return keyed.join(small_side(gone, BROADCAST_KEYS), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")

@@ -6,7 +6,10 @@
 4. benchmark decontamination: documents that hold a benchmark item go;
 5. SentencePiece: what is left is encoded.
 
-A stage refers to rows by their ids, so rows without one always stay.
+A stage decides on rows, each by its id and its text (``row_key``). So rows
+without an id are judged like all others, and where one id stands on different
+texts, only the rows that were judged go. Of copies and near copies a row
+without an id stays only if all of its group lack ids.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplay.llm.common import checkpointed, small_side, table, without
+from chronoplay.llm.common import BROADCAST_KEYS, checkpointed, row_key, small_side, table, text_or_empty, text_sha, without
 from chronoplay.llm.decontamination import contaminated
-from chronoplay.llm.exact_dedup import exact_dedup
+from chronoplay.llm.exact_dedup import SPACES, exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
 from chronoplay.llm.queries import tokenizer_file
 from chronoplay.llm.sentencepiece_codec import sentencepiece_codec
@@ -27,28 +30,36 @@ from chronoplay.llm.toxicity import fit_toxicity, score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from the labels of documents that are in ``docs``."""
-    scores = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
-    return without(docs, scores.filter("predicted = 1").select("doc_id"))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scores = score_toxicity(docs.withColumn("_row", row_key()), model, id_col="_row")
+    return without(docs, scores.filter("predicted = 1").select("_row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; a repeated row of the id that stays goes too."""
-    left = without(docs, exact_dedup(docs).filter(~F.col("kept")).select("doc_id"))
-    again = checkpointed(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """One row of each group of equal texts; repeated rows of the id that stays go too."""
+    judged = checkpointed(exact_dedup(docs).select(row_key("doc_id", F.col("text_sha256")).alias("_row"), "kept"))
+    key = row_key("doc_id", text_sha(F.regexp_replace(text_or_empty("text"), SPACES, " ")))
+    left = without(docs, judged.filter(~F.col("kept")).select("_row"), key)
+    again = checkpointed(judged.filter("kept").groupBy("_row").count().filter("count > 1").select("_row"))
     if again.isEmpty():  # the texts needn't be shuffled
         return left
-    twice = left.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(small_side(again), "doc_id", "left_anti").unionByName(twice)
+    again, left = small_side(again, BROADCAST_KEYS), left.withColumn("_row", key)
+    twice = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(again, "_row", "left_anti").unionByName(twice).drop("_row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents."""
-    return without(docs, jaccard_components(docs).filter("component_id <> doc_id").select("doc_id"))
+    """One document of each component of similar documents: the smallest id's, and of that id's the one of the smallest key."""
+    no_id = F.when(F.col("doc_id").isNull(), F.lit(True))  # null comes before true
+    ranked = docs.withColumn("_rank", F.struct(no_id.alias("no_id"), "doc_id", row_key().alias("row")))
+    found = jaccard_components(ranked, id_col="_rank")
+    return without(docs, found.filter("component_id <> _rank").select("_rank.row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    found = contaminated(docs.withColumn("_row", row_key()), table(spark, sf_dir, "benchmark"), id_col="_row")
+    return without(docs, found.select("_row"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

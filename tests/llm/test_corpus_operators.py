@@ -204,3 +204,35 @@ def test_pipeline_is_brute_force(spark):
     ends = p.run(spark, SMALL).collect()
     assert {r["doc_id"] for r in ends} == left and len(ends) == len(left) and all(r["round_trip"] for r in ends)
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "decontamination", "sentencepiece"]
+
+
+def test_pipeline_judges_rows_without_ids_and_of_shared_ids(spark, tmp_path):
+    """Each stage drops the rows it judges, no others; which rows those are doesn't hang on ids."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    names = lambda kind, i, n=40: [f"{kind}{i}w{j}" for j in range(n)]
+    x, y, lone = (" ".join(names(k, 0)) for k in "xyl")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda name, rows: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, docs(rows), str(tmp_path)).collect())
+
+    rows = [(1, x), (2, x), (2, y), (3, y), (None, x), (None, lone), (None, lone), (4, None), (5, "a  b"), (5, "a b"), (5, "a b"), (None, None)]
+    got = left("exact_dedup", rows)
+    assert sum(got.values()) == 5 and sum(n for (i, t), n in got.items() if i == 5) == 1
+    assert {k: n for k, n in got.items() if k[0] != 5} == {(1, x): 1, (2, y): 1, (None, lone): 1, (4, None): 1}
+
+    near = lambda t: t + " more"
+    got = left("jaccard_join", [(1, x), (2, near(x)), (2, y), (None, near(y)), (None, lone), (None, near(lone)), (6, lone + " a b c d e f g h i j k l m n o p q r s t"), (7, None)])
+    assert sum(got.values()) == 5 and {(1, x), (2, y), (7, None)} <= set(got) and len([1 for i, _ in got if i is None]) == 1
+
+    spark.createDataFrame([(10, x)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = left("decontamination", [(1, x), (1, y), (None, x), (None, y), (2, None)])
+    assert got == Counter([(1, y), (None, y), (2, None)])
+
+    labels = [(i, int(i % 2)) for i in range(300)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad = lambda i: f"you rotten blockhead {lone} {i}"
+    good = lambda i: f"kind greetings everyone {lone} {i}"
+    rows = [(i, bad(i) if i % 2 else good(i)) for i in range(300)]
+    got = left("toxicity", [*rows, (400, good(400)), (400, bad(400)), (None, good(401)), (None, bad(401))])
+    assert {(400, good(400)), (None, good(401))} <= set(got) and not {(400, bad(400)), (None, bad(401))} & set(got)
