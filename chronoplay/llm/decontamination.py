@@ -24,8 +24,8 @@ from .common import checkpointed, small_side
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 15: at a similarity of 0.8 the distance of fingerprints is about 9.7 with a deviation of 2.9.
-RADIUS = 15
+#: 24: at a similarity of 0.8 the distance of fingerprints is about 9.7 with a deviation of 2.9, so this is five deviations away.
+RADIUS = 24
 LANES = 0x0001000100010001
 
 

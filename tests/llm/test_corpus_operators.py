@@ -145,6 +145,21 @@ def test_op5_windows_and_hard_rows(spark):
     assert contaminated(frame(spark, rows).limit(0), bench).count() == 0 and contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_op5_passages_just_above_the_threshold(spark):
+    """Many passages of a similarity of 0.80 to 0.85: none is lost for the distance of its fingerprint."""
+    docs, items = [], []
+    for i in range(700):
+        n = (50, 52, 55, 60, 95, 100, 140)[i % 7]
+        words = [f"q{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(words)))
+        for at in (7, 40, 73, 106)[: {95: 2, 100: 2, 140: 3}.get(n, 1)]:
+            words[at] = "changed"
+        docs.append((i, " ".join(["lead"] * (i % 3) + words)))
+    got = {r["doc_id"]: (r["item_id"], r["similarity"]) for r in contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {i: i for i in range(700)}
+    assert all(0.8 <= s < 0.85 for _, s in got.values())
+
+
 def test_op6_held_out_accuracy(spark):
     rows = queries.op6_toxicity(spark, SF)
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
