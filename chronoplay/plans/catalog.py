@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -146,13 +148,14 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Result of a stream over the events' file, run until it is read, in a memory table."""
+    """Result of a stream over the events' file, run until it is read: Parquet files, which with the state lie in ``spark.checkpoint.dir``."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    table = f"{name}_{abs(hash((sf_dir, id(source))))}"
-    query = plan(source).writeStream.format("memory").queryName(table).outputMode("append").trigger(availableNow=True).start()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chk")  # a temporary one in local tests only
+    where, rows = f"{shared}/streams/{name}_{uuid.uuid4().hex}", plan(source)
+    query = rows.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(rows.schema).parquet(f"{where}/rows")
 
 
 def stream_dedupe_plays(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import pickle
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LOCAL_PLAY = "user_id long, track_id string, played_at timestamp, duration_ms long"
 LOCAL_STATE = "track_id string, started_at timestamp, duration_ms long, progress_ms long, seen_at timestamp"
 
+#: Most snapshots of a user that a task holds at once, sorted runs that it merges at once, and snapshots or plays in a piece.
+HELD, RUNS, PIECE = 100_000, 64, 10_000
+
 
 def deduplicated(plays: DataFrame, lateness: str | None = "1 day") -> DataFrame:
     """One play a user and instant. With bounded lateness the state is bounded too; None keeps every key."""
@@ -63,24 +70,60 @@ def play_steps(rows: Iterator[tuple], state: tuple | None) -> tuple[list[tuple],
     return out, state
 
 
+def in_order(rows: Iterable[tuple], held: int = HELD, runs: int = RUNS) -> Iterator[tuple]:
+    """Rows (track, at, ...) by time, ties as they come and nulls last; beyond ``held`` rows, sorted runs wait on the task's disk."""
+    by_time = lambda r: (1,) if pd.isna(r[1]) else (0, r[1])
+
+    def written(some: Iterable[tuple]) -> Iterator[tuple]:
+        file, some = tempfile.TemporaryFile(), iter(some)
+        while piece := list(islice(some, min(held, PIECE))):
+            pickle.dump(piece, file)
+        pickle.dump([], file)
+
+        def read() -> Iterator[tuple]:
+            with file:
+                file.seek(0)
+                while piece := pickle.load(file):
+                    yield from piece
+
+        return read()
+
+    sorted_runs, rows = [], iter(rows)
+    while part := sorted(islice(rows, held), key=by_time):
+        if len(part) < held:
+            sorted_runs.append(iter(part))
+            break
+        sorted_runs.append(written(part))
+        if len(sorted_runs) == runs:
+            sorted_runs = [written(heapq.merge(*sorted_runs, key=by_time))]
+    return heapq.merge(*sorted_runs, key=by_time)
+
+
 def local_plays(snapshots: DataFrame) -> DataFrame:
     """Plays from a stream of now-playing snapshots (user_id, at, is_playing, item_id, progress_ms, duration_ms) of local files.
 
-    State is a few values a user, and survives restarts with the checkpoint.
+    State is a few values a user, and survives restarts with the checkpoint. A
+    batch's frames come in no order of time, so they are sorted outside memory;
+    a task holds a bounded part of a user's snapshots and plays.
     """
 
+    def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for rows in frames:
+            local = rows["is_playing"].fillna(False).astype(bool) & rows["item_id"].fillna("").str.startswith("local:")
+            tracks = rows["item_id"].where(local, None)
+            for t, a, p, d in zip(tracks, rows["at"], rows["progress_ms"].fillna(0), rows["duration_ms"].fillna(0), strict=True):
+                yield None if pd.isna(t) else t, a, int(p), int(d)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("at", kind="stable")
-        local = rows["is_playing"].fillna(False).astype(bool) & rows["item_id"].fillna("").str.startswith("local:")
-        tracks = rows["item_id"].where(local, None)
-        ordered = zip(tracks, rows["at"], rows["progress_ms"].fillna(0), rows["duration_ms"].fillna(0), strict=True)
-        done, new = play_steps(((None if pd.isna(t) else t, a, int(p), int(d)) for t, a, p, d in ordered), state.getOption)
+        rows, new = in_order(rows_of(frames)), state.getOption
+        while piece := list(islice(rows, PIECE)):
+            done, new = play_steps(piece, new)
+            if done:
+                yield pd.DataFrame({"user_id": key[0], "track_id": [d[0] for d in done], "played_at": [d[1] for d in done], "duration_ms": [d[2] for d in done]})
         if new is not None:
             state.update(new)
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame({"user_id": key[0], "track_id": [d[0] for d in done], "played_at": [d[1] for d in done], "duration_ms": [d[2] for d in done]})
 
     return snapshots.groupBy("user_id").applyInPandasWithState(step, LOCAL_PLAY, LOCAL_STATE, "append", GroupStateTimeout.NoTimeout)
 

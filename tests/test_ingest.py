@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -152,3 +153,21 @@ def test_pages_and_stream_source(spark, tmp_path):
     query = files.read_stream(spark, str(tmp_path / "s"), files.SNAPSHOTS).writeStream.format("memory").queryName("snaps_test").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("snaps_test").count() == 1
+
+
+@pytest.mark.parametrize("name", ["stream_dedupe_plays", "stream_local_plays"])
+def test_stream_results_are_shared_files(spark, name):
+    """The rows don't go through the driver's memory; they and the state lie where all executors see them."""
+    from chronoplay.plans.catalog import QUERIES
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all(f.removeprefix("file://").startswith(f"{shared}/streams/") for f in files)
+
+
+def test_snapshots_are_sorted_in_bounded_parts():
+    rows = [(f"t{i}", (i * 7919) % 500, i, 0) for i in range(2000)] + [("last", None, 0, 0)]
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0))
+    for held, runs in ((7, 3), (100, 64), (10_000, 64), (len(rows), 2)):
+        assert list(stream.in_order(iter(rows), held, runs)) == want
+    assert list(stream.in_order([])) == []
