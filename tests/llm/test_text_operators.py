@@ -150,6 +150,18 @@ def test_op9_law_and_mixture(spark, digits):
     assert stratified_shards(empty(spark)).count() == 0
 
 
+def test_op9_tiny_sources_and_repeated_rows(spark):
+    """Sources of one or two rows are spread over all shards; so are rows that are repeated very often."""
+    rows = [(i, f"a{i}", "big") for i in range(1000)] + [(2000 + i, f"b{i}", f"tiny{i}") for i in range(500)] + [(3000 + i, f"c{i}", f"small{i // 2}") for i in range(500)]
+    shards = [r["shard"] for r in stratified_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("doc_id < 1000").collect()]
+    assert all(45 <= shards.count(k) <= 80 for k in range(16))
+    rows = [(None, "same", "one")] * 9000 + [(i, f"d{i}", "one") for i in range(9000)]
+    got = stratified_shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 18_000 and len({(r["shard"], r["slot"]) for r in got}) == 18_000
+    shards = [r["shard"] for r in got if r["doc_id"] is None]
+    assert len(shards) == 9000 and all(450 <= shards.count(k) <= 675 for k in range(16))
+
+
 def test_op7_articles_of_the_test_pages():
     model = default_model()
     docs = {(d["text"] or "")[:80] for d in sample()}
