@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -35,6 +36,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no text of the page.
 RAW = frozenset("script style noscript template svg math title textarea select button iframe object canvas audio video head".split())
+#: Those of them that don't swallow the rest of the page when they aren't closed: they end with their parent or where a block begins.
+LOOSE = frozenset("noscript svg math select canvas audio video".split())
 #: What an opening tag closes: these elements, up to the nearest of the others.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -109,6 +112,32 @@ def parse(page: str) -> list[Node]:
                 breaks = 0
                 linked += len(piece) if link_open else 0
 
+    last_close: dict[str, int] = {}
+
+    def after(tag: str, at: int) -> int:
+        """Where the page goes on after a loose element: after its end tag, or else where its parent ends or the first block begins."""
+        if tag not in last_close:
+            last_close[tag] = max((c.start() for c in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        parents = {nodes[i].tag for i in stack[1:]}
+        depth, inner, block = 1, Counter(), None
+        for m in _markup.finditer(page, at):
+            t = (m[2] or "").lower()
+            if t == tag:
+                depth += -1 if m[1] else not m[3].endswith("/")
+                if not depth:
+                    return m.end()
+            elif t in BLOCKS:
+                if m[1] and inner[t]:
+                    inner[t] -= 1
+                elif m[1] and t in parents:
+                    return m.start() if block is None else block
+                elif not m[1]:
+                    block = m.start() if block is None else block
+                    inner[t] += t not in VOID
+            if block is not None and m.start() > last_close[tag]:
+                return block
+        return end if block is None else block
+
     at, end = 0, len(page)
     while at < end:
         m = _markup.search(page, at)
@@ -130,7 +159,10 @@ def parse(page: str) -> list[Node]:
                     del stack[depth:]
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if tag in LOOSE and not m[3].endswith("/"):
+                at = after(tag, at)
+                run.append(" ")
+            elif not m[3].endswith("/"):
                 close = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
                 at = close.end() if close else (at if tag in ("head", "button", "object") else end)
                 run.append(" ")

@@ -174,6 +174,17 @@ def test_op7_articles_of_the_test_pages():
     assert docs
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "select", "canvas", "audio", "video", "noscript"])
+def test_op7_unclosed_elements_end_with_their_parent(tag):
+    """What isn't closed loses no text after its parent, whether or not another one is closed later."""
+    texts = lambda page: [n.text[0] for n in parse(page) if n.tag == "#text"]
+    assert texts(f"<div>a <{tag}>lost</div><p>b</p>c") == ["a", "b", "c"]
+    assert texts(f"<div>a <{tag} x='1'>lost<p>b</p>c</div>d") == ["a", "b", "c", "d"]
+    assert texts(f"<div>a <{tag}>lost</div><p>b</p><{tag}>no</{tag}>c") == ["a", "b", "c"]
+    assert texts(f"<{tag}>no<div>no</div></{tag}>a <{tag}><{tag}>no</{tag}>no</{tag}>b<{tag}/>c") == ["a bc"]
+    assert texts(f"a<{tag}>lost") == ["a"]
+
+
 def test_op7_held_out_pages():
     """Blocks of new pages from the generator: content is found, the rest stays out."""
     model, right, found, there = default_model(), 0, 0, 0
