@@ -26,7 +26,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 24: at a similarity of 0.8 the distance of fingerprints is about 9.7 with a deviation of 2.9, so this is five deviations away.
 RADIUS = 24
-LANES = 0x0001000100010001
+LANES = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
@@ -43,17 +43,17 @@ def _shingles(words: Column, k: Column) -> Column:
 def simhash(df: DataFrame, keys: list[str], shingles: str, out: str) -> DataFrame:
     """Each of the ``keys`` with the 64-bit SimHash of its shingles (repeats weigh more).
 
-    A 64-bit hash's bits b, b + 16, b + 32 and b + 48 are counted in the four
-    16-bit lanes of one sum, so 16 sums hold all votes.
+    A 64-bit hash's bits b and b + 32 are counted in the two 32-bit lanes of one
+    sum, so 32 sums hold all votes, up to 2**31 - 1 shingles, more than an array holds.
     """
     hashes = df.select(*keys, F.explode(shingles).alias("_s")).select(*keys, F.xxhash64("_s").alias("_h"))
-    lanes = [F.sum(F.shiftrightunsigned(F.col("_h"), b).bitwiseAND(F.lit(LANES))).alias(f"_v{b}") for b in range(16)]
+    lanes = [F.sum(F.shiftrightunsigned(F.col("_h"), b).bitwiseAND(F.lit(LANES))).alias(f"_v{b}") for b in range(32)]
     votes = hashes.groupBy(*keys).agg(F.count("*").alias("_m"), *lanes)
     parts = []
-    for b in range(16):
-        counts = [F.shiftrightunsigned(F.col(f"_v{b}"), 16 * lane).bitwiseAND(F.lit(0xFFFF)) for lane in range(4)]
-        bits = [F.shiftleft((2 * c > F.col("_m")).cast("bigint"), b + 16 * lane) for lane, c in enumerate(counts)]
-        parts.append((bits[0].bitwiseOR(bits[1])).bitwiseOR(bits[2].bitwiseOR(bits[3])))
+    for b in range(32):
+        counts = [F.shiftrightunsigned(F.col(f"_v{b}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) for lane in range(2)]
+        bits = [F.shiftleft((2 * c > F.col("_m")).cast("bigint"), b + 32 * lane) for lane, c in enumerate(counts)]
+        parts.append(bits[0].bitwiseOR(bits[1]))
     while len(parts) > 1:
         parts = [x.bitwiseOR(y) for x, y in zip(parts[::2], parts[1::2], strict=True)]
     return votes.select(*keys, parts[0].alias(out))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoplay.llm import queries
 from chronoplay.llm.components import connected_components
-from chronoplay.llm.decontamination import contaminated
+from chronoplay.llm.decontamination import contaminated, simhash
 from chronoplay.llm.exact_dedup import exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
 from chronoplay.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -160,6 +160,15 @@ def test_op5_passages_just_above_the_threshold(spark):
     assert all(0.8 <= s < 0.85 for _, s in got.values())
 
 
+def test_op5_very_long_items(spark):
+    """Tens of thousands of votes for a bit don't overflow its count."""
+    rows = spark.createDataFrame([(1, 40_000, 0), (2, 70_000, 0), (3, 70_000, 60_000), (4, 60_000, 70_000)], "k int, x int, y int")
+    sets = rows.withColumn("s", F.expr("concat(array_repeat('x', x), array_repeat('y', y))"))
+    got = {r["k"]: r["p"] for r in simhash(sets, ["k"], "s", "p").collect()}
+    x, y = spark.range(1).select(F.xxhash64(F.lit("x")), F.xxhash64(F.lit("y"))).first()
+    assert got == {1: x, 2: x, 3: x, 4: y}
+
+
 def test_op6_held_out_accuracy(spark):
     rows = queries.op6_toxicity(spark, SF)
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
