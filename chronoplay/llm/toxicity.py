@@ -43,11 +43,14 @@ NEAR = 4
 FEATURES = ("words", "density", "hits", "kinds", "strongest", "mean_hit", "second_person", "capitals", "shouts", "punctuation", "obfuscated", "masked_hits")
 #: Second persons in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr sie tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
-#: Words that a worker remembers.
-REMEMBER = 100_000
+#: Words that a worker remembers, of at most so many characters.
+REMEMBER, LONG_WORD = 50_000, 100
+#: Counts of units that a task holds before it passes them on.
+HELD = 100_000
 
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_masked = re.compile(r"[^\W\d_]+(?:[0-9@$!*|+.\-]{1,2}[^\W\d_]+)+")
+#: Letters with marks between them. It starts at a run's first letter and gives no letter back, so a long run is read once.
+_masked = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*|+.\-]{1,2}+[^\W\d_]++)++")
 _plain = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "*": None, ".": None, "-": None, "2": None, "6": None, "8": None, "9": None})
 
 
@@ -85,7 +88,7 @@ def _unit_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
             for fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 units = {u for w in set(_word.findall(text.lower())) for u in units_of(w)}
                 found.update((fold, u) for u in (units if only is None else units & only))
-                if len(found) > 500_000:
+                if len(found) > HELD:
                     yield flush()
         yield flush()
 
@@ -100,9 +103,11 @@ def _features(docs: DataFrame, lexicons: list[dict[str, float]], keep: str) -> D
 
         def score(word: str) -> float:
             if (x := known.get(word)) is None:
-                if len(known) > REMEMBER:
-                    known.clear()
-                x = known[word] = max((lexicon.get(u, 0.0) for u in units_of(word)), default=0.0)
+                x = max((lexicon.get(u, 0.0) for u in units_of(word)), default=0.0)
+                if len(word) <= LONG_WORD:
+                    if len(known) > REMEMBER:
+                        known.clear()
+                    known[word] = x
             return x
 
         return score

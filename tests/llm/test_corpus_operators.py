@@ -189,9 +189,9 @@ def test_op6_learns_from_no_held_out_label(spark):
 
 
 def test_op6_without_two_classes_and_hard_rows(spark):
-    docs = frame(spark, [(1, None), (2, ""), (None, "x"), (3, "w " * 50_000), (4, "1d10t! i.d.i.o.t"), (4, "1d10t! i.d.i.o.t")])
+    docs = frame(spark, [(1, None), (2, ""), (None, "x"), (3, "w " * 50_000), (6, "x" * 1_000_000), (7, "x1" * 300_000), (4, "1d10t! i.d.i.o.t"), (4, "1d10t! i.d.i.o.t")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    one = spark.createDataFrame([(i, 1) for i in range(1, 5)] + [(None, 0), (2, None)], "doc_id long, toxic int")
+    one = spark.createDataFrame([(i, 1) for i in range(1, 8)] + [(None, 0), (2, None)], "doc_id long, toxic int")
     assert {r["score"] for r in score_toxicity(docs, fit_toxicity(docs, none)).collect()} == {0.0}
     assert {r["score"] for r in score_toxicity(docs, fit_toxicity(docs, one)).collect()} == {1.0}
     assert score_toxicity(docs.limit(0), fit_toxicity(docs, none)).count() == 0
