@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import row_slices, tidy
 from .page_samples import labelled_pages
 
 #: Labelled pages that the default model is fitted on.
@@ -35,9 +36,9 @@ TRAINING_PAGES = 300
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no text of the page.
-RAW = frozenset("script style noscript template svg math title textarea select button iframe object canvas audio video head".split())
-#: Those of them that don't swallow the rest of the page when they aren't closed: they end with their parent or where a block begins.
-LOOSE = frozenset("noscript svg math select canvas audio video".split())
+RAW = frozenset("script style noscript template svg title textarea select button iframe object canvas audio video head annotation annotation-xml".split())
+#: Those of them that swallow what follows up to their end tag, markup or not. The others end with their parent, or where a block begins, if they aren't closed.
+SOURCE = frozenset(("script", "style"))
 #: What an opening tag closes: these elements, up to the nearest of the others.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -63,7 +64,8 @@ _HINT = {w: i for i, words in enumerate(HINTS.values()) for w in words}
 _TAG = {t: i for i, t in enumerate(TAGS)}
 N_FEATURES = 1 + len(TAGS) + len(HINTS) + 8
 
-_markup = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
+_markup = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
+_source_end = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in SOURCE}
 _attribute = re.compile(r"""(class|id|role|data-y|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _name = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _mark = re.compile(r"[.,;:!?]")
@@ -86,12 +88,45 @@ class Node:
     leaves: int = 0
 
 
-def parse(page: str) -> list[Node]:
-    """The nodes of a page, parents first; text blocks have the tag ``#text`` and one piece of text."""
+@dataclass(slots=True)
+class Tag:
+    """A tag of a page, from ``start`` to ``end``; of script and style, with all that they hold."""
+
+    start: int
+    end: int
+    name: str
+    closing: bool
+    inside: str
+
+
+def tags_of(page: str) -> list[Tag]:
+    """All markup of a page in order; comments, declarations and broken tags have no name."""
+    found, at, no_end = [], 0, False
+    while (m := _markup.search(page, at)) is not None:
+        at, name = m.end(), (m[2] or "").lower()
+        if page.startswith("<![CDATA[", m.start()) and not no_end:
+            close = page.find("]]>", m.start())
+            no_end = close < 0  # then it ends at the first ">"
+            at = at if no_end else close + 3
+        elif name in SOURCE and not m[1] and not m[3].endswith("/"):
+            close = _source_end[name].search(page, at)
+            at = close.end() if close else len(page)
+        found.append(Tag(m.start(), at, name, bool(m[1]), m[3] or ""))
+    return found
+
+
+def parse(page: str, labelled: bool = False) -> list[Node]:
+    """The nodes of a page, parents first; text blocks have the tag ``#text`` and one piece of text.
+
+    Labels (``data-y``) are read only from ``labelled`` pages, which are for training.
+    """
     nodes, stack = [Node("#root", -1)], [0]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name, in the stack
     run: list[str] = []
     linked = breaks = 0
     link_open = False
+    tags = tags_of(page)
+    pairs: dict[str, dict[int, int]] = {}
 
     def end_block() -> None:
         nonlocal linked, breaks
@@ -112,95 +147,98 @@ def parse(page: str) -> list[Node]:
                 breaks = 0
                 linked += len(piece) if link_open else 0
 
-    last_close: dict[str, int] = {}
-
-    def after(tag: str, at: int) -> int:
-        """Where the page goes on after a loose element: after its end tag, or else where its parent ends or the first block begins."""
-        if tag not in last_close:
-            last_close[tag] = max((c.start() for c in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
-        parents = {nodes[i].tag for i in stack[1:]}
-        depth, inner, block = 1, Counter(), None
-        for m in _markup.finditer(page, at):
-            t = (m[2] or "").lower()
-            if t == tag:
-                depth += -1 if m[1] else not m[3].endswith("/")
-                if not depth:
-                    return m.end()
-            elif t in BLOCKS:
-                if m[1] and inner[t]:
-                    inner[t] -= 1
-                elif m[1] and t in parents:
-                    return m.start() if block is None else block
-                elif not m[1]:
-                    block = m.start() if block is None else block
-                    inner[t] += t not in VOID
-            if block is not None and m.start() > last_close[tag]:
+    def close_to(depth: int) -> None:
+        """Elements from that place of the stack on end."""
+        for i in stack[depth:]:
+            places[nodes[i].tag].pop()
+        del stack[depth:]
+
+    def after(k: int) -> int:
+        """Number of the first tag after the raw element that tag k opens, which may be its end tag.
+
+        It goes on to its end tag, or to its parent's if that comes first. Without an end tag of its own it
+        ends where its parent ends or the first block begins.
+        """
+        name = tags[k].name
+        if name not in pairs:
+            pairs[name], waiting = {}, []
+            for i, t in enumerate(tags):
+                if t.name == name and t.closing:
+                    if waiting:
+                        pairs[name][waiting.pop()] = i
+                elif t.name == name and not t.inside.endswith("/"):
+                    waiting.append(i)
+        close = pairs[name].get(k)
+        inner, block = Counter(), None
+        for i in range(k + 1, len(tags) if close is None else close):
+            t = tags[i]
+            if t.name in BLOCKS and t.name not in VOID:
+                if t.closing and inner[t.name]:
+                    inner[t.name] -= 1
+                elif t.closing and places[t.name] or t.name == "body":
+                    return i if block is None else block
+                elif not t.closing:
+                    block = i if block is None else block
+                    inner[t.name] += 1
+            if block is not None and close is None:
                 return block
-        return end if block is None else block
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _markup.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        return len(tags) if close is None else close
+
+    at, k = 0, 0
+    while k < len(tags):
+        tag = tags[k]
+        k += 1
+        say(page[at : tag.start])
+        at = tag.end
+        name = tag.name
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
+        if tag.closing:
+            if name == "a":
                 link_open = False
-            elif tag in BLOCKS:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), 0)
-                if depth:
-                    end_block()
-                    del stack[depth:]
+            elif name in BLOCKS and places[name]:
+                end_block()
+                close_to(places[name][-1])
             continue
-        if tag in RAW:
-            if tag in LOOSE and not m[3].endswith("/"):
-                at = after(tag, at)
-                run.append(" ")
-            elif not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
-                at = close.end() if close else (at if tag in ("head", "button", "object") else end)
+        if name in RAW:
+            if not tag.inside.endswith("/"):
+                if name not in SOURCE:
+                    k = after(k - 1)
+                    at = tags[k].start if k < len(tags) else len(page)
                 run.append(" ")
             continue
-        if tag == "a":
+        if name == "a":
             link_open = True
-        elif tag == "br":
+        elif name == "br":
             breaks += 1
             if breaks > 1:
                 end_block()
             else:
                 run.append(" ")
-        elif tag in BLOCKS:
+        elif name in BLOCKS:
             end_block()
-            if tag in CLOSES:
-                closed, border = CLOSES[tag]
-                for d in range(len(stack) - 1, 0, -1):
-                    t = nodes[stack[d]].tag
-                    if t in border:
-                        break
-                    if t in closed:
-                        del stack[d:]
-                        break
+            if name in CLOSES:
+                closed, border = CLOSES[name]
+                ends = max((places[t][-1] for t in closed if places[t]), default=0)
+                if ends > max((places[t][-1] for t in border if places[t]), default=0):
+                    close_to(ends)
             elif nodes[stack[-1]].tag == "p":
-                stack.pop()
-            if tag in VOID:
+                close_to(len(stack) - 1)
+            if name in VOID:
                 continue
             found, y, hidden = set(), None, False
-            for a in _attribute.finditer(m[3]):
+            for a in _attribute.finditer(tag.inside):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if key == "data-y":
-                    y = int(value)
+                    y = int(value) if labelled else None
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     hidden = True
                 elif key != "style":
                     found.update(_HINT[w] for x in _name.findall(value) if (w := x.lower()) in _HINT)
-            nodes.append(Node(tag, stack[-1], frozenset(found), y, hidden, nodes[stack[-1]].tag in ("#root", "html", "body")))
+            nodes.append(Node(name, stack[-1], frozenset(found), y, hidden, nodes[stack[-1]].tag in ("#root", "html", "body")))
+            places[name].append(len(stack))
             stack.append(len(nodes) - 1)
+    say(page[at:])
     end_block()
     for i in range(len(nodes) - 1, 0, -1):
         n, p = nodes[i], nodes[nodes[i].parent]
@@ -280,7 +318,7 @@ def fit_page_model(pages: list[str], steps: int = 200, ridge: float = 1.0) -> Pa
     """
     rows, y, parent, kind, depth = [], [], [], [], []
     for page in pages:
-        nodes, base = parse(page), len(y)
+        nodes, base = parse(page, labelled=True), len(y)
         label: list[int] = []
         for n in nodes:
             label.append(n.y if n.y is not None else label[n.parent] if n.parent >= 0 else 0)
@@ -344,8 +382,9 @@ def extract_pages(pages: DataFrame, model: PageModel | None = None, id_col: str
     ``text`` is the article: blocks in page order, one a line, character
     references decoded, white space inside a block turned into one space. Null
     and empty pages, and pages without content, give the empty text and 0.
-    Broken markup is read as browsers do: what isn't closed ends with its
-    parent. Ids and urls are passed on as they are, nulls and repeats too; an
+    Broken markup loses no text: what isn't closed ends with its parent, but for
+    scripts, styles and comments, which run on as in browsers. Formulas keep
+    their text. Time is linear in a page's length. Ids and urls are passed on as they are, nulls and repeats too; an
     empty table gives an empty result. Only the three named columns are read.
     """
     model = model or default_model()
@@ -354,10 +393,10 @@ def extract_pages(pages: DataFrame, model: PageModel | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, len(whole), 512):
-                b = whole.slice(low, 512)
+            for low, high in row_slices(whole.column(2)):
+                b = whole.slice(low, high - low)
                 texts = [main_text(x, model) for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["_id", "_url", "text", "n_chars"])
 
-    out = base.mapInArrow(run, f"_id {kinds[0]}, _url {kinds[1]}, text string, n_chars long")
+    out = base.mapInArrow(tidy(run), f"_id {kinds[0]}, _url {kinds[1]}, text string, n_chars long")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", "n_chars")

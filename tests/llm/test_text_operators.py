@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,26 @@ def test_op2_remembers_only_so_much(monkeypatch):
     assert [encode([t])[0].tolist() for t in texts] == want
 
 
+def test_op2_long_words_equal_the_library_in_linear_time(monkeypatch):
+    import sentencepiece
+
+    path, rng = queries.tokenizer_file("piece_bpe_32k.model"), random.Random(9)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choices(["ing", "er", "中", "本", "the", "x", "aa", "tion", "é"], k=k)) for k in (60, 90, 700, 3000)]
+    for steps, few, indexed in ((64, 8, 65_536), (0, 0, 40), (5, 1, 300)):
+        for name, value in (("STEPS", steps), ("FEW", few), ("INDEXED", indexed), ("LONG_WORD", 9)):
+            monkeypatch.setattr(sentencepiece_codec, name, value)
+        ids, counts = sentencepiece_codec.encoder(path)(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(sentencepiece_codec, "AT_ONCE", 1000)
+    began, text = time.time(), "".join(rng.choices("abcdefghij日本語", k=1_000_000))
+    ids, _ = sentencepiece_codec.encoder(path)([text])
+    assert sentencepiece_codec.decode(ids, path) == text and time.time() - began < 30
+    text = "lorem ipsum dolor " * 100_000
+    assert sentencepiece_codec.encoder(path)([text])[0].tolist() == library.encode(text)
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -174,7 +196,7 @@ def test_op7_articles_of_the_test_pages():
     assert docs
 
 
-@pytest.mark.parametrize("tag", ["svg", "math", "select", "canvas", "audio", "video", "noscript"])
+@pytest.mark.parametrize("tag", ["svg", "select", "canvas", "audio", "video", "noscript", "iframe", "textarea", "object", "button", "template", "title"])
 def test_op7_unclosed_elements_end_with_their_parent(tag):
     """What isn't closed loses no text after its parent, whether or not another one is closed later."""
     texts = lambda page: [n.text[0] for n in parse(page) if n.tag == "#text"]
@@ -185,11 +207,29 @@ def test_op7_unclosed_elements_end_with_their_parent(tag):
     assert texts(f"a<{tag}>lost") == ["a"]
 
 
+def test_op7_no_markup_of_a_page_is_fatal_or_loses_text():
+    texts = lambda page: [n.text[0] for n in parse(page) if n.tag == "#text"]
+    assert texts('<div data-y="up">a</div><div data-y>b</div><p data-y=7>c') == ["a", "b", "c"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p>") == ["let x=1 be"]
+    assert texts("<p>a<![CDATA[ x > y ]]>b</p><p>c<![CDATA[ d>e</p>f") == ["ab", "ce", "f"]
+    assert texts("a<!-->b<!--->c<!-- no -->d<!--[if !IE]><!-->e<!--<![endif]-->f") == ["abcdef"]
+    assert texts("<script>if (a < b) { '<p>no</p>' }</script>a<style>p > a { }</style>b") == ["a b"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul>d</ul><dl><dt>e<dd>f</dl>") == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_op7_hostile_pages_take_linear_time():
+    began = time.time()
+    n = 100_000
+    for page in ("<div>" * n + "</p>" * n, "<p><select>" * n + "</select>", "<li><ul>" + "<div>" * n + "<li>x" * n, "<svg>" * n + "x", "<![CDATA[x>" * n, "<a b='>" * n + "x", "<dt>x" * n):
+        assert main_text(page, default_model()) is not None
+    assert time.time() - began < 60
+
+
 def test_op7_held_out_pages():
     """Blocks of new pages from the generator: content is found, the rest stays out."""
     model, right, found, there = default_model(), 0, 0, 0
     for page in labelled_pages(150, seed=99):
-        nodes, label = parse(page), []
+        nodes, label = parse(page, labelled=True), []
         for n in nodes:
             label.append(n.y if n.y is not None else label[n.parent] if n.parent >= 0 else 0)
         for n, p, y in zip(nodes, marginals(nodes, model), label, strict=True):
