@@ -5,7 +5,9 @@ words that the task hasn't met yet are concatenated and indexed by a suffix
 array; every piece of the vocabulary is looked up in it by binary search, which
 gives the range of all its occurrences. Each occurrence is an edge between two
 positions. The edges are sorted by position and relaxed in that order, all
-words side by side.
+words side by side; in words of more than ``STEPS`` characters all pairs of
+edges that meet are tested side by side, and a word of any length goes window
+by window.
 
 For a BPE vocabulary the relaxation keeps the encodings that the merges make:
 each prefix of a word has exactly one encoding, so exactly one edge into a
@@ -20,7 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,16 @@ from pyspark.sql import functions as F
 from .batches import row_slices, tidy
 
 SPACE = "▁"
-#: Characters of new words that are indexed at a time.
-INDEXED = 100_000
-#: Bytes of texts that are encoded at a time, or one longer text.
-SLICE = 2 << 20
-#: Words that a worker remembers.
-REMEMBER = 200_000
+#: Characters of new words that are indexed at a time; a longer word goes by windows of so many.
+INDEXED = 65_536
+#: Bytes of texts that are encoded at a time, or one longer text, of which so many words at a time.
+SLICE, AT_ONCE = 1 << 20, 100_000
+#: Words of more characters than this aren't relaxed step by step.
+STEPS = 64
+#: Words that go back one after the other.
+FEW = 8
+#: Words that a worker remembers, of at most so many characters.
+REMEMBER, LONG_WORD = 100_000, 64
 NEVER = np.int64(1) << 40
 
 
@@ -168,6 +174,93 @@ def occurrences(text: str, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nd
     return start, start + lengths[which], v.usable_ids[which]
 
 
+def _merges_settle(v: Vocabulary, start: np.ndarray, end: np.ndarray, piece: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    """Which edges a BPE keeps, of words too long for steps: those that are settled, and those that continue one that is kept.
+
+    All pairs of an edge and one that follows it are tested at once; what is left
+    is a chain of flags, in the order of the starts.
+    """
+    n = len(v.pieces)
+    by_end = np.argsort(end, kind="stable")
+    ends = end[by_end]
+    follow = np.flatnonzero(~settled)
+    follow = follow[np.argsort(start[follow], kind="stable")]
+    low = np.searchsorted(ends, start[follow], "left")
+    count = np.searchsorted(ends, start[follow], "right") - low
+    e = np.repeat(follow, count)
+    p = by_end[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(e))]
+    keys, back = np.unique(piece[p] * (n + 1) + piece[e], return_inverse=True)
+    fits = v.unchanged(keys // (n + 1), keys % (n + 1))[back]
+    kept = settled.tolist()
+    for a, b in zip(p[fits].tolist(), e[fits].tolist(), strict=True):
+        if kept[a]:
+            kept[b] = True
+    return np.array(kept, bool)
+
+
+def _scores_settle(v: Vocabulary, start: np.ndarray, end: np.ndarray, piece: np.ndarray, best: dict[int, float]) -> np.ndarray:
+    """Which edges a unigram keeps, of words too long for steps: the best into each position; ``best`` holds scores by position."""
+    kept = np.zeros(len(start), bool)
+    value = np.append(v.score, v.score.min() - 10)[piece].tolist()
+    order = np.argsort(end, kind="stable")
+    into: dict[int, int] = {}
+    for i, s, e in zip(order.tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+        score = best.get(s, -np.inf) + value[i]
+        if score > best.get(e, -np.inf):
+            best[e], into[e] = score, i
+    kept[list(into.values())] = True
+    return kept
+
+
+def _bare(covered: np.ndarray, n: int, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges, and one of piece n for each character without a piece."""
+    bare = np.flatnonzero(~covered)
+    return np.concatenate((start, bare)), np.concatenate((end, bare + 1)), np.concatenate((piece, np.full(len(bare), n)))
+
+
+def _spelled(flat: np.ndarray, odd: np.ndarray, chars: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the bytes of ``chars`` in place of the ids at ``odd``, and how many ids each old one became."""
+    parts = [[v.bytes[x] for x in c.encode()] if v.bytes else [v.unknown] for c in chars]
+    times = np.ones(len(flat), np.int64)
+    times[odd] = [len(x) for x in parts]
+    out = np.repeat(flat, times)
+    out[out == len(v.pieces)] = [x for part in parts for x in part]
+    return out, times
+
+
+def encode_giant(word: str, v: Vocabulary) -> np.ndarray:
+    """The piece ids of one word of any length, window by window: edges into a window only come from the ``longest`` characters before it."""
+    n, size = len(v.pieces), len(word)
+    last, from_ = np.full(size + 1, -1, np.int32), np.zeros(size + 1, np.int32)
+    best: dict[int, float] = {0: 0.0}
+    for a in range(0, size, INDEXED):
+        back = max(0, a - v.longest)
+        part = word[back : a + INDEXED]
+        start, end, piece = occurrences(part, v)
+        covered = np.zeros(len(part), bool)
+        covered[start[end - start == 1]] = True
+        start, end, piece = _bare(covered, n, start, end, piece)
+        new = end + back > a
+        start, end, piece = start[new] + back, end[new] + back, piece[new]
+        if v.bpe:
+            done = np.arange(back + 1, a + 1)
+            starts, ends, pieces = (np.concatenate(x) for x in ((from_[done], start), (done, end), (last[done], piece)))
+            settled = np.concatenate((np.ones(len(done), bool), start == 0))
+            kept = _merges_settle(v, starts, ends, pieces, settled)[len(done) :]
+        else:
+            best = {i: x for i, x in best.items() if i >= back}
+            kept = _scores_settle(v, start, end, piece, best)
+        last[end[kept]], from_[end[kept]] = piece[kept], start[kept]
+    at, ends = size, []
+    while at:
+        ends.append(at)
+        at = int(from_[at])
+    ends = np.array(ends[::-1])
+    flat = last[ends]
+    odd = np.flatnonzero(flat == n)
+    return _spelled(flat, odd, [word[i] for i in from_[ends[odd]].tolist()], v)[0].astype(np.int32) if len(odd) else flat.astype(np.int32)
+
+
 def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The piece ids of all words, and how many each has."""
     text = "\0".join(words) + "\0"
@@ -176,20 +269,25 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     start, end, piece = occurrences(text, v)
     n = len(v.pieces)
     # characters without a piece are edges too; n stands for their bytes. "\0" ends words and has none.
-    covered = np.zeros(len(text) + 1, bool)
+    covered = np.zeros(len(text), bool)
     covered[start[end - start == 1]] = True
     covered[begin + size] = True
-    bare = np.flatnonzero(~covered[: len(text)])
-    start, end, piece = np.concatenate((start, bare)), np.concatenate((end, bare + 1)), np.concatenate((piece, np.full(len(bare), n)))
+    start, end, piece = _bare(covered, n, start, end, piece)
     word_of = np.repeat(np.arange(len(words)), size + 1)
     inside = end - begin[word_of[start]]
     by_end = np.argsort(inside, kind="stable")
     start, end, piece, inside = start[by_end], end[by_end], piece[by_end], inside[by_end]
     last = np.full(len(text) + 1, -1, np.int64)  # piece that ends at a position
     from_ = np.zeros(len(text) + 1, np.int64)
-    steps = np.searchsorted(inside, np.arange(1, int(inside[-1]) + 2)) if len(inside) else np.zeros(1, np.int64)
     first = np.zeros(len(text) + 1, bool)
     first[begin] = True
+    long = size[word_of[start]] > STEPS
+    if long.any():
+        s, e, p = start[long], end[long], piece[long]
+        kept = _merges_settle(v, s, e, p, first[s]) if v.bpe else _scores_settle(v, s, e, p, dict.fromkeys(begin.tolist(), 0.0))
+        last[e[kept]], from_[e[kept]] = p[kept], s[kept]
+        start, end, piece, inside = start[~long], end[~long], piece[~long], inside[~long]
+    steps = np.searchsorted(inside, np.arange(1, int(inside[-1]) + 2)) if len(inside) else np.zeros(1, np.int64)
     best = np.full(len(text) + 1, -np.inf)
     best[begin] = 0
     for lo, hi in zip(steps[:-1], steps[1:], strict=True):
@@ -215,6 +313,15 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     while len(live):
         going = at > begin[live]
         live, at = live[going], at[going]
+        if 0 < len(live) <= FEW:  # only long words are left: one after the other
+            for w, i in zip(live.tolist(), at.tolist(), strict=True):
+                mine, low = [], int(begin[w])
+                while i > low:
+                    mine.append(i)
+                    i = int(from_[i])
+                places.append(np.array(mine))
+                owner.append(np.full(len(mine), w))
+            break
         places.append(at)
         owner.append(live)
         at = from_[at]
@@ -223,27 +330,30 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     ends, who = ends[turn], who[turn]
     flat = last[ends]
     if len(odd := np.flatnonzero(flat == n)):
-        spelled = [[v.bytes[x] for x in text[i].encode()] if v.bytes else [v.unknown] for i in from_[ends[odd]].tolist()]
-        times = np.ones(len(flat), np.int64)
-        times[odd] = [len(x) for x in spelled]
-        flat, who = np.repeat(flat, times), np.repeat(who, times)
-        flat[flat == n] = [x for part in spelled for x in part]
+        flat, times = _spelled(flat, odd, [text[i] for i in from_[ends[odd]].tolist()], v)
+        who = np.repeat(who, times)
     return flat.astype(np.int32), np.bincount(who, minlength=len(words))
 
 
 def encoder(path: str):
-    """A function from texts to (piece ids of all, ids of each), which remembers words between calls."""
+    """A function from texts to (piece ids of all, ids of each), which remembers short words between calls."""
     v = load(path)
     known: dict[str, int] = {}
     flat, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_list(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
         nonlocal flat, count
-        cut = [v.words.findall(((SPACE if v.dummy_prefix else "") + t.replace(" ", SPACE)) if t else "") for t in texts]
-        words = list(chain.from_iterable(cut))
-        new = sorted(set(words).difference(known))  # the empty word, which the pattern finds at ends, has no ids
+        new = sorted(set(words).difference(known), key=lambda w: (len(w) > LONG_WORD, w))  # the empty word, which the pattern finds at ends, has no ids
         parts, waiting, chars = [(flat, count)], [], 0
         for w in new:
+            if len(w) > INDEXED:
+                if waiting:
+                    parts.append(encode_words(waiting, v))
+                    waiting, chars = [], 0
+                ids = encode_giant(w, v)
+                parts.append((ids, np.array([len(ids)])))
+                continue
             waiting.append(w)
             chars += len(w) + 1
             if chars > INDEXED:
@@ -252,15 +362,34 @@ def encoder(path: str):
         if waiting:
             parts.append(encode_words(waiting, v))
         ids, sizes = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
-        index = known if len(known) < REMEMBER else dict(known)  # frequent words come early
-        index.update(zip(new, range(len(count), len(sizes)), strict=True))
-        if index is known:
-            flat, count = ids, sizes
+        old = len(count)
+        short = next((i for i, w in enumerate(new) if len(w) > LONG_WORD), len(new))
+        if len(known) < REMEMBER:  # frequent words come early
+            known.update(zip(new[:short], range(old, old + short), strict=True))
+            flat, count = ids[: int(sizes[: old + short].sum())].copy(), sizes[: old + short].copy()
+            index = known if short == len(new) else dict(known)
+        else:
+            index = dict(known)
+        if index is not known:
+            index.update(zip(new, range(old, len(sizes)), strict=True))
         which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         each, start = sizes[which], (np.cumsum(sizes) - sizes)[which]
         done = np.cumsum(each)
-        out = ids[np.repeat(start - (done - each), each) + np.arange(done[-1] if len(done) else 0)]
-        total = np.concatenate(([0], done))
+        return ids[np.repeat(start - (done - each), each) + np.arange(done[-1] if len(done) else 0)], each
+
+    def prepared(text: str) -> str:
+        return ((SPACE if v.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > SLICE:  # a huge text's words needn't be there all at once
+            words, parts = (m[0] for m in v.words.finditer(prepared(texts[0]))), []
+            while some := list(islice(words, AT_ONCE)):
+                parts.append(encode_list(some)[0])
+            out = np.concatenate(parts)
+            return out, np.array([len(out)])
+        cut = [v.words.findall(prepared(t)) for t in texts]
+        out, each = encode_list(list(chain.from_iterable(cut)))
+        total = np.concatenate(([0], np.cumsum(each)))
         return out, np.diff(total[np.concatenate(([0], np.cumsum([len(c) for c in cut])))])
 
     return encode
@@ -288,7 +417,8 @@ def sentencepiece_codec(docs: DataFrame, model_path: str, id_col: str = "doc_id"
     is the text itself (a text that holds U+2581 gets spaces back). Null counts
     as empty: no ids. Ids of rows are passed on as they are, nulls and repeats
     too; an empty table gives an empty result. Only the two named columns are
-    read.
+    read. Time and memory are linear in a text's length, also in one without
+    spaces; what a worker remembers between rows is bounded.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
