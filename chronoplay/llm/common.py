@@ -9,10 +9,10 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of ids that a filter may broadcast (about 16 bytes each).
-BROADCAST_IDS = 4_000_000
-#: Most row keys that a filter may broadcast (about 120 bytes each).
-BROADCAST_KEYS = 1_000_000
+#: Most rows that a join may broadcast: of an id or two (some 50 bytes each once hashed), and of row keys (some 120).
+BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,16 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches, which Python tasks get their rows in, hold at most ``BATCH_BYTES`` or ``BATCH_ROWS``.
+
+    Each running task holds a batch in the JVM and in its worker, so jobs over
+    long texts set this once, before their frames are planned.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bound_batches, table
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .html_extraction import extract_pages
@@ -24,6 +27,17 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _job(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` as a job of its own, with small Arrow batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,7 +79,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sentencepiece, op3_token_counts, op4_licenses, op5_decontamination, op6_toxicity, op7_html_extraction, op8_secrets, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: _job(f) for f in (op1_exact_dedup, op2_sentencepiece, op3_token_counts, op4_licenses, op5_decontamination, op6_toxicity, op7_html_extraction, op8_secrets, op9_sharding, op10_jaccard_join)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
