@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplay.llm.common import BROADCAST_KEYS, checkpointed, row_key, small_side, table, text_or_empty, text_sha, without
+from chronoplay.llm.common import BROADCAST_KEYS, bound_batches, checkpointed, row_key, small_side, table, text_or_empty, text_sha, without
 from chronoplay.llm.decontamination import contaminated
 from chronoplay.llm.exact_dedup import SPACES, exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
@@ -30,6 +30,7 @@ from chronoplay.llm.toxicity import fit_toxicity, score_toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from the labels of documents that are in ``docs``."""
+    bound_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scores = score_toxicity(docs.withColumn("_row", row_key()), model, id_col="_row")
     return without(docs, scores.filter("predicted = 1").select("_row"))
@@ -50,6 +51,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: the smallest id's, and of that id's the one of the smallest key."""
+    bound_batches(spark)
     no_id = F.when(F.col("doc_id").isNull(), F.lit(True))  # null comes before true
     ranked = docs.withColumn("_rank", F.struct(no_id.alias("no_id"), "doc_id", row_key().alias("row")))
     found = jaccard_components(ranked, id_col="_rank")
@@ -64,6 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left, and whether decoding them gives the text again."""
+    bound_batches(spark)
     return sentencepiece_codec(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
