@@ -33,7 +33,7 @@ from .batches import row_slices, tidy
 
 SPACE = "▁"
 #: Characters of new words that are indexed at a time; a longer word goes by windows of so many.
-INDEXED = 65_536
+INDEXED = 100_000
 #: Bytes of texts that are encoded at a time, or one longer text, of which so many words at a time.
 SLICE, AT_ONCE = 1 << 20, 100_000
 #: Words of more characters than this aren't relaxed step by step.
@@ -41,7 +41,7 @@ STEPS = 64
 #: Words that go back one after the other.
 FEW = 8
 #: Words that a worker remembers, of at most so many characters.
-REMEMBER, LONG_WORD = 100_000, 64
+REMEMBER, LONG_WORD = 200_000, 64
 NEVER = np.int64(1) << 40
 
 
@@ -344,7 +344,10 @@ def encoder(path: str):
     def encode_list(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
         nonlocal flat, count
-        new = sorted(set(words).difference(known), key=lambda w: (len(w) > LONG_WORD, w))  # the empty word, which the pattern finds at ends, has no ids
+        new = list(set(words).difference(known))  # the empty word, which the pattern finds at ends, has no ids
+        long = [w for w in new if len(w) > LONG_WORD]
+        if long:
+            new = [w for w in new if len(w) <= LONG_WORD] + long
         parts, waiting, chars = [(flat, count)], [], 0
         for w in new:
             if len(w) > INDEXED:
@@ -363,7 +366,7 @@ def encoder(path: str):
             parts.append(encode_words(waiting, v))
         ids, sizes = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
         old = len(count)
-        short = next((i for i, w in enumerate(new) if len(w) > LONG_WORD), len(new))
+        short = len(new) - len(long)
         if len(known) < REMEMBER:  # frequent words come early
             known.update(zip(new[:short], range(old, old + short), strict=True))
             flat, count = ids[: int(sizes[: old + short].sum())].copy(), sizes[: old + short].copy()
