@@ -7,12 +7,16 @@ each five-word shingle as often as it occurs; fewer words make one shingle.
 1. Windows: a window that starts at a shared shingle matches no less than one
    that starts just before it, so only shared shingles' places (and the last
    window) can start a best window, and only if enough of them lie in it for the
-   similarity asked for. This gate loses nothing. The item shingles are a
-   broadcast of a checked size; the texts aren't shuffled for it.
+   similarity asked for. This gate loses nothing, and says which items a window
+   may hold. The item shingles are a broadcast of a checked size; the texts
+   aren't shuffled for it.
 2. Each distinct window gets a 64-bit SimHash of its weighted shingles.
 3. Fingerprints are cut into radius + 1 blocks. Two within the radius agree in
-   a block, so joining on (size, block, value) finds all of them.
-4. The exact weighted similarity verifies what lies within the radius.
+   a block, so a look-up by (item, block, value) finds all of them. The blocks
+   are narrow, as 0.8 is far from 1; with the item in the key a window meets its
+   own items only, at most radius + 1 times each, however many items there are.
+4. The exact weighted similarity verifies what lies within the radius: shingles
+   are counted on both sides, and the counts are joined.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_side
+from .common import BROADCAST_KEYS, checkpointed, small_side
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -69,11 +73,15 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     return F.explode(F.array(*parts))
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles, exactly."""
-    times = lambda arr, s: F.size(F.filter(arr, lambda x: x == s))
-    both = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, s: acc + F.least(times(a, s), times(b, s)))
-    return both / (F.size(a) + F.size(b) - both)
+def weighted_similarity(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` (_item, _k, _window, …) with their exact weighted Jaccard similarity to ``items`` (_item, _ish)."""
+    keys = ["_item", "_k", "_window"]
+    have = pairs.select(*keys, F.explode(_shingles(F.split("_window", " "), F.col("_k"))).alias("_s")).groupBy(*keys, "_s").agg(F.count("*").alias("_a"))
+    want = checkpointed(items.select("_item", F.explode("_ish").alias("_s")).groupBy("_item", "_s").agg(F.count("*").alias("_b")))
+    both = have.join(small_side(want, BROADCAST_KEYS), ["_item", "_s"]).groupBy(*keys).agg(F.sum(F.least("_a", "_b")).alias("_both"))
+    sizes = items.select("_item", F.size("_ish").alias("_m"))
+    rows = pairs.join(both, keys).join(sizes, "_item").withColumn("_all", F.size(F.split("_window", " ")) - F.col("_k") + 1 + F.col("_m"))
+    return rows.withColumn("similarity", F.col("_both") / (F.col("_all") - F.col("_both"))).drop("_both", "_m", "_all")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -121,39 +129,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     at_end = F.when(F.get(F.col("_p"), F.size("_p") - F.col("_need")) >= F.col("_last"), F.array("_last")).otherwise(F.array().cast("array<int>"))
     windows = checkpointed(
         grouped.filter(F.size("_p") >= F.col("_need"))
-        .select("_id", "_key", "_len", "_n", "_k", F.explode(F.array_union(begins, at_end)).alias("_start"))
+        .select("_id", "_key", "_item", "_len", "_n", "_k", F.explode(F.array_union(begins, at_end)).alias("_start"))
         .distinct()
     )
     cut = (
         base.drop("_id")
-        .join(small_side(windows), "_key")
-        .select("_id", "_n", "_k", "_start", F.concat_ws(" ", F.slice("_words", F.col("_start") + 1, F.col("_len"))).alias("_window"))
+        .join(small_side(windows, BROADCAST_KEYS), "_key")
+        .select("_id", "_item", "_n", "_k", "_start", F.concat_ws(" ", F.slice("_words", F.col("_start") + 1, F.col("_len"))).alias("_window"))
         .distinct()
     )
     cut = checkpointed(cut)
 
     # 2. fingerprints of the distinct windows
-    shingled = cut.select("_n", "_k", "_window").distinct().withColumn("_wsh", _shingles(F.split("_window", " "), F.col("_k")))
-    printed = simhash(shingled, ["_n", "_k", "_window"], "_wsh", "_wprint")
+    shingled = cut.select("_k", "_window").distinct().withColumn("_wsh", _shingles(F.split("_window", " "), F.col("_k")))
+    printed = simhash(shingled, ["_k", "_window"], "_wsh", "_wprint")
     # 3. blocks; a pair that agrees in several blocks is kept once
-    left = printed.select("_n", "_k", "_window", "_wprint", _blocks("_wprint", radius).alias("_b")).select("_n", "_k", "_window", "_wprint", "_b.*")
-    right = checkpointed(items.select("_item", "_n", "_iprint", _blocks("_iprint", radius).alias("_b")).select("_item", "_n", "_iprint", "_b.*"))
+    left = cut.select("_item", "_k", "_window").distinct().join(printed, ["_k", "_window"]).select("_item", "_k", "_window", "_wprint", _blocks("_wprint", radius).alias("_b")).select("_item", "_k", "_window", "_wprint", "_b.*")
+    right = checkpointed(items.select("_item", "_iprint", _blocks("_iprint", radius).alias("_b")).select("_item", "_iprint", "_b.*"))
     near = (
-        left.join(small_side(right), ["_n", "block", "value"])
+        left.join(small_side(right), ["_item", "block", "value"])
         .withColumn("distance", F.bit_count(F.col("_wprint").bitwiseXOR(F.col("_iprint"))))
         .filter(F.col("distance") <= radius)
-        .select("_n", "_k", "_window", "_item", "distance")
+        .select("_item", "_k", "_window", "distance")
         .distinct()
     )
     # 4. exact similarity
-    near = checkpointed(near.withColumn("_wsh", _shingles(F.split("_window", " "), F.col("_k"))))
-    near = (
-        near.join(small_side(items.select("_item", "_ish")), "_item")
-        .withColumn("similarity", weighted_similarity("_wsh", "_ish"))
-        .filter(F.col("similarity") >= similarity)
-        .select("_n", "_window", "_item", "similarity", "distance")
-    )
-    best = cut.join(checkpointed(near), ["_n", "_window"]).groupBy("_id", "_item").agg(
+    near = checkpointed(near)
+    near = checkpointed(weighted_similarity(near, items).filter(F.col("similarity") >= similarity))
+    best = cut.join(near, ["_item", "_k", "_window"]).groupBy("_id", "_item").agg(
         F.max_by(F.struct("similarity", "distance", "_start", "_n"), F.struct("similarity", -F.col("_start"))).alias("_b")
     )
     return best.select(
