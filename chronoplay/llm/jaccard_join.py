@@ -5,22 +5,28 @@ of Jaccard similarity s or more, the overlap is at least ceil(s|A|) and
 ceil(s|B|). Under any one order of all tokens, prefixes of |A| - overlap + k
 tokens then share at least k tokens.
 
-1. First order, by hash: it needs no counts. With k a tenth of the set, a set
-   stays only if it shares that many prefix tokens with others.
-2. Second order, by rarity among the sets that stay: tokens of one set only come
-   first, so most sets run out of prefix before a shared token. Passages that
-   many texts share are common, come last, and make no candidates.
-3. Candidates share a prefix token under the second order, and both passed the
-   first. They are verified exactly, without all pairs of a token's list:
-   each list's least set is compared with its others, and what that links is
-   one component. Pairs inside a component need no check; the pairs between
-   different components of a list are checked, long lists in blocks.
+1. Rising hashes need no counts. With k a tenth of the set, a set stays only if
+   it shares that many prefix tokens with others.
+2. Rarity among the sets that stay: tokens of one set only come first, so most
+   sets run out of prefix before a shared token. Passages that many texts share
+   are common, come last, and make no candidates. Sets whose prefixes hold one
+   token are a list; a candidate is a pair from a list.
+3. A candidate is verified only if its two prefixes also share a token under
+   rising hashes, and under falling hashes: the three filters are intersected
+   pair by pair.
+
+Verification is exact and needs not all pairs of a list: its least set is
+compared with its others, and what that links is one component. Pairs inside a
+component need no check. Of the rest, short lists go pair by pair. A long list
+is cut into blocks by component and by length, and only blocks that may hold
+similar sets of different components meet.
 
 Equal sets are one set throughout, so exact copies add nothing to the join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +36,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import tidy
-from .common import checkpointed, release, small_side
+from .common import BROADCAST_KEYS, checkpointed, release, small_side
 from .components import connected_components
 from .shingles import WORDS, shingle_sets
 
-#: Lists of at most so many sets are checked pair by pair, longer ones in blocks.
+#: Lists of at most so many sets are checked pair by pair, longer ones in blocks of about so many sets or tokens.
 SHORT_LIST = 64
-BLOCK = 256
+BLOCK, BLOCK_TOKENS = 256, 1 << 18
 #: One in so many of a set's tokens must be shared under the first order.
 SHARE = 10
 #: Bits of tokens and signatures under the first order, where a collision only weakens the filter.
 NARROW = 48
+#: Signatures that a task remembers.
+REMEMBER = 100_000
 
 
 def _need(n: Column | np.ndarray | int, percent: int):
@@ -49,65 +57,91 @@ def _need(n: Column | np.ndarray | int, percent: int):
     return F.floor(up / 100) if isinstance(n, Column) else up // 100
 
 
-def _signature(tokens: np.ndarray) -> int:
+def _signature(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two numbers: of 10**10 sets no two are likely to share them."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63)
+    both = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _prefixes(docs: DataFrame, percent: int, words: int, share: int) -> DataFrame:
-    """(_id, _sig, _n, _p): each row's set, and its first-order prefix where the task hasn't sent that set yet.
+    """(_id, _key, _s1, _s2, _n, _p): each row's set, and its first-order prefix where the task hasn't just sent that set.
 
     Prefix tokens are cut to their first ``NARROW`` bits, which keeps the order.
     """
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
         for b in batches:
-            sig, n, prefix = [], [], []
-            for known, tokens in zip(b.column(0).is_valid().to_pylist(), shingle_sets(b.column(1), words), strict=True):
+            one, two, n, prefix = [], [], [], []
+            for known, tokens in zip(b.column(0).is_valid().to_pylist(), shingle_sets(b.column(2), words), strict=True):
                 n.append(len(tokens))
                 key = _signature(tokens) if len(tokens) and known else None
-                sig.append(key)
+                one.append(key and key[0])
+                two.append(key and key[1])
                 if key is None or key in sent:
                     prefix.append(tokens[:0].view(np.int64))
                 else:
+                    if len(sent) >= REMEMBER:
+                        sent.clear()
                     sent.add(key)
                     need = _need(len(tokens), percent)
                     prefix.append((tokens[: len(tokens) - need + max(1, len(tokens) // share)] >> np.uint64(64 - NARROW)).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix], dtype=np.int64))).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), pa.array(n, pa.int64()), lists], ["_id", "_sig", "_n", "_p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int64()), lists], ["_id", "_key", "_s1", "_s2", "_n", "_p"])
 
-    return docs.mapInArrow(tidy(run), f"_id {kind}, _sig long, _n long, _p array<long>")
+    return docs.mapInArrow(tidy(run), f"_id {kind}, _key long, _s1 long, _s2 long, _n long, _p array<long>")
 
 
 def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(sig, n, tokens) of rows (_sig, _text) whose text has that signature."""
+    """(sig, n, tokens) of rows (sig, _s1, _s2, _text) whose text has that signature; once a task, where a row is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for b in batches:
-            want = b.column(0).to_pylist()
-            sets = [(s, t.view(np.int64)) for s, t in zip(want, shingle_sets(b.column(1), words), strict=True) if len(t) and _signature(t) == s]
+            sets = []
+            for s, s1, s2, t in zip(*(b.column(i).to_pylist() for i in range(3)), shingle_sets(b.column(3), words), strict=True):
+                if len(t) and s not in sent and _signature(t) == (s1, s2):
+                    if len(sent) >= REMEMBER:
+                        sent.clear()
+                    sent.add(s)
+                    sets.append((s, t.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in sets], pa.int64()), pa.array([len(t) for _, t in sets], pa.int64()), pa.array([t for _, t in sets], pa.list_(pa.int64()))],
                 ["sig", "n", "tokens"],
             )
 
-    return docs.mapInArrow(tidy(run), "sig long, n long, tokens array<long>")
+    whole = checkpointed(docs.mapInArrow(tidy(run), "sig long, n long, tokens array<long>"))
+    repeated = checkpointed(whole.groupBy("sig").agg(F.count("*").alias("_m")).filter("_m > 1").select("sig"))
+    if repeated.isEmpty():  # the tokens needn't be shuffled
+        return whole
+    return checkpointed(whole.join(repeated, "sig", "left_anti").unionByName(whole.join(repeated, "sig", "left_semi").dropDuplicates(["sig"])))
 
 
 def _similar(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def _share_ends(percent: int) -> Column:
+    """Whether the sets _ta and _tb, sorted by hash, share a prefix token under rising hashes and one under falling hashes."""
+
+    def prefix(tokens: str, falling: bool) -> Column:
+        n = F.size(tokens)
+        k = (n - _need(n, percent) + 1).cast("int")
+        return F.slice(tokens, n - k + 1 if falling else F.lit(1), k)
+
+    return F.arrays_overlap(prefix("_ta", False), prefix("_tb", False)) & F.arrays_overlap(prefix("_ta", True), prefix("_tb", True))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar."""
+    """The pairs (a, b) of sets that are similar: candidates under the rarity order that are ones under both hash orders, verified."""
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("_ta"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("_tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").filter(_share_ends(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,60 +154,110 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidy(run), "a long, b long")
 
 
+def _shared_counts(parts: list[np.ndarray]) -> np.ndarray:
+    """For every two of the token arrays, how many tokens they share."""
+    flat, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times >= 2
+    number = np.cumsum(shared) - 1
+    inside = shared[token]
+    token, owner = number[token[inside]], owner[inside]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    overlap = np.zeros((len(parts), len(parts)), np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(token, [low, low + 4096])
+        has = np.zeros((len(parts), 4096), np.float32)
+        has[owner[a:b], token[a:b] - low] = 1
+        overlap += has @ has.T
+    return overlap
+
+
 def _block_links(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links that join the components of a block of sets: a forest, not all pairs."""
-        sig, label = group["sig"].to_numpy(), group["label"].to_numpy()
-        sizes = np.array([len(t) for t in group["tokens"]], np.int64)
-        flat, owner = np.concatenate(group["tokens"].to_list()), np.repeat(np.arange(len(sig)), sizes)
-        _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = times >= 2
-        number = np.cumsum(shared) - 1
-        inside = shared[token]
-        token, owner = number[token[inside]], owner[inside]
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        overlap = np.zeros((len(sig), len(sig)), np.float32)
-        for low in range(0, int(shared.sum()), 4096):
-            a, b = np.searchsorted(token, [low, low + 4096])
-            has = np.zeros((len(sig), 4096), np.float32)
-            has[owner[a:b], token[a:b] - low] = 1
-            overlap += has @ has.T
-        x, y = np.nonzero(np.triu(_similar(overlap, sizes[:, None], sizes[None, :], percent), 1) & (label[:, None] != label[None, :]))
-        root = {v: v for v in label.tolist()}
-
-        def find(v):
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        found = []
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            if (p := find(int(label[i]))) != (q := find(int(label[j]))):
-                root[max(p, q)] = min(p, q)
-                found.append((sig[i], sig[j]))
+        """Links between two blocks, or inside one, that join components: a forest, not all pairs."""
+        sig, label, tokens = group["sig"].to_numpy(), group["label"].to_numpy(), group["tokens"].to_list()
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        prefix = sizes - _need(sizes, percent) + 1
+        may = np.triu(label[:, None] != label[None, :], 1) & (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes))
+        if group["_b1"].iloc[0] != group["_b2"].iloc[0]:
+            side = group["_side"].to_numpy()
+            may &= side[:, None] != side[None, :]
+        for ends in ((t[:k] for t, k in zip(tokens, prefix, strict=True)), (t[len(t) - k :] for t, k in zip(tokens, prefix, strict=True))):
+            if may.any():
+                may &= _shared_counts(list(ends)) > 0
+        use = np.flatnonzero(may.any(axis=0) | may.any(axis=1))
+        found: list[tuple[int, int]] = []
+        if len(use):
+            may, sig, label, sizes = may[np.ix_(use, use)], sig[use], label[use], sizes[use]
+            x, y = np.nonzero(may & _similar(_shared_counts([tokens[i] for i in use]), sizes[:, None], sizes[None, :], percent))
+            root = {v: v for v in label.tolist()}
+
+            def find(v):
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if (p := find(int(label[i]))) != (q := find(int(label[j]))):
+                    root[max(p, q)] = min(p, q)
+                    found.append((sig[i], sig[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _blocks(lists: DataFrame, percent: int, block: int) -> DataFrame:
+    """(t, _b1, _b2, _side, sig, label) from long lists (t, sig, n, label): pairs of blocks that may hold similar sets of different components.
+
+    A block holds sets of one length class; of one component, if that fills a
+    block by itself, else of several small ones. Blocks meet if their classes are
+    the same or next to each other, unless both are of one component. Where most
+    sets of a list are linked already, the others' blocks meet all, but those
+    don't meet one another.
+    """
+    # sets of similar lengths are in one class or in two that are next to each other
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    rows = lists.select("t", "sig", "n", "label", band.alias("_band"))
+    sizes = rows.groupBy("t", "_band", "label").agg(F.count("*").alias("_c"), F.sum("n").alias("_w"))
+    many = lambda c, w: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(w) / BLOCK_TOKENS)).cast("int")
+    sizes = sizes.withColumn("_parts", many("_c", "_w")).withColumn("_own", F.when(F.col("_parts") > 1, F.col("label")))
+    groups = checkpointed(sizes.groupBy("t", "_band", "_own").agg(F.sum("_c").alias("_c"), F.sum("_w").alias("_w")).withColumn("_parts", many("_c", "_w")))
+    meet = lambda x: groups.select("t", *(F.col(c).alias(f"{c}{x}") for c in ("_band", "_own", "_parts")))
+    pairs = meet(1).join(meet(2), "t").filter("abs(_band1 - _band2) <= 1 and not coalesce(_own1 = _own2, false)")
+    # from each set's side: the blocks of the other group, of its own group too where that is of small components
+    pairs = pairs.select("t", F.col("_band1").alias("_band"), F.col("_own1").alias("_own"), F.col("_parts1").alias("_parts"), "_band2", "_own2", "_parts2")
+    placed = rows.join(sizes.select("t", "_band", "label", "_own"), ["t", "_band", "label"])
+    # small components stay whole
+    spread = F.xxhash64(F.when(F.col("_own").isNull(), F.col("label")).otherwise(F.col("sig")))
+    name = lambda band, own, part: F.concat_ws(":", band, F.coalesce(own.cast("string"), F.lit("-")), part)
+    met = (
+        placed.join(pairs.withColumnRenamed("t", "_t").withColumnRenamed("_band", "_bb").withColumnRenamed("_own", "_oo"), (F.col("t") == F.col("_t")) & (F.col("_band") == F.col("_bb")) & F.col("_own").eqNullSafe(F.col("_oo")))
+        .withColumn("_part", F.pmod(spread, F.col("_parts").cast("long")))
+        .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts2") - 1)))
+    )
+    here, there = name(F.col("_band"), F.col("_own"), F.col("_part")), name(F.col("_band2"), F.col("_own2"), F.col("_with"))
+    return met.select("t", "sig", "label", F.least(here, there).alias("_b1"), F.greatest(here, there).alias("_b2"), (here <= there).alias("_side"))
+
+
 def _sets(rows: DataFrame) -> DataFrame:
-    """(_sig, _n, _first): each distinct set, and the smallest id of its rows."""
-    return rows.filter("_sig is not null").groupBy("_sig").agg(F.first("_n").alias("_n"), F.min("_id").alias("_first"))
+    """(_s1, _s2, _n, _first, _pick): each distinct set, the smallest id of its rows, and the key of one of them."""
+    return rows.filter("_s1 is not null").groupBy("_s1", "_s2").agg(F.first("_n").alias("_n"), F.min("_id").alias("_first"), F.min("_key").alias("_pick"))
 
 
 def _first_order(base: DataFrame, percent: int, words: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, _sig, _n), and the sets (_sig, _first) that share enough of their prefix with others."""
+    """Rows (_id, _key, _s1, _s2, _n), and the sets (sig, _s1, _s2, _first, _pick) that share enough of their prefix with others, numbered by sig."""
     sent = checkpointed(_prefixes(base, percent, words, share))
-    rows = checkpointed(sent.select("_id", "_sig", "_n"))
+    rows = checkpointed(sent.select("_id", "_key", "_s1", "_s2", "_n"))
     # a set that several tasks sent only passes more easily
-    tokens = sent.select(F.shiftrightunsigned("_sig", 64 - NARROW).alias("_s"), F.explode("_p").alias("_t"))
+    tokens = sent.select(F.shiftrightunsigned("_s1", 64 - NARROW).alias("_s"), F.explode("_p").alias("_t"))
     shared = checkpointed(tokens.groupBy("_t").agg(F.count("*").alias("_m")).filter("_m > 1").select("_t"))
     counts = tokens.join(shared.hint("shuffle_hash"), "_t").groupBy("_s").agg(F.count("*").alias("_c"))
     least = F.greatest(F.lit(1), F.floor(F.col("_n") / share))
-    keyed = _sets(rows).withColumn("_s", F.shiftrightunsigned("_sig", 64 - NARROW))
-    return rows, checkpointed(counts.join(keyed, "_s").filter(F.col("_c") >= least).select("_sig", "_first"))
+    keyed = _sets(rows).withColumn("_s", F.shiftrightunsigned("_s1", 64 - NARROW))
+    stay = counts.join(keyed, "_s").filter(F.col("_c") >= least)
+    return rows, checkpointed(stay.select(F.monotonically_increasing_id().alias("sig"), "_s1", "_s2", "_first", "_pick"))
 
 
 def _second_order(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -208,11 +292,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
     result. Only the two named columns are read.
     """
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    base = base.select("_id", F.xxhash64("_id", "_text").alias("_key"), "_text")
     rows, stay = _first_order(base, percent, words, share)
     release(docs.sparkSession)
-    sets = _sets(rows)
-    picked = base.join(small_side(stay), base["_id"] == stay["_first"]).select("_sig", "_text")
-    lists, whole = _second_order(checkpointed(_whole_sets(picked, words)), percent)
+    picked = base.join(small_side(stay.select("sig", "_s1", "_s2", "_pick"), BROADCAST_KEYS), F.col("_key") == F.col("_pick")).select("sig", "_s1", "_s2", "_text")
+    lists, whole = _second_order(_whole_sets(picked, words), percent)
     release(docs.sparkSession)
 
     # each list's least set against its others
@@ -240,21 +324,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
     one, two = (short.select("t", F.col("sig").alias(x), F.col("n").alias(f"_n{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
     rest = one.join(two, "t").filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits(F.col("_na"), F.col("_nb"))).select("a", "b").distinct()
     more = _verified(rest, whole, percent)
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("sig"), parts.cast("long")).cast("int")
-    blocks = (
-        open_lists.filter(F.col("m") > short_list)
-        .select("t", "sig", "label", own.alias("_o"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_j"))
-        .select("t", "sig", "label", F.least("_o", "_j").alias("_b1"), F.greatest("_o", "_j").alias("_b2"))
-        .join(whole.select("sig", "tokens"), "sig")
-    )
-    more = more.unionByName(blocks.groupBy("t", "_b1", "_b2").applyInPandas(_block_links(percent), "a long, b long"))
+    long = open_lists.filter(F.col("m") > short_list)
+    if not long.isEmpty():
+        blocks = _blocks(long, percent, block).join(whole.select("sig", "tokens"), "sig")
+        more = more.unionByName(blocks.groupBy("t", "_b1", "_b2").applyInPandas(_block_links(percent), "a long, b long"))
     found = connected_components(links.unionByName(more))
 
-    # back to the rows
-    joined = sets.join(found, sets["_sig"] == found["node"], "left").select("_sig", "_first", F.coalesce("label", "_sig").alias("_label"))
-    smallest = joined.filter("_sig is not null").groupBy("_label").agg(F.min("_first").alias("_c"))
-    component = checkpointed(joined.join(smallest, "_label").select(F.col("_sig").alias("_k"), "_c"))
-    return rows.join(component, F.col("_sig") == F.col("_k"), "left").select(
+    # back to the rows: sets that are linked take their component's smallest id, all others their own
+    linked = found.join(stay, found["node"] == stay["sig"]).select("_s1", "_s2", "label", "_first")
+    smallest = linked.groupBy("label").agg(F.min("_first").alias("_c"))
+    linked = checkpointed(linked.join(smallest, "label").select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), "_c"))
+    sets = _sets(rows)
+    component = sets.join(linked, (sets["_s1"] == linked["_k1"]) & (sets["_s2"] == linked["_k2"]), "left").select(
+        F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), F.coalesce("_c", "_first").alias("_c")
+    )
+    component = checkpointed(component)
+    return rows.join(component, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")), "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_c", "_id").alias("component_id")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -95,6 +96,32 @@ def test_op10_chains_thresholds_and_long_lists(spark):
     assert got == want
 
 
+def test_op10_long_lists_of_several_components(spark):
+    """Lists whose sets belong to components of all sizes and lengths, with links between them that blocks must find."""
+    rng = random.Random(4)
+    passage, docs = [f"p{i}" for i in range(50)], []
+    for family in range(8):
+        end = [f"f{family}x{j}" for j in range(rng.choice((9, 11, 13, 20)))]
+        for copy in range((30, 12, 5, 1)[family % 4]):
+            words = passage + end + [f"c{family}y{copy}z{j}" for j in range(rng.randint(0, 3))]
+            if rng.random() < 0.3:
+                words[rng.randrange(50)] = f"d{family}y{copy}"
+            docs.append((len(docs), " ".join(words)))
+    want = brute_components(docs)
+    assert 3 < len({c for _, c in want.values()}) < 60
+    for short, block in ((4, 3), (4, 40), (64, 256)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, docs), short_list=short, block=block).collect()}
+        assert got == want
+
+
+def test_op10_one_id_on_many_texts(spark):
+    """An id that stands on different texts, and rows that are repeated, are read once each."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join([*base, f"e{i}"])) for i in range(60)] + [(2, " ".join(base))] * 50 + [(3, "a text of its own it is")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_components(frame(spark, rows)).collect())
+    assert got == Counter({(1, 1): 60, (2, 1): 50, (3, 3): 1})
+
+
 def test_op10_nulls_and_repeats(spark):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "A B c d e f")]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, rows)).collect())
@@ -160,6 +187,17 @@ def test_op5_passages_just_above_the_threshold(spark):
     assert all(0.8 <= s < 0.85 for _, s in got.values())
 
 
+def test_op5_very_long_and_repetitive_items(spark):
+    """Repeated shingles weigh as often as they stand there."""
+    item = [f"r{i % 50}" for i in range(300)] + [f"s{i}" for i in range(1200)]
+    changed = item[:]
+    for i in range(0, len(item), 100):
+        changed[i] = "y"
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    rows = contaminated(frame(spark, [(1, "lead " + " ".join(item) + " tail"), (2, " ".join(changed)), (3, " ".join(item[:700]))]), bench).collect()
+    assert {(r["doc_id"], r["start_word"]) for r in rows} == {(1, 1), (2, 0)} and {r["doc_id"]: r["similarity"] for r in rows}[1] == 1.0
+
+
 def test_op5_very_long_items(spark):
     """Tens of thousands of votes for a bit don't overflow its count."""
     rows = spark.createDataFrame([(1, 40_000, 0), (2, 70_000, 0), (3, 70_000, 60_000), (4, 60_000, 70_000)], "k int, x int, y int")
