@@ -1,7 +1,7 @@
 """Period charts: ranks, changes, peaks, runs, dropouts and histories, for all periods at once.
 
-``chart_facts`` is worth materialising: everything else here is a window or a
-join over its few rows (25 a user and period).
+Everything here is a window or a join over ``chart_facts``: few rows (25 a user
+and period), which plans that use them several times materialise.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_bounds, period_label, previous_label, previous_period
+from ..session import materialised
 from ..sources.library import Library
 from .facts import in_window, play_counts, ranked
 from .islands import number_periods, run_lengths
@@ -43,6 +44,10 @@ def with_peaks(facts: DataFrame) -> DataFrame:
 
     Runs step over periods that have data, so a week without plays doesn't end one.
     """
+    return _peaks(materialised(facts))
+
+
+def _peaks(facts: DataFrame) -> DataFrame:
     until = Window.partitionBy("user_id", "entity_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     rows = facts.withColumns({"peak_rank": F.min("rank").over(until), "weeks_on_chart": F.count("*").over(until)})
     # the peak so far only falls, so its rows stand together, and the first of them set it
@@ -56,14 +61,20 @@ def with_peaks(facts: DataFrame) -> DataFrame:
 
 def with_changes(facts: DataFrame, granularity: str = "week") -> DataFrame:
     """Chart rows with previous_rank and rank_change against the period before (by label)."""
+    facts = materialised(facts)
+    return _changes(facts, facts, granularity)
+
+
+def _changes(rows: DataFrame, facts: DataFrame, granularity: str) -> DataFrame:
     before = facts.select("user_id", F.col("period").alias("_p"), "entity_id", F.col("rank").alias("previous_rank"))
-    rows = facts.withColumn("_p", previous_label(F.col("period"), granularity))
+    rows = rows.withColumn("_p", previous_label(F.col("period"), granularity))
     return rows.join(before, ["user_id", "_p", "entity_id"], "left").drop("_p").withColumn("rank_change", F.col("previous_rank") - F.col("rank"))
 
 
 def charts(facts: DataFrame, granularity: str = "week") -> DataFrame:
     """Complete charts: changes, peaks, and whether an entity is new or back."""
-    rows = with_changes(with_peaks(facts), granularity)
+    facts = materialised(facts)
+    rows = _changes(_peaks(facts), facts, granularity)
     absent = F.col("previous_rank").isNull()
     return rows.withColumns({"is_new": absent & (F.col("weeks_on_chart") <= 1), "is_reentry": absent & (F.col("weeks_on_chart") > 1)})
 
@@ -73,16 +84,31 @@ def dropouts(facts: DataFrame, granularity: str = "week") -> DataFrame:
 
     Always against the whole chart, and for every period that has one.
     """
+    facts = materialised(facts)
     charted = facts.select("user_id", "period").distinct().withColumn("_p", previous_label(F.col("period"), granularity))
-    before = with_peaks(facts).select("user_id", F.col("period").alias("_p"), "entity_id", F.col("rank").alias("previous_rank"), "peak_rank", "peak_period", "weeks_on_chart")
+    before = _peaks(facts).select("user_id", F.col("period").alias("_p"), "entity_id", F.col("rank").alias("previous_rank"), "peak_rank", "peak_period", "weeks_on_chart")
     return charted.join(before, ["user_id", "_p"]).join(facts, ["user_id", "period", "entity_id"], "left_anti").drop("_p")
 
 
+def period_arrays(periods: DataFrame) -> DataFrame:
+    """(user_id, _periods): each user's periods, sorted. A user has as many as there were weeks, some fifty a year."""
+    return periods.groupBy("user_id").agg(F.array_sort(F.collect_set("period")).alias("_periods"))
+
+
+def since(firsts: DataFrame, periods: DataFrame, first: str) -> DataFrame:
+    """``firsts`` (user_id, …) with a row for each of the user's periods from the column ``first`` on.
+
+    Rows meet their user's list of periods, not the periods, so nothing is joined that is dropped again.
+    """
+    rows = firsts.join(period_arrays(periods), "user_id")
+    return rows.withColumn("period", F.explode(F.filter("_periods", lambda p: p >= F.col(first)))).drop("_periods", first)
+
+
 def chart_history(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """(user_id, entity_id, period, rank): every period from an entity's first chart to the user's latest; null off the chart."""
-    facts = chart_facts(lib, entity, "week", week_start, sort)
+    facts = materialised(chart_facts(lib, entity, "week", week_start, sort))
     first = facts.groupBy("user_id", "entity_id").agg(F.min("period").alias("_first"))
-    spine = first.join(available_periods(lib, "week", week_start), "user_id").filter("period >= _first")
+    spine = since(first, available_periods(lib, "week", week_start), "_first")
     return spine.join(facts.select("user_id", "entity_id", "period", "rank"), ["user_id", "entity_id", "period"], "left").select("user_id", "entity_id", "period", "rank")
 
 
@@ -100,10 +126,10 @@ def chart_summary(lib: Library, entity: str, week_start: str = "monday", sort: s
 def chart(lib: Library, entity: str, period: str, granularity: str = "week", week_start: str = "monday", sort: str = "time", previous: str = "label") -> tuple[DataFrame, DataFrame]:
     """(entries, dropouts) of one period. Only plays up to its end are read."""
     _, end = period_bounds(period, granularity, week_start)
-    facts = period_ranks(lib, entity, granularity, week_start, sort, in_window(lib.plays, None, end, half_open=True), CHART_SIZE)
-    entries = with_peaks(facts).filter(F.col("period") == period)
+    facts = materialised(period_ranks(lib, entity, granularity, week_start, sort, in_window(lib.plays, None, end, half_open=True), CHART_SIZE))
+    entries = _peaks(facts).filter(F.col("period") == period)
     before = previous_period(period, granularity, previous)
-    old = with_peaks(facts.filter(F.col("period") <= before)).filter(F.col("period") == before)
+    old = _peaks(facts.filter(F.col("period") <= before)).filter(F.col("period") == before)
     known = old.select("user_id", "entity_id", F.col("rank").alias("previous_rank"))
     entries = entries.join(known, ["user_id", "entity_id"], "left")
     absent = F.col("previous_rank").isNull()

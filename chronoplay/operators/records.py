@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from ..sources.library import Library
 from .charts import CHART_SIZE, period_ranks
 from .facts import metric
@@ -18,10 +19,15 @@ from .islands import number_periods, run_lengths
 
 
 def weekly_ranks(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
-    """(user_id, period, entity_id, val, rank), every entity of every week. Worth materialising."""
+    """(user_id, period, entity_id, val, rank), every entity of every week; ``records`` materialises it."""
     return period_ranks(lib, entity, "week", week_start, sort).select("user_id", "period", "entity_id", F.col(metric(sort)).alias("val"), "rank")
 
 
+def weekly_leaders(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
+    """Of ``weekly_ranks`` the first of each week only, which is all that ``most_number_ones`` needs."""
+    return period_ranks(lib, entity, "week", week_start, sort, limit=1).select("user_id", "period", "entity_id", F.col(metric(sort)).alias("val"), "rank")
+
+
 def _board(rows: DataFrame, name: str, limit: int) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), F.col("entity_id"))
     placed = rows.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= limit)
@@ -52,6 +58,10 @@ def weeks_at(weekly: DataFrame, name: str, rank: int, limit: int = 10) -> DataFr
 
 def longest_run(weekly: DataFrame, limit: int = 10) -> DataFrame:
     """Longest run of weeks in the chart; ``active`` if a run of that length reaches the latest week."""
+    return _longest_run(materialised(weekly.select("user_id", "period", "entity_id", "rank")), limit)
+
+
+def _longest_run(weekly: DataFrame, limit: int) -> DataFrame:
     numbered = number_periods(weekly.filter(F.col("rank") <= CHART_SIZE).select("user_id", "period", "entity_id"), weekly)
     latest = weekly.groupBy("user_id").agg(F.max("period").alias("_latest"))
     runs = run_lengths(numbered, ["user_id", "entity_id"]).groupBy("user_id", "entity_id", "_island").agg(F.max("_run").alias("_run"), F.max("period").alias("_end"))
@@ -88,25 +98,25 @@ def most_number_ones(lib: Library, of: str, weekly: DataFrame, limit: int = 10)
 
 def records(lib: Library, entity: str, week_start: str = "monday", sort: str = "time", limit: int = 10) -> DataFrame:
     """All boards of a kind of entity."""
-    weekly = weekly_ranks(lib, entity, week_start, sort)
+    weekly = materialised(weekly_ranks(lib, entity, week_start, sort))
     boards = [
         peak_week(weekly, limit),
         biggest_debut(weekly, limit),
         weeks_at(weekly, "weeksAtNo1", 1, limit),
         weeks_at(weekly, "weeksInChart", CHART_SIZE, limit),
-        longest_run(weekly, limit),
+        _longest_run(weekly, limit),
         in_most_playlists(lib, entity, limit),
     ]
     if entity == "artist":
-        boards += [most_number_ones(lib, of, weekly_ranks(lib, of, week_start, sort), limit) for of in ("track", "album")]
+        boards += [most_number_ones(lib, of, weekly_leaders(lib, of, week_start, sort), limit) for of in ("track", "album")]
     return reduce(DataFrame.unionByName, boards)
 
 
 def accolades(lib: Library, entity: str, week_start: str = "monday", sort: str = "time", depth: int = 50, top: int = 25) -> DataFrame:
     """Places in the first ``top`` of any board; playlist presence shows under both of its names."""
-    boards = records(lib, entity, week_start, sort, depth)
-    live = boards.filter("board = 'inMostPlaylists'").withColumn("board", F.lit("inPlaylists"))
-    return boards.unionByName(live).filter(F.col("position") <= top)
+    boards = records(lib, entity, week_start, sort, depth).filter(F.col("position") <= top)
+    names = F.when(F.col("board") == "inMostPlaylists", F.array(F.col("board"), F.lit("inPlaylists"))).otherwise(F.array("board"))
+    return boards.withColumn("board", F.explode(names))
 
 
 def store_records(lib: Library, path: str, week_start: str = "friday", sort: str = "time", limit: int = 50) -> None:
@@ -117,3 +127,14 @@ def store_records(lib: Library, path: str, week_start: str = "friday", sort: str
     for entity in ("track", "album", "artist"):
         rows = records(lib, entity, week_start, sort, limit)
         rows.repartitionByRange("user_id").sortWithinPartitions("user_id", "board", "position").write.mode("overwrite").parquet(f"{path}/entity={entity}/week_start={week_start}/sort={sort}")
+
+
+def refresh_records(lib: Library, path: str, due: DataFrame, week_start: str = "friday", sort: str = "time", limit: int = 50) -> bool:
+    """``store_records`` again if any of the ``due`` users (``ingest.records_due``) has plays; whether it was.
+
+    Boards are computed for all users in one pass, so one stale user costs as much as all.
+    """
+    if lib.plays.join(due, "user_id", "left_semi").isEmpty():
+        return False
+    store_records(lib, path, week_start, sort, limit)
+    return True

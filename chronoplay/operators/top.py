@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import PRESETS, period_label, previous_range, range_start, series_bucket
+from ..session import materialised
 from ..sources.library import Library
+from .charts import since
 from .facts import in_window, metric, play_counts, ranked, resolved_albums
 
 PREVIOUS_LIMIT = 200
@@ -84,10 +86,9 @@ def ranking_history(lib: Library, entity: str, sort: str = "time") -> DataFrame:
     month on; the rank is among all entities seen until then.
     """
     monthly = play_counts(lib, entity, {"period": period_label(F.col("played_at"), "month")})
-    monthly = monthly.select("user_id", "period", "entity_id", F.col(metric(sort)).alias("_v"))
+    monthly = materialised(monthly.select("user_id", "period", "entity_id", F.col(metric(sort)).alias("_v")))
     months = lib.plays.select("user_id", period_label(F.col("played_at"), "month").alias("period")).distinct()
-    since = monthly.groupBy("user_id", "entity_id").agg(F.min("period").alias("_since"))
-    spine = since.join(months, "user_id").filter("period >= _since").drop("_since")
+    spine = since(monthly.groupBy("user_id", "entity_id").agg(F.min("period").alias("_since")), months, "_since")
     running = Window.partitionBy("user_id", "entity_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     totals = spine.join(monthly, ["user_id", "period", "entity_id"], "left").withColumn("total", F.sum(F.coalesce("_v", F.lit(0))).over(running))
     rank = F.rank().over(Window.partitionBy("user_id", "period").orderBy(F.col("total").desc())).cast("long")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "chronoplay", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +16,15 @@ def session(app: str = "chronoplay", master: str | None = None, **conf: str) ->
     for key, value in (fixed | {k.replace("_", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to ``spark.checkpoint.dir``, for plans that use it several times.
+
+    The folder is the cluster's; only where none is set (local runs) a temporary
+    one is made. Plans on it read those files, whatever executor is lost.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chk"))
+    return df.checkpoint()
