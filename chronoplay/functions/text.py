@@ -10,22 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def folded(text: str) -> str:
+    """Canonical decomposition without combining marks, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f").lower()
+
+
 @F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
-    """Canonical decomposition without combining marks, in lower case; null stays null.
+    """``folded`` of a column; null stays null.
 
     For search, keep it as a column of the dimension: matching is then a native LIKE.
     """
-
-    def one(x: str | None) -> str | None:
-        return None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ").lower()
-
-    return text.map(one, na_action="ignore")
+    return text.map(lambda x: None if x is None else folded(x), na_action="ignore")
 
 
-def contains(folded: Column, term: str) -> Column:
-    """Whether a folded column holds a folded term; ``%`` and ``_`` in it are wildcards."""
-    return folded.like(f"%{term}%")
+def contains(column: Column, term: str) -> Column:
+    """Whether a folded column holds a term, which is folded here; ``%`` and ``_`` in it are wildcards, a backslash is itself."""
+    pattern = folded(term).replace("\\", "\\\\")
+    return column.like(f"%{pattern}%")
 
 
 def synthetic_id(prefix: str, *parts: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_real, synthetic_id
+from ..session import materialised
 
 LEAST_PLAYED_MS = 30_000
 
@@ -157,10 +158,66 @@ def missing_metadata(tracks: DataFrame, albums: DataFrame, artists: DataFrame) -
     return t.withColumn("_j", F.lit(0)).join(a.withColumn("_j", F.lit(0)), "_j").join(b.withColumn("_j", F.lit(0)), "_j").drop("_j")
 
 
-def fix_links(tracks: DataFrame, source: DataFrame) -> DataFrame:
-    """Album ids as a trusted source (track_id, album_id) has them."""
+def fix_links(tracks: DataFrame, source: DataFrame, albums: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Tracks with the album ids that a trusted source (track_id, album_id, album_name) has; with ``albums``, those too, new ones added."""
     rows = tracks.join(source.select("track_id", F.col("album_id").alias("_a")), "track_id", "left")
-    return rows.withColumn("album_id", F.coalesce("_a", "album_id")).select(tracks.columns)
+    rows = rows.withColumn("album_id", F.coalesce("_a", "album_id")).select(tracks.columns)
+    if albums is None:
+        return rows
+    named = source.filter("album_id is not null").join(tracks.select("track_id"), "track_id", "left_semi").groupBy("album_id").agg(F.min("album_name").alias("name"))
+    new = named.join(albums.select("album_id"), "album_id", "left_anti")
+    return rows, albums.unionByName(new, allowMissingColumns=True)
+
+
+def fix_credits(tracks: DataFrame, artists: DataFrame, track_artists: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, artists, track_artists) after a trusted source (track_id, artist_id, artist_name, position) was asked for real tracks.
+
+    Imported credits of a track that it knows go, its own are added unless they
+    are there, names of artists follow it. A track that it was asked for is
+    marked ``verified_artists``, with credits (a null artist: none) or without.
+    """
+    todo = tracks.filter(is_real(F.col("track_id")) & ~F.coalesce("verified_artists", F.lit(False))).select("track_id")
+    asked = source.join(todo, "track_id", "left_semi")
+    given = asked.filter("artist_id is not null")
+    stale = F.lower(F.col("artist_id").cast("string")).startswith("import:")
+    answered = given.select("track_id").distinct().withColumn("_known", F.lit(True))
+    kept = track_artists.join(answered, "track_id", "left").filter(~(stale & F.coalesce("_known", F.lit(False)))).select(track_artists.columns)
+    credits = insert_ignore(kept, given.select(*track_artists.columns), ["track_id", "artist_id"], ["position"])
+    names = given.groupBy("artist_id").agg(F.min("artist_name").alias("_name"))
+    both = artists.join(names, "artist_id", "full_outer").withColumn("name", F.coalesce("_name", "name"))
+    done = asked.select("track_id").distinct().withColumn("_done", F.lit(True))
+    marked = tracks.join(done, "track_id", "left").withColumn("verified_artists", F.coalesce("_done", "verified_artists"))
+    return marked.select(tracks.columns), both.select(artists.columns), credits
+
+
+def local_ids(entries: DataFrame, artists: DataFrame, albums: DataFrame, tracks: DataFrame, prefix: str = "local:") -> DataFrame:
+    """Local files (…, track_name, artist_name, album_name) with artist, album and track ids: known ones, else hashes.
+
+    Artists are known by name; albums by name, tracks by name and album, both
+    only among local ids; case doesn't matter, and the smallest id wins. Missing
+    names count as "Unknown Artist" and "Unknown Album".
+    """
+    rows = entries.withColumns({c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(d)).otherwise(F.col(c)) for c, d in (("artist_name", "Unknown Artist"), ("album_name", "Unknown Album"))})
+    is_local = lambda c: F.lower(F.col(c).cast("string")).startswith(prefix)
+    known = artists.groupBy(F.lower("name").alias("_k")).agg(F.min("artist_id").alias("_artist"))
+    rows = rows.join(known, F.lower("artist_name") == F.col("_k"), "left").drop("_k")
+    known = albums.filter(is_local("album_id")).groupBy(F.lower("name").alias("_k")).agg(F.min("album_id").alias("_album"))
+    rows = rows.join(known, F.lower("album_name") == F.col("_k"), "left").drop("_k")
+    rows = rows.withColumn("artist_id", F.coalesce("_artist", synthetic_id(prefix, F.col("artist_name"), F.col("artist_name"))))
+    rows = rows.withColumn("album_id", F.coalesce("_album", synthetic_id(prefix, F.col("artist_name"), F.col("album_name"))))
+    known = tracks.filter(is_local("track_id")).groupBy(F.lower("name").alias("_k"), F.col("album_id").alias("_a")).agg(F.min("track_id").alias("_track"))
+    rows = rows.join(known, (F.lower("track_name") == F.col("_k")) & (F.col("album_id") == F.col("_a")), "left").drop("_k", "_a")
+    return rows.withColumn("track_id", F.coalesce("_track", synthetic_id(prefix, F.col("artist_name"), F.col("track_name")))).drop("_artist", "_album", "_track")
+
+
+def add_covers(covers: DataFrame, new: DataFrame) -> DataFrame:
+    """Covers (album_id, image_url, source, observed_at) with those that are new; of equal ones the first stays."""
+    return insert_ignore(covers, new, ["album_id", "image_url"], ["observed_at"])
+
+
+def album_covers(covers: DataFrame, album_id: str) -> DataFrame:
+    """An album's covers, the latest first."""
+    return covers.filter(F.col("album_id") == album_id).orderBy(F.col("observed_at").desc(), "image_url")
 
 
 # --- canonical rows: a map (old, new) and what follows from it
@@ -182,6 +239,21 @@ def _canonical(groups: DataFrame, keys: list[str], id_: str, order: list[Column]
     return groups.select(F.col(id_).alias("old"), best.alias("new")).filter("old <> new")
 
 
+def closed(mapping: DataFrame) -> DataFrame:
+    """A map (old, new) followed to its end: no ``new`` is an ``old`` any more.
+
+    Each round sends every ``new`` through the map, so chains shrink by half;
+    rounds are materialised. Chains end as each step goes to a better member of a group.
+    """
+    mapping = materialised(mapping)
+    while True:
+        on = mapping.select(F.col("old").alias("_o"), F.col("new").alias("_n"))
+        steps = materialised(mapping.join(on, mapping["new"] == on["_o"], "left").select("old", F.coalesce("_n", "new").alias("new"), F.col("_n").isNotNull().alias("_moved")))
+        mapping = steps.select("old", "new")
+        if steps.filter("_moved").isEmpty():
+            return mapping
+
+
 def duplicate_tracks(tracks: DataFrame, albums: DataFrame, track_artists: DataFrame, plays: DataFrame) -> DataFrame:
     """(old, new): real tracks of one name and first artist; an album's track stays, then the most played."""
     artist = track_artists.filter("position = 0").groupBy("track_id").agg(F.min("artist_id").alias("artist_id"))
@@ -200,8 +272,8 @@ def _albums_by_artist(tracks: DataFrame, albums: DataFrame, track_artists: DataF
 def duplicate_albums(tracks: DataFrame, albums: DataFrame, track_artists: DataFrame) -> DataFrame:
     """(old, new): real albums of one name and first artist; one with an image stays, then by type and size.
 
-    An album in groups of several artists follows the first of them, and maps
-    are followed to their end.
+    An album in groups of several artists follows the first of them, and the
+    map is followed to its end.
     """
     rows = _albums_by_artist(tracks, albums.filter(is_real(F.col("album_id"))), track_artists)
     order = []
@@ -211,7 +283,7 @@ def duplicate_albums(tracks: DataFrame, albums: DataFrame, track_artists: DataFr
         order.append(type_score(F.col("album_type")))
     if "total_tracks" in albums.columns:
         order.append(F.coalesce("total_tracks", F.lit(0)).desc())
-    return _canonical(rows, ["_name", "artist_id"], "album_id", order).groupBy("old").agg(F.min("new").alias("new"))
+    return closed(_canonical(rows, ["_name", "artist_id"], "album_id", order).groupBy("old").agg(F.min("new").alias("new")))
 
 
 def duplicate_local_albums(tracks: DataFrame, albums: DataFrame, track_artists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +291,7 @@ def duplicate_local_albums(tracks: DataFrame, albums: DataFrame, track_artists:
     local = albums.filter(F.lower("album_id").startswith("local:"))
     sizes = tracks.groupBy("album_id").agg(F.count("*").alias("_n"))
     rows = _albums_by_artist(tracks, local, track_artists).join(sizes, "album_id", "left")
-    album_map = _canonical(rows, ["_name", "artist_id"], "album_id", [F.coalesce("_n", F.lit(0)).desc()]).groupBy("old").agg(F.min("new").alias("new"))
+    album_map = closed(_canonical(rows, ["_name", "artist_id"], "album_id", [F.coalesce("_n", F.lit(0)).desc()]).groupBy("old").agg(F.min("new").alias("new")))
     touched = album_map.select(F.col("old").alias("album_id")).unionByName(album_map.select(F.col("new").alias("album_id"))).distinct()
     members = tracks.join(touched, "album_id", "left_semi").select("track_id", "album_id", F.lower("name").alias("_name"))
     own = members.withColumn("_was", F.col("album_id"))
@@ -238,6 +310,13 @@ def album_aliases(albums: DataFrame) -> DataFrame:
     return artist_aliases(albums.withColumnRenamed("album_id", "artist_id"))
 
 
+def with_found_covers(albums: DataFrame, found: DataFrame) -> DataFrame:
+    """Albums after a search (album_id, image_url; null: nothing found) for those of ``missing_covers``; the empty text marks a search in vain."""
+    wanted = ~is_real(F.col("album_id")) & F.col("image_url").isNull() & F.col("_hit").isNotNull()
+    rows = albums.join(found.select("album_id", F.col("image_url").alias("_url"), F.lit(True).alias("_hit")), "album_id", "left")
+    return rows.withColumn("image_url", F.when(wanted, F.coalesce("_url", F.lit(""))).otherwise(F.col("image_url"))).select(albums.columns)
+
+
 def apply_track_map(mapping: DataFrame, tracks: DataFrame, track_artists: DataFrame, plays: DataFrame, playlist_tracks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All tables after tracks were merged: no play is lost, credits are united, playlists follow."""
     return (
@@ -264,6 +343,11 @@ def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(settings.withColumn("_id", F.struct("user_id", "key")), new.filter(F.col("key").isin(*SETTINGS)).withColumn("_id", F.struct("user_id", "key")), "_id", "seq", overwrite=["value"]).select(settings.columns)
 
 
+def records_due(new: DataFrame) -> DataFrame:
+    """Users whose stored records are stale after new settings: those that changed the week's start or the metric."""
+    return new.filter(F.col("key").isin("week_start", "sort")).select("user_id").distinct()
+
+
 def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that a table has more than once: empty for a sound table."""
     return table.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains, fold, is_real
 from ..sources.library import Library
-from .facts import play_counts, ranked
+from .facts import play_counts
 
 LEAST_TERM = 2
 
@@ -23,12 +25,15 @@ def _hits(frame: DataFrame, key: str, condition) -> DataFrame:
 
 
 def _listed(rows: DataFrame, counts: DataFrame, key: str, limit: int) -> DataFrame:
-    """Matches for a user by plays, unplayed ones too."""
+    """The first matches for a user by plays, unplayed ones too: a top-k of each task, and of what those leave."""
     found = rows.join(counts, key, "left").withColumn("play_count", F.coalesce("play_count", F.lit(0)))
-    return ranked(found.withColumn("_all", F.lit(0)), ["_all"], "plays", limit, tie=key).drop("_all")
+    order = [F.col("play_count").desc(), F.col(key)]
+    top = found.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over at most ``limit`` rows
 
 
 def check_term(term: str) -> str:
+    """The term, if it is long enough; ``contains`` folds it as names are folded."""
     if len(term) < LEAST_TERM:
         raise ValueError("a search needs two characters")
     return term
@@ -112,3 +117,38 @@ def merge_problems(rules: DataFrame, new: DataFrame | None = None) -> DataFrame:
         part = rows.select(*keys, F.lit(name).alias("problem")).distinct()
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def add_merge_rules(rules: DataFrame, new: DataFrame, albums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules with what may be added of ``new``, (user_id, source_id, target_id, problem) of the rest).
+
+    New rules are checked against the table, not against each other: batches
+    hold rules that don't meet (``merge_problems`` of the result tells). Problems
+    are those of ``merge_problems``, and unknown_source and unknown_target.
+    """
+    keys, known = ["user_id", "source_id", "target_id"], albums.select("album_id").distinct()
+    new = new.select(*keys).distinct()
+    problems = _against(rules, new)
+    for side in ("source", "target"):
+        unknown = new.join(known, new[f"{side}_id"] == known["album_id"], "left_anti")
+        problems = problems.unionByName(unknown.select(*keys, F.lit(f"unknown_{side}").alias("problem")))
+    good = new.join(problems.select(keys).distinct(), keys, "left_anti")
+    return rules.unionByName(good.select(rules.columns)), problems
+
+
+def _against(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """Problems of new rules with those of the table."""
+    keys = ["user_id", "source_id", "target_id"]
+    flip = rules.select("user_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
+    sources, targets = (rules.select("user_id", F.col(f"{side}_id").alias("_a")).distinct() for side in ("source", "target"))
+    chain = new.withColumn("_a", F.col("target_id")).join(sources, ["user_id", "_a"], "left_semi").unionByName(new.withColumn("_a", F.col("source_id")).join(targets, ["user_id", "_a"], "left_semi"))
+    forks = rules.select("user_id", "source_id", F.col("target_id").alias("_t"))
+    two = new.join(forks, ["user_id", "source_id"]).filter("target_id <> _t")
+    found = [(new.filter("source_id = target_id"), "self"), (new.join(rules, keys, "left_semi"), "duplicate"), (new.join(flip, keys, "left_semi"), "reverse"), (chain, "chain"), (two, "two_targets")]
+    return reduce(DataFrame.unionByName, [rows.select(*keys, F.lit(name).alias("problem")).distinct() for rows, name in found])
+
+
+def delete_merge_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rules without those of ``gone`` (user_id, source_id, target_id); a user's request removes only rules of that user."""
+    keys = ["user_id", "source_id", "target_id"]
+    return rules.join(gone.select(keys), keys, "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -73,6 +74,61 @@ def test_deduplication_keeps_plays_and_is_a_fixpoint(spark):
     assert ingest.duplicate_tracks(tracks, albums, credits, plays).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_no_track_is_left_without_its_album(spark, seed):
+    """dedup_albums: whatever artists share albums of one name, maps end at an album that stays."""
+    rng = random.Random(seed)
+    led = [(rng.randrange(8), rng.randrange(4)) for _ in range(14)]
+    albums = spark.createDataFrame([(f"a{i}", "Same", rng.randrange(3)) for i in range(8)], "album_id string, name string, total_tracks int")
+    tracks = spark.createDataFrame([(f"t{i}", f"n{i}", f"a{a}") for i, (a, _) in enumerate(led)], "track_id string, name string, album_id string")
+    credits = spark.createDataFrame([(f"t{i}", x, 0) for i, (_, x) in enumerate(led)], "track_id string, artist_id int, position int")
+    left, moved = ingest.apply_album_map(ingest.duplicate_albums(tracks, albums, credits), albums, tracks)
+    assert moved.count() == len(led) and moved.join(left, "album_id", "left_anti").count() == 0 and left.count() < 8
+
+
+def test_album_chains_are_followed_for_local_albums_too(spark):
+    albums = spark.createDataFrame([(f"local:{x}", "Same") for x in "abc"], "album_id string, name string")
+    tracks = spark.createDataFrame([("1", "x", "local:c"), ("2", "y", "local:b"), ("3", "z", "local:b"), ("4", "x", "local:a"), ("5", "w", "local:a"), ("6", "v", "local:a")], "track_id string, name string, album_id string")
+    credits = spark.createDataFrame([("1", 1, 0), ("2", 1, 0), ("3", 2, 0), ("4", 2, 0)], "track_id string, artist_id int, position int")
+    album_map, _ = ingest.duplicate_local_albums(tracks, albums, credits)
+    assert sorted(map(tuple, album_map.collect())) == [("local:b", "local:a"), ("local:c", "local:a")]
+
+
+def test_local_ids_credits_covers(spark):
+    entries = spark.createDataFrame([("Song", "ABBA", "Gold"), ("Song", None, ""), ("Other", "abba", "Real")], "track_name string, artist_name string, album_name string")
+    artists = spark.createDataFrame([("9", "Abba")], "artist_id string, name string")
+    albums = spark.createDataFrame([("local:g", "gold"), ("7", "real")], "album_id string, name string")
+    tracks = spark.createDataFrame([("local:s", "SONG", "local:g"), ("8", "other", "local:g")], "track_id string, name string, album_id string")
+    got = {r["track_name"] + str(r["album_name"]): r for r in ingest.local_ids(entries, artists, albums, tracks).collect()}
+    assert (got["SongGold"]["artist_id"], got["SongGold"]["album_id"], got["SongGold"]["track_id"]) == ("9", "local:g", "local:s")
+    assert got["OtherReal"]["artist_id"] == "9" and got["OtherReal"]["album_id"].startswith("local:") and got["OtherReal"]["album_id"] != "7" and got["OtherReal"]["track_id"] != "8"
+    assert got["SongUnknown Album"]["artist_name"] == "Unknown Artist" and got["SongUnknown Album"]["track_id"] != "local:s"
+
+    tracks = spark.createDataFrame([("t", "x", None), ("u", "y", True), ("local:v", "z", None)], "track_id string, name string, verified_artists boolean")
+    credits = spark.createDataFrame([("t", "import:1", 0), ("t", "5", 1), ("u", "import:1", 0), ("local:v", "import:1", 0)], "track_id string, artist_id string, position int")
+    source = spark.createDataFrame([("t", "5", "Five", 0), ("t", "6", "Six", 1), ("u", "6", "Six", 0), ("local:v", "6", "Six", 0)], "track_id string, artist_id string, artist_name string, position int")
+    marked, named, fixed = ingest.fix_credits(tracks, spark.createDataFrame([("5", "five"), ("import:1", "one")], "artist_id string, name string"), credits, source)
+    assert sorted(map(tuple, fixed.collect())) == [("local:v", "import:1", 0), ("t", "5", 1), ("t", "6", 1), ("u", "import:1", 0)]
+    assert {r["artist_id"]: r["name"] for r in named.collect()} == {"5": "Five", "6": "Six", "import:1": "one"}
+    assert {r["track_id"]: r["verified_artists"] for r in marked.collect()} == {"t": True, "u": True, "local:v": None}
+
+    kind = "album_id string, image_url string, source string, observed_at int"
+    covers = ingest.add_covers(spark.createDataFrame([("a", "x", "s", 1)], kind), spark.createDataFrame([("a", "x", "t", 2), ("a", "y", "t", 3), ("a", "y", "u", 4)], kind))
+    assert [tuple(r) for r in ingest.album_covers(covers, "a").collect()] == [("a", "y", "t", 3), ("a", "x", "s", 1)]
+    albums = spark.createDataFrame([("local:a", None), ("import:b", None), ("local:c", "c"), ("d", None)], "album_id string, image_url string")
+    assert sorted(r["album_id"] for r in ingest.missing_covers(albums).collect()) == ["import:b", "local:a"]
+    found = spark.createDataFrame([("local:a", "u"), ("import:b", None), ("local:c", "u"), ("d", "u")], "album_id string, image_url string")
+    assert {r["album_id"]: r["image_url"] for r in ingest.with_found_covers(albums, found).collect()} == {"local:a": "u", "import:b": "", "local:c": "c", "d": None}
+    assert sorted(map(tuple, ingest.album_aliases(spark.createDataFrame([("import:b", "N"), ("1", "n"), ("local:c", "z")], "album_id string, name string")).collect())) == [("import:b", "1")]
+
+
+def test_links_with_new_albums(spark):
+    tracks = spark.createDataFrame([("t", "a"), ("u", None)], "track_id string, album_id string")
+    source = spark.createDataFrame([("u", "b", "B"), ("w", "c", "C")], "track_id string, album_id string, album_name string")
+    rows, albums = ingest.fix_links(tracks, source, spark.createDataFrame([("a", "A")], "album_id string, name string"))
+    assert sorted(map(tuple, rows.collect())) == [("t", "a"), ("u", "b")] and sorted(map(tuple, albums.collect())) == [("a", "A"), ("b", "B")]
+
+
 def test_aliases_and_links(spark):
     artists = spark.createDataFrame([("import:1", "abba", None, []), ("9", "ABBA", None, []), ("local:2", "other", "i", [])], "artist_id string, name string, image_url string, genres array<string>")
     credits = spark.createDataFrame([("t", "import:1", 0), ("t", "9", 1), ("u", "import:1", 0)], "track_id string, artist_id string, position int")
@@ -90,6 +146,8 @@ def test_settings(spark):
     old = spark.createDataFrame([(1, "sort", "time")], "user_id long, key string, value string")
     new = spark.createDataFrame([(1, "sort", "plays", 2), (1, "nonsense", "x", 1), (2, "week_start", "friday", 1)], "user_id long, key string, value string, seq int")
     assert sorted(map(tuple, ingest.put_settings(old, new).collect())) == [(1, "sort", "plays"), (2, "week_start", "friday")]
+    assert [r["user_id"] for r in ingest.records_due(new).orderBy("user_id").collect()] == [1, 2]
+    assert ingest.records_due(new.filter("key = 'nonsense'")).count() == 0
 
 
 def test_sink_adds_nothing_twice(spark, tmp_path):

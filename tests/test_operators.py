@@ -127,6 +127,8 @@ def test_search_folds_accents(spark):
     lib = search.with_folded_names(library(spark, [(1, MONDAY, 1)], artists=[(1, "Beyoncé", []), (2, "ÉTIENNE", []), (3, "100%", [])], credits=[(1, 1, 0)]))
     found = lambda t: [r["artist_id"] for r in search.search_artists(lib, 1, t).orderBy("rank").collect()]
     assert found("beyonce") == [1] and found("etienne") == [2] and found("0%") == [3] and set(found("%e%")) == {1, 2}
+    assert found("BEYONCÉ") == found("Beyonce\u0301") == [1] and found("étienne") == [2]
+    assert found("a\\b") == [] and found("\\%") == []
     with pytest.raises(ValueError):
         search.check_term("x")
 
@@ -142,6 +144,18 @@ def test_merge_problems(spark):
     assert (2, "b", "a") not in got and (1, "n", "m") not in got
 
 
+def test_merge_rules_are_added_and_deleted(spark):
+    keys = "user_id long, source_id string, target_id string"
+    rules = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], keys)
+    albums = spark.createDataFrame([(x,) for x in "abcdexy"], "album_id string")
+    new = [(1, "x", "y"), (1, "x", "x"), (1, "b", "a"), (1, "a", "b"), (1, "a", "e"), (1, "b", "e"), (1, "e", "a"), (1, "c", "b"), (1, "q", "b"), (2, "a", "q"), (2, "a", "b"), (1, "x", "y")]
+    added, problems = search.add_merge_rules(rules, spark.createDataFrame(new, keys), albums)
+    assert sorted(map(tuple, added.collect())) == [(1, "a", "b"), (1, "c", "b"), (1, "x", "y"), (2, "a", "b"), (2, "c", "d")]
+    got = {(r["user_id"], r["source_id"], r["target_id"], r["problem"]) for r in problems.collect()}
+    assert {(1, "x", "x", "self"), (1, "b", "a", "reverse"), (1, "a", "b", "duplicate"), (1, "a", "e", "two_targets"), (1, "b", "e", "chain"), (1, "e", "a", "chain"), (1, "q", "b", "unknown_source"), (2, "a", "q", "unknown_target")} <= got
+    assert search.delete_merge_rules(added, rules.filter("user_id = 1")).count() == 4 and search.delete_merge_rules(rules, spark.createDataFrame([(2, "a", "b")], keys)).count() == 2
+
+
 def test_history_pages_and_deletion(spark):
     lib = library(spark, [(1, MONDAY + timedelta(hours=h), h % 3) for h in range(10)])
     rows = history.history_filter(lib, 1)
