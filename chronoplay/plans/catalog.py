@@ -174,7 +174,8 @@ def stream_local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         item = F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).otherwise(F.concat(F.lit("local:"), (k % 3).cast("string")))
         return stream.local_plays(events.select("user_id", F.col("ts").cast("timestamp").alias("at"), (k % 5 != 0).alias("is_playing"), item.alias("item_id"), (k * 100).alias("progress_ms"), (k * 1000 + 60_000).alias("duration_ms")))
 
-    return _streamed(spark, sf_dir, "local_plays", plan)
+    rows = _streamed(spark, sf_dir, "local_plays", plan)
+    return rows.select("user_id", "track_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss").alias("played_at"), "duration_ms")
 
 
 def now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +197,66 @@ def _folded(plan: Callable[[Library], DataFrame]) -> Query:
     return _star(lambda lib: plan(search.with_folded_names(lib)))
 
 
+#: rules that are sound, and a chain, a pair of reverse rules, a fork, a rule to itself, and one to an unknown album
+RULES = [
+    (0, "Brand#31", "Brand#32"), (1, "Brand#11", "Brand#12"), (1, "Brand#12", "Brand#13"), (2, "Brand#21", "Brand#22"), (2, "Brand#22", "Brand#21"), (3, "Brand#14", "Brand#15"),
+    (3, "Brand#14", "Brand#33"), (4, "Brand#41", "Brand#41"), (4, "Brand#42", "Nowhere"), (0, "Brand#24", "Brand#41"), (2, "Brand#44", "Brand#25"),
+]
+
+
+def _rules(lib: Library) -> DataFrame:
+    return lib.spark.createDataFrame(RULES, lib.merge_rules.schema)
+
+
+def _album_artists(lib: Library) -> DataFrame:
+    """Artists of albums of two tracks; a third of them have two artists stored."""
+    number = F.expr("track_id div 2")
+    tracks = lib.tracks.withColumn("album_id", F.concat(F.lit("P"), number.cast("string")))
+    ids = F.when(number % 3 == 0, F.array(number % 5 + 1, number % 5 + 2))
+    albums = lib.tracks.select(F.concat(F.lit("P"), number.cast("string")).alias("album_id"), ids.alias("artist_ids")).distinct()
+    return history.album_artists(lib.but(tracks=tracks, albums=albums))
+
+
+def _synced(lib: Library) -> DataFrame:
+    """Playlists after a sync: a quarter are gone, those whose snapshot changed have other tracks."""
+    stored = lib.playlists.withColumn("snapshot_id", F.lit("v0"))
+    members = lib.playlist_tracks.join(lib.playlists.select("playlist_id", "user_id"), "playlist_id")
+    feed = stored.filter("playlist_id % 4 <> 0").withColumn("snapshot_id", F.concat(F.lit("v"), (F.col("playlist_id") % 3).cast("string")))
+    moved = members.filter("playlist_id % 4 <> 0").withColumn("track_id", F.col("track_id") + 1)
+    return playlists.sync_playlists(stored, members, feed, moved)[1].groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.sum("track_id").alias("ids"))
+
+
+def _inserted(lib: Library) -> DataFrame:
+    """Albums with those of a feed that aren't there yet, the first of equal ones."""
+    new = lib.spark.range(3).select(F.concat(F.lit("New#"), F.col("id").cast("string")).alias("album_id"), F.explode(F.array(F.lit("second"), F.lit("first"))).alias("name"))
+    return ingest.insert_ignore(lib.albums, new.unionByName(lib.albums.withColumn("name", F.lit("changed"))), ["album_id"], ["name"])
+
+
+def settings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
+    new = e.select("user_id", F.lit("sort").alias("key"), F.when(F.col("event_id") % 2 == 0, "plays").otherwise("time").alias("value"), F.col("event_id").alias("seq"))
+    new = new.unionByName(e.select("user_id", F.lit("nonsense").alias("key"), F.lit("x").alias("value"), F.col("event_id").alias("seq")))
+    return ingest.put_settings(e.select("user_id", F.lit("language").alias("key"), F.lit("en").alias("value")).distinct(), new)
+
+
+def _enriched(lib: Library) -> DataFrame:
+    """Artists after a look-up that has half of them; a third have an image of their own."""
+    artists = lib.artists.withColumn("image_url", F.when(F.col("artist_id") % 3 == 0, F.lit("old")))
+    found = lib.artists.filter("artist_id % 2 = 0").select("artist_id", F.concat(F.lit("img"), F.col("artist_id").cast("string")).alias("image_url"))
+    return ingest.enrich_artists(artists, found).select("artist_id", "image_url")
+
+
+def _credits_fixed(lib: Library) -> DataFrame:
+    """Credits after a source was asked for half of the tracks; a third of the artists were imported."""
+    key = F.concat(F.when(F.col("artist_id") % 3 == 0, F.lit("import:")).otherwise(F.lit("")), F.col("artist_id").cast("string"))
+    credits = lib.track_artists.select(F.col("track_id").cast("string").alias("track_id"), key.alias("artist_id"), "position")
+    source = lib.track_artists.filter("track_id % 2 = 0").select(
+        F.col("track_id").cast("string").alias("track_id"), (F.col("artist_id") + 1).cast("string").alias("artist_id"), F.lit("found").alias("artist_name"), "position"
+    )
+    tracks = lib.tracks.select(F.col("track_id").cast("string").alias("track_id"), "name", F.lit(None).cast("boolean").alias("verified_artists"))
+    return ingest.fix_credits(tracks, lib.artists.select(F.col("artist_id").cast("string").alias("artist_id"), "name"), credits, source)[2].select("track_id", "artist_id")
+
+
 def _album_resolution(lib: Library) -> DataFrame:
     counts = lib.plays.groupBy("user_id", "track_id").agg(F.count("*").alias("n")).join(lib.tracks.select("track_id", "album_id"), "track_id")
     return resolved_albums(lib, counts).groupBy("user_id", "album_id").agg(F.sum("n").alias("play_count"))
@@ -205,6 +266,11 @@ def _weekly_artists(lib: Library) -> DataFrame:
     return records.weekly_ranks(lib, "artist")
 
 
+def _period_entries(lib: Library) -> DataFrame:
+    rows = charts.chart(lib, "artist", "1997-W20")[0]
+    return rows.withColumn("peak_periods", F.array_join("peak_periods", ","))
+
+
 QUERIES: dict[str, Query] = {
     "top_tracks": _star(lambda lib: top.top_entities(lib, "track", "year")),
     "top_artists": _star(lambda lib: top.top_entities(lib, "artist", "year", "plays")),
@@ -231,7 +297,7 @@ QUERIES: dict[str, Query] = {
     "ranking_history_cumulative": _star(lambda lib: top.ranking_history(lib, "artist")),
     "artist_top_tracks": _star(top.artist_top_tracks),
     "artist_top_albums": _star(top.artist_top_albums),
-    "album_artists": _star(history.album_artists),
+    "album_artists": _star(_album_artists),
     "album_tracks": _star(lambda lib: history.album_tracks(lib, 1)),
     "album_ids_resolved": _star(history.album_ids),
     "album_resolution": _star(_album_resolution),
@@ -245,6 +311,8 @@ QUERIES: dict[str, Query] = {
     "month_chart": _star(lambda lib: charts.chart_facts(lib, "track", "month")),
     "year_chart": _star(lambda lib: charts.chart_facts(lib, "album", "year")),
     "period_chart": _star(lambda lib: charts.period_chart(lib, "track", "1997-W20")),
+    "period_chart_entries": _star(_period_entries),
+    "period_chart_dropouts": _star(lambda lib: charts.chart(lib, "artist", "1997-W20")[1]),
     "chart_rank_change": _star(lambda lib: charts.with_changes(charts.chart_facts(lib, "artist"))),
     "chart_peaks": _star(_flat_charts),
     "chart_consecutive": _star(lambda lib: charts.with_peaks(charts.chart_facts(lib, "track", "month")).select("user_id", "period", "entity_id", "rank", "consecutive")),
@@ -257,8 +325,8 @@ QUERIES: dict[str, Query] = {
     "rec_weeks_no1": _star(lambda lib: records.weeks_at(_weekly_artists(lib), "weeksAtNo1", 1)),
     "rec_weeks_in_chart": _star(lambda lib: records.weeks_at(_weekly_artists(lib), "weeksInChart", 25)),
     "rec_longest_run": _star(lambda lib: records.longest_run(_weekly_artists(lib))),
-    "rec_no1_tracks": _star(lambda lib: records.most_number_ones(lib, "track", records.weekly_ranks(lib, "track"))),
-    "rec_no1_albums": _star(lambda lib: records.most_number_ones(lib, "album", records.weekly_ranks(lib, "album"))),
+    "rec_no1_tracks": _star(lambda lib: records.most_number_ones(lib, "track", records.weekly_leaders(lib, "track"))),
+    "rec_no1_albums": _star(lambda lib: records.most_number_ones(lib, "album", records.weekly_leaders(lib, "album"))),
     "rec_most_playlists": _star(lambda lib: records.in_most_playlists(lib, "artist")),
     "rec_most_playlists_track": _star(lambda lib: records.in_most_playlists(lib, "track")),
     "rec_most_playlists_album": _star(lambda lib: records.in_most_playlists(lib, "album")),
@@ -276,7 +344,16 @@ QUERIES: dict[str, Query] = {
     "merge_info": _star(search.merge_info),
     "merge_list": _star(search.merge_list),
     "merge_suggestions": _star(lambda lib: search.merge_suggestions(lib, 1)),
-    "merge_problems": _star(lambda lib: search.merge_problems(lib.merge_rules)),
+    "merge_problems": _star(lambda lib: search.merge_problems(_rules(lib))),
+    "merge_rules_added": _star(lambda lib: search.add_merge_rules(lib.merge_rules, _rules(lib), lib.albums)[0]),
+    "merge_rules_deleted": _star(lambda lib: search.delete_merge_rules(lib.merge_rules, lib.merge_rules.filter("user_id = 1"))),
+    "search_accents": _folded(lambda lib: search.search_artists(lib, 1, "SÚPPLÏER#00000000_\u0301")),
+    "playlists_synced": _star(_synced),
+    "generated_playlists": _events(lambda lib: playlists.generate(lib, "rediscovery", 10, min_plays=2, recency_days=10).groupBy("user_id").agg(F.count("*").alias("tracks"))),
+    "albums_inserted": _star(_inserted),
+    "settings_merged": settings_merged,
+    "artists_enriched": _star(_enriched),
+    "credits_fixed": _star(_credits_fixed),
     "library_playlists": _events(playlists.library_playlists),
     "playlist_track_stats": _star(playlists.track_stats),
     "playlist_genres": _star(playlists.playlist_genres),

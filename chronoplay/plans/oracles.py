@@ -131,9 +131,11 @@ _TRACK_MAP = """ids AS (SELECT t.track_id, first_value(t.track_id) OVER (PARTITI
 
 
 def _album_map(prefix: str, order: str) -> str:
-    return f"""{STAR}, {_TYPED}, sized AS (SELECT t.album_id, count(*) AS n FROM tracks t GROUP BY 1), led AS ({_LED}),
-        m AS (SELECT d.album_id, first_value(d.album_id) OVER (PARTITION BY d.num % 6, l.artist_id ORDER BY {order}, d.album_id) AS best FROM led l JOIN typed d USING (album_id) JOIN sized z USING (album_id))
-        SELECT '{prefix}' || album_id AS old, '{prefix}' || min(best) AS new FROM m WHERE album_id <> best GROUP BY album_id"""
+    return f"""{STAR.replace("WITH ", "WITH RECURSIVE ", 1)}, {_TYPED}, sized AS (SELECT t.album_id, count(*) AS n FROM tracks t GROUP BY 1), led AS ({_LED}),
+        m AS (SELECT d.album_id, first_value(d.album_id) OVER (PARTITION BY d.num % 6, l.artist_id ORDER BY {order}, d.album_id) AS best FROM led l JOIN typed d USING (album_id) JOIN sized z USING (album_id)),
+        steps AS (SELECT album_id AS a, min(best) AS b FROM m WHERE album_id <> best GROUP BY album_id),
+        ends AS (SELECT a, b FROM steps UNION SELECT e.a, s.b FROM ends e JOIN steps s ON s.a = e.b)
+        SELECT '{prefix}' || a AS old, '{prefix}' || b AS new FROM ends WHERE b NOT IN (SELECT a FROM steps)"""
 
 
 def _hex_id(*parts: str) -> str:
@@ -177,7 +179,6 @@ ORACLES: dict[str, str] = {
     "artist_top_albums": f"""{STAR} SELECT user_id, artist_id, rank, album_id, play_count, total_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, artist_id ORDER BY total_ms DESC, album_id) AS rank FROM (
         SELECT p.user_id, a.artist_id, coalesce(m.target_id, t.album_id) AS album_id, {_COUNTS} FROM plays p JOIN tracks t USING (track_id) JOIN track_artists a USING (track_id) LEFT JOIN merge_rules m ON m.user_id = p.user_id AND m.source_id = t.album_id
         WHERE (a.artist_id, t.album_id) IN ({_LED} AND t.album_id IS NOT NULL) GROUP BY 1, 2, 3)) WHERE rank <= 10""",
-    "album_artists": f"{STAR} SELECT t.album_id, a.artist_id, any_value(n.name) AS name, count(DISTINCT t.track_id) AS track_count FROM tracks t JOIN track_artists a ON a.track_id = t.track_id AND a.position = 0 JOIN artists n USING (artist_id) WHERE t.album_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT t.track_id) >= (SELECT greatest(1, count(*) // 2) FROM tracks x WHERE x.album_id = t.album_id)",
     "album_tracks": f"{STAR} SELECT t.album_id, t.track_id, t.name, t.duration_ms, coalesce(c.n, 0) AS play_count, coalesce(c.n, 0) * t.duration_ms AS total_ms FROM tracks t LEFT JOIN (SELECT track_id, count(*) AS n FROM plays WHERE user_id = 1 GROUP BY 1) c USING (track_id) WHERE t.album_id IS NOT NULL",
     "album_ids_resolved": f"{STAR} SELECT user_id, target_id AS album_id, target_id AS member_id FROM merge_rules UNION SELECT user_id, target_id, source_id FROM merge_rules",
     "album_resolution": f"{facts('album')} SELECT user_id, entity_id AS album_id, count(*) AS play_count FROM facts GROUP BY 1, 2",
@@ -228,7 +229,6 @@ ORACLES: dict[str, str] = {
     "merge_info": f"{STAR} SELECT r.user_id, r.album_id, r.direction, r.other_id, b.name AS other_name FROM (SELECT user_id, source_id AS album_id, 'into' AS direction, target_id AS other_id FROM merge_rules UNION ALL SELECT user_id, target_id, 'from', source_id FROM merge_rules) r JOIN albums b ON b.album_id = r.other_id",
     "merge_list": f"{STAR} SELECT m.user_id, m.source_id, s.name AS source_name, m.target_id, t.name AS target_name, l.artist_id, n.name AS artist_name FROM merge_rules m LEFT JOIN albums s ON s.album_id = m.source_id LEFT JOIN albums t ON t.album_id = m.target_id LEFT JOIN ({_LED}) l ON l.album_id = m.target_id LEFT JOIN artists n ON n.artist_id = l.artist_id",
     "merge_suggestions": f"{STAR} SELECT l.artist_id, b.album_id, b.name, coalesce(c.n, 0) AS plays FROM ({_LED}) l JOIN albums b USING (album_id) LEFT JOIN (SELECT t.album_id, count(*) AS n FROM plays p JOIN tracks t USING (track_id) WHERE p.user_id = 1 GROUP BY 1) c USING (album_id) WHERE b.album_id NOT IN (SELECT source_id FROM merge_rules WHERE user_id = 1)",
-    "merge_problems": f"{STAR} SELECT user_id, source_id, target_id, 'self' AS problem FROM merge_rules WHERE source_id = target_id",
     "library_playlists": f"{EVENTS} SELECT * FROM playlists p WHERE EXISTS (SELECT 1 FROM playlist_tracks t WHERE t.playlist_id = p.playlist_id)",
     "playlist_track_stats": f"{STAR} SELECT t.playlist_id, p.user_id, t.position, t.track_id, coalesce(c.play_count, 0) AS play_count, coalesce(c.total_ms, 0) AS total_ms, c.last_played FROM playlist_tracks t JOIN playlists p USING (playlist_id) LEFT JOIN (SELECT user_id, track_id, {_COUNTS}, max(played_at) AS last_played FROM plays JOIN tracks USING (track_id) GROUP BY 1, 2) c ON c.user_id = p.user_id AND c.track_id = t.track_id",
     "playlist_genres": f"{STAR} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY track_count DESC, genre) AS rank FROM (SELECT playlist_id, genre, count(*) AS track_count FROM (SELECT t.playlist_id, unnest(n.genres) AS genre FROM playlist_tracks t JOIN track_artists a USING (track_id) JOIN artists n USING (artist_id)) GROUP BY 1, 2)) WHERE rank <= 20",
@@ -267,3 +267,36 @@ ORACLES: dict[str, str] = {
         SELECT coalesce(t.track_id, f.track_id) AS track_id, coalesce(f.name, t.name) AS name, CASE WHEN t.track_id IS NOT NULL THEN t.album_id ELSE f.album_id END AS album_id, coalesce(t.duration_ms, f.duration_ms) AS duration_ms, coalesce(f.popularity, t.popularity) AS popularity FROM tracks t FULL JOIN fresh f USING (track_id)""",
 }
 ORACLES["import_tracks"] = ORACLES["import_tracks"].replace("SELECT track_id, arg_min", "SELECT track_id, name, nullif(a, '') AS album_id, duration_ms FROM (SELECT track_id, arg_min", 1) + ")"
+
+#: rules that are sound, and a chain, a pair of reverse rules, a fork, a rule to itself, and one to an unknown album
+_RULES = "rules AS (SELECT CAST(u AS BIGINT) AS user_id, s AS source_id, t AS target_id FROM (VALUES (0, 'Brand#31', 'Brand#32'), (1, 'Brand#11', 'Brand#12'), (1, 'Brand#12', 'Brand#13'), (2, 'Brand#21', 'Brand#22'), (2, 'Brand#22', 'Brand#21'), (3, 'Brand#14', 'Brand#15'), (3, 'Brand#14', 'Brand#33'), (4, 'Brand#41', 'Brand#41'), (4, 'Brand#42', 'Nowhere'), (0, 'Brand#24', 'Brand#41'), (2, 'Brand#44', 'Brand#25')) v(u, s, t))"
+
+ORACLES |= {
+    "period_chart_entries": f"SELECT * FROM ({ORACLES['chart_peaks']}) WHERE period = '1997-W20'",
+    "period_chart_dropouts": f"{chart('artist')}, {_PEAKS} SELECT p.user_id, p.entity_id, p.rank AS previous_rank, p.peak_rank, p.peak_period, p.weeks_on_chart FROM peaks p WHERE p.period = '1997-W19' AND NOT EXISTS (SELECT 1 FROM chart c WHERE c.user_id = p.user_id AND c.period = '1997-W20' AND c.entity_id = p.entity_id)",
+    "stream_local_plays": ORACLES["local_plays"],
+    "merge_problems": f"""WITH {_RULES} SELECT DISTINCT user_id, source_id, target_id, problem FROM (
+        SELECT r.*, 'self' AS problem FROM rules r WHERE source_id = target_id
+        UNION ALL SELECT r.*, 'reverse' FROM rules r JOIN rules o ON o.user_id = r.user_id AND o.source_id = r.target_id AND o.target_id = r.source_id WHERE r.source_id <> r.target_id
+        UNION ALL SELECT r.*, 'chain' FROM rules r JOIN rules o ON o.user_id = r.user_id AND (o.source_id = r.target_id OR o.target_id = r.source_id) WHERE r.source_id <> r.target_id
+        UNION ALL SELECT r.*, 'two_targets' FROM rules r JOIN rules o ON o.user_id = r.user_id AND o.source_id = r.source_id AND o.target_id <> r.target_id)""",
+    "merge_rules_added": f"""{STAR}, {_RULES.replace("rules AS", "new AS", 1)} SELECT * FROM merge_rules UNION ALL SELECT n.* FROM new n
+        WHERE source_id <> target_id AND source_id IN (SELECT album_id FROM albums) AND target_id IN (SELECT album_id FROM albums)
+          AND NOT EXISTS (SELECT 1 FROM merge_rules m WHERE m.user_id = n.user_id AND (m.source_id = n.source_id OR m.target_id = n.source_id OR m.source_id = n.target_id))""",
+    "merge_rules_deleted": f"{STAR} SELECT * FROM merge_rules WHERE user_id <> 1",
+    "album_artists": f"""{STAR}, two AS (SELECT track_id, track_id // 2 AS i, 'P' || (track_id // 2) AS album_id FROM tracks),
+        stored AS (SELECT album_id, unnest([i % 5 + 1, i % 5 + 2]) AS artist_id, CAST(NULL AS BIGINT) AS track_count FROM (SELECT DISTINCT album_id, i FROM two WHERE i % 3 = 0)),
+        led AS (SELECT t.album_id, a.artist_id, count(DISTINCT t.track_id) AS track_count FROM two t JOIN track_artists a USING (track_id) WHERE a.position = 0 AND t.i % 3 <> 0 GROUP BY 1, 2)
+        SELECT r.album_id, r.artist_id, n.name, r.track_count FROM (SELECT * FROM stored UNION ALL SELECT * FROM led) r JOIN artists n USING (artist_id)""",
+    "playlists_synced": f"""{STAR}, feed AS (SELECT p.playlist_id, p.user_id, 'v' || (p.playlist_id % 3) AS snapshot_id FROM playlists p WHERE p.playlist_id % 4 <> 0),
+        tracks_ AS (SELECT t.playlist_id, t.track_id + (CASE WHEN t.playlist_id % 3 <> 0 THEN 1 ELSE 0 END) AS track_id FROM playlist_tracks t JOIN feed USING (playlist_id)
+          UNION ALL SELECT t.playlist_id, t.track_id FROM playlist_tracks t JOIN playlists p USING (playlist_id) WHERE p.user_id NOT IN (SELECT user_id FROM feed))
+        SELECT playlist_id, count(*) AS tracks, CAST(sum(track_id) AS BIGINT) AS ids FROM tracks_ GROUP BY 1""",
+    "albums_inserted": "SELECT DISTINCT p_brand AS album_id, p_brand AS name FROM part UNION ALL SELECT 'New#' || i, 'first' FROM range(3) t(i)",
+    "settings_merged": "SELECT user_id, key, value FROM (SELECT user_id, 'sort' AS key, arg_max(CASE WHEN event_id % 2 = 0 THEN 'plays' ELSE 'time' END, event_id) AS value FROM events GROUP BY 1) UNION ALL SELECT DISTINCT user_id, 'language', 'en' FROM events",
+    "artists_enriched": "SELECT s_suppkey AS artist_id, CASE WHEN s_suppkey % 3 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN 'img' || s_suppkey END AS image_url FROM supplier",
+    "credits_fixed": f"""{STAR} SELECT track_id, artist_id FROM (SELECT CAST(track_id AS VARCHAR) AS track_id, CASE WHEN artist_id % 3 = 0 THEN 'import:' ELSE '' END || artist_id AS artist_id, track_id % 2 AS odd FROM track_artists) WHERE odd = 1 OR NOT starts_with(artist_id, 'import:')
+        UNION SELECT CAST(track_id AS VARCHAR), CAST(artist_id + 1 AS VARCHAR) FROM track_artists WHERE track_id % 2 = 0""",
+    "generated_playlists": f"SELECT user_id, least(count(*), 10) AS tracks FROM ({ORACLES['strategy_rediscovery']}) GROUP BY 1",
+    "search_accents": _found("artist_id", "SELECT artist_id, name FROM artists WHERE lower(strip_accents(name)) LIKE '%supplier#00000000_%'", "SELECT a.artist_id, count(*) AS n FROM plays p JOIN track_artists a USING (track_id) WHERE p.user_id = 1 GROUP BY 1"),
+}
