@@ -87,4 +87,18 @@ ORACLES = {
              groups AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM base GROUP BY norm)
         SELECT b.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, b.doc_id = g.keep_id AS kept, sha256(b.norm) AS text_sha256
         FROM base b JOIN groups g ON b.norm = g.norm""",
+    # crc32 is spelled out: a table for each byte, folded over a text's bytes
+    "op9_sharding": r"""
+        WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+             base AS (SELECT doc_id AS id, coalesce('s' || source, 'n') AS src, coalesce(text, '') AS txt, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             sized AS (SELECT id, src, CAST(length(h) // 2 AS BIGINT) + 1 AS size,
+                              xor(list_reduce([4294967295] || list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+                       FROM base, tab),
+             each AS (SELECT *, row_number() OVER (PARTITION BY id, src, size, crc) - 1 AS copy FROM sized),
+             hashed AS (SELECT *, md5(concat_ws(':', 17, coalesce(CAST(id AS VARCHAR), ''), crc, size, copy)) AS hash, (CAST('0x' || substr(md5('17:' || src), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM each),
+             ranked AS (SELECT *, (CAST(row_number() OVER (PARTITION BY src ORDER BY hash, id, crc, size, copy) AS DOUBLE) - u) / count(*) OVER (PARTITION BY src) AS f FROM hashed),
+             placed AS (SELECT *, row_number() OVER (ORDER BY f, src, hash, id, crc, size, copy) - 1 AS pos, count(*) OVER () AS n FROM ranked),
+             cut AS (SELECT *, pos * 16 // n AS shard FROM placed)
+        SELECT id AS doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, f AS fraction
+        FROM cut""",
 }

@@ -62,7 +62,7 @@ def stratified_shards(docs: DataFrame, shards: int = 16, seed: int = 17, id_col:
         .select("_source", "_bucket", "_before", "_total")
     )
     in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_id", "_crc", "_size", "_copy")
-    offset = (F.pmod(F.xxhash64(F.lit(seed), "_source"), F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    offset = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_source")), 1, 8), 16, 10).cast("long") + 0.5) / float(1 << 32)
     ranked = (
         base.withColumn("_local", F.row_number().over(in_bucket))
         .join(counts, ["_source", "_bucket"])
