@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import byte_slices, spans_array, sums_by_row
+from .batches import byte_slices, spans_array, sums_by_row, tidy
 
 HUGE = 32_768
 CHUNK = 16_384
 OVERLAP = 256
-#: Spans whose counts a worker remembers between slices.
-REMEMBER = 400_000
+#: Spans whose counts a worker remembers between slices, of at most so many bytes.
+REMEMBER, LONG_SPAN = 400_000, 64
+#: Bytes of texts that are counted at a time, or one longer text.
+SLICE = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -89,7 +91,7 @@ def token_counter(path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int
 
     def counts(texts: pa.Array) -> np.ndarray:
         tokenizer, out = load(path), []
-        for _, _, data, rows in byte_slices(texts):
+        for _, _, data, rows in byte_slices(texts, SLICE):
             big = np.flatnonzero(np.diff(rows) > huge)
             sums = np.zeros(len(rows) - 1, np.int64)
             if len(data):
@@ -103,8 +105,8 @@ def token_counter(path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int
                 new = [s for s in spans if s not in known]
                 fresh = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)), strict=True))
                 each = np.fromiter((known[s] if s in known else fresh[s] for s in spans), np.int64, len(spans))
-                if len(known) + len(fresh) <= REMEMBER:
-                    known.update(fresh)
+                if len(known) < REMEMBER:
+                    known.update((s, n) for s, n in fresh.items() if len(s) <= LONG_SPAN)
                 values = np.zeros(len(starts), np.int64)
                 values[use] = each[coded.indices.to_numpy(zero_copy_only=False)] if len(spans) else 0
                 sums = sums_by_row(values, inside)
@@ -135,5 +137,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
             sizes = [int(n) for _, _, _, rows in byte_slices(b.column(1)) for n in np.diff(rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts(b.column(1)), pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
-    out = base.mapInArrow(run, f"_id {kind}, n_bytes long, n_tokens long")
+    out = base.mapInArrow(tidy(run), f"_id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
