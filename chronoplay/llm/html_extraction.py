@@ -31,7 +31,7 @@ from .batches import row_slices, tidy
 from .page_samples import labelled_pages
 
 #: Labelled pages that the default model is fitted on.
-TRAINING_PAGES = 300
+TRAINING_PAGES = 400
 #: Elements that begin and end a block; all others run in the line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,10 +59,10 @@ HINTS = {
     "share": "share sharing social tags byline meta".split(),
     "form": "form search login contact".split(),
 }
-FRAMES = frozenset(("#root", "html", "body", "div", "section", "main"))
+FRAMES = frozenset(("#root", "html", "body", "div", "section", "main", "table", "tbody", "tr"))
 _HINT = {w: i for i, words in enumerate(HINTS.values()) for w in words}
 _TAG = {t: i for i, t in enumerate(TAGS)}
-N_FEATURES = 1 + len(TAGS) + len(HINTS) + 8
+N_FEATURES = 1 + len(TAGS) + len(HINTS) + 10
 
 _markup = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _source_end = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in SOURCE}
@@ -258,7 +258,7 @@ def features(n: Node, total: int) -> list[tuple[int, float]]:
     out += [
         (k, n.linked / size), (k + 1, math.log1p(n.chars) / 8), (k + 2, min(1.0, 5 * n.marks / max(1, n.words))), (k + 3, n.chars / max(1, total)),
         (k + 4, math.log1p(n.chars / max(1, n.leaves)) / 6), (k + 5, float(n.hidden)), (k + 6, float(bool(n.text) and "©" in n.text[0])),
-        (k + 7, float(bool(n.text) and n.text[0][-1] in ".!?")),
+        (k + 7, float(bool(n.text) and n.text[0][-1] in ".!?")), (k + 8, float(5 * n.linked >= 4 * size)), (k + 9, float(2 * n.linked >= size and n.words < 20)),
     ]
     return out
 

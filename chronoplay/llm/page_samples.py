@@ -50,8 +50,26 @@ def _box(r: random.Random, y: int, inner: str, tags: list[str], names: list[str]
 
 
 def _comments(r: random.Random) -> str:
-    each = "".join(f"<{t} class='comment'><b>{_words(r, 1, 2)}</b><p>{_sentences(r, 1, 4)}</p></{t}>" for t in r.choices(["div", "li"], k=r.randint(1, 5)))
-    return f'<{(t := r.choice(["div", "section"]))} {r.choice(["id", "class"])}="{r.choice(["comments", "comment-list", "user-comments", "discussion", "responses", "disqus"])}" data-y="0"><h3>{_words(r, 1, 3)}</h3>{each}</{t}>'
+    """Readers' comments: marked one by one, or plain items of a list that only its box marks."""
+    name = r.choice(["comments", "comment-list", "comments-area", "user-comments", "discussion", "responses", "disqus"])
+    title = f"<h{(k := r.choice('234'))}>{_words(r, 1, 5)}</h{k}>" * r.randint(0, 1)
+    if r.random() < 0.5:
+        each = "".join(f"<{t} class='comment'><b>{_words(r, 1, 2)}</b><p>{_sentences(r, 1, 4)}</p></{t}>" for t in r.choices(["div", "li"], k=r.randint(1, 5)))
+    else:
+        each = "".join(f"<li><p>{_sentences(r, 1, 4)}</p></li>" for _ in range(r.randint(1, 5)))
+        each = f"<{(t := r.choice(['ol', 'ul']))}>{each}</{t}>"
+    return f'<{(t := r.choice(["div", "section"]))} {r.choice(["id", "class"])}="{name}" data-y="0">{title}{each}</{t}>'
+
+
+def _table_page(r: random.Random) -> str:
+    """A page laid out by a table: links in its first row or column, the article in the middle, a line below."""
+    links = [f'<a href="{_word(r)}">{_words(r, 1, 3)}</a>' for _ in range(r.randint(2, 7))]
+    top = f'<tr><td data-y="0">{" | ".join(links[:4])}</td></tr>' * r.randint(0, 1)
+    side = f'<td data-y="0">{r.choice(["<br>", "<br><br>"]).join(links)}</td>' if not top or r.random() < 0.6 else ""
+    end = r.choice(["<p>", "</p><p>"]).join(_sentences(r, 1, 6) for _ in range(r.randint(1, 6)))
+    body = f'<td data-y="1"><{(h := r.choice(["h1", "h2", "b"]))}>{_words(r, 2, 7)}</{h}><p>{end}</td>'
+    foot = f'<tr><td data-y="0"><font size=1>{_words(r, 1, 4)}: {_words(r, 1, 6)}</font></td></tr>' * r.randint(0, 1)
+    return f"<html><body><table>{top}<tr>{side}{body}</tr>{foot}</table></body></html>"
 
 
 def _boilerplate(r: random.Random, kind: str) -> str:
@@ -70,7 +88,9 @@ def _boilerplate(r: random.Random, kind: str) -> str:
     if kind == "form":
         return f'<form data-y="0"><label>{_words(r, 1, 4)}</label><input name="q"><p>{_sentences(r, 0, 1)}</p><button>{_word(r)}</button></form>'
     if kind == "share":
-        return _box(r, 0, _links(r, 2, 5), [], ["share", "social", "tags", "byline", "meta"])
+        return _box(r, 0, f"{_words(r, 1, 2)}: " * r.randint(0, 1) + _links(r, 2, 5), [], ["share", "social", "tags", "sharing"])
+    if kind == "byline":
+        return _box(r, 0, f'{_words(r, 1, 3)} <a href="/{_word(r)}">{_words(r, 1, 3)}</a> {_words(r, 1, 3)}' if r.random() < 0.6 else _words(r, 2, 8), [], ["byline", "meta", "entry-meta", "post-meta"])
     return _comments(r)
 
 
@@ -79,6 +99,8 @@ def _article(r: random.Random) -> str:
     if r.random() < 0.7:
         h = f"<h1>{_words(r, 2, 10)}</h1>"
         parts.append(r.choice([h, h, f"<header>{h}</header>"]))
+    if r.random() < 0.2:
+        parts.append(_boilerplate(r, "byline"))
     for _ in range(r.randint(1, 12)):
         kind = r.random()
         if kind < 0.72:
@@ -86,7 +108,7 @@ def _article(r: random.Random) -> str:
         elif kind < 0.8:
             parts.append(f"<h{(k := r.choice('23'))}>{_words(r, 1, 6)}</h{k}>")
         elif kind < 0.85:
-            parts.append(f"<{(t := r.choice(['ul', 'ol']))}>" + "".join(f"<li>{_sentences(r, 1, 2)}</li>" for _ in range(r.randint(2, 5))) + f"</{t}>")
+            parts.append(f"<{(t := r.choice(['ul', 'ol']))}>" + "".join(f"<li>{_sentences(r, 1, 2) if r.random() < 0.6 else _words(r, 2, 9)}</li>" for _ in range(r.randint(2, 5))) + f"</{t}>")
         elif kind < 0.9:
             parts.append(f"<blockquote><p>{_sentences(r, 1, 3)}</p></blockquote>")
         elif kind < 0.93:
@@ -94,7 +116,7 @@ def _article(r: random.Random) -> str:
         elif kind < 0.96:
             parts.append(f"<figure><img src='x'><figcaption>{_sentences(r, 1, 1)}</figcaption></figure>")
         else:
-            parts.append(f"<div>{_sentences(r, 1, 5)}</div>")
+            parts.append(f"<div>{_sentences(r, 1, 5)}</div>" * r.randint(1, 3))
     for kind in ("ad", "share", "form", "side", "comments"):
         if r.random() < 0.15:
             parts.insert(r.randint(1, len(parts)), _boilerplate(r, kind))
@@ -108,6 +130,9 @@ def labelled_pages(n: int, seed: int = 17) -> list[str]:
         if r.random() < 0.06:  # hardly any page around the text
             out.append(f'<div data-y="1">{"".join(f"<p>{_sentences(r, 1, 5)}</p>" for _ in range(r.randint(1, 4)))}</div>')
             continue
+        if r.random() < 0.08:
+            out.append(_table_page(r))
+            continue
         before = [_boilerplate(r, k) for k in ("header", "nav", "notice", "ad", "side") if r.random() < 0.5]
         after = [_boilerplate(r, k) for k in ("comments", "side", "ad", "form", "share", "footer", "notice") if r.random() < 0.45]
         main = _article(r)
