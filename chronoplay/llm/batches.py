@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def row_slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:

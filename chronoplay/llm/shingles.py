@@ -48,7 +48,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     text with fewer words than a shingle has is one shingle; one without words
     has none.
     """
-    for first, end, data, rows in byte_slices(texts, 2 << 20):
+    for first, end, data, rows in byte_slices(texts):
         h, at = _word_hashes(data, rows)
         s = h[: max(0, len(h) - words + 1)]
         for j in range(1, words):

@@ -154,6 +154,8 @@ class ToxicityModel:
     rate: float
     trees: GBTClassificationModel | None = None
     calibration: IsotonicRegressionModel | None = None
+    #: What the calibration's rows were scored with: the lexicon of the other folds.
+    fold_lexicon: dict[str, float] | None = None
 
 
 def _margin(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = booster.fit(fit.withColumn("features", array_to_vector("_x")).select("features", "label"))
     margins = checkpointed(_margin(model, rows.filter(last) if both else rows).select("label", "margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="score").fit(margins)
-    return ToxicityModel(whole, rate, model, calibration)
+    return ToxicityModel(whole, rate, model, calibration, lexicons[-1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -226,6 +226,71 @@ def test_op6_learns_from_no_held_out_label(spark):
     assert score(labels) == score(turned)
 
 
+def test_op6_features_and_calibration_are_brute_force(spark):
+    """All features by plain counting, and scores that rise with the trees' margin as pooled means do."""
+    import math
+
+    from chronoplay.llm import toxicity
+
+    lexicon = {"idiot": 2.0, "rott*": 1.0, "fool": 0.5}
+    texts = ["You ROTTEN fool! id1ot, 1d10t, i.d.i.o.t...", "", "nothing here", "fool fool x x x x x your hat", "É!? you", "rotting id-iot you" * 3, "a1b2c3 @@@ $fool$"]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "_id int, _lexicon int, _text string")
+    got = {r["_id"]: r["_x"] for r in toxicity._features(rows, [lexicon], "_id").collect()}
+    weight = lambda w: max([lexicon.get(w, 0.0), *(lexicon.get(w[:k] + "*", 0.0) for k in range(4, 9) if k < len(w))])
+    for i, t in enumerate(texts):
+        low, raw = t.lower(), t.encode()
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        v = [weight(x) for x in w]
+        hits = [k for k, x in enumerate(v) if x]
+        near = sum(any(x in toxicity.SECOND_PERSON for x in w[max(0, k - 4) : k + 5]) for k in hits)
+        masked = re.findall(r"[^\W\d_]+(?:[0-9@$!*|+.\-]{1,2}[^\W\d_]+)+", low)
+        plain = [weight(m.translate(toxicity._plain)) for m in masked]
+        upper, letters = len(re.findall(rb"[A-Z]", raw)), len(re.findall(rb"[A-Za-z]", raw))
+        n, size = max(1, len(w)), max(1, len(raw))
+        want = [
+            math.log1p(len(w)), sum(v) / n, math.log1p(len(hits)), math.log1p(len({w[k] for k in hits})), max(v, default=0.0), sum(v) / max(1, len(hits)), near / n,
+            upper / max(1, letters), len(re.findall(rb"[!?]", raw)) / size, len(re.findall(rb"[!-/:-@\[-`{-~]", raw)) / size, len(masked) / n, math.log1p(sum(x > 0 for x in plain)),
+        ]
+        assert got[i] == pytest.approx(want), t
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    base = docs.select("doc_id", F.lit(0).alias("_lexicon"), F.coalesce("text", F.lit("")).alias("_text"))
+    margins = {r["doc_id"]: r["margin"] for r in toxicity._margin(model.trees, toxicity._features(base, [model.lexicon], "doc_id")).collect()}
+    ranked = [scores[i] for i in sorted(margins, key=lambda i: (margins[i], scores[i]))]
+    assert ranked == sorted(ranked)
+    # the last fold's labels, pooled until they rise
+    ids = labels.filter(~held_out("doc_id")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)) == toxicity.FOLDS - 1)
+    groups: dict = {}
+    for r in ids.collect():
+        groups.setdefault(round(margins_of(model, spark, docs)[r["doc_id"]], 9), []).append(r["toxic"])
+    pools: list = []
+    for m in sorted(groups):
+        pools.append([sum(groups[m]), len(groups[m]), [m]])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            s, n, ms = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + ms]
+    want = {m: s / n for s, n, ms in pools for m in ms}
+    at = dict(zip(model.calibration.boundaries.toArray().round(9).tolist(), model.calibration.predictions.toArray().tolist(), strict=True))
+    assert at and all(want[m] == pytest.approx(p) for m, p in at.items())
+
+
+_margins: dict = {}
+
+
+def margins_of(model, spark, docs):
+    """Margins of all documents by the lexicon of the other folds, as in fitting."""
+    from chronoplay.llm import toxicity
+
+    if id(model) not in _margins:
+        last = {r["doc_id"] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)) == toxicity.FOLDS - 1).select("doc_id").collect()}
+        base = docs.select("doc_id", F.lit(0).alias("_lexicon"), F.coalesce("text", F.lit("")).alias("_text"))
+        rows = toxicity._margin(model.trees, toxicity._features(base, [model.fold_lexicon], "doc_id")).collect()
+        _margins[id(model)] = {r["doc_id"]: r["margin"] for r in rows if r["doc_id"] in last}
+    return _margins[id(model)]
+
+
 def test_op6_without_two_classes_and_hard_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (None, "x"), (3, "w " * 50_000), (6, "x" * 1_000_000), (7, "x1" * 300_000), (4, "1d10t! i.d.i.o.t"), (4, "1d10t! i.d.i.o.t")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
