@@ -82,6 +82,10 @@ class Vocabulary:
         self.usable = sorted(usable)
         self.usable_ids = np.array([self.id[p] for p in self.usable], np.int64)
         self.longest = max(map(len, self.usable), default=1)
+        # what binary search looks for: the least and the greatest suffix that begins with a piece
+        kind = f"<U{self.longest}"
+        self.low, self.high = np.array(self.usable, kind), np.array([(p + "\U0010ffff" * self.longest)[: self.longest] for p in self.usable], kind)
+        self.lengths = np.array([len(p) for p in self.usable], np.int64)
 
     def _merge_order(self) -> list[str]:
         """Ranks, last merges and pairs of the BPE; the pieces that merging their characters gives."""
@@ -141,21 +145,24 @@ def load(path: str) -> Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first ``depth`` codes, by prefix doubling."""
+    """Positions in the order of their suffixes' first ``depth`` codes, by prefix doubling from the first four on."""
     rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    order, k = np.argsort(rank, kind="stable"), 1
-    while k < depth:
+    k = 4 if len(rank) and rank.max() < 1 << 15 else 1
+    key = rank.copy()
+    for j in range(1, k):
+        key <<= 15
+        key[:-j] += rank[j:]
+    while True:
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        if k >= depth or rank[order[-1]] == len(rank):
+            return order
         follow = np.zeros(len(rank), np.int64)
         follow[:-k or None] = rank[k:] if k < len(rank) else 0
         key = rank * (len(rank) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        if rank[order[-1]] == len(rank):
-            break
         k *= 2
-    return order
 
 
 def occurrences(text: str, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,14 +171,12 @@ def occurrences(text: str, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nd
     order = suffix_array(codes, v.longest)
     padded = np.concatenate((codes, np.zeros(v.longest, np.uint32)))
     heads = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, v.longest)[order]).view(f"<U{v.longest}").ravel()
-    low = np.searchsorted(heads, np.array(v.usable, heads.dtype), "left")
-    ends = np.array([(p + "\U0010ffff" * v.longest)[: v.longest] for p in v.usable], heads.dtype)
-    count = np.searchsorted(heads, ends, "right") - low
+    low = np.searchsorted(heads, v.low, "left")
+    count = np.searchsorted(heads, v.high, "right") - low
     which = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
     start = order[place]
-    lengths = np.array([len(p) for p in v.usable], np.int64)
-    return start, start + lengths[which], v.usable_ids[which]
+    return start, start + v.lengths[which], v.usable_ids[which]
 
 
 def _merges_settle(v: Vocabulary, start: np.ndarray, end: np.ndarray, piece: np.ndarray, settled: np.ndarray) -> np.ndarray:
@@ -275,7 +280,7 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     start, end, piece = _bare(covered, n, start, end, piece)
     word_of = np.repeat(np.arange(len(words)), size + 1)
     inside = end - begin[word_of[start]]
-    by_end = np.argsort(inside, kind="stable")
+    by_end = np.argsort(inside.astype(np.uint16) if size.max() < 1 << 16 else inside, kind="stable")  # of short numbers by their digits
     start, end, piece, inside = start[by_end], end[by_end], piece[by_end], inside[by_end]
     last = np.full(len(text) + 1, -1, np.int64)  # piece that ends at a position
     from_ = np.zeros(len(text) + 1, np.int64)
