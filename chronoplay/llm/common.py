@@ -78,12 +78,20 @@ def row_key(id_col: str = "doc_id", sha: Column | None = None) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(F.coalesce(sha, F.lit("n")), F.lit(":"), known), 256), 1, 32))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with ``_`` after it a name that ``df`` has no column of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows of ``docs`` whose ``key`` (by default ``row_key()``) isn't in ``dropped`` (one column of keys).
 
     A short list of dropped keys is broadcast, so the texts aren't shuffled; a
     long one is joined by shuffle.
     """
-    gone = checkpointed(dropped.select(F.col(dropped.columns[0]).alias("_gone")).distinct())
-    keyed = docs.withColumn("_key", row_key() if key is None else key)
-    return keyed.join(small_side(gone, BROADCAST_KEYS), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    own = fresh(docs, "_key")
+    gone = checkpointed(dropped.select(F.col(dropped.columns[0]).alias(own)).distinct())
+    return docs.withColumn(own, row_key() if key is None else key).join(small_side(gone, BROADCAST_KEYS), own, "left_anti").select(*docs.columns)

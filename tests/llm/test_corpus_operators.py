@@ -363,3 +363,21 @@ def test_pipeline_judges_rows_without_ids_and_of_shared_ids(spark, tmp_path):
     rows = [(i, bad(i) if i % 2 else good(i)) for i in range(300)]
     got = left("toxicity", [*rows, (400, good(400)), (400, bad(400)), (None, good(401)), (None, bad(401))])
     assert {(400, good(400)), (None, good(401))} <= set(got) and not {(400, bad(400)), (None, bad(401))} & set(got)
+
+
+def test_pipeline_takes_hard_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeats, columns that clash; and no rows at all."""
+    import corpus_pipeline as p
+
+    words = lambda kind, n: " ".join(f"{kind}{j}" for j in range(n))
+    rows = [(1, None), (2, ""), (None, words("a", 30)), (3, words("b", 60_000)), (4, "x" * 300_000), (5, words("c", 40)), (5, words("c", 40)), (6, words("d", 20)), (None, None)]
+    docs = frame(spark, rows).withColumnsRenamed({"_norm": "_row", "_sig": "_key"})
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(10, words("d", 20)), (11, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given in (docs, docs.limit(0)):
+        left = given
+        for name, stage in p.STAGES:
+            left = stage(spark, left, str(tmp_path))
+            assert name == "sentencepiece" or left.columns == docs.columns
+        got = Counter(r["doc_id"] for r in left.collect())
+        assert got == (Counter({1: 1, 3: 1, 4: 1, 5: 1, None: 1}) if given is docs else Counter())
