@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplay.llm.common import BROADCAST_KEYS, bound_batches, checkpointed, row_key, small_side, table, text_or_empty, text_sha, without
+from chronoplay.llm.common import BROADCAST_KEYS, bound_batches, checkpointed, fresh, row_key, small_side, table, text_or_empty, text_sha, without
 from chronoplay.llm.decontamination import contaminated
 from chronoplay.llm.exact_dedup import SPACES, exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
@@ -32,35 +32,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. The model learns from the labels of documents that are in ``docs``."""
     bound_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    scores = score_toxicity(docs.withColumn("_row", row_key()), model, id_col="_row")
+    scores = score_toxicity(docs.select(row_key().alias("_row"), "text"), model, id_col="_row")
     return without(docs, scores.filter("predicted = 1").select("_row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts; repeated rows of the id that stays go too."""
-    judged = checkpointed(exact_dedup(docs).select(row_key("doc_id", F.col("text_sha256")).alias("_row"), "kept"))
+    row = fresh(docs, "_row")
+    judged = checkpointed(exact_dedup(docs).select(row_key("doc_id", F.col("text_sha256")).alias(row), "kept"))
     key = row_key("doc_id", text_sha(F.regexp_replace(text_or_empty("text"), SPACES, " ")))
-    left = without(docs, judged.filter(~F.col("kept")).select("_row"), key)
-    again = checkpointed(judged.filter("kept").groupBy("_row").count().filter("count > 1").select("_row"))
+    left = without(docs, judged.filter(~F.col("kept")).select(row), key)
+    again = checkpointed(judged.filter("kept").groupBy(row).count().filter("count > 1").select(row))
     if again.isEmpty():  # the texts needn't be shuffled
         return left
-    again, left = small_side(again, BROADCAST_KEYS), left.withColumn("_row", key)
-    twice = left.join(again, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(again, "_row", "left_anti").unionByName(twice).drop("_row")
+    again, left = small_side(again, BROADCAST_KEYS), left.withColumn(row, key)
+    twice = left.join(again, row, "left_semi").dropDuplicates([row])
+    return left.join(again, row, "left_anti").unionByName(twice).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: the smallest id's, and of that id's the one of the smallest key."""
     bound_batches(spark)
     no_id = F.when(F.col("doc_id").isNull(), F.lit(True))  # null comes before true
-    ranked = docs.withColumn("_rank", F.struct(no_id.alias("no_id"), "doc_id", row_key().alias("row")))
+    ranked = docs.select(F.struct(no_id.alias("no_id"), "doc_id", row_key().alias("row")).alias("_rank"), "text")
     found = jaccard_components(ranked, id_col="_rank")
     return without(docs, found.filter("component_id <> _rank").select("_rank.row"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs.withColumn("_row", row_key()), table(spark, sf_dir, "benchmark"), id_col="_row")
+    found = contaminated(docs.select(row_key().alias("_row"), "text"), table(spark, sf_dir, "benchmark"), id_col="_row")
     return without(docs, found.select("_row"))
 
 
