@@ -91,7 +91,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     start_word (from 0), n_words. A document that isn't in the result is clean.
     Null or empty texts and items without words match nothing. A repeated row
     gives no second pair; null ids appear as null. Empty tables give an empty
-    result. Only the named columns are read.
+    result. Only the named columns are read. Around a match about a fifth as many
+    windows as the item has words are compared, each of that many words, so an
+    item of tens of thousands of words is slow.
     """
     items = (
         benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_iw"))
