@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that a join may broadcast: of an id or two (some 50 bytes each once hashed), and of row keys (some 120).
 BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
+#: Most bytes that its texts and binaries may have together, whatever their number.
+BROADCAST_BYTES = 64 << 20
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -59,11 +61,13 @@ def text_or_empty(col: str) -> Column:
 
 
 def small_side(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` with a broadcast hint if it has at most ``bound`` rows, else as it is.
+    """``ids`` with a broadcast hint if it has at most ``bound`` rows and its texts ``BROADCAST_BYTES``, else as it is.
 
-    The count is a job of its own, so pass a checkpointed frame.
+    Counting is a job of its own, so pass a checkpointed frame.
     """
-    return F.broadcast(ids) if ids.count() <= bound else ids
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in ids.schema if f.dataType.simpleString() in ("string", "binary")]
+    rows, size = ids.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(ids) if rows <= bound and size <= BROADCAST_BYTES else ids
 
 
 def text_sha(text: Column) -> Column:

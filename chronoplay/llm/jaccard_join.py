@@ -281,34 +281,14 @@ def _only(whole: DataFrame, lists: DataFrame) -> DataFrame:
     return whole.join(small_side(listed), whole["sig"] == listed["_in"], "left_semi")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK, share: int = SHARE) -> DataFrame:
-    """One row for each row of ``docs``: id, n_shingles, component_id.
-
-    Two texts link when 100 * intersection >= percent * union of their sets;
-    ``component_id`` is the smallest id reachable by links, a row's own
-    included. Texts without words, null or empty, have no shingles and link
-    with nothing; rows without an id link with nothing and get a null
-    component. Repeated rows share a component. An empty table gives an empty
-    result. Only the two named columns are read.
-    """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    base = base.select("_id", F.xxhash64("_id", "_text").alias("_key"), "_text")
-    rows, stay = _first_order(base, percent, words, share)
-    release(docs.sparkSession)
-    picked = base.join(small_side(stay.select("sig", "_s1", "_s2", "_pick"), BROADCAST_KEYS), F.col("_key") == F.col("_pick")).select("sig", "_s1", "_s2", "_text")
-    lists, whole = _second_order(_whole_sets(picked, words), percent)
-    release(docs.sparkSession)
+def may_fit(a: str, b: str, percent: int) -> Column:
+    """Whether sets of so many tokens can be similar at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    # each list's least set against its others
-    least_of = lists.groupBy("t").agg(F.min(F.struct("sig", "n")).alias("_m"))
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    pairs = lists.join(least_of, "t").filter((F.col("sig") != F.col("_m.sig")) & fits(F.col("n"), F.col("_m.n")))
-    links = checkpointed(_verified(pairs.select(F.col("_m.sig").alias("a"), F.col("sig").alias("b")).distinct(), whole, percent))
-    found = connected_components(links)
 
-    # what is left: pairs between different components of a list
-    labelled = lists.join(found, lists["sig"] == found["node"], "left").select("t", "sig", "n", F.coalesce("label", "sig").alias("label"))
-    labelled = checkpointed(labelled)
+def open_links(lists: DataFrame, found: DataFrame, whole: DataFrame, percent: int, short_list: int, block: int) -> DataFrame:
+    """Links (a, b) between sets that a list (t, sig, n) holds and that are in different components of ``found``."""
+    labelled = checkpointed(lists.join(found, lists["sig"] == found["node"], "left").select("t", "sig", "n", F.coalesce("label", "sig").alias("label")))
     digest = F.xxhash64("sig")
     mixed = (
         labelled.groupBy("t")
@@ -322,15 +302,17 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
     whole = checkpointed(_only(whole, open_lists))
     short = open_lists.filter(F.col("m") <= short_list)
     one, two = (short.select("t", F.col("sig").alias(x), F.col("n").alias(f"_n{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
-    rest = one.join(two, "t").filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & fits(F.col("_na"), F.col("_nb"))).select("a", "b").distinct()
+    rest = one.join(two, "t").filter((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & may_fit("_na", "_nb", percent)).select("a", "b").distinct()
     more = _verified(rest, whole, percent)
     long = open_lists.filter(F.col("m") > short_list)
     if not long.isEmpty():
         blocks = _blocks(long, percent, block).join(whole.select("sig", "tokens"), "sig")
         more = more.unionByName(blocks.groupBy("t", "_b1", "_b2").applyInPandas(_block_links(percent), "a long, b long"))
-    found = connected_components(links.unionByName(more))
+    return more
 
-    # back to the rows: sets that are linked take their component's smallest id, all others their own
+
+def with_components(rows: DataFrame, stay: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_shingles, component_id) of ``rows``: sets that are linked take their component's smallest id, all others their own."""
     linked = found.join(stay, found["node"] == stay["sig"]).select("_s1", "_s2", "label", "_first")
     smallest = linked.groupBy("label").agg(F.min("_first").alias("_c"))
     linked = checkpointed(linked.join(smallest, "label").select(F.col("_s1").alias("_k1"), F.col("_s2").alias("_k2"), "_c"))
@@ -342,3 +324,29 @@ def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, i
     return rows.join(component, (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")), "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_c", "_id").alias("component_id")
     )
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", short_list: int = SHORT_LIST, block: int = BLOCK, share: int = SHARE) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component_id.
+
+    Two texts link when 100 * intersection >= percent * union of their sets;
+    ``component_id`` is the smallest id reachable by links, a row's own
+    included. Texts without words, null or empty, have no shingles and link
+    with nothing; rows without an id link with nothing and get a null
+    component. Repeated rows share a component. An empty table gives an empty
+    result. Only the two named columns are read.
+    """
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    base = base.select("_id", F.xxhash64("_id", "_text").alias("_key"), "_text")
+    rows, stay = _first_order(base, percent, words, share)
+    release(docs.sparkSession)
+    picked = base.join(small_side(stay.select("sig", "_s1", "_s2", "_pick"), BROADCAST_KEYS), F.col("_key") == F.col("_pick")).select("sig", "_s1", "_s2", "_text")
+    lists, whole = _second_order(_whole_sets(picked, words), percent)
+    release(docs.sparkSession)
+
+    # each list's least set against its others
+    least_of = lists.groupBy("t").agg(F.min(F.struct("sig", "n")).alias("_m"))
+    pairs = lists.join(least_of, "t").filter((F.col("sig") != F.col("_m.sig")) & may_fit("n", "_m.n", percent))
+    links = checkpointed(_verified(pairs.select(F.col("_m.sig").alias("a"), F.col("sig").alias("b")).distinct(), whole, percent))
+    more = open_links(lists, connected_components(links), whole, percent, short_list, block)
+    return with_components(rows, stay, connected_components(links.unionByName(more)), id_col)
