@@ -33,6 +33,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``checkpointed`` for a step of a loop: what Spark infers about the columns (a = least(b, c), …) isn't carried on.
+
+    A checkpoint keeps such constraints, and over some ten rounds they grow until
+    planning takes longer than the work.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpointed(df.select("*"))  # planned anew, without them
+    finally:
+        conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Free the disk of shuffles and checkpoints that nothing needs any more.
 

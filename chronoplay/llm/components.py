@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     tells when nothing changed. Rounds are cut by checkpoints.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = checkpointed(both.filter("u <> v").distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
+    both = cut(both.filter("u <> v").distinct())
+    labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     total = None
     while True:
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
@@ -27,4 +27,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("label").alias("_l"))
         lower = labels.join(least, labels["node"] == least["v"]).select("node", F.least("label", "_l").alias("label"))
         jump = lower.select(F.col("node").alias("_n"), F.col("label").alias("_to"))
-        labels = checkpointed(lower.join(jump, F.col("label") == F.col("_n")).select("node", F.col("_to").alias("label")))
+        labels = cut(lower.join(jump, F.col("label") == F.col("_n")).select("node", F.col("_to").alias("label")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import tidy
-from .common import BROADCAST_KEYS, checkpointed, release, small_side
+from .common import BROADCAST_KEYS, checkpointed, cut, release, small_side
 from .components import connected_components
 from .jaccard_join import BLOCK, REMEMBER, SHORT_LIST, _only, _sets, _signature, _verified, _whole_sets, may_fit, open_links, with_components
 from .shingles import _M1, _mix, shingle_sets
@@ -109,16 +109,16 @@ def _buckets(base: DataFrame, words: int, bands: int, rows: int) -> tuple[DataFr
 def _star(lists: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b): each list's centre against its others, but for those of its component; and the lists (t, sig, n) without their centres."""
     centre = lists.groupBy("t").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig").alias("o"), "sig", "n", "label")).alias("_c"))
-    others = checkpointed(lists.join(centre, "t").filter("sig <> _c.sig"))
+    others = cut(lists.join(centre, "t").filter("sig <> _c.sig"))
     pairs = others.filter((F.col("label") != F.col("_c.label")) & may_fit("n", "_c.n", percent))
     return pairs.select(F.least("sig", "_c.sig").alias("a"), F.greatest("sig", "_c.sig").alias("b")).distinct(), others.select("t", "sig", "n")
 
 
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
     """(t, sig, n, label) of the lists whose sets are in several components."""
-    labelled = checkpointed(lists.join(found, lists["sig"] == found["node"], "left").select("t", "sig", "n", F.coalesce("label", "sig").alias("label")))
+    labelled = cut(lists.join(found, lists["sig"] == found["node"], "left").select("t", "sig", "n", F.coalesce("label", "sig").alias("label")))
     several = labelled.groupBy("t").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("t")
-    return checkpointed(labelled.join(several, "t", "left_semi"))
+    return cut(labelled.join(several, "t", "left_semi"))
 
 
 def minhash_components(
@@ -145,14 +145,16 @@ def minhash_components(
     links, found, left = None, None, lists.withColumn("label", F.col("sig"))
     for turn in range(max(1, stars)):
         pairs, rest = _star(left, turn, percent)
-        more = checkpointed(_verified(pairs, _only(whole, left) if turn else whole, percent))
-        links = more if links is None else checkpointed(links.unionByName(more))
-        found = connected_components(links)
+        more = cut(_verified(pairs, whole if links is None else _only(whole, left), percent))
+        if links is None or not more.isEmpty():
+            links = more if links is None else cut(links.unionByName(more))
+            found = connected_components(links)
         left = _open(rest, found)
         release(spark)
         if left.isEmpty():
             break
     else:
-        found = connected_components(links.unionByName(open_links(left.drop("label"), found, whole, percent, short_list, block)))
+        more = cut(open_links(left.drop("label"), found, whole, percent, short_list, block))
+        found = found if more.isEmpty() else connected_components(links.unionByName(more))
     out = with_components(known, stay.drop("_n"), found, id_col)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
