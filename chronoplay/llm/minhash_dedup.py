@@ -13,7 +13,7 @@ A bucket's candidates are a star: one set, its centre, against the others, so a
 bucket of m sets costs m - 1 pairs. Candidates are verified on full sets, and
 what is linked becomes one component. A centre's pairs are all decided then, so
 it leaves the bucket; buckets that lie in one component are done, and the
-others get another star. What few stars leave open is joined in blocks, each
+others may get another star. What the stars leave open is joined in blocks, each
 pair of different components once. So no link that two sets in one bucket have
 is lost.
 """
@@ -36,7 +36,7 @@ from .shingles import _M1, _mix, shingle_sets
 
 BANDS, ROWS, WORD_PAIRS = 48, 6, 2
 #: Stars for each bucket before the rest is joined in blocks.
-STARS = 3
+STARS = 1
 
 
 @lru_cache(maxsize=2)
@@ -106,9 +106,9 @@ def _buckets(base: DataFrame, words: int, bands: int, rows: int) -> tuple[DataFr
     return kept, stay, checkpointed(listed.join(stay, "_s1").select("t", "sig", F.col("_n").alias("n")))
 
 
-def _star(lists: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _star(lists: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b): each list's centre against its others, but for those of its component; and the lists (t, sig, n) without their centres."""
-    centre = lists.groupBy("t").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "sig").alias("o"), "sig", "n", "label")).alias("_c"))
+    centre = lists.groupBy("t").agg(F.min(F.struct("sig", "n", "label")).alias("_c"))
     others = cut(lists.join(centre, "t").filter("sig <> _c.sig"))
     pairs = others.filter((F.col("label") != F.col("_c.label")) & may_fit("n", "_c.n", percent))
     return pairs.select(F.least("sig", "_c.sig").alias("a"), F.greatest("sig", "_c.sig").alias("b")).distinct(), others.select("t", "sig", "n")
@@ -143,8 +143,8 @@ def minhash_components(
     whole = checkpointed(_whole_sets(picked, words))
 
     links, found, left = None, None, lists.withColumn("label", F.col("sig"))
-    for turn in range(max(1, stars)):
-        pairs, rest = _star(left, turn, percent)
+    for _ in range(max(1, stars)):
+        pairs, rest = _star(left, percent)
         more = cut(_verified(pairs, whole if links is None else _only(whole, left), percent))
         if links is None or not more.isEmpty():
             links = more if links is None else cut(links.unionByName(more))
