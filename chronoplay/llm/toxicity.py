@@ -37,13 +37,13 @@ FOLDS = 4
 #: Most labelled rows that the model is fitted on; a hash of the id picks them.
 MAX_TRAIN = 16_000
 PREFIXES = range(4, 9)
-#: A unit must be in three toxic documents of the sample, and in one of so many.
-SUPPORT = 300
+#: Toxic documents of the sample, less one fold, that a unit must be in, and what its lower bound must be above.
+SUPPORT, LEAST_BOUND = 3, 0.8
 NEAR = 4
 FEATURES = ("words", "density", "hits", "kinds", "strongest", "mean_hit", "second_person", "capitals", "shouts", "punctuation", "obfuscated", "masked_hits")
 #: Second persons in English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen euch ihr sie tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split())
-#: Words that a worker remembers, of at most so many characters.
+#: Words that a worker remembers, of at most so many characters; longer ones count by their prefixes only.
 REMEMBER, LONG_WORD = 50_000, 100
 #: Counts of units that a task holds before it passes them on.
 HELD = 100_000
@@ -61,38 +61,48 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def units_of(word: str) -> list[str]:
-    return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
+    return [*([word] if len(word) <= LONG_WORD else []), *(word[:k] + "*" for k in PREFIXES if k < len(word))]
 
 
-def weights(units: list[str], in_toxic: np.ndarray, in_clean: np.ndarray, toxic: np.ndarray, clean: np.ndarray, without: int | None = None) -> dict[str, float]:
-    """The units' weights from their counts by fold (a row each), leaving out one fold; weak units go."""
-    use = np.arange(FOLDS) != (-1 if without is None else without)
-    t, c = in_toxic[:, use].sum(axis=1) + 0.5, in_clean[:, use].sum(axis=1) + 0.5
-    bound = np.log(t / (toxic[use].sum() + 1)) - np.log(c / (clean[use].sum() + 1)) - np.sqrt(1 / t + 1 / c)
-    return {units[i]: round(float(bound[i]), 4) for i in np.flatnonzero((t > 2.5) & (bound > 0.8))}
-
-
-def _unit_counts(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(unit, n0, n1, …): documents of each fold that hold a unit; task by task, then by shuffle."""
+def _unit_counts(sample: DataFrame) -> DataFrame:
+    """(unit, t0, t1, …, c0, c1, …): toxic and other documents of each fold that hold a unit; task by task, then by shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = list(found)
-            out = pa.RecordBatch.from_arrays([pa.array([u for _, u in keys], pa.string()), pa.array([f for f, _ in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["unit", "fold", "n"])
+            columns = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [[]] * 4
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
             found.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["y", "fold", "unit", "n"])
 
         for b in batches:
-            for fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                units = {u for w in set(_word.findall(text.lower())) for u in units_of(w)}
-                found.update((fold, u) for u in (units if only is None else units & only))
+            for y, fold, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                found.update((y, fold, u) for u in {u for w in set(_word.findall(text.lower())) for u in units_of(w)})
                 if len(found) > HELD:
                     yield flush()
         yield flush()
 
-    return sample.select("_fold", "_text").mapInArrow(tidy(run), "unit string, fold int, n long").groupBy("unit").agg(*(F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)))
+    sent = sample.select("_y", "_fold", "_text").mapInArrow(tidy(run), "y int, fold int, unit string, n long")
+    return sent.groupBy("unit").agg(*(F.sum(F.when((F.col("fold") == k) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"{name}{k}") for y, name in ((1, "t"), (0, "c")) for k in range(FOLDS)))
+
+
+def _weight(toxic: np.ndarray, clean: np.ndarray, without: int | None) -> Column:
+    """A unit's weight from its counts by fold, leaving out one fold: the lower bound of its log odds; null for weak units."""
+    use = [k for k in range(FOLDS) if k != without]
+    held = sum((F.col(f"t{k}") for k in use), F.lit(0))
+    t, c = held + 0.5, sum((F.col(f"c{k}") for k in use), F.lit(0)) + 0.5
+    bound = F.log(t / float(toxic[use].sum() + 1)) - F.log(c / float(clean[use].sum() + 1)) - F.sqrt(1 / t + 1 / c)
+    return F.when((held >= SUPPORT) & (bound > LEAST_BOUND), F.round(bound, 4))
+
+
+def weights(counts: DataFrame, toxic: np.ndarray, clean: np.ndarray) -> list[dict[str, float]]:
+    """Lexicons without each fold in turn, and the whole one. Only units that have a weight in one of them leave the executors."""
+    names = [f"w{k}" for k in range(FOLDS + 1)]
+    found = counts.select("unit", *(_weight(toxic, clean, k if k < FOLDS else None).alias(n) for k, n in enumerate(names)))
+    found = found.filter(F.coalesce(*names).isNotNull()).toArrow()
+    units = found["unit"].to_pylist()
+    return [{u: w for u, w in zip(units, found[n].to_pylist(), strict=True) if w is not None} for n in names]
 
 
 def _features(docs: DataFrame, lexicons: list[dict[str, float]], keep: str) -> DataFrame:
@@ -187,18 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not toxic.sum() or not clean.sum():
         return ToxicityModel({}, rate)
 
-    # units of few toxic documents can't get a weight, so the others' counts are looked up for the rest only
-    least = max(3, math.ceil(toxic.sum() / SUPPORT))
-    folds = [f"n{k}" for k in range(FOLDS)]
-    found = _unit_counts(sample.filter("_y = 1"), None).filter(" + ".join(folds) + f" >= {least}").toArrow()  # bounded by the sample
-    units = found["unit"].to_pylist()
-    in_toxic = np.stack([found[c].to_numpy() for c in folds], axis=1)
-    place, in_clean = {u: i for i, u in enumerate(units)}, np.zeros_like(in_toxic)
-    found = _unit_counts(sample.filter("_y = 0"), frozenset(units)).toArrow()
-    in_clean[[place[u] for u in found["unit"].to_pylist()]] = np.stack([found[c].to_numpy() for c in folds], axis=1)
-    lexicons = [weights(units, in_toxic, in_clean, toxic, clean, k) for k in range(FOLDS)]
-    whole = weights(units, in_toxic, in_clean, toxic, clean)
-    del found, units, in_toxic, in_clean, place
+    *lexicons, whole = weights(_unit_counts(sample), toxic, clean)
 
     rows = _features(sample.withColumn("_lexicon", F.col("_fold")), lexicons, "_fold _y").withColumn("label", F.col("_y").cast("double"))
     rows = checkpointed(rows.coalesce(4))
