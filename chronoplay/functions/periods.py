@@ -49,6 +49,21 @@ def previous_custom(start: datetime, end: datetime) -> tuple[datetime, datetime]
     return start - (end - start), start
 
 
+def window_of(preset: str, as_of: datetime, start: date | None = None, end: date | None = None) -> tuple[datetime | None, datetime | None]:
+    """(start, end) of a custom range of whole days, if both are given, else of a preset; None: no bound. Ends are closed."""
+    return custom_range(start, end) if start and end else (range_start(preset, as_of), None)
+
+
+def window_before(preset: str, as_of: datetime, start: date | None = None, end: date | None = None) -> tuple[datetime, datetime] | None:
+    """The half-open window before ``window_of``; None where there is none."""
+    return previous_custom(*custom_range(start, end)) if start and end else previous_range(preset, as_of)
+
+
+def window_days(preset: str, start: date | None = None, end: date | None = None) -> int:
+    """Days that pick a series' granularity: of a custom range from its first to its last, so a single day has none."""
+    return (end - start).days if start and end else PRESETS[preset]
+
+
 def series_bucket(days: int) -> str:
     """Granularity of a time series over so many days; 0, a single day or no bound, gives months."""
     return "day" if 1 <= days <= 30 else "week" if 31 <= days <= 180 else "month"

@@ -6,7 +6,7 @@ is joined and fanned out to artists is as small as the tracks that were played.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +21,21 @@ def metric(sort: str) -> str:
     return "play_count" if sort == "plays" else "total_ms"
 
 
+def tally(plays: DataFrame) -> tuple[Column, Column, Column]:
+    """Aggregates of how many plays, the first and the last; a row with ``n_plays`` stands for so many (``partials``)."""
+    if "n_plays" in plays.columns:
+        return F.sum("n_plays"), F.min("first_played"), F.max("last_played")
+    return F.count("*"), F.min("played_at"), F.max("played_at")
+
+
 def in_window(plays: DataFrame, start: datetime | None = None, end: datetime | None = None, half_open: bool = False) -> DataFrame:
-    """Plays from ``start`` to ``end``, its own instant included unless half open."""
+    """Plays from ``start`` to ``end``, its own instant included unless half open. Of plays that are stored by ``play_month``, only the window's months are read."""
+    if "play_month" in plays.columns:
+        for bound, keep in ((start, F.col("play_month") >= F.lit(f"{start:%Y-%m}" if start else "")), (end, F.col("play_month") <= F.lit(f"{end:%Y-%m}" if end else ""))):
+            plays = plays if bound is None else plays.filter(keep)
     at = F.col("played_at")
+    if "n_plays" in plays.columns and any(t is not None and (t + timedelta(milliseconds=t is end and not half_open)).time() != time() for t in (start, end)):
+        raise ValueError("partials by day have windows of whole days only")
     if start is not None:
         plays = plays.filter(at >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -49,9 +61,10 @@ def play_counts(lib: Library, entity: str, by: dict[str, Column] | None = None,
         raise ValueError(f"unknown entity {entity!r}")
     by = by or {}
     plays = lib.plays if plays is None else plays
+    n, first, last = tally(plays)
     tracks = (
         plays.groupBy("user_id", "track_id", *(c.alias(n) for n, c in by.items()))
-        .agg(F.count("*").alias("_n"), F.min("played_at").alias("_first"), F.max("played_at").alias("_last"))
+        .agg(n.alias("_n"), first.alias("_first"), last.alias("_last"))
         .join(lib.tracks.select("track_id", "album_id", "duration_ms"), "track_id")
     )
     if entity == "artist":

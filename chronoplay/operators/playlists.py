@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from datetime import datetime, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import custom_range, period_label, range_start
+from ..functions.periods import period_label, window_of
 from ..functions.text import is_real
 from ..sources.library import Library
 from .facts import in_window, metric
@@ -71,18 +71,13 @@ def presence(lib: Library, entity: str) -> DataFrame:
     return rows.join(lib.playlists, "playlist_id").select("user_id", "entity_id", "playlist_id", "name")
 
 
-def resolve_range(lib: Library, preset: str = "all", start=None, end=None) -> tuple[datetime | None, datetime | None]:
-    """A preset, open to the future, or a closed custom range."""
-    return custom_range(start, end) if start and end else (range_start(preset, lib.as_of), None)
-
-
 def _candidates(counts: DataFrame, order: list[Column], limit: int) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(*order, F.col("track_id"))
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= math.ceil(limit * OVERSAMPLE))
 
 
-def _counted(lib: Library, preset: str, plays: DataFrame | None = None, start=None, end=None) -> DataFrame:
-    plays = in_window(lib.plays if plays is None else plays, *resolve_range(lib, preset, start, end))
+def _counted(lib: Library, preset: str, plays: DataFrame | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    plays = in_window(lib.plays if plays is None else plays, *window_of(preset, lib.as_of, start, end))
     return plays.filter(is_real(F.col("track_id")) | F.lower(F.col("track_id").cast("string")).startswith("import:")).groupBy("user_id", "track_id").agg(F.count("*").alias("play_count"))
 
 
@@ -90,37 +85,37 @@ def _with_time(lib: Library, counts: DataFrame) -> DataFrame:
     return counts.join(lib.tracks.select("track_id", "duration_ms"), "track_id").withColumn("total_ms", F.col("play_count") * F.col("duration_ms")).drop("duration_ms")
 
 
-def top_range(lib: Library, preset: str = "month", limit: int = 20, sort: str = "time") -> DataFrame:
+def top_range(lib: Library, preset: str = "month", limit: int = 20, sort: str = "time", start: date | None = None, end: date | None = None) -> DataFrame:
     """Candidates: a range's top tracks. Local files are never candidates."""
-    return _candidates(_with_time(lib, _counted(lib, preset)), [F.col(metric(sort)).desc()], limit)
+    return _candidates(_with_time(lib, _counted(lib, preset, start=start, end=end)), [F.col(metric(sort)).desc()], limit)
 
 
-def top_artist(lib: Library, artist_id, preset: str = "all", limit: int = 20, sort: str = "time") -> DataFrame:
+def top_artist(lib: Library, artist_id, preset: str = "all", limit: int = 20, sort: str = "time", start: date | None = None, end: date | None = None) -> DataFrame:
     """Candidates: top tracks that credit an artist."""
-    counts = _with_time(lib, _counted(lib, preset)).join(lib.track_artists.filter(F.col("artist_id") == artist_id), "track_id", "left_semi")
+    counts = _with_time(lib, _counted(lib, preset, start=start, end=end)).join(lib.track_artists.filter(F.col("artist_id") == artist_id), "track_id", "left_semi")
     return _candidates(counts, [F.col(metric(sort)).desc()], limit)
 
 
-def top_genre(lib: Library, genre: str, preset: str = "all", limit: int = 20, sort: str = "time") -> DataFrame:
+def top_genre(lib: Library, genre: str, preset: str = "all", limit: int = 20, sort: str = "time", start: date | None = None, end: date | None = None) -> DataFrame:
     """Candidates: top tracks of a genre; a play counts for each credited artist of that genre."""
     times = lib.artists.select("artist_id", F.explode("genres").alias("_g")).filter(F.col("_g") == genre)
     times = lib.track_artists.join(times, "artist_id").groupBy("track_id").agg(F.count("*").alias("_times"))
-    counts = _with_time(lib, _counted(lib, preset)).join(times, "track_id")
+    counts = _with_time(lib, _counted(lib, preset, start=start, end=end)).join(times, "track_id")
     counts = counts.select("user_id", "track_id", *((F.col(c) * F.col("_times")).alias(c) for c in ("play_count", "total_ms")))
     return _candidates(counts, [F.col(metric(sort)).desc()], limit)
 
 
-def deep_cuts(lib: Library, preset: str = "all", limit: int = 20, max_popularity: int = 15, min_plays: int = 2) -> DataFrame:
+def deep_cuts(lib: Library, preset: str = "all", limit: int = 20, max_popularity: int = 15, min_plays: int = 2, start: date | None = None, end: date | None = None) -> DataFrame:
     """Candidates: little known tracks that are played, least known first."""
     known = lib.tracks.filter(F.col("popularity").isNotNull() & (F.col("popularity") <= max_popularity)).select("track_id", "popularity")
-    counts = _counted(lib, preset).filter(F.col("play_count") >= min_plays).join(known, "track_id")
+    counts = _counted(lib, preset, start=start, end=end).filter(F.col("play_count") >= min_plays).join(known, "track_id")
     return _candidates(counts, [F.col("popularity"), F.col("play_count").desc()], limit)
 
 
-def time_vibes(lib: Library, days: list[int], hours: list[int], preset: str = "all", limit: int = 20) -> DataFrame:
+def time_vibes(lib: Library, days: list[int], hours: list[int], preset: str = "all", limit: int = 20, start: date | None = None, end: date | None = None) -> DataFrame:
     """Candidates: tracks played on those days of the week (0: Sunday) at those hours."""
     plays = lib.plays.filter((F.dayofweek("played_at") - 1).isin(days) & F.hour("played_at").isin(hours))
-    return _candidates(_counted(lib, preset, plays), [F.col("play_count").desc()], limit)
+    return _candidates(_counted(lib, preset, plays, start, end), [F.col("play_count").desc()], limit)
 
 
 def rediscovery(lib: Library, limit: int = 20, min_plays: int = 5, recency_days: int = 60) -> DataFrame:
@@ -138,7 +133,7 @@ def generate(lib: Library, strategy: str, limit: int = 20, seed: int = 17, **par
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
     found = STRATEGIES[strategy](lib, limit=limit, **params)
-    w = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "user_id", "track_id"), "track_id")
+    w = Window.partitionBy("user_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "user_id", "track_id")), "track_id")
     return found.select("user_id", "track_id", (F.row_number().over(w) - 1).cast("long").alias("position")).filter(F.col("position") < limit)
 
 

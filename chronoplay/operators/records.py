@@ -8,24 +8,63 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import WEEK_SHIFT, period_label
 from ..session import materialised
 from ..sources.library import Library
-from .charts import CHART_SIZE, period_ranks
-from .facts import metric
+from .charts import CHART_SIZE
+from .facts import ENTITIES, metric, play_counts, tally
 from .islands import number_periods, run_lengths
 
 
+#: What a user without settings gets.
+DEFAULT_WEEK, DEFAULT_SORT = "friday", "time"
+
+
+def weekly_plays(lib: Library, week_start: str = "monday") -> DataFrame:
+    """(user_id, track_id, period, n_plays, first_played, last_played): what the boards of all kinds of entities count, so it is worth storing."""
+    n, first, last = tally(lib.plays)
+    label = period_label(F.col("played_at"), "week", week_start)
+    return lib.plays.groupBy("user_id", "track_id", label.alias("period")).agg(n.alias("n_plays"), first.alias("first_played"), last.alias("last_played"))
+
+
+def weekly_plays_by_settings(lib: Library, settings: DataFrame) -> DataFrame:
+    """``weekly_plays`` with each user's own beginning of the week and metric (``week_start``, ``sort``), from settings (user_id, key, value).
+
+    A user without a setting, or with an unknown value, has the default. Plays
+    are counted by day before settings are joined, so that meets as few rows as
+    can be.
+    """
+    n, first, last = tally(lib.plays)
+    daily = lib.plays.groupBy("user_id", "track_id", F.to_date("played_at").alias("_day")).agg(n.alias("n_plays"), first.alias("first_played"), last.alias("last_played"))
+    value = lambda key, known: F.max(F.when((F.col("key") == key) & F.col("value").isin(*known), F.col("value")))
+    own = settings.groupBy("user_id").agg(value("week_start", WEEK_SHIFT).alias("week_start"), value("sort", ("plays", "time")).alias("sort"))
+    rows = daily.join(own, "user_id", "left").na.fill({"week_start": DEFAULT_WEEK, "sort": DEFAULT_SORT})
+    labels = [F.when(F.col("week_start") == start, period_label(F.col("_day"), "week", start)) for start in WEEK_SHIFT]
+    weeks = rows.groupBy("user_id", "track_id", F.coalesce(*labels).alias("period"), "week_start", "sort")
+    return weeks.agg(F.sum("n_plays").alias("n_plays"), F.min("first_played").alias("first_played"), F.max("last_played").alias("last_played"))
+
+
+def weekly_of(lib: Library, entity: str, facts: DataFrame, sort: str = "time", limit: int | None = None) -> DataFrame:
+    """(user_id, period, entity_id, val, rank) of every entity of every week, from ``weekly_plays``; by each user's metric where they have one."""
+    own = "sort" in facts.columns
+    counts = play_counts(lib, entity, {"period": F.col("period")} | ({"sort": F.col("sort")} if own else {}), facts)
+    value = F.when(F.col("sort") == "plays", F.col("play_count")).otherwise(F.col("total_ms")) if own else F.col(metric(sort))
+    w = Window.partitionBy("user_id", "period").orderBy(F.desc("val"), "entity_id")
+    rows = counts.select("user_id", "period", "entity_id", value.alias("val")).withColumn("rank", F.row_number().over(w).cast("long"))
+    return rows if limit is None else rows.filter(F.col("rank") <= limit)
+
+
 def weekly_ranks(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
-    """(user_id, period, entity_id, val, rank), every entity of every week; ``records`` materialises it."""
-    return period_ranks(lib, entity, "week", week_start, sort).select("user_id", "period", "entity_id", F.col(metric(sort)).alias("val"), "rank")
+    """``weekly_of`` in one plan; ``records`` materialises it."""
+    return weekly_of(lib, entity, weekly_plays(lib, week_start), sort)
 
 
 def weekly_leaders(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """Of ``weekly_ranks`` the first of each week only, which is all that ``most_number_ones`` needs."""
-    return period_ranks(lib, entity, "week", week_start, sort, limit=1).select("user_id", "period", "entity_id", F.col(metric(sort)).alias("val"), "rank")
+    return weekly_of(lib, entity, weekly_plays(lib, week_start), sort, limit=1)
 
 
 def _board(rows: DataFrame, name: str, limit: int) -> DataFrame:
@@ -97,8 +136,13 @@ def most_number_ones(lib: Library, of: str, weekly: DataFrame, limit: int = 10)
 
 
 def records(lib: Library, entity: str, week_start: str = "monday", sort: str = "time", limit: int = 10) -> DataFrame:
-    """All boards of a kind of entity."""
-    weekly = materialised(weekly_ranks(lib, entity, week_start, sort))
+    """All boards of a kind of entity, from one pass over the plays."""
+    return boards_of(lib, entity, materialised(weekly_plays(lib, week_start)), sort, limit)
+
+
+def boards_of(lib: Library, entity: str, facts: DataFrame, sort: str = "time", limit: int = 10) -> DataFrame:
+    """All boards of a kind of entity from stored ``weekly_plays``."""
+    weekly = materialised(weekly_of(lib, entity, facts, sort))
     boards = [
         peak_week(weekly, limit),
         biggest_debut(weekly, limit),
@@ -108,7 +152,7 @@ def records(lib: Library, entity: str, week_start: str = "monday", sort: str = "
         in_most_playlists(lib, entity, limit),
     ]
     if entity == "artist":
-        boards += [most_number_ones(lib, of, weekly_leaders(lib, of, week_start, sort), limit) for of in ("track", "album")]
+        boards += [most_number_ones(lib, of, weekly_of(lib, of, facts, sort, limit=1), limit) for of in ("track", "album")]
     return reduce(DataFrame.unionByName, boards)
 
 
@@ -119,22 +163,53 @@ def accolades(lib: Library, entity: str, week_start: str = "monday", sort: str =
     return boards.withColumn("board", F.explode(names))
 
 
-def store_records(lib: Library, path: str, week_start: str = "friday", sort: str = "time", limit: int = 50) -> None:
-    """Boards of all kinds of entities and all users, written for look-ups: the job that a scheduler runs every few hours.
+STORED = "user_id long, entity string, board string, position long, entity_id string, value long, week string"
 
-    Files are partitioned by kind and by settings, and sorted by user, so a user's boards are few row groups.
-    """
-    for entity in ("track", "album", "artist"):
-        rows = records(lib, entity, week_start, sort, limit)
-        rows.repartitionByRange("user_id").sortWithinPartitions("user_id", "board", "position").write.mode("overwrite").parquet(f"{path}/entity={entity}/week_start={week_start}/sort={sort}")
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def all_boards(lib: Library, settings: DataFrame, limit: int = 50) -> DataFrame:
+    """``STORED`` rows: boards of tracks, albums and artists of every user, by the user's own settings, from one pass over the plays."""
+    facts = materialised(weekly_plays_by_settings(lib, settings))
+    each = [boards_of(lib, e, facts, limit=limit).select("user_id", F.lit(e).alias("entity"), "board", "position", F.col("entity_id").cast("string").alias("entity_id"), "value", "week") for e in ENTITIES]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _write_buckets(rows: DataFrame, path: str, buckets: int, dynamic: bool) -> None:
+    ordered = rows.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "user_id", "entity", "board", "position")
+    ordered.write.option("partitionOverwriteMode", "dynamic" if dynamic else "static").mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def store_records(lib: Library, settings: DataFrame, path: str, buckets: int = 64, limit: int = 50) -> None:
+    """Boards of all users, written for look-ups: a folder for each bucket of users, sorted by user inside."""
+    _write_buckets(all_boards(lib, settings, limit), path, buckets, dynamic=False)
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{STORED}, bucket int").parquet(path).drop("bucket")
 
 
-def refresh_records(lib: Library, path: str, due: DataFrame, week_start: str = "friday", sort: str = "time", limit: int = 50) -> bool:
-    """``store_records`` again if any of the ``due`` users (``ingest.records_due``) has plays; whether it was.
+def refresh_records(lib: Library, settings: DataFrame, path: str, due: DataFrame, buckets: int = 64, limit: int = 50) -> bool:
+    """New boards for the ``due`` users only (``ingest.records_due``); whether there were any.
 
-    Boards are computed for all users in one pass, so one stale user costs as much as all.
+    Plays and settings of other users aren't counted. The users' buckets are
+    written anew, with the other users' rows as they were; files of other
+    buckets aren't touched. A due user who has no plays any more loses the boards.
     """
-    if lib.plays.join(due, "user_id", "left_semi").isEmpty():
+    users = materialised(due.select("user_id").distinct())
+    if users.isEmpty():
         return False
-    store_records(lib, path, week_start, sort, limit)
+    mine = lib.but(plays=lib.plays.join(users, "user_id", "left_semi"), playlists=lib.playlists.join(users, "user_id", "left_semi"))
+    new = all_boards(mine, settings.join(users, "user_id", "left_semi"), limit)
+    touched = users.select(_bucket(buckets).alias("bucket")).distinct()
+    old = lib.spark.read.schema(f"{STORED}, bucket int").parquet(path)
+    kept = old.join(touched, "bucket", "left_semi").join(users, "user_id", "left_anti").select(new.columns)
+    rows = materialised(new.unionByName(kept))  # read before files are replaced
+    emptied = [r[0] for r in touched.join(rows.select(_bucket(buckets).alias("bucket")), "bucket", "left_anti").collect()]  # at most ``buckets``
+    _write_buckets(rows, path, buckets, dynamic=True)
+    for b in emptied:  # a bucket without rows has no file to replace its old ones
+        where = lib.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        where.getFileSystem(lib.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     return True

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains, fold, is_real
+from ..session import materialised
 from ..sources.library import Library
 from .facts import play_counts
+from .search_index import build_index, look_up, matching
 
 LEAST_TERM = 2
 
@@ -20,8 +21,24 @@ def with_folded_names(lib: Library) -> Library:
     return lib.but(**folded)
 
 
-def _hits(frame: DataFrame, key: str, condition) -> DataFrame:
-    return frame.filter(is_real(F.col(key)) & condition)
+#: Dimensions that are searched, and their keys.
+SEARCHED = {"artists": "artist_id", "albums": "album_id", "tracks": "track_id"}
+
+
+def index_names(lib: Library, path: str) -> None:
+    """Write a search index (``search_index``) of each dimension; with it searches don't scan them."""
+    for kind, key in SEARCHED.items():
+        build_index(getattr(lib, kind), key, f"{path}/{kind}")
+
+
+def _hits(lib: Library, kind: str, term: str, index: str | None) -> DataFrame:
+    """(key, name) of a dimension's real rows whose folded name holds the term: by the index at that path, else by ``name_folded``."""
+    key = SEARCHED[kind]
+    if index is None:
+        rows = getattr(lib, kind).filter(contains(F.col("name_folded"), check_term(term))).select(key, "name")
+    else:
+        rows = matching(lib.spark, f"{index}/{kind}", check_term(term)).withColumnRenamed("key", key)
+    return rows.filter(is_real(F.col(key)))
 
 
 def _listed(rows: DataFrame, counts: DataFrame, key: str, limit: int) -> DataFrame:
@@ -39,28 +56,36 @@ def check_term(term: str) -> str:
     return term
 
 
-def search_artists(lib: Library, user_id: int, term: str, limit: int = 20) -> DataFrame:
-    hits = _hits(lib.artists, "artist_id", contains(F.col("name_folded"), check_term(term))).select("artist_id", "name")
+def search_artists(lib: Library, user_id: int, term: str, limit: int = 20, index: str | None = None) -> DataFrame:
+    hits = _hits(lib, "artists", term, index)
     counts = lib.plays.filter(F.col("user_id") == user_id).groupBy("track_id").agg(F.count("*").alias("_n"))
     counts = counts.join(lib.track_artists.join(hits, "artist_id", "left_semi"), "track_id").groupBy("artist_id").agg(F.sum("_n").alias("play_count"))
     return _listed(hits, counts, "artist_id", limit)
 
 
-def search_albums(lib: Library, user_id: int, term: str, limit: int = 20) -> DataFrame:
+def search_albums(lib: Library, user_id: int, term: str, limit: int = 20, index: str | None = None) -> DataFrame:
     """Albums with the plays of those merged into them; the user's merged albums are hidden."""
-    hits = _hits(lib.albums, "album_id", contains(F.col("name_folded"), check_term(term))).select("album_id", "name")
     merged = lib.merge_rules.filter(F.col("user_id") == user_id).select(F.col("source_id").alias("album_id"))
-    hits = hits.join(merged, "album_id", "left_anti")
+    hits = _hits(lib, "albums", term, index).join(merged, "album_id", "left_anti")
     counts = play_counts(lib, "album", plays=lib.plays.filter(F.col("user_id") == user_id)).select(F.col("entity_id").alias("album_id"), "play_count")
     return _listed(hits, counts, "album_id", limit)
 
 
-def search_tracks(lib: Library, user_id: int, term: str, limit: int = 20) -> DataFrame:
+def search_tracks(lib: Library, user_id: int, term: str, limit: int = 20, index: str | None = None) -> DataFrame:
     """Tracks whose own name or first artist's name matches."""
-    artists = lib.artists.select("artist_id", F.col("name").alias("artist_name"), F.col("name_folded").alias("_artist"))
-    tracks = lib.tracks.select("track_id", "name", "name_folded").join(lib.primary_artists, "track_id", "left").join(artists, "artist_id", "left")
-    hits = _hits(tracks, "track_id", contains(F.col("name_folded"), check_term(term)) | F.coalesce(contains(F.col("_artist"), term), F.lit(False)))
     counts = lib.plays.filter(F.col("user_id") == user_id).groupBy("track_id").agg(F.count("*").alias("play_count"))
+    if index is None:
+        artists = lib.artists.select("artist_id", F.col("name").alias("artist_name"), F.col("name_folded").alias("_artist"))
+        tracks = lib.tracks.select("track_id", "name", "name_folded").join(lib.primary_artists, "track_id", "left").join(artists, "artist_id", "left")
+        hits = tracks.filter(is_real(F.col("track_id")) & (contains(F.col("name_folded"), check_term(term)) | F.coalesce(contains(F.col("_artist"), term), F.lit(False))))
+        return _listed(hits.select("track_id", "name", "artist_name"), counts, "track_id", limit)
+    own = matching(lib.spark, f"{index}/tracks", check_term(term)).select(F.col("key").alias("track_id"))
+    by_artist = matching(lib.spark, f"{index}/artists", term).select(F.col("key").alias("artist_id"))
+    keys = materialised(own.unionByName(lib.primary_artists.join(by_artist, "artist_id", "left_semi").select("track_id")).distinct().filter(is_real(F.col("track_id"))))
+    names = look_up(lib.spark, f"{index}/tracks", keys).select(F.col("key").alias("track_id"), "name")
+    first = materialised(lib.primary_artists.join(keys, "track_id", "left_semi"))
+    credits = look_up(lib.spark, f"{index}/artists", first.select("artist_id").distinct()).select(F.col("key").alias("artist_id"), F.col("name").alias("artist_name"))
+    hits = names.join(first, "track_id", "left").join(credits, "artist_id", "left")
     return _listed(hits.select("track_id", "name", "artist_name"), counts, "track_id", limit)
 
 
@@ -119,33 +144,55 @@ def merge_problems(rules: DataFrame, new: DataFrame | None = None) -> DataFrame:
     return out
 
 
+RULE_FAULT = "user_id long, source_id string, target_id string, problem string"
+
+
+def rule_faults(source, target, rules: dict, targets: set) -> list[str]:
+    """Problems of a rule beside a user's rules (source: target), whose targets are ``targets``."""
+    found = ["self"] if source == target else []
+    if rules.get(source) == target:
+        found.append("duplicate")
+    elif source in rules:
+        found.append("two_targets")
+    if source != target:
+        if rules.get(target) == source:
+            found.append("reverse")
+        if target in rules or source in targets:
+            found.append("chain")
+    return found
+
+
 def add_merge_rules(rules: DataFrame, new: DataFrame, albums: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules with what may be added of ``new``, (user_id, source_id, target_id, problem) of the rest).
 
-    New rules are checked against the table, not against each other: batches
-    hold rules that don't meet (``merge_problems`` of the result tells). Problems
-    are those of ``merge_problems``, and unknown_source and unknown_target.
+    New rules (user_id, source_id, target_id, seq) are taken one by one, by
+    ``seq``, each beside those taken before it, as if they were added to the
+    table singly: of (a, b), (b, a), (b, c), (a, d) only (a, b) is taken.
+    Problems are those of ``merge_problems``, and unknown_source and
+    unknown_target. Ties go by source and target. A user's rules are folded in
+    one task; a user has at most as many as albums.
     """
-    keys, known = ["user_id", "source_id", "target_id"], albums.select("album_id").distinct()
-    new = new.select(*keys).distinct()
-    problems = _against(rules, new)
+    known = albums.select(F.col("album_id").alias("_known")).distinct()
     for side in ("source", "target"):
-        unknown = new.join(known, new[f"{side}_id"] == known["album_id"], "left_anti")
-        problems = problems.unionByName(unknown.select(*keys, F.lit(f"unknown_{side}").alias("problem")))
-    good = new.join(problems.select(keys).distinct(), keys, "left_anti")
-    return rules.unionByName(good.select(rules.columns)), problems
-
-
-def _against(rules: DataFrame, new: DataFrame) -> DataFrame:
-    """Problems of new rules with those of the table."""
-    keys = ["user_id", "source_id", "target_id"]
-    flip = rules.select("user_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))
-    sources, targets = (rules.select("user_id", F.col(f"{side}_id").alias("_a")).distinct() for side in ("source", "target"))
-    chain = new.withColumn("_a", F.col("target_id")).join(sources, ["user_id", "_a"], "left_semi").unionByName(new.withColumn("_a", F.col("source_id")).join(targets, ["user_id", "_a"], "left_semi"))
-    forks = rules.select("user_id", "source_id", F.col("target_id").alias("_t"))
-    two = new.join(forks, ["user_id", "source_id"]).filter("target_id <> _t")
-    found = [(new.filter("source_id = target_id"), "self"), (new.join(rules, keys, "left_semi"), "duplicate"), (new.join(flip, keys, "left_semi"), "reverse"), (chain, "chain"), (two, "two_targets")]
-    return reduce(DataFrame.unionByName, [rows.select(*keys, F.lit(name).alias("problem")).distinct() for rows, name in found])
+        new = new.join(known.withColumnRenamed("_known", f"{side}_id").withColumn(f"_{side}", F.lit(True)), f"{side}_id", "left")
+    told = F.filter(F.array(*(F.when(F.col(f"_{side}").isNull(), F.lit(f"unknown_{side}")) for side in ("source", "target"))), lambda x: x.isNotNull())
+    asked = new.select("user_id", "source_id", "target_id", "seq", told.alias("_told"))
+    old = rules.select("user_id", "source_id", "target_id")
+
+    def fold(have: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        mine = dict(zip(have["source_id"], have["target_id"], strict=True))
+        targets, out = set(mine.values()), []
+        for user, source, target, _, told in asked.sort_values(["seq", "source_id", "target_id"]).itertuples(index=False):
+            faults = [*rule_faults(source, target, mine, targets), *told]
+            if not faults:
+                mine[source] = target
+                targets.add(target)
+            out += [(user, source, target, f) for f in faults or [None]]
+        return pd.DataFrame(out, columns=["user_id", "source_id", "target_id", "problem"])
+
+    checked = materialised(old.groupBy("user_id").cogroup(asked.groupBy("user_id")).applyInPandas(fold, RULE_FAULT))
+    good = checked.filter("problem is null").select(rules.columns)
+    return rules.unionByName(good), checked.filter("problem is not null").distinct()
 
 
 def delete_merge_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:

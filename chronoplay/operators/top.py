@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import date, datetime
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.periods import PRESETS, period_label, previous_range, range_start, series_bucket
+from ..functions.periods import period_label, range_start, series_bucket, window_before, window_days, window_of
 from ..session import materialised
 from ..sources.library import Library
 from .charts import since
-from .facts import in_window, metric, play_counts, ranked, resolved_albums
+from .facts import in_window, metric, play_counts, ranked, resolved_albums, tally
 
 PREVIOUS_LIMIT = 200
 
 
-def top_entities(lib: Library, entity: str, preset: str = "month", sort: str = "time", limit: int = 50) -> DataFrame:
-    """Each user's top list with its change against the window before.
+def _inside(at: Column, start: datetime | None, end: datetime | None, half_open: bool = False) -> Column:
+    bounds = [at >= F.lit(start).cast("timestamp_ntz")] if start is not None else []
+    if end is not None:
+        bound = F.lit(end).cast("timestamp_ntz")
+        bounds.append(at < bound if half_open else at <= bound)
+    return reduce(and_, bounds, F.lit(True))
+
+
+def top_entities(lib: Library, entity: str, preset: str = "month", sort: str = "time", limit: int = 50, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Each user's top list, of a preset or of the days from ``start`` to ``end``, with its change against the window before.
 
     Only the first 200 of the window before count as known there. Without such
-    a window, previous_rank and rank_change are null and is_new is false.
+    a window, previous_rank and rank_change are null and is_new is false. Both
+    windows are counted in one pass over the plays.
     """
-    now = ranked(play_counts(lib, entity, plays=in_window(lib.plays, range_start(preset, lib.as_of))), ["user_id"], sort, limit)
-    now = now.select("user_id", "rank", "entity_id", "play_count", "total_ms")
-    window = previous_range(preset, lib.as_of)
-    if window is None:
-        return now.withColumns({"previous_rank": F.lit(None).cast("long"), "rank_change": F.lit(None).cast("long"), "is_new": F.lit(False)})
-    before = ranked(play_counts(lib, entity, plays=in_window(lib.plays, *window, half_open=True)), ["user_id"], sort, PREVIOUS_LIMIT)
-    before = before.select("user_id", "entity_id", F.col("rank").alias("previous_rank"))
-    return now.join(before, ["user_id", "entity_id"], "left").withColumns(
-        {"rank_change": F.col("previous_rank") - F.col("rank"), "is_new": F.col("previous_rank").isNull()}
-    )
+    window, before = window_of(preset, lib.as_of, start, end), window_before(preset, lib.as_of, start, end)
+    if before is None:
+        now = ranked(play_counts(lib, entity, plays=in_window(lib.plays, *window)), ["user_id"], sort, limit)
+        return now.select("user_id", "rank", "entity_id", "play_count", "total_ms", F.lit(None).cast("long").alias("previous_rank"), F.lit(None).cast("long").alias("rank_change"), F.lit(False).alias("is_new"))
+    at = F.col("played_at")
+    in_window(lib.plays, *before, half_open=True)  # refuses bounds that partials by day don't have
+    plays = in_window(lib.plays, before[0], window[1]).filter(_inside(at, *window) | _inside(at, *before, half_open=True))
+    counts = play_counts(lib, entity, {"_now": _inside(at, *window)}, plays)
+    both = counts.groupBy("user_id", "entity_id").agg(*(F.sum(F.when(flag, F.col(c))).alias(name) for flag, names in ((F.col("_now"), ("play_count", "total_ms")), (~F.col("_now"), ("_plays", "_ms"))) for c, name in zip(("play_count", "total_ms"), names, strict=True)))
+    place = lambda value: F.row_number().over(Window.partitionBy("user_id").orderBy(F.col(value).desc_nulls_last(), "entity_id")).cast("long")
+    known = F.when(F.col("_plays").isNotNull() & (F.col("_place") <= PREVIOUS_LIMIT), F.col("_place"))
+    rows = both.withColumn("_place", place("_plays" if metric(sort) == "play_count" else "_ms")).withColumn("rank", place(metric(sort))).filter(F.col("play_count").isNotNull() & (F.col("rank") <= limit))
+    rows = rows.select("user_id", "rank", "entity_id", "play_count", "total_ms", known.alias("previous_rank"))
+    return rows.withColumns({"rank_change": F.col("previous_rank") - F.col("rank"), "is_new": F.col("previous_rank").isNull()})
 
 
 def entity_stats(lib: Library, entity: str) -> DataFrame:
@@ -45,15 +62,16 @@ def total_stats(lib: Library, plays: DataFrame | None = None) -> DataFrame:
 
 def series(lib: Library, granularity: str, plays: DataFrame | None = None) -> DataFrame:
     """Plays and time of each user by period."""
-    rows = (lib.plays if plays is None else plays).groupBy("user_id", "track_id", period_label(F.col("played_at"), granularity).alias("period")).agg(F.count("*").alias("_n"))
+    plays = lib.plays if plays is None else plays
+    rows = plays.groupBy("user_id", "track_id", period_label(F.col("played_at"), granularity).alias("period")).agg(tally(plays)[0].alias("_n"))
     rows = rows.join(lib.tracks.select("track_id", "duration_ms"), "track_id")
     return rows.groupBy("user_id", "period").agg(F.sum("_n").alias("play_count"), F.sum(F.col("_n") * F.col("duration_ms")).alias("total_ms"))
 
 
-def entity_series(lib: Library, entity: str, preset: str) -> DataFrame:
-    """Plays and time of each entity by period; the window's length picks the granularity."""
-    bucket = series_bucket(PRESETS[preset])
-    plays = in_window(lib.plays, range_start(preset, lib.as_of))
+def entity_series(lib: Library, entity: str, preset: str = "all", start: date | None = None, end: date | None = None) -> DataFrame:
+    """Plays and time of each entity by period, over a preset or from ``start`` to ``end``; the window's length picks the granularity."""
+    bucket = series_bucket(window_days(preset, start, end))
+    plays = in_window(lib.plays, *window_of(preset, lib.as_of, start, end))
     return play_counts(lib, entity, {"period": period_label(F.col("played_at"), bucket)}, plays).drop("first_played", "last_played")
 
 
@@ -95,9 +113,9 @@ def ranking_history(lib: Library, entity: str, sort: str = "time") -> DataFrame:
     return totals.select("user_id", "period", "entity_id", "total", rank.alias("rank"))
 
 
-def genres(lib: Library, preset: str = "all", limit: int = 50) -> DataFrame:
-    """Each user's genres by plays; a play counts for each genre of each credited artist."""
-    counts = play_counts(lib, "artist", plays=in_window(lib.plays, range_start(preset, lib.as_of)))
+def genres(lib: Library, preset: str = "all", limit: int = 50, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Each user's genres by plays, over a preset or from ``start`` to ``end``; a play counts for each genre of each credited artist."""
+    counts = play_counts(lib, "artist", plays=in_window(lib.plays, *window_of(preset, lib.as_of, start, end)))
     each = counts.join(lib.artists.select(F.col("artist_id").alias("entity_id"), F.explode("genres").alias("genre")), "entity_id")
     totals = each.groupBy("user_id", "genre").agg(F.sum("play_count").alias("play_count"), F.sum("total_ms").alias("total_ms"))
     return ranked(totals, ["user_id"], "plays", limit, tie="genre")

@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import charts, history, ingest, islands, playlists, records, search, top
+from ..operators import charts, history, ingest, islands, partials, playlists, records, search, top
 from ..operators.facts import resolved_albums
 from ..sources.files import normalise_basic, normalise_extended
 from ..sources.library import Library, events_library, star_library
@@ -158,12 +158,31 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataF
     return spark.read.schema(rows.schema).parquet(f"{where}/rows")
 
 
+PLAYS = "user_id long, played_at timestamp, track_id long"
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Tables of plays and of their partials after a stream of four files: each holds a quarter of the events, and a quarter that came before."""
+    where = _shared(spark, "plays")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("played_at"), F.get_json_object("props", "$.k").cast("long").alias("track_id"), F.pmod("event_id", F.lit(4)).alias("part"))
+    for part in range(4):
+        rows.filter(F.col("part").isin(part, max(0, part - 1))).drop("part").write.mode("append").parquet(f"{where}/feed")
+    sink = stream.append_new(f"{where}/plays", PLAYS, f"{where}/partials")
+    files = len(spark.read.schema(PLAYS).parquet(f"{where}/feed").inputFiles())
+    feed = spark.readStream.schema(PLAYS).option("maxFilesPerTrigger", max(1, files // 4)).parquet(f"{where}/feed")
+    feed.writeStream.foreachBatch(sink).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{where}/plays", f"{where}/partials"
+
+
 def stream_dedupe_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def plan(events: DataFrame) -> DataFrame:
-        rows = events.select("user_id", F.col("ts").cast("timestamp").alias("played_at"), F.get_json_object("props", "$.k").cast("long").alias("track_id"))
-        return stream.deduplicated(rows.unionByName(rows), lateness=None)
+    """Plays that came late and more than once, appended to a table of committed batches."""
+    rows = stream.read_plays(spark, _appended(spark, sf_dir)[0], PLAYS)
+    return rows.select("user_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("played_at"), "track_id")
+
 
-    return _streamed(spark, sf_dir, "deduped", plan).select("user_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("played_at"), "track_id")
+def stream_partial_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings from the partials that the same stream keeps."""
+    return top.rankings(events_library(spark, sf_dir).but(plays=partials.partial_plays(spark, _appended(spark, sf_dir)[1])), "track")
 
 
 def stream_local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +198,7 @@ def stream_local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stream.now_playing(_snapshots(spark, sf_dir), "2024-01-20 00:00:00", "1000000 minutes")
+    rows = stream.now_playing(_snapshots(spark, sf_dir), "2024-01-31 00:00:00", "36 hours")
     return rows.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "is_playing", "item_id", "progress_ms")
 
 
@@ -197,15 +216,66 @@ def _folded(plan: Callable[[Library], DataFrame]) -> Query:
     return _star(lambda lib: plan(search.with_folded_names(lib)))
 
 
-#: rules that are sound, and a chain, a pair of reverse rules, a fork, a rule to itself, and one to an unknown album
-RULES = [
-    (0, "Brand#31", "Brand#32"), (1, "Brand#11", "Brand#12"), (1, "Brand#12", "Brand#13"), (2, "Brand#21", "Brand#22"), (2, "Brand#22", "Brand#21"), (3, "Brand#14", "Brand#15"),
-    (3, "Brand#14", "Brand#33"), (4, "Brand#41", "Brand#41"), (4, "Brand#42", "Nowhere"), (0, "Brand#24", "Brand#41"), (2, "Brand#44", "Brand#25"),
-]
+def _rules(lib: Library) -> DataFrame:
+    """Rules that users ask for, one after the other, from the tracks: sound ones, and any that must not be added."""
+    number = F.expr("track_id div 7") % 26  # there is no Brand#0
+    return lib.tracks.select(
+        (F.col("track_id") % 7).alias("user_id"), F.coalesce("album_id", F.lit("Nowhere")).alias("source_id"), F.concat(F.lit("Brand#"), number.cast("string")).alias("target_id"), F.col("track_id").alias("seq")
+    )
 
 
-def _rules(lib: Library) -> DataFrame:
-    return lib.spark.createDataFrame(RULES, lib.merge_rules.schema)
+def _added(lib: Library) -> DataFrame:
+    return search.add_merge_rules(lib.merge_rules, _rules(lib), lib.albums)[0]
+
+
+def _merge_problems(lib: Library) -> DataFrame:
+    return search.merge_problems(_rules(lib).drop("seq"))
+
+
+def _rule_deletion(lib: Library) -> DataFrame:
+    rules = _added(lib)
+    return search.delete_merge_rules(rules, rules.filter("user_id = 1"))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the cluster's shared one; a temporary one in local tests only."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chk")
+    return f"{shared}/tables/{name}_{uuid.uuid4().hex}"
+
+
+def _from_partials(lib: Library) -> Library:
+    """The library whose plays are stored partials, added in three batches that share days."""
+    path, spark = _shared(lib.spark, "partials"), lib.spark
+    for number in range(3):
+        partials.add_plays(path)(lib.plays.filter(F.pmod(F.xxhash64("user_id", "track_id", "played_at"), F.lit(3)) == number), number)
+    return lib.but(plays=partials.partial_plays(spark, path))
+
+
+def _indexed(plan: Callable[[Library, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lib, path = star_library(spark, sf_dir), _shared(spark, "search")
+        search.index_names(lib, path)
+        return plan(lib, path)
+
+    return run
+
+
+def _own_settings(lib: Library) -> DataFrame:
+    """Settings of some users, by their number: beginnings of the week and metrics, and values that aren't known."""
+    users = lib.plays.select("user_id").distinct()
+    week = F.when(F.col("user_id") % 4 == 0, "monday").when(F.col("user_id") % 4 == 1, "sunday").when(F.col("user_id") % 4 == 2, "whenever")
+    sort = F.when(F.col("user_id") % 2 == 0, "plays")
+    each = F.explode(F.array(F.struct(F.lit("week_start").alias("key"), week.alias("value")), F.struct(F.lit("sort").alias("key"), sort.alias("value"))))
+    return users.select("user_id", each.alias("_s")).select("user_id", "_s.*").filter("value is not null")
+
+
+def records_by_settings(lib: Library) -> DataFrame:
+    """Stored boards after a user without settings chose weeks from Monday and was refreshed."""
+    path, settings = _shared(lib.spark, "records"), _own_settings(lib)
+    records.store_records(lib, settings, path, buckets=8, limit=10)
+    new = lib.plays.filter("user_id = 3").select("user_id").distinct().select("user_id", F.lit("week_start").alias("key"), F.lit("monday").alias("value"), F.lit(1).alias("seq"))
+    records.refresh_records(lib, ingest.put_settings(settings, new), path, ingest.records_due(new), buckets=8, limit=10)
+    return records.stored_records(lib.spark, path)
 
 
 def _album_artists(lib: Library) -> DataFrame:
@@ -223,7 +293,7 @@ def _synced(lib: Library) -> DataFrame:
     members = lib.playlist_tracks.join(lib.playlists.select("playlist_id", "user_id"), "playlist_id")
     feed = stored.filter("playlist_id % 4 <> 0").withColumn("snapshot_id", F.concat(F.lit("v"), (F.col("playlist_id") % 3).cast("string")))
     moved = members.filter("playlist_id % 4 <> 0").withColumn("track_id", F.col("track_id") + 1)
-    return playlists.sync_playlists(stored, members, feed, moved)[1].groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.sum("track_id").alias("ids"))
+    return playlists.sync_playlists(stored, members, feed, moved)[1].select("playlist_id", "track_id")
 
 
 def _inserted(lib: Library) -> DataFrame:
@@ -271,6 +341,9 @@ def _period_entries(lib: Library) -> DataFrame:
     return rows.withColumn("peak_periods", F.array_join("peak_periods", ","))
 
 
+#: A custom range of whole days.
+FROM, UNTIL = date(2024, 1, 12), date(2024, 1, 18)
+
 QUERIES: dict[str, Query] = {
     "top_tracks": _star(lambda lib: top.top_entities(lib, "track", "year")),
     "top_artists": _star(lambda lib: top.top_entities(lib, "artist", "year", "plays")),
@@ -299,7 +372,7 @@ QUERIES: dict[str, Query] = {
     "artist_top_albums": _star(top.artist_top_albums),
     "album_artists": _star(_album_artists),
     "album_tracks": _star(lambda lib: history.album_tracks(lib, 1)),
-    "album_ids_resolved": _star(history.album_ids),
+    "album_ids_resolved": _star(lambda lib: history.album_ids(lib.but(merge_rules=_added(lib)))),
     "album_resolution": _star(_album_resolution),
     "enrich_track": _star(_flat_tracks),
     "track_artists_ordered": _star(history.ordered_track_artists),
@@ -344,12 +417,12 @@ QUERIES: dict[str, Query] = {
     "merge_info": _star(search.merge_info),
     "merge_list": _star(search.merge_list),
     "merge_suggestions": _star(lambda lib: search.merge_suggestions(lib, 1)),
-    "merge_problems": _star(lambda lib: search.merge_problems(_rules(lib))),
-    "merge_rules_added": _star(lambda lib: search.add_merge_rules(lib.merge_rules, _rules(lib), lib.albums)[0]),
-    "merge_rules_deleted": _star(lambda lib: search.delete_merge_rules(lib.merge_rules, lib.merge_rules.filter("user_id = 1"))),
+    "merge_problems": _star(_merge_problems),
+    "merge_rules_added": _star(_added),
+    "merge_rules_deleted": _star(_rule_deletion),
     "search_accents": _folded(lambda lib: search.search_artists(lib, 1, "SÚPPLÏER#00000000_\u0301")),
     "playlists_synced": _star(_synced),
-    "generated_playlists": _events(lambda lib: playlists.generate(lib, "rediscovery", 10, min_plays=2, recency_days=10).groupBy("user_id").agg(F.count("*").alias("tracks"))),
+    "generated_playlists": _events(lambda lib: playlists.generate(lib, "rediscovery", 10, min_plays=2, recency_days=10)),
     "albums_inserted": _star(_inserted),
     "settings_merged": settings_merged,
     "artists_enriched": _star(_enriched),
@@ -384,4 +457,24 @@ QUERIES: dict[str, Query] = {
     "now_playing": now_playing,
     "stream_dedupe_plays": stream_dedupe_plays,
     "stream_local_plays": stream_local_plays,
+    "top_tracks_custom": _events(lambda lib: top.top_entities(lib, "track", start=FROM, end=UNTIL)),
+    "top_albums_custom": _star(lambda lib: top.top_entities(lib, "album", sort="plays", start=date(1997, 3, 1), end=date(1997, 5, 31))),
+    "genres_custom": _events(lambda lib: top.genres(lib, start=FROM, end=UNTIL)),
+    "entity_series_custom": _events(lambda lib: top.entity_series(lib, "artist", start=FROM, end=UNTIL)),
+    "entity_series_one_day": _events(lambda lib: top.entity_series(lib, "artist", start=FROM, end=FROM)),
+    "strategy_top_range_custom": _events(lambda lib: playlists.top_range(lib, limit=10, start=FROM, end=UNTIL)),
+    "strategy_top_artist_custom": _events(lambda lib: playlists.top_artist(lib, 1, limit=10, start=FROM, end=UNTIL)),
+    "strategy_top_genre_custom": _events(lambda lib: playlists.top_genre(lib, "ASIA", limit=10, start=FROM, end=UNTIL)),
+    "strategy_deep_cuts_custom": _events(lambda lib: playlists.deep_cuts(lib, limit=10, min_plays=1, start=FROM, end=UNTIL)),
+    "strategy_time_vibes_custom": _events(lambda lib: playlists.time_vibes(lib, [0, 6], [20, 21, 22, 23], limit=10, start=FROM, end=UNTIL)),
+    "records_by_settings": _star(records_by_settings),
+    "partial_top_artists": _star(lambda lib: top.top_entities(_from_partials(lib), "artist", "year", "plays")),
+    "partial_week_chart": _star(lambda lib: charts.chart_facts(_from_partials(lib), "artist", week_start="friday")),
+    "partial_series_week": _star(lambda lib: top.series(_from_partials(lib), "week")),
+    "partial_ranking_history": _star(lambda lib: top.ranking_history(_from_partials(lib), "artist")),
+    "partial_records": _star(lambda lib: records.records(_from_partials(lib), "track")),
+    "stream_partial_rankings": stream_partial_rankings,
+    "search_index_artists": _indexed(lambda lib, path: search.search_artists(lib, 1, "0003", index=path)),
+    "search_index_albums": _indexed(lambda lib, path: search.search_albums(lib, 1, "brand#2", index=path)),
+    "search_index_tracks": _indexed(lambda lib, path: search.search_tracks(lib, 1, "00_1", index=path)),
 }

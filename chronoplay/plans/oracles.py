@@ -180,7 +180,6 @@ ORACLES: dict[str, str] = {
         SELECT p.user_id, a.artist_id, coalesce(m.target_id, t.album_id) AS album_id, {_COUNTS} FROM plays p JOIN tracks t USING (track_id) JOIN track_artists a USING (track_id) LEFT JOIN merge_rules m ON m.user_id = p.user_id AND m.source_id = t.album_id
         WHERE (a.artist_id, t.album_id) IN ({_LED} AND t.album_id IS NOT NULL) GROUP BY 1, 2, 3)) WHERE rank <= 10""",
     "album_tracks": f"{STAR} SELECT t.album_id, t.track_id, t.name, t.duration_ms, coalesce(c.n, 0) AS play_count, coalesce(c.n, 0) * t.duration_ms AS total_ms FROM tracks t LEFT JOIN (SELECT track_id, count(*) AS n FROM plays WHERE user_id = 1 GROUP BY 1) c USING (track_id) WHERE t.album_id IS NOT NULL",
-    "album_ids_resolved": f"{STAR} SELECT user_id, target_id AS album_id, target_id AS member_id FROM merge_rules UNION SELECT user_id, target_id, source_id FROM merge_rules",
     "album_resolution": f"{facts('album')} SELECT user_id, entity_id AS album_id, count(*) AS play_count FROM facts GROUP BY 1, 2",
     "enrich_track": f"{STAR} SELECT t.track_id, t.name, t.album_id, b.name AS album_name, t.duration_ms, c.artists FROM tracks t LEFT JOIN albums b USING (album_id) LEFT JOIN (SELECT track_id, string_agg(artist_id || ':' || name, '|' ORDER BY position) AS artists FROM track_artists JOIN artists USING (artist_id) GROUP BY 1) c USING (track_id)",
     "track_artists_ordered": f"{STAR} SELECT track_id, position, artist_id, name FROM track_artists JOIN artists USING (artist_id)",
@@ -255,7 +254,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT *, sum(CASE WHEN t IS DISTINCT FROM lt OR p < lp THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_) AS run FROM b),
         f AS (SELECT user_id, run, arg_min(t, at_) AS t, min(at_) AS at_, arg_min(d, at_) AS d FROM s WHERE t IS NOT NULL GROUP BY 1, 2)
         SELECT f.user_id, f.t AS track_id, strftime(f.at_, '%Y-%m-%d %H:%M:%S') AS played_at, f.d AS duration_ms FROM f WHERE f.run < (SELECT max(run) FROM s WHERE s.user_id = f.user_id)""",
-    "now_playing": f"WITH {_SNAPS} SELECT user_id, strftime(max(at_), '%Y-%m-%d %H:%M:%S') AS \"at\", arg_max(is_playing, at_) AS is_playing, arg_max(item_id, at_) AS item_id, arg_max(progress_ms, at_) AS progress_ms FROM snaps GROUP BY 1",
+    "now_playing": f"WITH {_SNAPS} SELECT user_id, strftime(max(at_), '%Y-%m-%d %H:%M:%S') AS \"at\", arg_max(is_playing, at_) AS is_playing, arg_max(item_id, at_) AS item_id, arg_max(progress_ms, at_) AS progress_ms FROM snaps GROUP BY 1 HAVING max(at_) >= TIMESTAMP '2024-01-31' - INTERVAL 36 HOUR",
     "dedup_tracks": f"{EVENTS}, {_TYPED}, {_TRACK_MAP} SELECT track_id AS old, best AS new FROM ids WHERE track_id <> best",
     "dedup_tracks_plays": f"{EVENTS}, {_TYPED}, {_TRACK_MAP} SELECT coalesce(i.best, p.track_id) AS track_id, count(*) AS play_count FROM plays p LEFT JOIN ids i USING (track_id) GROUP BY 1",
     "dedup_albums": _album_map("", f"{_SCORE}, num % 9 DESC"),
@@ -268,22 +267,57 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["import_tracks"] = ORACLES["import_tracks"].replace("SELECT track_id, arg_min", "SELECT track_id, name, nullif(a, '') AS album_id, duration_ms FROM (SELECT track_id, arg_min", 1) + ")"
 
-#: rules that are sound, and a chain, a pair of reverse rules, a fork, a rule to itself, and one to an unknown album
-_RULES = "rules AS (SELECT CAST(u AS BIGINT) AS user_id, s AS source_id, t AS target_id FROM (VALUES (0, 'Brand#31', 'Brand#32'), (1, 'Brand#11', 'Brand#12'), (1, 'Brand#12', 'Brand#13'), (2, 'Brand#21', 'Brand#22'), (2, 'Brand#22', 'Brand#21'), (3, 'Brand#14', 'Brand#15'), (3, 'Brand#14', 'Brand#33'), (4, 'Brand#41', 'Brand#41'), (4, 'Brand#42', 'Nowhere'), (0, 'Brand#24', 'Brand#41'), (2, 'Brand#44', 'Brand#25')) v(u, s, t))"
+_ASKED = "asked AS (SELECT track_id % 7 AS user_id, coalesce(album_id, 'Nowhere') AS source_id, 'Brand#' || ((track_id // 7) % 26) AS target_id, track_id AS seq FROM tracks)"
+#: rules taken one by one: each user's list so far, and the next rule
+_ADDED = f"""{STAR.replace("WITH ", "WITH RECURSIVE ", 1)}, {_ASKED},
+    queue AS MATERIALIZED (SELECT user_id, source_id, target_id, source_id IN (SELECT album_id FROM albums) AND target_id IN (SELECT album_id FROM albums) AS known, row_number() OVER (PARTITION BY user_id ORDER BY seq, source_id, target_id) AS i FROM asked),
+    fold AS (SELECT u.user_id, CAST(0 AS BIGINT) AS i, coalesce(m.rules, []) AS rules FROM (SELECT user_id FROM asked UNION SELECT user_id FROM merge_rules) u LEFT JOIN (SELECT user_id, list({{'s': source_id, 't': target_id}}) AS rules FROM merge_rules GROUP BY 1) m USING (user_id)
+      UNION ALL SELECT f.user_id, q.i, CASE WHEN q.known AND q.source_id <> q.target_id AND len(list_filter(f.rules, lambda r: r.s = q.source_id OR r.s = q.target_id OR r.t = q.source_id)) = 0 THEN list_append(f.rules, {{'s': q.source_id, 't': q.target_id}}) ELSE f.rules END
+      FROM fold f JOIN queue q ON q.user_id = f.user_id AND q.i = f.i + 1),
+    added AS (SELECT user_id, r.s AS source_id, r.t AS target_id FROM (SELECT user_id, unnest(rules) AS r FROM (SELECT user_id, rules FROM fold QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)))"""
+
+
+def _by_settings(entity: str) -> str:
+    """CTEs up to ``ranks`` by each user's own week and metric; the value is called total_ms."""
+    label = "CASE week_start " + " ".join(f"WHEN '{w}' THEN {_label('week', w)}" for w in ("monday", "sunday", "friday")) + " END"
+    return f"""{facts(entity)}, own AS (SELECT user_id, CASE WHEN user_id % 4 = 0 OR user_id = 3 THEN 'monday' WHEN user_id % 4 = 1 THEN 'sunday' ELSE 'friday' END AS week_start, user_id % 2 = 0 AS by_plays FROM (SELECT DISTINCT user_id FROM plays)),
+        counts AS (SELECT user_id, {label} AS period, entity_id, CAST(CASE WHEN by_plays THEN count(*) ELSE sum(duration_ms) END AS BIGINT) AS total_ms FROM facts JOIN own USING (user_id) GROUP BY 1, 2, 3, by_plays),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY user_id, period ORDER BY total_ms DESC, entity_id) AS rank FROM counts)"""
+
+
+def _boards_by_settings() -> str:
+    parts = []
+    for entity in ("track", "album", "artist"):
+        boards = (("peakWeek", _PEAK_WEEK), ("biggestDebut", _DEBUT), ("weeksAtNo1", _weeks(1)), ("weeksInChart", _weeks(25)), ("longestRun", _RUN), ("inMostPlaylists", _in_playlists(entity)))
+        one = [f"({_board(n, q)})" for n, q in boards]
+        if entity == "artist":
+            one += [f"(SELECT * FROM ({_by_settings(of)} {_board(f'mostNo1{of.capitalize()}s', _no1(of))}))" for of in ("track", "album")]
+        parts.append(f"SELECT user_id, '{entity}' AS entity, board, position, CAST(entity_id AS VARCHAR) AS entity_id, value, week FROM ({_by_settings(entity)} {' UNION ALL '.join(one)})")
+    return " UNION ALL ".join(parts)
+
+
+_CUSTOM = "played_at >= TIMESTAMP '2024-01-12' AND played_at <= TIMESTAMP '2024-01-18 23:59:59.999'"
+
+
+def _custom(start: str, end: str) -> tuple[str, str]:
+    """Predicates of the closed range of whole days, and of the half-open one of equal length before it."""
+    a, b = f"TIMESTAMP '{start}'", f"TIMESTAMP '{end} 23:59:59.999'"
+    return f"played_at >= {a} AND played_at <= {b}", f"played_at >= {a} - ({b} - {a}) AND played_at < {a}"
+
 
 ORACLES |= {
     "period_chart_entries": f"SELECT * FROM ({ORACLES['chart_peaks']}) WHERE period = '1997-W20'",
     "period_chart_dropouts": f"{chart('artist')}, {_PEAKS} SELECT p.user_id, p.entity_id, p.rank AS previous_rank, p.peak_rank, p.peak_period, p.weeks_on_chart FROM peaks p WHERE p.period = '1997-W19' AND NOT EXISTS (SELECT 1 FROM chart c WHERE c.user_id = p.user_id AND c.period = '1997-W20' AND c.entity_id = p.entity_id)",
     "stream_local_plays": ORACLES["local_plays"],
-    "merge_problems": f"""WITH {_RULES} SELECT DISTINCT user_id, source_id, target_id, problem FROM (
+    "merge_problems": f"""{STAR}, {_ASKED}, rules AS (SELECT user_id, source_id, target_id FROM asked) SELECT DISTINCT user_id, source_id, target_id, problem FROM (
         SELECT r.*, 'self' AS problem FROM rules r WHERE source_id = target_id
+        UNION ALL SELECT user_id, source_id, target_id, 'duplicate' FROM rules GROUP BY 1, 2, 3 HAVING count(*) >= 2
         UNION ALL SELECT r.*, 'reverse' FROM rules r JOIN rules o ON o.user_id = r.user_id AND o.source_id = r.target_id AND o.target_id = r.source_id WHERE r.source_id <> r.target_id
         UNION ALL SELECT r.*, 'chain' FROM rules r JOIN rules o ON o.user_id = r.user_id AND (o.source_id = r.target_id OR o.target_id = r.source_id) WHERE r.source_id <> r.target_id
         UNION ALL SELECT r.*, 'two_targets' FROM rules r JOIN rules o ON o.user_id = r.user_id AND o.source_id = r.source_id AND o.target_id <> r.target_id)""",
-    "merge_rules_added": f"""{STAR}, {_RULES.replace("rules AS", "new AS", 1)} SELECT * FROM merge_rules UNION ALL SELECT n.* FROM new n
-        WHERE source_id <> target_id AND source_id IN (SELECT album_id FROM albums) AND target_id IN (SELECT album_id FROM albums)
-          AND NOT EXISTS (SELECT 1 FROM merge_rules m WHERE m.user_id = n.user_id AND (m.source_id = n.source_id OR m.target_id = n.source_id OR m.source_id = n.target_id))""",
-    "merge_rules_deleted": f"{STAR} SELECT * FROM merge_rules WHERE user_id <> 1",
+    "merge_rules_added": f"{_ADDED} SELECT * FROM added",
+    "merge_rules_deleted": f"{_ADDED} SELECT * FROM added WHERE user_id <> 1",
+    "album_ids_resolved": f"{_ADDED} SELECT user_id, target_id AS album_id, target_id AS member_id FROM added UNION SELECT user_id, target_id, source_id FROM added",
     "album_artists": f"""{STAR}, two AS (SELECT track_id, track_id // 2 AS i, 'P' || (track_id // 2) AS album_id FROM tracks),
         stored AS (SELECT album_id, unnest([i % 5 + 1, i % 5 + 2]) AS artist_id, CAST(NULL AS BIGINT) AS track_count FROM (SELECT DISTINCT album_id, i FROM two WHERE i % 3 = 0)),
         led AS (SELECT t.album_id, a.artist_id, count(DISTINCT t.track_id) AS track_count FROM two t JOIN track_artists a USING (track_id) WHERE a.position = 0 AND t.i % 3 <> 0 GROUP BY 1, 2)
@@ -291,12 +325,35 @@ ORACLES |= {
     "playlists_synced": f"""{STAR}, feed AS (SELECT p.playlist_id, p.user_id, 'v' || (p.playlist_id % 3) AS snapshot_id FROM playlists p WHERE p.playlist_id % 4 <> 0),
         tracks_ AS (SELECT t.playlist_id, t.track_id + (CASE WHEN t.playlist_id % 3 <> 0 THEN 1 ELSE 0 END) AS track_id FROM playlist_tracks t JOIN feed USING (playlist_id)
           UNION ALL SELECT t.playlist_id, t.track_id FROM playlist_tracks t JOIN playlists p USING (playlist_id) WHERE p.user_id NOT IN (SELECT user_id FROM feed))
-        SELECT playlist_id, count(*) AS tracks, CAST(sum(track_id) AS BIGINT) AS ids FROM tracks_ GROUP BY 1""",
+        SELECT playlist_id, track_id FROM tracks_""",
     "albums_inserted": "SELECT DISTINCT p_brand AS album_id, p_brand AS name FROM part UNION ALL SELECT 'New#' || i, 'first' FROM range(3) t(i)",
     "settings_merged": "SELECT user_id, key, value FROM (SELECT user_id, 'sort' AS key, arg_max(CASE WHEN event_id % 2 = 0 THEN 'plays' ELSE 'time' END, event_id) AS value FROM events GROUP BY 1) UNION ALL SELECT DISTINCT user_id, 'language', 'en' FROM events",
     "artists_enriched": "SELECT s_suppkey AS artist_id, CASE WHEN s_suppkey % 3 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN 'img' || s_suppkey END AS image_url FROM supplier",
     "credits_fixed": f"""{STAR} SELECT track_id, artist_id FROM (SELECT CAST(track_id AS VARCHAR) AS track_id, CASE WHEN artist_id % 3 = 0 THEN 'import:' ELSE '' END || artist_id AS artist_id, track_id % 2 AS odd FROM track_artists) WHERE odd = 1 OR NOT starts_with(artist_id, 'import:')
         UNION SELECT CAST(track_id AS VARCHAR), CAST(artist_id + 1 AS VARCHAR) FROM track_artists WHERE track_id % 2 = 0""",
-    "generated_playlists": f"SELECT user_id, least(count(*), 10) AS tracks FROM ({ORACLES['strategy_rediscovery']}) GROUP BY 1",
+    "generated_playlists": f"SELECT user_id, track_id, position FROM (SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('17:' || user_id || ':' || track_id), track_id) - 1 AS position FROM ({ORACLES['strategy_rediscovery']})) WHERE position < 10",
     "search_accents": _found("artist_id", "SELECT artist_id, name FROM artists WHERE lower(strip_accents(name)) LIKE '%supplier#00000000_%'", "SELECT a.artist_id, count(*) AS n FROM plays p JOIN track_artists a USING (track_id) WHERE p.user_id = 1 GROUP BY 1"),
 }
+
+ORACLES |= {
+    "top_tracks_custom": _top("track", EVENTS, *_custom("2024-01-12", "2024-01-18")),
+    "top_albums_custom": _top("album", STAR, *_custom("1997-03-01", "1997-05-31"), "play_count"),
+    "genres_custom": ORACLES["top_genres"].replace("JOIN artists n USING (artist_id))", f"JOIN artists n USING (artist_id) WHERE {_CUSTOM})"),
+    "entity_series_custom": f"{facts('artist', EVENTS)} {_SERIES.format('entity_id, ' + _label('day')).replace('FROM facts', f'FROM facts WHERE {_CUSTOM}').replace('GROUP BY 1, 2', 'GROUP BY 1, 2, 3')}",
+    "entity_series_one_day": f"{facts('artist', EVENTS)} {_SERIES.format('entity_id, ' + _label('month')).replace('FROM facts', 'FROM facts WHERE CAST(played_at AS DATE) = DATE \'2024-01-12\'').replace('GROUP BY 1, 2', 'GROUP BY 1, 2, 3')}",
+    "strategy_top_range_custom": _candidates(f"SELECT user_id, track_id, {_COUNTS} FROM plays JOIN tracks USING (track_id) WHERE {_CUSTOM} GROUP BY 1, 2", "total_ms DESC"),
+    "strategy_top_artist_custom": ORACLES["strategy_top_artist"].replace("WHERE track_id IN", f"WHERE {_CUSTOM} AND track_id IN"),
+    "strategy_top_genre_custom": ORACLES["strategy_top_genre"].replace("WHERE genre", f"WHERE {_CUSTOM} AND genre"),
+    "strategy_deep_cuts_custom": ORACLES["strategy_deep_cuts"].replace("WHERE popularity", f"WHERE {_CUSTOM} AND popularity").replace("HAVING count(*) >= 2", ""),
+    "strategy_time_vibes_custom": ORACLES["strategy_time_vibes"].replace("WHERE dayofweek", f"WHERE {_CUSTOM} AND dayofweek"),
+    "records_by_settings": _boards_by_settings(),
+    "partial_top_artists": ORACLES["top_artists"],
+    "partial_week_chart": ORACLES["week_chart_friday"],
+    "partial_series_week": ORACLES["series_week"],
+    "partial_ranking_history": ORACLES["ranking_history_cumulative"],
+    "partial_records": ORACLES["records_track"],
+    "stream_partial_rankings": ORACLES["rankings_four_ranges"],
+    "search_index_artists": ORACLES["search_artists"],
+    "search_index_albums": ORACLES["search_albums"],
+    "search_index_tracks": ORACLES["search_tracks"],
+}

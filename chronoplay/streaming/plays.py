@@ -9,10 +9,14 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.partials import add_plays
+from ..session import materialised
+from ..sources.committed import is_committed, read_batches, write_batch
+
 LOCAL_PLAY = "user_id long, track_id string, played_at timestamp, duration_ms long"
 LOCAL_STATE = "track_id string, started_at timestamp, duration_ms long, progress_ms long, seen_at timestamp"
 
@@ -27,31 +31,34 @@ def deduplicated(plays: DataFrame, lateness: str | None = "1 day") -> DataFrame:
     return plays.dropDuplicates(keys) if lateness is None else plays.withWatermark("played_at", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def append_new(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink for ``foreachBatch``: plays that the table lacks are appended, so a batch that runs again adds nothing.
+def append_new(path: str, schema: str, partials: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: plays that the table at ``path`` lacks are appended, of any lateness.
 
-    Any lateness is fine. Only the months that the batch touches are looked up.
+    Of equal (user_id, played_at) the first batch's stays. A batch counts from
+    its marker on (``sources.committed``), so one that dies at any point adds
+    nothing when it runs again. Only months that the batch touches are looked
+    up. With ``partials``, the day counts of the new plays are added there
+    (``operators.partials``), once as well.
     """
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["user_id", "played_at"]).withColumn("play_month", F.date_format("played_at", "yyyy-MM")).persist()
-        try:
+        if not is_committed(spark, path, number):
+            new = materialised(batch.dropDuplicates(["user_id", "played_at"]).withColumn("play_month", F.date_format("played_at", "yyyy-MM")))
             months = [r[0] for r in new.select("play_month").distinct().collect()]  # a batch touches few
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            if months and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-                old = spark.read.schema(new.schema).parquet(path).filter(F.col("play_month").isin(months)).select("user_id", "played_at")
-                out = new.join(old, ["user_id", "played_at"], "left_anti")
-            else:
-                out = new
-            out.write.mode("append").partitionBy("play_month").parquet(path)
-        finally:
-            new.unpersist()
+            old = read_plays(spark, path, schema).filter(F.col("play_month").isin(months)).select("user_id", "played_at")
+            write_batch(new.join(old, ["user_id", "played_at"], "left_anti"), path, number, ["play_month"])
+        if partials is not None and not is_committed(spark, partials, number):
+            add_plays(partials)(read_batches(spark, path, f"{schema}, play_month string", number), number)
 
     return sink
 
 
+def read_plays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All committed plays, with ``play_month``, whose filters prune folders."""
+    return read_batches(spark, path, f"{schema}, play_month string")
+
+
 def play_steps(rows: Iterator[tuple], state: tuple | None) -> tuple[list[tuple], tuple | None]:
     """Plays that a user's snapshots (track or None, at, progress_ms, duration_ms), in order of time, complete; and the state after them.
 

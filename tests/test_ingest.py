@@ -152,12 +152,50 @@ def test_settings(spark):
 
 def test_sink_adds_nothing_twice(spark, tmp_path):
     """A batch that runs again, and late plays."""
-    sink = stream.append_new(str(tmp_path / "plays"))
-    batch = spark.createDataFrame([(1, AT, "a"), (1, AT, "b"), (1, AT + timedelta(days=40), "c")], "user_id long, played_at timestamp, track_id string")
+    path, schema = str(tmp_path / "plays"), "user_id long, played_at timestamp, track_id string"
+    sink = stream.append_new(path, schema)
+    batch = spark.createDataFrame([(1, AT, "a"), (1, AT, "b"), (1, AT + timedelta(days=40), "c")], schema)
     for _ in range(2):
         sink(batch, 0)
-    sink(spark.createDataFrame([(1, AT - timedelta(days=400), "z")], batch.schema), 1)
-    assert spark.read.parquet(str(tmp_path / "plays")).count() == 3
+    sink(spark.createDataFrame([(1, AT - timedelta(days=400), "z"), (1, AT + timedelta(days=40), "late")], schema), 1)
+    rows = stream.read_plays(spark, path, schema)
+    assert rows.count() == 3 and {r["track_id"] for r in rows.collect()} - {"a", "b"} == {"c", "z"}
+
+
+@pytest.mark.parametrize("dies_at", ["plays", "partials"])
+def test_a_killed_batch_adds_nothing_and_is_repeated_whole(spark, tmp_path, monkeypatch, dies_at):
+    """The stream dies after a batch's files are written and before they count; started again, plays and partials are as without that."""
+    from chronoplay.operators import partials
+    from chronoplay.sources import committed
+
+    rows = [(u, AT + timedelta(hours=7 * h), h % 3) for u in (1, 2) for h in range(24)]
+    schema, where = "user_id long, played_at timestamp, track_id long", str(tmp_path)
+    for k in range(4):  # each file has a part of the one before it again
+        spark.createDataFrame(rows[max(0, 12 * k - 5) : 12 * k + 12], schema).coalesce(1).write.mode("append").parquet(f"{where}/feed")
+    counts, commit = {"plays": 0, "partials": 0}, committed._commit
+
+    def dying(session, path, first, last):
+        kind = path.rsplit("/", 1)[-1]
+        counts[kind] += 1
+        if kind == dies_at and counts[kind] == 3:
+            raise RuntimeError("killed")
+        commit(session, path, first, last)
+
+    def run():
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/feed")
+        feed.writeStream.foreachBatch(stream.append_new(f"{where}/plays", schema, f"{where}/partials")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+    monkeypatch.setattr(committed, "_commit", dying)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    seen = stream.read_plays(spark, f"{where}/plays", schema).count()
+    assert 0 < seen < len(rows)
+    run()
+    got = sorted((r["user_id"], r["played_at"], r["track_id"]) for r in stream.read_plays(spark, f"{where}/plays", schema).collect())
+    assert got == sorted(rows)
+    kept = partials.partial_plays(spark, f"{where}/partials").groupBy("user_id", "track_id", "day").agg(F.sum("n_plays").alias("n"), F.min("first_played").alias("a"), F.max("last_played").alias("b"))
+    want = partials.day_partials(spark.createDataFrame(rows, schema).withColumn("played_at", F.col("played_at").cast("timestamp_ntz"))).drop("play_month").select("user_id", "track_id", "day", "n_plays", "first_played", "last_played")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
 
 
 @given(st.lists(st.tuples(st.sampled_from([None, "local:a", "local:b"]), st.integers(0, 5)), max_size=12))

@@ -149,7 +149,7 @@ def test_merge_rules_are_added_and_deleted(spark):
     rules = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], keys)
     albums = spark.createDataFrame([(x,) for x in "abcdexy"], "album_id string")
     new = [(1, "x", "y"), (1, "x", "x"), (1, "b", "a"), (1, "a", "b"), (1, "a", "e"), (1, "b", "e"), (1, "e", "a"), (1, "c", "b"), (1, "q", "b"), (2, "a", "q"), (2, "a", "b"), (1, "x", "y")]
-    added, problems = search.add_merge_rules(rules, spark.createDataFrame(new, keys), albums)
+    added, problems = search.add_merge_rules(rules, spark.createDataFrame([(*r, i) for i, r in enumerate(new)], f"{keys}, seq int"), albums)
     assert sorted(map(tuple, added.collect())) == [(1, "a", "b"), (1, "c", "b"), (1, "x", "y"), (2, "a", "b"), (2, "c", "d")]
     got = {(r["user_id"], r["source_id"], r["target_id"], r["problem"]) for r in problems.collect()}
     assert {(1, "x", "x", "self"), (1, "b", "a", "reverse"), (1, "a", "b", "duplicate"), (1, "a", "e", "two_targets"), (1, "b", "e", "chain"), (1, "e", "a", "chain"), (1, "q", "b", "unknown_source"), (2, "a", "q", "unknown_target")} <= got
