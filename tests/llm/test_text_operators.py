@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronoplay.llm import queries, sentencepiece_codec
 from chronoplay.llm.html_extraction import default_model, extract_pages, main_text, marginals, parse
-from chronoplay.llm.licenses import evaluate, expression_tokens, license_scan
+from chronoplay.llm.licenses import evaluate, expression_tokens, license_scan, scan
 from chronoplay.llm.page_samples import labelled_pages
 from chronoplay.llm.secrets import looks_random, secret_scan
 from chronoplay.llm.sharding import stratified_shards
@@ -128,6 +128,53 @@ def test_op4_expressions(spark):
     assert row["labels"] == "apache,mit" and row["n_tags"] == 1 and row["n_base"] == 0
 
 
+SPDX = {
+    "MIT": ("mit", 1), "MIT-0": ("mit", 1), "mit+": ("mit", 1), "Apache-2.0": ("apache", 1), "BSD-2-Clause": ("bsd", 1), "BSD-3-Clause-Clear": ("bsd", 1), "0BSD": ("0bsd", 0), "ISC": ("isc", 1),
+    "GPL-2.0-only": ("gpl", 3), "GPL-3.0-or-later": ("gpl", 3), "GPL-2.0+": ("gpl", 3), "LGPL-2.1": ("lgpl", 2), "AGPL-3.0-only": ("agpl", 3), "MPL-2.0": ("mpl", 2), "EPL-2.0": ("epl", 2), "Zlib": ("zlib", 1),
+    "BSL-1.0": ("boost", 1), "BSL-1.1": ("busl", 4), "BUSL-1.1": ("busl", 4), "CC0-1.0": ("cc0", 0), "Unlicense": ("unlicense", 0), "CC-BY-4.0": ("cc-by", 1), "CC-BY-3.0-DE": ("cc-by", 1), "CC-BY-SA-4.0": ("cc-by-sa", 3),
+    "CC-BY-ND-4.0": ("cc-by-nd", 4), "CC-BY-NC-4.0": ("cc-by-nc", 4), "CC-BY-NC-SA-3.0": ("cc-by-nc-sa", 4), "CC-BY-NC-ND-4.0": ("cc-by-nc-nd", 4), "BSD-3-Clause-No-Nuclear-License": ("bsd-3-clause-no-nuclear-license", 4),
+    "Mitsubishi": ("mitsubishi", 4), "iscream": ("iscream", 4), "GPLv2": ("gplv2", 4), "Made-Up-1.0": ("made-up-1.0", 4),
+}
+
+
+@pytest.mark.parametrize("identifier", SPDX)
+def test_op4_identifiers(identifier):
+    label, restriction = SPDX[identifier]
+    assert evaluate([identifier]) == (frozenset([label]), restriction)
+
+
+def test_op4_exceptions_and_notices():
+    assert evaluate(expression_tokens("GPL-2.0 WITH Classpath-exception-2.0", 0)) == (frozenset(["gpl"]), 2)
+    assert evaluate(expression_tokens("GPL-2.0 WITH My-Own-Exception", 0)) == (frozenset(["gpl"]), 3)
+    assert evaluate(expression_tokens("MIT AND (GPL-3.0 WITH (a OR b)) OR CC0-1.0", 0)) == (frozenset(["mit", "gpl", "cc0"]), 0)
+    found = lambda t: scan(t.encode())[5:9:3]
+    assert found("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0") == ("cc-by-nc-nd", 4)
+    assert found("Creative Commons Attribution-ShareAlike") == ("cc-by-sa", 3) and found("Creative Commons Attribution 4.0") == ("cc-by", 1)
+    assert found("creative commons attribution non commercial share alike") == ("cc-by-nc-sa", 4) and found("CC BY-NC") == ("cc-by,cc-by-nc", 4)
+
+
+@pytest.mark.parametrize("line", ["SPDX-License-Identifier: MIT OR Apache-2.0\n", "SPDX-License-Identifier: MIT ", "SPDX-License-Identifier: (MIT and\r"])
+def test_op4_many_tags_take_linear_time(line):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        row = scan((line * n).encode())
+        return time.process_time() - began, row[7]
+
+    took(1000)
+    (few, _), (many, tags) = min(took(5000), took(5000)), took(40_000)
+    assert tags == 40_000 and many < 20 * few + 0.5  # eight times as many; a square would be 64
+
+
+def test_op4_a_long_expression_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    found, restriction = evaluate(expression_tokens(" AND ".join(f"L{i}" for i in range(60_000)), 0))
+    assert len(found) == 60_000 and restriction == 4 and time.process_time() - began < 10
+
+
 def test_op8_base_is_brute_force(spark):
     import hashlib
 
