@@ -14,7 +14,7 @@ BROADCAST_IDS, BROADCAST_KEYS = 2_000_000, 1_000_000
 #: Most bytes that its texts and binaries may have together, whatever their number.
 BROADCAST_BYTES = 64 << 20
 #: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
