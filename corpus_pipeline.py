@@ -10,6 +10,12 @@ A stage decides on rows, each by its id and its text (``row_key``). So rows
 without an id are judged like all others, and where one id stands on different
 texts, only the rows that were judged go. Of copies and near copies a row
 without an id stays only if all of its group lack ids.
+
+Null texts count as empty, texts may be of any length, and every stage passes
+all columns of its documents on but the last, whatever their names: helper
+columns take names that are free. An empty table passes all stages and gives an
+empty result; without labels, or with one class only, nothing is toxic unless
+all labels are; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplay.llm.common import BROADCAST_KEYS, bound_batches, checkpointed, fresh, row_key, small_side, table, text_or_empty, text_sha, without
+from chronoplay.llm.common import BROADCAST_KEYS, bound_batches, checkpointed, fresh, release, row_key, small_side, table, text_or_empty, text_sha, without
 from chronoplay.llm.decontamination import contaminated
 from chronoplay.llm.exact_dedup import SPACES, exact_dedup
 from chronoplay.llm.jaccard_join import jaccard_components
@@ -67,6 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left, and whether decoding them gives the text again."""
+    release(spark)  # what the other stages left on the executors
     bound_batches(spark)
     return sentencepiece_codec(docs, tokenizer_file("piece_bpe_32k.model"))
 
