@@ -112,6 +112,39 @@ def chart_history(lib: Library, entity: str, week_start: str = "monday", sort: s
     return spine.join(facts.select("user_id", "entity_id", "period", "rank"), ["user_id", "entity_id", "period"], "left").select("user_id", "entity_id", "period", "rank")
 
 
+def run_length(rows: DataFrame, periods: DataFrame, values: list[str]) -> DataFrame:
+    """(user_id, entity_id, since, *values) of rows (user_id, period, entity_id, *values): one where the values change, so that many can be stored as few.
+
+    An entity that has no row in its user's next period gets one of nulls there.
+    What comes later adds rows only where something changes.
+    """
+    order = Window.partitionBy("user_id").orderBy("period")
+    numbered = periods.select("user_id", "period").distinct().select("user_id", "period", F.row_number().over(order).alias("_i"), F.lead("period").over(order).alias("_next"))
+    own = Window.partitionBy("user_id", "entity_id").orderBy("_i")
+    each = rows.join(numbered, ["user_id", "period"]).withColumn("_v", F.struct(*values))
+    each = each.withColumns({"_before": F.lag(F.struct("_i", "_v")).over(own), "_after": F.lead("_i").over(own)})
+    same = (F.col("_before._i") == F.col("_i") - 1) & F.col("_before._v").eqNullSafe(F.col("_v"))
+    starts = each.filter(~F.coalesce(same, F.lit(False))).select("user_id", "entity_id", F.col("period").alias("since"), *values)
+    gone = F.col("_next").isNotNull() & (F.coalesce("_after", F.lit(0)) != F.col("_i") + 1)
+    nothing = [F.lit(None).cast(rows.schema[v].dataType).alias(v) for v in values]
+    return starts.unionByName(each.filter(gone).select("user_id", "entity_id", F.col("_next").alias("since"), *nothing))
+
+
+def expanded(changes: DataFrame, periods: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``run_length`` rows with one for each of the user's periods again, of those from ``start`` to ``end`` only if given."""
+    if end is not None:
+        changes, periods = changes.filter(F.col("since") <= end), periods.filter(F.col("period") <= end)
+    if start is not None:
+        periods = periods.filter(F.col("period") >= start)
+    until = F.lead("since").over(Window.partitionBy("user_id", "entity_id").orderBy("since"))
+    rows = changes.withColumn("_until", until)
+    if start is not None:
+        rows = rows.filter(F.col("_until").isNull() | (F.col("_until") > start))
+    rows = rows.join(period_arrays(periods), "user_id")
+    inside = F.filter("_periods", lambda p: (p >= F.col("since")) & (F.col("_until").isNull() | (p < F.col("_until"))))
+    return rows.withColumn("period", F.explode(inside)).drop("_periods", "_until", "since")
+
+
 def chart_summary(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """One row an entity: its last chart's peaks, and its rank in the user's latest week (null off the chart)."""
     rows = with_peaks(chart_facts(lib, entity, "week", week_start, sort))

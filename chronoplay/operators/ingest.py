@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_real, synthetic_id
 from ..session import materialised
+from ..sources.buckets import bucket_of, merge_buckets, read_buckets
 
 LEAST_PLAYED_MS = 30_000
 
@@ -137,6 +138,18 @@ def upsert_albums(albums: DataFrame, new: DataFrame, seq: str = "seq") -> DataFr
     return upsert(albums, new, "album_id", seq, overwrite=["name"], if_given=[c for c in ("image_url", "artist_ids") if c in albums.columns])
 
 
+def upsert_stored(spark: SparkSession, path: str, schema: str, key: str, new: DataFrame, seq: str = "seq", overwrite: list[str] = (), if_given: list[str] = (), buckets: int = 64) -> list[int]:
+    """``upsert`` into a table in buckets of ``key`` (``sources.buckets``): only those with keys of ``new`` are read and written; which."""
+    return merge_buckets(spark, path, schema, [key], new, lambda old: upsert(old, new, key, seq, overwrite, if_given), buckets)
+
+
+def insert_stored(spark: SparkSession, path: str, schema: str, key: str, new: DataFrame, order: list[Column | str], buckets: int = 64) -> list[int]:
+    """``insert_ignore`` into a table in buckets of ``key``, of which only those with keys that aren't there yet are written."""
+    near = [r[0] for r in new.select(bucket_of([key], buckets)).distinct().collect()]  # at most ``buckets``
+    unknown = materialised(new.join(read_buckets(spark, path, schema, near).select(key), key, "left_anti"))
+    return merge_buckets(spark, path, schema, [key], unknown, lambda old: insert_ignore(old, unknown, [key], order), buckets)
+
+
 def enrich_artists(artists: DataFrame, found: DataFrame) -> DataFrame:
     """Image, genres and popularity from a look-up, for real artists without an image."""
     columns = [c for c in ("image_url", "genres", "popularity") if c in found.columns]

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import WEEK_SHIFT, period_label
 from ..session import materialised
+from ..sources.buckets import merge_buckets, read_buckets, write_buckets
 from ..sources.library import Library
 from .charts import CHART_SIZE
 from .facts import ENTITIES, metric, play_counts, tally
@@ -166,10 +167,6 @@ def accolades(lib: Library, entity: str, week_start: str = "monday", sort: str =
 STORED = "user_id long, entity string, board string, position long, entity_id string, value long, week string"
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
-
-
 def all_boards(lib: Library, settings: DataFrame, limit: int = 50) -> DataFrame:
     """``STORED`` rows: boards of tracks, albums and artists of every user, by the user's own settings, from one pass over the plays."""
     facts = materialised(weekly_plays_by_settings(lib, settings))
@@ -177,18 +174,16 @@ def all_boards(lib: Library, settings: DataFrame, limit: int = 50) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-def _write_buckets(rows: DataFrame, path: str, buckets: int, dynamic: bool) -> None:
-    ordered = rows.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "user_id", "entity", "board", "position")
-    ordered.write.option("partitionOverwriteMode", "dynamic" if dynamic else "static").mode("overwrite").partitionBy("bucket").parquet(path)
+_ORDER = ["user_id", "entity", "board", "position"]
 
 
 def store_records(lib: Library, settings: DataFrame, path: str, buckets: int = 64, limit: int = 50) -> None:
     """Boards of all users, written for look-ups: a folder for each bucket of users, sorted by user inside."""
-    _write_buckets(all_boards(lib, settings, limit), path, buckets, dynamic=False)
+    write_buckets(all_boards(lib, settings, limit), path, ["user_id"], buckets, _ORDER)
 
 
 def stored_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{STORED}, bucket int").parquet(path).drop("bucket")
+    return read_buckets(spark, path, STORED)
 
 
 def refresh_records(lib: Library, settings: DataFrame, path: str, due: DataFrame, buckets: int = 64, limit: int = 50) -> bool:
@@ -203,13 +198,6 @@ def refresh_records(lib: Library, settings: DataFrame, path: str, due: DataFrame
         return False
     mine = lib.but(plays=lib.plays.join(users, "user_id", "left_semi"), playlists=lib.playlists.join(users, "user_id", "left_semi"))
     new = all_boards(mine, settings.join(users, "user_id", "left_semi"), limit)
-    touched = users.select(_bucket(buckets).alias("bucket")).distinct()
-    old = lib.spark.read.schema(f"{STORED}, bucket int").parquet(path)
-    kept = old.join(touched, "bucket", "left_semi").join(users, "user_id", "left_anti").select(new.columns)
-    rows = materialised(new.unionByName(kept))  # read before files are replaced
-    emptied = [r[0] for r in touched.join(rows.select(_bucket(buckets).alias("bucket")), "bucket", "left_anti").collect()]  # at most ``buckets``
-    _write_buckets(rows, path, buckets, dynamic=True)
-    for b in emptied:  # a bucket without rows has no file to replace its old ones
-        where = lib.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
-        where.getFileSystem(lib.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    keep = lambda old: new.unionByName(old.join(users, "user_id", "left_anti").select(new.columns))
+    merge_buckets(lib.spark, path, STORED, ["user_id"], users, keep, buckets, _ORDER)
     return True

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, history, ingest, islands, partials, playlists, records, search, top
 from ..operators.facts import resolved_albums
+from ..sources import buckets
 from ..sources.files import normalise_basic, normalise_extended
 from ..sources.library import Library, events_library, star_library
 from ..streaming import plays as stream
@@ -126,12 +127,15 @@ def artist_alias_merge(lib: Library) -> DataFrame:
     return ingest.apply_artist_map(ingest.artist_aliases(artists), artists, credits)[1]
 
 
-def upsert_tracks(lib: Library) -> DataFrame:
+def _new_tracks(lib: Library) -> DataFrame:
     new = lib.tracks.filter("track_id % 3 = 0").select(
         F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), (F.col("track_id") * 2).alias("track_id"), "name", "album_id", (F.col("duration_ms") + 1).alias("duration_ms"), "popularity"
     )
-    new = new.withColumns({"name": F.concat("name", F.lit(" v"), F.col("seq").cast("string")), "popularity": F.col("popularity") + F.col("seq")})
-    return ingest.upsert_tracks(lib.tracks, new)
+    return new.withColumns({"name": F.concat("name", F.lit(" v"), F.col("seq").cast("string")), "popularity": F.col("popularity") + F.col("seq")})
+
+
+def upsert_tracks(lib: Library) -> DataFrame:
+    return ingest.upsert_tracks(lib.tracks, _new_tracks(lib))
 
 
 def _flat_tracks(lib: Library) -> DataFrame:
@@ -251,6 +255,34 @@ def _from_partials(lib: Library) -> Library:
     return lib.but(plays=partials.partial_plays(spark, path))
 
 
+def _stored(lib: Library, name: str, rows: DataFrame) -> DataFrame:
+    path = _shared(lib.spark, name)
+    rows.write.parquet(path)
+    return lib.spark.read.schema(rows.schema).parquet(path)
+
+
+def _chart_changes(lib: Library) -> DataFrame:
+    """Charts stored as changes of rank."""
+    return _stored(lib, "chart_changes", charts.run_length(charts.chart_facts(lib, "artist").select("user_id", "period", "entity_id", "rank"), charts.available_periods(lib), ["rank"]))
+
+
+def _chart_history_from_changes(lib: Library, start: str | None = None, end: str | None = None) -> DataFrame:
+    return charts.expanded(_chart_changes(lib), charts.available_periods(lib), start, end)
+
+
+def _ranking_history_from_changes(lib: Library) -> DataFrame:
+    months = charts.available_periods(lib, "month")
+    return charts.expanded(_stored(lib, "ranking_changes", charts.run_length(top.ranking_history(lib, "artist"), months, ["total", "rank"])), months)
+
+
+def _upserted_buckets(lib: Library) -> DataFrame:
+    """The upsert of tracks, into a table in buckets."""
+    path, schema = _shared(lib.spark, "tracks"), "track_id long, name string, album_id string, duration_ms long, popularity int"
+    buckets.write_buckets(lib.tracks.withColumn("track_id", F.col("track_id").cast("long")), path, ["track_id"], 16)
+    ingest.upsert_stored(lib.spark, path, schema, "track_id", _new_tracks(lib).withColumn("track_id", F.col("track_id").cast("long")), overwrite=["name", "popularity"], buckets=16)
+    return buckets.read_buckets(lib.spark, path, schema)
+
+
 def _indexed(plan: Callable[[Library, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lib, path = star_library(spark, sf_dir), _shared(spark, "search")
@@ -474,6 +506,10 @@ QUERIES: dict[str, Query] = {
     "partial_ranking_history": _star(lambda lib: top.ranking_history(_from_partials(lib), "artist")),
     "partial_records": _star(lambda lib: records.records(_from_partials(lib), "track")),
     "stream_partial_rankings": stream_partial_rankings,
+    "chart_history_from_changes": _star(_chart_history_from_changes),
+    "chart_history_part": _star(lambda lib: _chart_history_from_changes(lib, "1997-W10", "1997-W30")),
+    "ranking_history_from_changes": _star(_ranking_history_from_changes),
+    "upsert_tracks_buckets": _star(_upserted_buckets),
     "search_index_artists": _indexed(lambda lib, path: search.search_artists(lib, 1, "0003", index=path)),
     "search_index_albums": _indexed(lambda lib, path: search.search_albums(lib, 1, "brand#2", index=path)),
     "search_index_tracks": _indexed(lambda lib, path: search.search_tracks(lib, 1, "00_1", index=path)),

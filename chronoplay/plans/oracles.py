@@ -353,6 +353,10 @@ ORACLES |= {
     "partial_ranking_history": ORACLES["ranking_history_cumulative"],
     "partial_records": ORACLES["records_track"],
     "stream_partial_rankings": ORACLES["rankings_four_ranges"],
+    "chart_history_from_changes": ORACLES["entity_chart_history"],
+    "chart_history_part": f"SELECT * FROM ({ORACLES['entity_chart_history']}) WHERE period BETWEEN '1997-W10' AND '1997-W30'",
+    "ranking_history_from_changes": ORACLES["ranking_history_cumulative"],
+    "upsert_tracks_buckets": ORACLES["upsert_tracks"],
     "search_index_artists": ORACLES["search_artists"],
     "search_index_albums": ORACLES["search_albums"],
     "search_index_tracks": ORACLES["search_tracks"],

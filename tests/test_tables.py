@@ -14,7 +14,7 @@ from test_operators import MONDAY, library, week
 
 from chronoplay.functions.text import folded
 from chronoplay.operators import charts, ingest, partials, records, search, search_index, top
-from chronoplay.sources import committed
+from chronoplay.sources import buckets, committed
 
 
 def files(path):
@@ -175,3 +175,43 @@ def test_merge_rules_are_taken_one_by_one(spark):
     added, problems = search.add_merge_rules(spark.createDataFrame(rules, keys), spark.createDataFrame(new, f"{keys}, seq int"), albums)
     assert rows(added) == brute_rules(rules, new, set("abcdefgh"))
     assert search.merge_problems(added).count() == 0 and problems.count() > 0
+
+
+def test_changes_of_rank_are_few_and_expand_to_the_histories(spark):
+    """Gaps, re-entries, drops at the end, periods without charts; parts of the time; storage follows changes."""
+    lib = library(spark, [*week(0, {1: 3, 2: 1}), *week(1, {1: 3, 2: 1}), *week(2, {2: 2}), *week(4, {1: 1, 3: 2}), *week(5, {3: 2, 1: 1}), *week(6, {3: 2, 1: 1}), *week(3, {7: 1}, user=2)])
+    facts, periods = charts.chart_facts(lib, "track", sort="plays").select("user_id", "period", "entity_id", "rank"), charts.available_periods(lib)
+    changes = charts.run_length(facts, periods, ["rank"]).persist()
+    whole = charts.chart_history(lib, "track", sort="plays")
+    pick = lambda df: rows(df.select("user_id", "entity_id", "period", "rank"))
+    assert pick(charts.expanded(changes, periods)) == pick(whole)
+    assert [tuple(r) for r in changes.filter("entity_id = 1").select("since", "rank").orderBy("since").collect()] == [("2024-W02", 1), ("2024-W04", None), ("2024-W06", 2)]
+    for start, end in [("2024-W03", "2024-W06"), (None, "2024-W04"), ("2024-W07", None), ("2024-W05", "2024-W05")]:
+        inside = whole.filter(F.lit(True) if start is None else F.col("period") >= start).filter(F.lit(True) if end is None else F.col("period") <= end)
+        assert pick(charts.expanded(changes, periods, start, end)) == pick(inside)
+    steady = library(spark, [x for n in range(40) for x in week(n, {1: 3, 2: 2, 3: 1})])
+    few = charts.run_length(charts.chart_facts(steady, "track", sort="plays"), charts.available_periods(steady), ["rank"])
+    assert few.count() == 3 and charts.chart_history(steady, "track", sort="plays").count() == 120
+    months = charts.available_periods(lib, "month")
+    ranked = top.ranking_history(lib, "track")
+    again = charts.expanded(charts.run_length(ranked, months, ["total", "rank"]), months)
+    assert rows(again.select(*ranked.columns)) == rows(ranked)
+
+
+def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    """Newest by seq, insert-only columns; files of other buckets keep their times; bytes follow the change."""
+    path, schema = str(tmp_path / "t"), "id long, name string, first string"
+    table = spark.createDataFrame([(i, f"n{i}", f"f{i}") for i in range(400)], schema)
+    buckets.write_buckets(table, path, ["id"], 32)
+    before = files(path)
+    new = spark.createDataFrame([(7, "old", "x", 1), (7, "new", "y", 2), (1000, "z", "w", 1)], f"{schema}, seq int")
+    touched = ingest.upsert_stored(spark, path, schema, "id", new, overwrite=["name"], buckets=32)
+    changed = {f for f in before.keys() | files(path).keys() if before.get(f) != files(path).get(f)}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in changed} == set(touched) and len(touched) <= 2
+    want = rows(ingest.upsert(table, new, "id", "seq", overwrite=["name"]))
+    assert rows(buckets.read_buckets(spark, path, schema)) == want and (7, "new", "f7") in want and (1000, "z", "w") in want
+    now = files(path)
+    assert sum(os.path.getsize(f) for f in changed & now.keys()) < sum(map(os.path.getsize, now)) / 8
+    assert ingest.insert_stored(spark, path, schema, "id", spark.createDataFrame([(7, "no", "no"), (8, "no", "no")], schema), ["name"], 32) == [] and files(path) == now
+    assert len(ingest.insert_stored(spark, path, schema, "id", spark.createDataFrame([(2000, "b", "b"), (2000, "a", "a"), (8, "no", "no")], schema), ["name"], 32)) == 1
+    assert rows(buckets.read_buckets(spark, path, schema)) == sorted([*want, (2000, "a", "a")], key=repr)
