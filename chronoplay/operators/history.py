@@ -39,12 +39,23 @@ def history_filter(lib: Library, user_id: int, day: date | None = None, album: s
     return rows
 
 
-def history_page(rows: DataFrame, page: int = 1, size: int = 50, before: datetime | None = None) -> DataFrame:
-    """A page of plays, newest first. ``before`` (the last time seen) pages without an offset, which costs the same for any page."""
-    size = min(size, PAGE_CAP)
-    if before is not None:
-        return rows.filter(F.col("played_at") < F.lit(before).cast("timestamp_ntz")).orderBy(F.col("played_at").desc(), "play_id").limit(size)
-    return rows.orderBy(F.col("played_at").desc(), "play_id").offset((page - 1) * size).limit(size)
+def history_page(rows: DataFrame, page: int = 1, size: int = 50, after: tuple[datetime, int] | None = None) -> DataFrame:
+    """A page of plays, newest first, with ``has_more``: whether any come after it.
+
+    ``after`` is the (played_at, play_id) that the last page ended with. It
+    pages without an offset, at the same cost for any page, and between plays of
+    one instant too.
+    """
+    size, order = min(size, PAGE_CAP), [F.col("played_at").desc(), F.col("play_id")]
+    if after is None:
+        found = rows.orderBy(*order).offset((page - 1) * size)
+    else:
+        at = F.lit(after[0]).cast("timestamp_ntz")
+        later = (F.col("played_at") < at) | ((F.col("played_at") == at) & (F.col("play_id") > after[1]))
+        found = rows.filter((F.col("played_at") <= at) & later).orderBy(*order)
+    one_more = found.limit(size + 1)  # so few rows that numbering them is one task's work
+    numbered = one_more.withColumns({"_n": F.row_number().over(Window.orderBy(*order)), "_all": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    return numbered.filter(F.col("_n") <= size).withColumn("has_more", F.col("_all") > size).drop("_n", "_all")
 
 
 def history_total(rows: DataFrame) -> DataFrame:

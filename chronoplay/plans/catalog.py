@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,6 +201,59 @@ def stream_local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "track_id", F.date_format("played_at", "yyyy-MM-dd HH:mm:ss").alias("played_at"), "duration_ms")
 
 
+def stream_timed_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state machine with timers: a user who sends nothing for six hours has stopped."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    item = F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).otherwise(F.concat(F.lit("local:"), (k % 3).cast("string")))
+
+    def plan(events: DataFrame) -> DataFrame:
+        return stream.timed_plays(events.select("user_id", F.col("ts").cast("timestamp").alias("at"), (k % 5 != 0).alias("is_playing"), item.alias("item_id"), (k * 100).alias("progress_ms"), (k * 1000 + 60_000).alias("duration_ms")), timedelta(hours=6))
+
+    conf, store = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(store)
+    conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = _streamed(spark, sf_dir, "timed_plays", plan).filter("kind = 'play'")
+    finally:
+        conf.set(store, before)
+    return rows.select("user_id", "track_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("played_at"), "duration_ms")
+
+
+def _spelled(lib: Library) -> DataFrame:
+    """Entries of local files: a quarter are known by name in another case, some lack names."""
+    n = F.col("track_id")
+    return lib.tracks.select(
+        n.alias("entry"), F.when(n % 11 != 0, F.upper("name")).alias("track_name"), F.when(n % 13 != 0, F.concat(F.lit("SUPPLIER "), (n % 50).cast("string"))).alias("artist_name"),
+        F.when(n % 17 != 0, F.concat(F.lit("Record "), (n % 30).cast("string"))).alias("album_name"),
+    )
+
+
+def _local_ids(lib: Library) -> DataFrame:
+    artists = lib.artists.select(F.concat(F.lit("a"), F.col("artist_id").cast("string")).alias("artist_id"), F.concat(F.lit("Supplier "), (F.col("artist_id") % 40).cast("string")).alias("name"))
+    albums = lib.albums.select(F.concat(F.when(F.substring("album_id", 7, 3).cast("int") % 2 == 0, F.lit("local:")).otherwise(F.lit("")), "album_id").alias("album_id"), F.concat(F.lit("record "), F.substring("album_id", 7, 3)).alias("name"))
+    tracks = lib.tracks.filter("track_id % 4 = 0").select(F.concat(F.lit("local:t"), F.col("track_id").cast("string")).alias("track_id"), "name", F.concat(F.lit("local:Brand#"), (F.col("track_id") % 30).cast("string")).alias("album_id"))
+    return ingest.local_ids(_spelled(lib), artists, albums, tracks).select("entry", "artist_id", "album_id", "track_id")
+
+
+def _covered(lib: Library) -> DataFrame:
+    """Albums, every third imported and every fifth local, some with covers and some searched in vain."""
+    n = F.substring("album_id", 7, 3).cast("int")
+    prefix = F.when(n % 3 == 0, "import:").when(n % 5 == 0, "local:").otherwise("")
+    return lib.albums.select(F.concat(prefix, "album_id").alias("album_id"), F.concat(F.lit("Name "), (n % 4).cast("string")).alias("name"), F.when(n % 7 == 0, "").when(n % 4 == 0, "old").alias("image_url"))
+
+
+def _covers_found(lib: Library) -> DataFrame:
+    albums = _covered(lib)
+    found = ingest.missing_covers(albums).select("album_id", F.when(F.length("album_id") % 2 == 0, F.concat(F.lit("img of "), "name")).alias("image_url"))
+    return ingest.with_found_covers(albums, found)
+
+
+def _covers(lib: Library) -> DataFrame:
+    """Covers of all albums after tracks brought some: of equal ones the first stays."""
+    seen = lib.tracks.filter("album_id is not null").select("album_id", F.concat(F.lit("c"), (F.col("track_id") % 3).cast("string")).alias("image_url"), F.lit("track").alias("source"), F.col("track_id").alias("observed_at"))
+    return ingest.add_covers(seen.filter("observed_at % 5 = 0").dropDuplicates(["album_id", "image_url"]).withColumns({"observed_at": F.lit(0).cast("long"), "source": F.lit("old")}), seen)
+
+
 def now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.now_playing(_snapshots(spark, sf_dir), "2024-01-31 00:00:00", "36 hours")
     return rows.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "is_playing", "item_id", "progress_ms")
@@ -510,6 +563,15 @@ QUERIES: dict[str, Query] = {
     "chart_history_part": _star(lambda lib: _chart_history_from_changes(lib, "1997-W10", "1997-W30")),
     "ranking_history_from_changes": _star(_ranking_history_from_changes),
     "upsert_tracks_buckets": _star(_upserted_buckets),
+    "stream_timed_plays": stream_timed_plays,
+    "local_ids": _star(_local_ids),
+    "album_aliases": _star(lambda lib: ingest.album_aliases(_covered(lib))),
+    "covers_missing": _star(lambda lib: ingest.missing_covers(_covered(lib))),
+    "covers_found": _star(_covers_found),
+    "covers_added": _star(_covers),
+    "accolades_track": _star(lambda lib: records.accolades(lib, "track", "friday", "plays")),
+    "accolades_artist": _star(lambda lib: records.accolades(lib, "artist")),
+    "history_page_keyset": _events(lambda lib: history.history_page(lib.plays, size=20, after=(datetime(2024, 1, 20), 0))),
     "search_index_artists": _indexed(lambda lib, path: search.search_artists(lib, 1, "0003", index=path)),
     "search_index_albums": _indexed(lambda lib, path: search.search_albums(lib, 1, "brand#2", index=path)),
     "search_index_tracks": _indexed(lambda lib, path: search.search_tracks(lib, 1, "00_1", index=path)),

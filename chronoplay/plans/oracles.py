@@ -166,7 +166,7 @@ ORACLES: dict[str, str] = {
     "entity_series_auto": f"{facts('artist')} SELECT user_id, {_label('month')} AS period, entity_id, {_COUNTS} FROM facts WHERE {_YEAR[0]} GROUP BY 1, 2, 3",
     "entity_series_week": f"{facts('artist')} SELECT user_id, {_label('week')} AS period, entity_id, {_COUNTS} FROM facts WHERE {_days(STAR_NOW, 180)[0]} GROUP BY 1, 2, 3",
     "recent_plays": f"{EVENTS} SELECT * FROM (SELECT user_id, track_id AS entity_id, row_number() OVER (PARTITION BY user_id, track_id ORDER BY played_at DESC, play_id) AS n, play_id, track_id, played_at FROM plays) WHERE n <= 3",
-    "history_page": f"{EVENTS} SELECT * FROM plays WHERE user_id = 1 AND track_id IN (SELECT track_id FROM track_artists WHERE artist_id = 1) ORDER BY played_at DESC, play_id LIMIT 5 OFFSET 5",
+    "history_page": f"{EVENTS}, found AS (SELECT * FROM plays WHERE user_id = 1 AND track_id IN (SELECT track_id FROM track_artists WHERE artist_id = 1)) SELECT *, (SELECT count(*) FROM found) > 10 AS has_more FROM found ORDER BY played_at DESC, play_id LIMIT 5 OFFSET 5",
     "history_day": f"{EVENTS} SELECT * FROM plays WHERE user_id = 1 AND CAST(played_at AS DATE) = DATE '2024-01-10'",
     "history_total": f"{EVENTS} SELECT count(*) AS total FROM plays WHERE user_id = 1 AND track_id IN (SELECT track_id FROM track_artists WHERE artist_id = 1)",
     "delete_history": f"{EVENTS} SELECT * FROM plays WHERE NOT (user_id = 1 AND play_id < 900 AND play_id % 3 = 0)",
@@ -296,6 +296,18 @@ def _boards_by_settings() -> str:
     return " UNION ALL ".join(parts)
 
 
+_COVERED = f"""{STAR}, numbered AS (SELECT album_id, CAST(substr(album_id, 7, 3) AS INT) AS n FROM albums),
+    covered AS (SELECT CASE WHEN n % 3 = 0 THEN 'import:' WHEN n % 5 = 0 THEN 'local:' ELSE '' END || album_id AS album_id, n % 3 = 0 OR n % 5 = 0 AS own, 'Name ' || (n % 4) AS name, CASE WHEN n % 7 = 0 THEN '' WHEN n % 4 = 0 THEN 'old' END AS image_url FROM numbered)"""
+
+
+def _accolades(entity: str, week_start: str = "monday", metric: str = "total_ms") -> str:
+    boards = (("peakWeek", _PEAK_WEEK), ("biggestDebut", _DEBUT), ("weeksAtNo1", _weeks(1)), ("weeksInChart", _weeks(25)), ("longestRun", _RUN), ("inMostPlaylists", _in_playlists(entity)), ("inPlaylists", _in_playlists(entity)))
+    parts = [f"({_board(n, q.replace('total_ms', metric), 25)})" for n, q in boards]
+    if entity == "artist":
+        parts += [f"(SELECT * FROM ({ranks(of)} {_board(f'mostNo1{of.capitalize()}s', _no1(of), 25)}))" for of in ("track", "album")]
+    return f"{ranks(entity, 'week', week_start, metric)} " + " UNION ALL ".join(parts)
+
+
 _CUSTOM = "played_at >= TIMESTAMP '2024-01-12' AND played_at <= TIMESTAMP '2024-01-18 23:59:59.999'"
 
 
@@ -357,6 +369,25 @@ ORACLES |= {
     "chart_history_part": f"SELECT * FROM ({ORACLES['entity_chart_history']}) WHERE period BETWEEN '1997-W10' AND '1997-W30'",
     "ranking_history_from_changes": ORACLES["ranking_history_cumulative"],
     "upsert_tracks_buckets": ORACLES["upsert_tracks"],
+    "history_page_keyset": f"{EVENTS}, found AS (SELECT * FROM plays WHERE played_at < TIMESTAMP '2024-01-20' OR (played_at = TIMESTAMP '2024-01-20' AND play_id > 0)) SELECT *, (SELECT count(*) FROM found) > 20 AS has_more FROM found ORDER BY played_at DESC, play_id LIMIT 20",
+    "stream_timed_plays": f"""WITH {_SNAPS}, l AS (SELECT user_id, at_, CASE WHEN is_playing AND item_id LIKE 'local:%' THEN item_id END AS t, progress_ms AS p, duration_ms AS d FROM snaps),
+        b AS (SELECT *, lag(t) OVER w AS lt, lag(p) OVER w AS lp, lag(at_) OVER w AS lat FROM l WINDOW w AS (PARTITION BY user_id ORDER BY at_)),
+        s AS (SELECT *, sum(CASE WHEN t IS DISTINCT FROM lt OR p < lp OR at_ - lat > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_) AS run FROM b),
+        f AS (SELECT user_id, run, arg_min(t, at_) AS t, min(at_) AS at_, max(at_) AS seen, arg_min(d, at_) AS d FROM s WHERE t IS NOT NULL GROUP BY 1, 2)
+        SELECT f.user_id, f.t AS track_id, strftime(f.at_, '%Y-%m-%d %H:%M:%S') AS played_at, f.d AS duration_ms FROM f WHERE f.run < (SELECT max(run) FROM s WHERE s.user_id = f.user_id) OR f.seen + INTERVAL 6 HOUR < (SELECT max(at_) FROM l) - INTERVAL 1 MINUTE""",
+    "local_ids": f"""{STAR}, e AS (SELECT track_id AS entry, CASE WHEN track_id % 11 <> 0 THEN upper(name) END AS track_name, CASE WHEN track_id % 13 <> 0 THEN 'SUPPLIER ' || (track_id % 50) ELSE 'Unknown Artist' END AS artist_name, CASE WHEN track_id % 17 <> 0 THEN 'Record ' || (track_id % 30) ELSE 'Unknown Album' END AS album_name FROM tracks),
+        a AS (SELECT 'supplier ' || (artist_id % 40) AS k, min('a' || artist_id) AS id FROM artists GROUP BY 1), b AS (SELECT 'record ' || substr(album_id, 7, 3) AS k, min('local:' || album_id) AS id FROM albums WHERE CAST(substr(album_id, 7, 3) AS INT) % 2 = 0 GROUP BY 1),
+        t AS (SELECT lower(name) AS k, 'local:Brand#' || (track_id % 30) AS album_id, min('local:t' || track_id) AS id FROM tracks WHERE track_id % 4 = 0 GROUP BY 1, 2),
+        r AS (SELECT e.*, coalesce(a.id, 'local:' || substr(sha256(concat_ws('|', lower(artist_name), lower(artist_name))), 1, 16)) AS artist_id, coalesce(b.id, 'local:' || substr(sha256(concat_ws('|', lower(artist_name), lower(album_name))), 1, 16)) AS album_id
+              FROM e LEFT JOIN a ON a.k = lower(e.artist_name) LEFT JOIN b ON b.k = lower(e.album_name))
+        SELECT r.entry, r.artist_id, r.album_id, coalesce(t.id, 'local:' || substr(sha256(concat_ws('|', lower(artist_name), lower(track_name))), 1, 16)) AS track_id FROM r LEFT JOIN t ON t.k = lower(r.track_name) AND t.album_id = r.album_id""",
+    "album_aliases": f"{_COVERED} SELECT c.album_id AS old, r.id AS new FROM covered c JOIN (SELECT name, min(album_id) AS id FROM covered WHERE NOT own GROUP BY 1) r USING (name) WHERE c.own",
+    "covers_missing": f"{_COVERED} SELECT album_id, name, image_url FROM covered WHERE own AND image_url IS NULL",
+    "covers_found": f"{_COVERED} SELECT album_id, name, CASE WHEN own AND image_url IS NULL THEN CASE WHEN length(album_id) % 2 = 0 THEN 'img of ' || name ELSE '' END ELSE image_url END AS image_url FROM covered",
+    "covers_added": f"""{STAR}, seen AS (SELECT album_id, 'c' || (track_id % 3) AS image_url, track_id FROM tracks WHERE album_id IS NOT NULL), old AS (SELECT DISTINCT album_id, image_url FROM seen WHERE track_id % 5 = 0)
+        SELECT album_id, image_url, 'old' AS source, CAST(0 AS BIGINT) AS observed_at FROM old UNION ALL SELECT album_id, image_url, 'track', min(track_id) FROM seen WHERE (album_id, image_url) NOT IN (SELECT album_id, image_url FROM old) GROUP BY 1, 2""",
+    "accolades_track": _accolades("track", "friday", "play_count"),
+    "accolades_artist": _accolades("artist"),
     "search_index_artists": ORACLES["search_artists"],
     "search_index_albums": ORACLES["search_albums"],
     "search_index_tracks": ORACLES["search_tracks"],

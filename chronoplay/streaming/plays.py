@@ -6,11 +6,13 @@ import heapq
 import pickle
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from datetime import timedelta
 from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.partials import add_plays
@@ -135,6 +137,97 @@ def local_plays(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("user_id").applyInPandasWithState(step, LOCAL_PLAY, LOCAL_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: A user who sends nothing for so long has stopped, and a now-playing row is shown for so long.
+ABANDONED, SHOWN = timedelta(minutes=10), timedelta(minutes=2)
+TIMED_OUT = "user_id long, kind string, track_id string, at timestamp, duration_ms long"
+_TRACK = "track_id string, started_at timestamp, duration_ms long, progress_ms long, seen_at timestamp"
+_ROW = "item_id string, at timestamp"
+
+
+class _Player(StatefulProcessor):
+    """A user's track and now-playing row, each with a timer in event time that ends it."""
+
+    def __init__(self, abandoned: timedelta, shown: timedelta):
+        self.abandoned, self.shown = abandoned, shown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.track, self.row = handle.getValueState("track", _TRACK), handle.getValueState("row", _ROW)
+
+    def _timers(self) -> None:
+        """One timer for each thing that may end; of those that are left from before, none."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        ends = ([self.track.get()[4] + self.abandoned] if self.track.exists() else []) + ([self.row.get()[1] + self.shown] if self.row.exists() else [])
+        for at in ends:
+            self.handle.registerTimer(_millis(at) + 1)
+
+    def _frame(self, user: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            kind, track, at, length = zip(*rows, strict=True)
+            yield pd.DataFrame({"user_id": user, "kind": kind, "track_id": track, "at": at, "duration_ms": length})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out, last = tuple(self.track.get()) if self.track.exists() else None, [], None
+        for track, at, progress, length, playing, item in in_order(_snapshot_rows(rows)):
+            if state is not None and at - state[4] > self.abandoned:
+                out.append(("play", *state[:3]))  # its timer would have fired between these two
+                state = None
+            done, state = play_steps([(track, at, progress, length)], state)
+            out += [("play", *d) for d in done]
+            if last is None or at >= last[1]:
+                last = (item if playing else None, at)
+        if state is None:
+            self.track.clear()
+        else:
+            self.track.update(state)
+        if last is not None and (not self.row.exists() or last[1] >= self.row.get()[1]):
+            self.row.update(last)
+            out.append(("now", last[0], last[1], None))
+        self._timers()
+        yield from self._frame(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self.track.exists() and _millis(self.track.get()[4] + self.abandoned) < now:
+            out.append(("play", *self.track.get()[:3]))
+            self.track.clear()
+        if self.row.exists() and _millis(self.row.get()[1] + self.shown) < now:
+            out.append(("hidden", self.row.get()[0], self.row.get()[1], None))
+            self.row.clear()
+        self._timers()
+        yield from self._frame(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at) -> int:
+    return int(pd.Timestamp(at).value // 1_000_000)
+
+
+def _snapshot_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for rows in frames:
+        playing = rows["is_playing"].fillna(False).astype(bool)
+        local = playing & rows["item_id"].fillna("").str.startswith("local:")
+        tracks = rows["item_id"].where(local, None)
+        for t, a, p, d, on, item in zip(tracks, rows["at"], rows["progress_ms"].fillna(0), rows["duration_ms"].fillna(0), playing, rows["item_id"], strict=True):
+            yield None if pd.isna(t) else t, a.to_pydatetime(), int(p), int(d), bool(on), None if pd.isna(item) else item
+
+
+def timed_plays(snapshots: DataFrame, abandoned: timedelta = ABANDONED, shown: timedelta = SHOWN, lateness: str = "1 minute") -> DataFrame:
+    """``TIMED_OUT`` rows of a stream of snapshots, with timers in event time.
+
+    ``play``: a local track ended, as ``local_plays`` has it, or because its user
+    has sent nothing for longer than ``abandoned``; ``at`` is when it began.
+    ``now``: a user's newest snapshot of a batch. ``hidden``: that row is older
+    than ``shown``. What ends leaves the state, so it holds only users who are
+    there. Needs the RocksDB state store.
+    """
+    marked = snapshots.filter("at is not null").withWatermark("at", lateness)
+    return marked.groupBy("user_id").transformWithStateInPandas(_Player(abandoned, shown), TIMED_OUT, "append", "eventtime")
+
+
 def now_playing(snapshots: DataFrame, as_of, max_age: str = "2 minutes") -> DataFrame:
     """Each user's last snapshot, hidden once it is older than two minutes. Works on batches and, in complete mode, on streams."""
     last = snapshots.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "user_id"]), "at").alias("_s")).select("user_id", "_s.*")

@@ -160,8 +160,15 @@ def test_history_pages_and_deletion(spark):
     lib = library(spark, [(1, MONDAY + timedelta(hours=h), h % 3) for h in range(10)])
     rows = history.history_filter(lib, 1)
     second = [r["play_id"] for r in history.history_page(rows, 2, 4).collect()]
-    keyset = [r["play_id"] for r in history.history_page(rows, size=4, before=MONDAY + timedelta(hours=6)).collect()]
+    keyset = [r["play_id"] for r in history.history_page(rows, size=4, after=(MONDAY + timedelta(hours=6), 6)).collect()]
     assert second == keyset == [5, 4, 3, 2]
+    assert {r["has_more"] for r in history.history_page(rows, 2, 4).collect()} == {True} and {r["has_more"] for r in history.history_page(rows, 2, 5).collect()} == {False}
+    same = library(spark, [(u, MONDAY, 0) for u in range(9)]).plays  # pages end between plays of one instant
+    seen, after = [], None
+    while got := history.history_page(same, size=2, after=after).collect():
+        seen += [r["play_id"] for r in got]
+        after = (got[-1]["played_at"], got[-1]["play_id"])
+    assert seen == list(range(9))
     assert history.delete_plays(lib, 2, [1]).count() == 10 and history.delete_plays(lib, 1, [1, 2, 99]).count() == 8
     with pytest.raises(ValueError):
         history.delete_plays(lib, 1, [])
