@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 EXTENDED = "ts string, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string, ms_played long"
 BASIC = "endTime string, trackName string, artistName string, msPlayed long"
 PLAYED_ITEMS = "user_id long, played_at string, track struct<id:string,name:string,duration_ms:long,popularity:int,album:struct<id:string,name:string>,artists:array<struct<id:string,name:string>>>, context struct<type:string,uri:string>"
@@ -29,15 +31,30 @@ def normalise_basic(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_import(spark: SparkSession, path: str, user_id: int) -> DataFrame:
-    """Normalised entries of all ``.json`` files under a path, of either format, file by file.
+def import_files(spark: SparkSession, path: str, user_id: int) -> tuple[DataFrame, DataFrame]:
+    """(normalised entries, (file, status, entries)) of all ``.json`` files under a path, of either format.
 
-    A file that holds no array of objects gives no entries. ``seq`` orders
-    entries by file and place in it.
+    A file's status is ``read``; ``skipped`` if it holds JSON but no array; or
+    ``error`` if it holds no JSON, and then it is named here and gives no
+    entries. An empty file isn't there at all. ``seq`` orders entries by file
+    and place in it. Files are read and parsed once; both results come from what
+    that leaves. A file is one task's, as it is one JSON text.
     """
-    raw = spark.read.schema(f"{EXTENDED}, {BASIC}").option("multiLine", True).option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED").json(path)
-    rows = raw.select("*", F.lit(user_id).cast("long").alias("user_id"), F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).alias("seq"))
-    return normalise_extended(rows.filter("ts is not null")).unionByName(normalise_basic(rows.filter("ts is null and endTime is not null")))
+    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    parsed = read.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
+    status = F.when(F.col("v").isNull(), "error").when(F.col("items").isNull(), "skipped").otherwise("read")
+    fields = [f.split() for f in f"{EXTENDED}, {BASIC}".split(", ")]
+    each = F.transform("items", lambda x: F.struct(*(F.try_variant_get(x, f"$.{name}", kind).alias(name) for name, kind in fields)))
+    files = materialised(parsed.select("file", status.alias("status"), each.alias("items")))
+    items = files.select("file", F.posexplode("items").alias("n", "i"))
+    rows = items.select("i.*", F.lit(user_id).cast("long").alias("user_id"), F.struct("file", "n").alias("seq"))
+    entries = normalise_extended(rows.filter("ts is not null")).unionByName(normalise_basic(rows.filter("ts is null and endTime is not null")))
+    return entries, files.select("file", "status", F.coalesce(F.array_size("items"), F.lit(0)).alias("entries"))
+
+
+def read_import(spark: SparkSession, path: str, user_id: int) -> DataFrame:
+    """The entries of ``import_files``."""
+    return import_files(spark, path, user_id)[0]
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:

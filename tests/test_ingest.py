@@ -19,6 +19,18 @@ from chronoplay.streaming import plays as stream
 AT = datetime(2024, 1, 1)
 
 
+def test_import_names_broken_files(spark, tmp_path):
+    """A file of invalid JSON is an error by name, one without an array is skipped, and neither loses the others' entries."""
+    entry = {"endTime": "2024-01-01 10:00", "trackName": "T", "artistName": "A", "msPlayed": 50000}
+    texts = {"a.json": json.dumps([entry, entry]), "b.json": json.dumps([entry])[:-3], "c.json": json.dumps(entry), "d.json": "[]", "e.json": " \n [1, null, " + json.dumps(entry) + "]", "f.json": "", "g.json": '"text"', "h.txt": "["}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    entries, report = files.import_files(spark, str(tmp_path), 1)
+    got = {r["file"].rsplit("/", 1)[-1]: (r["status"], r["entries"]) for r in report.collect()}
+    assert got == {"a.json": ("read", 2), "b.json": ("error", 0), "c.json": ("skipped", 0), "d.json": ("read", 0), "e.json": ("read", 3), "g.json": ("skipped", 0)}
+    assert sorted((r["seq"]["file"][-6:], r["seq"]["n"]) for r in entries.collect()) == [("a.json", 0), ("a.json", 1), ("e.json", 2)]
+
+
 def test_import_files(spark, tmp_path):
     """import_mixed: both formats, thresholds, missing names, duplicates within and across files."""
     ext = [
