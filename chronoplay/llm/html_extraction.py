@@ -62,6 +62,7 @@ HINTS = {
 FRAMES = frozenset(("#root", "html", "body", "div", "section", "main", "table", "tbody", "tr"))
 _HINT = {w: i for i, words in enumerate(HINTS.values()) for w in words}
 _TAG = {t: i for i, t in enumerate(TAGS)}
+_TAG["th"] = _TAG["td"]  # a table's heads are as its cells
 N_FEATURES = 1 + len(TAGS) + len(HINTS) + 10
 
 _markup = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""", re.S)
