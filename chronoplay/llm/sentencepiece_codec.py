@@ -13,7 +13,9 @@ For a BPE vocabulary the relaxation keeps the encodings that the merges make:
 each prefix of a word has exactly one encoding, so exactly one edge into a
 position continues the encoding at the edge's start. An edge does so if its
 piece and the one before it come out unchanged when their concatenation is
-merged. For a unigram vocabulary it keeps the best sum of scores.
+merged. For a unigram vocabulary it keeps the best sum of scores;
+of equal sums it may take another than the library does, so only a BPE's ids are
+the library's in every case.
 """
 
 from __future__ import annotations

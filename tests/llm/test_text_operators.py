@@ -358,3 +358,11 @@ def test_op7_hand_made_layouts():
 
 def test_op9_equals_sql(spark):
     assert spark_rows(queries.op9_sharding(spark, SF)) == oracle_rows(SF, queries.ORACLES["op9_sharding"])
+
+
+def test_op7_heads_of_a_table_are_kept(spark):
+    prose = "<p>" + "A long sentence of the article about rivers and the towns beside them, with commas, and an end. " * 3 + "</p>"
+    table = "<table><tr><th>River</th><th>Length</th></tr><tr><td>Elbe</td><td>1094 km</td></tr><tr><td>Weser</td><td>452 km</td></tr></table>"
+    page = f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav><article><h1>Rivers of the north</h1>{prose}{table}{prose}</article><footer>Imprint | Contact</footer></body></html>"
+    got = extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"].split("\n")
+    assert {"River", "Length", "Elbe", "452 km"} <= set(got) and "Home" not in got and "Imprint | Contact" not in got
