@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import period_bounds, period_label, previous_label, previous_period
 from ..session import materialised
 from ..sources.library import Library
-from .facts import in_window, play_counts, ranked
+from .facts import in_window, period_plays, play_counts, ranked
 from .islands import number_periods, run_lengths
 
 CHART_SIZE = 25
@@ -104,11 +104,18 @@ def since(firsts: DataFrame, periods: DataFrame, first: str) -> DataFrame:
     return rows.withColumn("period", F.explode(F.filter("_periods", lambda p: p >= F.col(first)))).drop("_periods", first)
 
 
+def _facts_and_periods(lib: Library, entity: str, week_start: str, sort: str) -> tuple[DataFrame, DataFrame]:
+    """Weekly charts, and the users' weeks, from one pass over the plays."""
+    plays = materialised(period_plays(lib, "week", week_start))
+    counts = play_counts(lib, entity, {"period": F.col("period")}, plays).drop("first_played", "last_played")
+    return materialised(ranked(counts, ["user_id", "period"], sort, CHART_SIZE)), plays.select("user_id", "period").distinct()
+
+
 def chart_history(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """(user_id, entity_id, period, rank): every period from an entity's first chart to the user's latest; null off the chart."""
-    facts = materialised(chart_facts(lib, entity, "week", week_start, sort))
+    facts, periods = _facts_and_periods(lib, entity, week_start, sort)
     first = facts.groupBy("user_id", "entity_id").agg(F.min("period").alias("_first"))
-    spine = since(first, available_periods(lib, "week", week_start), "_first")
+    spine = since(first, periods, "_first")
     return spine.join(facts.select("user_id", "entity_id", "period", "rank"), ["user_id", "entity_id", "period"], "left").select("user_id", "entity_id", "period", "rank")
 
 
@@ -147,9 +154,10 @@ def expanded(changes: DataFrame, periods: DataFrame, start: str | None = None, e
 
 def chart_summary(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """One row an entity: its last chart's peaks, and its rank in the user's latest week (null off the chart)."""
-    rows = with_peaks(chart_facts(lib, entity, "week", week_start, sort))
+    facts, periods = _facts_and_periods(lib, entity, week_start, sort)
+    rows = _peaks(facts)
     last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("user_id", "entity_id").orderBy(F.col("period").desc()))).filter("_r = 1")
-    latest = available_periods(lib, "week", week_start).groupBy("user_id").agg(F.max("period").alias("current_period"))
+    latest = periods.groupBy("user_id").agg(F.max("period").alias("current_period"))
     return last.join(latest, "user_id").select(
         "user_id", "entity_id", "current_period", F.when(F.col("period") == F.col("current_period"), F.col("rank")).alias("current_rank"),
         "peak_rank", "peak_period", "times_at_peak", "weeks_on_chart",

@@ -11,6 +11,7 @@ from datetime import datetime, time, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import period_label
 from ..sources.library import Library
 
 ENTITIES = ("track", "artist", "album")
@@ -51,6 +52,17 @@ def resolved_albums(lib: Library, rows: DataFrame) -> DataFrame:
     return rows.filter("album_id is not null").join(rules, on, "left").withColumn("album_id", F.coalesce("_t", "album_id")).drop("_u", "_s", "_t")
 
 
+def period_plays(lib: Library, granularity: str = "week", week_start: str = "monday") -> DataFrame:
+    """(user_id, track_id, period, n_plays, first_played, last_played): plays counted by track and period, before any dimension is joined.
+
+    What several plans count is worth storing in this form: ``play_counts`` takes
+    it in place of plays, and a user's periods are in it too.
+    """
+    n, first, last = tally(lib.plays)
+    label = period_label(F.col("played_at"), granularity, week_start)
+    return lib.plays.groupBy("user_id", "track_id", label.alias("period")).agg(n.alias("n_plays"), first.alias("first_played"), last.alias("last_played"))
+
+
 def play_counts(lib: Library, entity: str, by: dict[str, Column] | None = None, plays: DataFrame | None = None) -> DataFrame:
     """(user_id, *by, entity_id, play_count, total_ms, first_played, last_played).
 

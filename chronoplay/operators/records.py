@@ -16,7 +16,7 @@ from ..session import materialised
 from ..sources.buckets import merge_buckets, read_buckets, write_buckets
 from ..sources.library import Library
 from .charts import CHART_SIZE
-from .facts import ENTITIES, metric, play_counts, tally
+from .facts import ENTITIES, metric, period_plays, play_counts, tally
 from .islands import number_periods, run_lengths
 
 
@@ -24,15 +24,8 @@ from .islands import number_periods, run_lengths
 DEFAULT_WEEK, DEFAULT_SORT = "friday", "time"
 
 
-def weekly_plays(lib: Library, week_start: str = "monday") -> DataFrame:
-    """(user_id, track_id, period, n_plays, first_played, last_played): what the boards of all kinds of entities count, so it is worth storing."""
-    n, first, last = tally(lib.plays)
-    label = period_label(F.col("played_at"), "week", week_start)
-    return lib.plays.groupBy("user_id", "track_id", label.alias("period")).agg(n.alias("n_plays"), first.alias("first_played"), last.alias("last_played"))
-
-
 def weekly_plays_by_settings(lib: Library, settings: DataFrame) -> DataFrame:
-    """``weekly_plays`` with each user's own beginning of the week and metric (``week_start``, ``sort``), from settings (user_id, key, value).
+    """``period_plays`` by week, with each user's own beginning of the week and metric (``week_start``, ``sort``), from settings (user_id, key, value).
 
     A user without a setting, or with an unknown value, has the default. Plays
     are counted by day before settings are joined, so that meets as few rows as
@@ -49,7 +42,7 @@ def weekly_plays_by_settings(lib: Library, settings: DataFrame) -> DataFrame:
 
 
 def weekly_of(lib: Library, entity: str, facts: DataFrame, sort: str = "time", limit: int | None = None) -> DataFrame:
-    """(user_id, period, entity_id, val, rank) of every entity of every week, from ``weekly_plays``; by each user's metric where they have one."""
+    """(user_id, period, entity_id, val, rank) of every entity of every week, from stored ``period_plays``; by each user's metric where they have one."""
     own = "sort" in facts.columns
     counts = play_counts(lib, entity, {"period": F.col("period")} | ({"sort": F.col("sort")} if own else {}), facts)
     value = F.when(F.col("sort") == "plays", F.col("play_count")).otherwise(F.col("total_ms")) if own else F.col(metric(sort))
@@ -60,12 +53,12 @@ def weekly_of(lib: Library, entity: str, facts: DataFrame, sort: str = "time", l
 
 def weekly_ranks(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """``weekly_of`` in one plan; ``records`` materialises it."""
-    return weekly_of(lib, entity, weekly_plays(lib, week_start), sort)
+    return weekly_of(lib, entity, period_plays(lib, "week", week_start), sort)
 
 
 def weekly_leaders(lib: Library, entity: str, week_start: str = "monday", sort: str = "time") -> DataFrame:
     """Of ``weekly_ranks`` the first of each week only, which is all that ``most_number_ones`` needs."""
-    return weekly_of(lib, entity, weekly_plays(lib, week_start), sort, limit=1)
+    return weekly_of(lib, entity, period_plays(lib, "week", week_start), sort, limit=1)
 
 
 def _board(rows: DataFrame, name: str, limit: int) -> DataFrame:
@@ -138,11 +131,11 @@ def most_number_ones(lib: Library, of: str, weekly: DataFrame, limit: int = 10)
 
 def records(lib: Library, entity: str, week_start: str = "monday", sort: str = "time", limit: int = 10) -> DataFrame:
     """All boards of a kind of entity, from one pass over the plays."""
-    return boards_of(lib, entity, materialised(weekly_plays(lib, week_start)), sort, limit)
+    return boards_of(lib, entity, materialised(period_plays(lib, "week", week_start)), sort, limit)
 
 
 def boards_of(lib: Library, entity: str, facts: DataFrame, sort: str = "time", limit: int = 10) -> DataFrame:
-    """All boards of a kind of entity from stored ``weekly_plays``."""
+    """All boards of a kind of entity from stored ``period_plays``."""
     weekly = materialised(weekly_of(lib, entity, facts, sort))
     boards = [
         peak_week(weekly, limit),

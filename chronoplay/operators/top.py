@@ -13,7 +13,7 @@ from ..functions.periods import period_label, range_start, series_bucket, window
 from ..session import materialised
 from ..sources.library import Library
 from .charts import since
-from .facts import in_window, metric, play_counts, ranked, resolved_albums, tally
+from .facts import in_window, metric, period_plays, play_counts, ranked, resolved_albums, tally
 
 PREVIOUS_LIMIT = 200
 
@@ -103,9 +103,10 @@ def ranking_history(lib: Library, entity: str, sort: str = "time") -> DataFrame:
     An entity has a row in every month with plays of its user, from its first
     month on; the rank is among all entities seen until then.
     """
-    monthly = play_counts(lib, entity, {"period": period_label(F.col("played_at"), "month")})
+    facts = materialised(period_plays(lib, "month"))  # one pass over the plays gives counts and months
+    monthly = play_counts(lib, entity, {"period": F.col("period")}, facts)
     monthly = materialised(monthly.select("user_id", "period", "entity_id", F.col(metric(sort)).alias("_v")))
-    months = lib.plays.select("user_id", period_label(F.col("played_at"), "month").alias("period")).distinct()
+    months = facts.select("user_id", "period").distinct()
     spine = since(monthly.groupBy("user_id", "entity_id").agg(F.min("period").alias("_since")), months, "_since")
     running = Window.partitionBy("user_id", "entity_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     totals = spine.join(monthly, ["user_id", "period", "entity_id"], "left").withColumn("total", F.sum(F.coalesce("_v", F.lit(0))).over(running))
