@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, history, ingest, islands, partials, playlists, records, search, top
 from ..operators.facts import resolved_albums
-from ..sources import buckets
+from ..sources import buckets, files
 from ..sources.files import normalise_basic, normalise_extended
 from ..sources.library import Library, events_library, star_library
 from ..streaming import plays as stream
@@ -36,10 +36,10 @@ def _history_rows(lib: Library) -> DataFrame:
     return history.history_filter(lib, 1, artist=1)
 
 
-def _import_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events rendered as entries of the extended format: some short, some without names or ids, and all twice."""
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rendered as entries of the extended format: some short, some without names or ids."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    raw = e.select(
+    return e.select(
         "user_id", F.col("event_id").alias("seq"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("ts"),
         F.when(F.col("k") % 10 != 0, F.concat(F.lit("Track "), F.col("k").cast("string"))).alias("master_metadata_track_name"),
         F.concat(F.lit("Artist "), (F.col("k") % 7).cast("string")).alias("master_metadata_album_artist_name"),
@@ -47,6 +47,11 @@ def _import_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 2 == 0, F.concat(F.lit("service:track:t"), F.col("k").cast("string"))).alias("spotify_track_uri"),
         (F.col("k") * 1000).alias("ms_played"),
     )
+
+
+def _import_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries, all twice."""
+    raw = _entries(spark, sf_dir)
     again = raw.withColumn("seq", F.col("seq") + 1_000_000_000)
     return normalise_extended(raw.unionByName(again))
 
@@ -167,7 +172,7 @@ PLAYS = "user_id long, played_at timestamp, track_id long"
 
 def _appended(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Tables of plays and of their partials after a stream of four files: each holds a quarter of the events, and a quarter that came before."""
-    where = _shared(spark, "plays")
+    where = _shared(spark, "plays", "streams")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("played_at"), F.get_json_object("props", "$.k").cast("long").alias("track_id"), F.pmod("event_id", F.lit(4)).alias("part"))
     for part in range(4):
         rows.filter(F.col("part").isin(part, max(0, part - 1))).drop("part").write.mode("append").parquet(f"{where}/feed")
@@ -294,10 +299,10 @@ def _rule_deletion(lib: Library) -> DataFrame:
     return search.delete_merge_rules(rules, rules.filter("user_id = 1"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
+def _shared(spark: SparkSession, name: str, kind: str = "tables") -> str:
     """A new folder of its own in the cluster's shared one; a temporary one in local tests only."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chk")
-    return f"{shared}/tables/{name}_{uuid.uuid4().hex}"
+    return f"{shared}/{kind}/{name}_{uuid.uuid4().hex}"
 
 
 def _from_partials(lib: Library) -> Library:
@@ -308,6 +313,59 @@ def _from_partials(lib: Library) -> Library:
     return lib.but(plays=partials.partial_plays(spark, path))
 
 
+def _import_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of import files, a hundred entries each: of five, one is cut off and one holds an object."""
+    path = _shared(spark, "imports")
+    entry = F.struct("seq", F.to_json(F.struct(*files.EXTENDED_FIELDS)).alias("json"))
+    texts = _entries(spark, sf_dir).groupBy(F.floor(F.col("seq") / 100).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["json"]), ",").alias("all"))
+    begin, end = F.when(F.col("n") % 5 == 4, '{"entries":[').otherwise("["), F.when(F.col("n") % 5 == 4, "]}").when(F.col("n") % 5 == 3, ",").otherwise("]")
+    texts.select(F.lpad(F.col("n").cast("string"), 12, "0").alias("number"), F.concat(begin, "all", end).alias("value")).withColumn("number", F.concat(F.lit("f"), "number")).write.partitionBy("number").text(path)
+    return path
+
+
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each file of an import."""
+    report = files.import_files(spark, _import_folder(spark, sf_dir), 1, "*.txt")[1]
+    return report.select(F.regexp_extract("file", "number=f([0-9]+)", 1).cast("long").alias("number"), "status", F.col("entries").cast("long").alias("entries"))
+
+
+def import_files_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays of the files that could be read."""
+    entries = files.read_import(spark, _import_folder(spark, sf_dir), 1, "*.txt")
+    return _utc_plays(ingest.import_history(entries).plays)
+
+
+def _exported(write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+    """All plays after an export to files, as these say them."""
+
+    def plan(lib: Library) -> DataFrame:
+        path, rows = _shared(lib.spark, "export"), history.export_rows(lib)
+        write(rows, path)
+        return read(lib.spark, path, rows.schema.simpleString()[7:-1].replace(":", " "))
+
+    return _events(plan)
+
+
+def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def _paged(lib: Library) -> DataFrame:
+    """Tracks of playlists, from landed pages of fifty."""
+    path = _shared(lib.spark, "pages")
+    item = F.struct("position", "track_id", "playlist_id")
+    pages = lib.playlist_tracks.groupBy("playlist_id", F.floor(F.col("position") / 50)).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages.select("items").write.json(path)
+    return files.read_pages(lib.spark, path, "playlist_id: long, track_id: long, position: long")
+
+
+def _by_month(lib: Library) -> Library:
+    """The library whose plays are stored by month."""
+    path = _shared(lib.spark, "plays_by_month")
+    files.write_plays(lib.plays, path)
+    return lib.but(plays=lib.spark.read.parquet(path))
+
+
 def _stored(lib: Library, name: str, rows: DataFrame) -> DataFrame:
     path = _shared(lib.spark, name)
     rows.write.parquet(path)
@@ -575,4 +633,11 @@ QUERIES: dict[str, Query] = {
     "search_index_artists": _indexed(lambda lib, path: search.search_artists(lib, 1, "0003", index=path)),
     "search_index_albums": _indexed(lambda lib, path: search.search_albums(lib, 1, "brand#2", index=path)),
     "search_index_tracks": _indexed(lambda lib, path: search.search_tracks(lib, 1, "00_1", index=path)),
+    "import_files": import_files,
+    "import_files_plays": import_files_plays,
+    "export_csv": _exported(files.write_csv, _read_csv),
+    "export_json": _exported(files.write_json, lambda spark, path, schema: spark.read.schema(schema).json(path)),
+    "playlist_pages": _star(_paged),
+    "series_day_stored": _events(lambda lib: top.series(_by_month(lib), "day")),
+    "month_chart_stored": _events(lambda lib: charts.period_chart(_by_month(lib), "track", "2024-01", "month")),
 }

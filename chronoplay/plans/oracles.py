@@ -391,4 +391,11 @@ ORACLES |= {
     "search_index_artists": ORACLES["search_artists"],
     "search_index_albums": ORACLES["search_albums"],
     "search_index_tracks": ORACLES["search_tracks"],
+    "import_files": "SELECT number, CASE number % 5 WHEN 3 THEN 'error' WHEN 4 THEN 'skipped' ELSE 'read' END AS status, CASE WHEN number % 5 < 3 THEN n ELSE 0 END AS entries FROM (SELECT event_id // 100 AS number, count(*) AS n FROM events GROUP BY 1)",
+    "import_files_plays": f"WITH {_ENTRIES}, read_ AS (SELECT * FROM valid WHERE seq // 100 % 5 < 3 QUALIFY row_number() OVER (PARTITION BY at_ ORDER BY seq) = 1) SELECT CAST(1 AS BIGINT) AS user_id, strftime(at_, '%Y-%m-%d %H:%M:%S') AS played_at, track_id, ms_played FROM read_",
+    "export_csv": ORACLES["export_plays"],
+    "export_json": ORACLES["export_plays"],
+    "playlist_pages": f"{STAR} SELECT playlist_id, track_id, position FROM playlist_tracks",
+    "series_day_stored": ORACLES["series_day"],
+    "month_chart_stored": f"{facts('track', EVENTS)}, counts AS (SELECT user_id, {_label('month')} AS period, entity_id, {_COUNTS} FROM facts WHERE played_at >= TIMESTAMP '2024-01-01' AND played_at < TIMESTAMP '2024-02-01' GROUP BY ALL), ranks AS (SELECT *, row_number() OVER (PARTITION BY user_id, period ORDER BY total_ms DESC, entity_id) AS rank FROM counts) SELECT * FROM ranks WHERE rank <= 25",
 }

@@ -9,6 +9,7 @@ from ..session import materialised
 
 EXTENDED = "ts string, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string, ms_played long"
 BASIC = "endTime string, trackName string, artistName string, msPlayed long"
+EXTENDED_FIELDS = [field.split()[0] for field in EXTENDED.split(", ")]
 PLAYED_ITEMS = "user_id long, played_at string, track struct<id:string,name:string,duration_ms:long,popularity:int,album:struct<id:string,name:string>,artists:array<struct<id:string,name:string>>>, context struct<type:string,uri:string>"
 SNAPSHOTS = "user_id long, at timestamp, is_playing boolean, item_id string, progress_ms long, duration_ms long"
 
@@ -31,8 +32,8 @@ def normalise_basic(raw: DataFrame) -> DataFrame:
     )
 
 
-def import_files(spark: SparkSession, path: str, user_id: int) -> tuple[DataFrame, DataFrame]:
-    """(normalised entries, (file, status, entries)) of all ``.json`` files under a path, of either format.
+def import_files(spark: SparkSession, path: str, user_id: int, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(normalised entries, (file, status, entries)) of all files of that pattern under a path, of either format.
 
     A file's status is ``read``; ``skipped`` if it holds JSON but no array; or
     ``error`` if it holds no JSON, and then it is named here and gives no
@@ -40,7 +41,7 @@ def import_files(spark: SparkSession, path: str, user_id: int) -> tuple[DataFram
     and place in it. Files are read and parsed once; both results come from what
     that leaves. A file is one task's, as it is one JSON text.
     """
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
     parsed = read.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
     status = F.when(F.col("v").isNull(), "error").when(F.col("items").isNull(), "skipped").otherwise("read")
     fields = [f.split() for f in f"{EXTENDED}, {BASIC}".split(", ")]
@@ -52,9 +53,9 @@ def import_files(spark: SparkSession, path: str, user_id: int) -> tuple[DataFram
     return entries, files.select("file", "status", F.coalesce(F.array_size("items"), F.lit(0)).alias("entries"))
 
 
-def read_import(spark: SparkSession, path: str, user_id: int) -> DataFrame:
+def read_import(spark: SparkSession, path: str, user_id: int, pattern: str = "*.json") -> DataFrame:
     """The entries of ``import_files``."""
-    return import_files(spark, path, user_id)[0]
+    return import_files(spark, path, user_id, pattern)[0]
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
@@ -67,15 +68,19 @@ def read_pages(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
     return spark.read.schema(f"items array<struct<{item_schema}>>").json(path).select(F.explode("items").alias("i")).select("i.*")
 
 
+#: Exports keep microseconds, which Spark's own formats of text cut.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     """Plays as JSON lines, each file newest first; ranges of time don't overlap between files."""
-    rows.repartitionByRange(F.col("played_at").desc()).sortWithinPartitions(F.col("played_at").desc()).write.mode("overwrite").json(path)
+    rows.repartitionByRange(F.col("played_at").desc()).sortWithinPartitions(F.col("played_at").desc()).write.mode("overwrite").options(**TIMES).json(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """Plays as CSV with a header, quoted and escaped; nulls are empty."""
     ordered = rows.repartitionByRange(F.col("played_at").desc()).sortWithinPartitions(F.col("played_at").desc())
-    ordered.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    ordered.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').options(**TIMES).csv(path)
 
 
 def write_plays(rows: DataFrame, path: str) -> None:
