@@ -46,18 +46,18 @@ CLOSES = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "tr", "td", "th"), ("table",)),
 }
 TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "dialog", "ul", "ol", "li", "table", "td", "div", "section", "p", "h1", "h2", "h3", "blockquote", "pre", "figure", "body", "#text", "top header")
-#: Words in class, id and role that tell what an element is for.
+#: Words in class, id and role that tell what an element is for, in several languages; a word's language isn't a feature.
 HINTS = {
     "article": "article content post entry story text body main prose".split(),
-    "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs".split(),
-    "head": "header masthead banner logo topbar branding".split(),
-    "foot": "footer copyright legal colophon contentinfo".split(),
-    "side": "sidebar aside widget widgets related popular recommended recommendations trending complementary".split(),
-    "notice": "cookie cookies consent notice alert popup modal newsletter subscribe subscription gdpr signup overlay paywall".split(),
-    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion adslot outbrain taboola".split(),
-    "comment": "comment comments discussion responses respond reply replies disqus".split(),
-    "share": "share sharing social tags byline meta".split(),
-    "form": "form search login contact".split(),
+    "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs navigationsleiste navegacion navigazione menue".split(),
+    "head": "header masthead banner logo topbar branding kopfzeile entete cabecera".split(),
+    "foot": "footer copyright legal colophon contentinfo fusszeile impressum mentions pied".split(),
+    "side": "sidebar aside widget widgets related popular recommended recommendations trending complementary seitenleiste randspalte".split(),
+    "notice": "cookie cookies consent notice alert popup modal newsletter subscribe subscription gdpr signup overlay paywall hinweis einwilligung infolettre boletin aviso".split(),
+    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promotion adslot outbrain taboola werbung anzeige publicite publicidad reklame".split(),
+    "comment": "comment comments discussion responses respond reply replies disqus kommentar kommentare commentaire commentaires comentario comentarios commenti leserbriefe guestbook".split(),
+    "share": "share sharing social tags byline meta teilen partager compartir".split(),
+    "form": "form search login contact suche suchfeld recherche buscar anmeldung kontakt".split(),
 }
 FRAMES = frozenset(("#root", "html", "body", "div", "section", "main", "table", "tbody", "tr"))
 _HINT = {w: i for i, words in enumerate(HINTS.values()) for w in words}

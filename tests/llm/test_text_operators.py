@@ -366,3 +366,11 @@ def test_op7_heads_of_a_table_are_kept(spark):
     page = f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav><article><h1>Rivers of the north</h1>{prose}{table}{prose}</article><footer>Imprint | Contact</footer></body></html>"
     got = extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"].split("\n")
     assert {"River", "Length", "Elbe", "452 km"} <= set(got) and "Home" not in got and "Imprint | Contact" not in got
+
+
+def test_op7_names_of_boxes_in_other_languages(spark):
+    prose = "<p>Der Fluss steigt seit Tagen, und die Stadt hat ihre Tore geschlossen. Niemand weiß, wie lange das Wasser bleibt.</p>" * 3
+    boxes = "<div id='kommentare'><h3>Zwei Kommentare</h3><ol><li><p>Danke für den Bericht, er hat mir sehr geholfen.</p></li><li><p>Wann öffnen die Tore wieder?</p></li></ol></div><div class='werbung'><p>Jetzt Gummistiefel kaufen, nur heute so billig!</p></div>"
+    page = f"<html><body><div class='kopfzeile'><a href='/'>Blatt</a></div><div><h1>Hochwasser am Fluss</h1>{prose}</div>{boxes}<div class='fusszeile'>Alle Rechte vorbehalten.</div></body></html>"
+    got = extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert got.count("Der Fluss steigt") == 3 and "Danke" not in got and "Tore wieder" not in got and "Gummistiefel" not in got and "Rechte" not in got
