@@ -260,8 +260,9 @@ def _covers(lib: Library) -> DataFrame:
 
 
 def now_playing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stream.now_playing(_snapshots(spark, sf_dir), "2024-01-31 00:00:00", "36 hours")
-    return rows.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "is_playing", "item_id", "progress_ms")
+    """Every user's last snapshot, and whether it is still shown."""
+    rows = stream.last_snapshots(_snapshots(spark, sf_dir)).withColumn("shown", stream.is_shown("2024-01-31 00:00:00", "36 hours"))
+    return rows.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "is_playing", "item_id", "progress_ms", "shown")
 
 
 def local_plays(spark: SparkSession, sf_dir: str) -> DataFrame:

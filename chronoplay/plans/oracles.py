@@ -254,7 +254,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT *, sum(CASE WHEN t IS DISTINCT FROM lt OR p < lp THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_) AS run FROM b),
         f AS (SELECT user_id, run, arg_min(t, at_) AS t, min(at_) AS at_, arg_min(d, at_) AS d FROM s WHERE t IS NOT NULL GROUP BY 1, 2)
         SELECT f.user_id, f.t AS track_id, strftime(f.at_, '%Y-%m-%d %H:%M:%S') AS played_at, f.d AS duration_ms FROM f WHERE f.run < (SELECT max(run) FROM s WHERE s.user_id = f.user_id)""",
-    "now_playing": f"WITH {_SNAPS} SELECT user_id, strftime(max(at_), '%Y-%m-%d %H:%M:%S') AS \"at\", arg_max(is_playing, at_) AS is_playing, arg_max(item_id, at_) AS item_id, arg_max(progress_ms, at_) AS progress_ms FROM snaps GROUP BY 1 HAVING max(at_) >= TIMESTAMP '2024-01-31' - INTERVAL 36 HOUR",
+    "now_playing": f"WITH {_SNAPS} SELECT user_id, strftime(max(at_), '%Y-%m-%d %H:%M:%S') AS \"at\", arg_max(is_playing, at_) AS is_playing, arg_max(item_id, at_) AS item_id, arg_max(progress_ms, at_) AS progress_ms, max(at_) >= TIMESTAMP '2024-01-31' - INTERVAL 36 HOUR AS shown FROM snaps GROUP BY 1",
     "dedup_tracks": f"{EVENTS}, {_TYPED}, {_TRACK_MAP} SELECT track_id AS old, best AS new FROM ids WHERE track_id <> best",
     "dedup_tracks_plays": f"{EVENTS}, {_TYPED}, {_TRACK_MAP} SELECT coalesce(i.best, p.track_id) AS track_id, count(*) AS play_count FROM plays p LEFT JOIN ids i USING (track_id) GROUP BY 1",
     "dedup_albums": _album_map("", f"{_SCORE}, num % 9 DESC"),

@@ -10,7 +10,7 @@ from datetime import timedelta
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -228,10 +228,19 @@ def timed_plays(snapshots: DataFrame, abandoned: timedelta = ABANDONED, shown: t
     return marked.groupBy("user_id").transformWithStateInPandas(_Player(abandoned, shown), TIMED_OUT, "append", "eventtime")
 
 
+def last_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Each user's last snapshot, however old. Works on batches and, in complete mode, on streams."""
+    return snapshots.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "user_id"]), "at").alias("_s")).select("user_id", "_s.*")
+
+
+def is_shown(as_of, max_age: str = "2 minutes") -> Column:
+    """Whether a snapshot is young enough to be shown."""
+    return F.col("at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {max_age}")
+
+
 def now_playing(snapshots: DataFrame, as_of, max_age: str = "2 minutes") -> DataFrame:
-    """Each user's last snapshot, hidden once it is older than two minutes. Works on batches and, in complete mode, on streams."""
-    last = snapshots.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != "user_id"]), "at").alias("_s")).select("user_id", "_s.*")
-    return last.filter(F.col("at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {max_age}"))
+    """``last_snapshots``, hidden once they are older than two minutes."""
+    return last_snapshots(snapshots).filter(is_shown(as_of, max_age))
 
 
 def windowed_counts(plays: DataFrame, length: str = "1 hour", slide: str | None = None, lateness: str = "1 day") -> DataFrame:
