@@ -432,12 +432,14 @@ def _album_artists(lib: Library) -> DataFrame:
 
 
 def _synced(lib: Library) -> DataFrame:
-    """Playlists after a sync: a quarter are gone, those whose snapshot changed have other tracks."""
+    """Tracks of playlists after a sync, each with its playlist's count and sum of ids: a quarter are gone, those whose snapshot changed have other tracks."""
     stored = lib.playlists.withColumn("snapshot_id", F.lit("v0"))
     members = lib.playlist_tracks.join(lib.playlists.select("playlist_id", "user_id"), "playlist_id")
     feed = stored.filter("playlist_id % 4 <> 0").withColumn("snapshot_id", F.concat(F.lit("v"), (F.col("playlist_id") % 3).cast("string")))
     moved = members.filter("playlist_id % 4 <> 0").withColumn("track_id", F.col("track_id") + 1)
-    return playlists.sync_playlists(stored, members, feed, moved)[1].select("playlist_id", "track_id")
+    synced = playlists.sync_playlists(stored, members, feed, moved)[1].select("playlist_id", "track_id")
+    sums = synced.groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.sum("track_id").alias("ids"))
+    return synced.join(sums, "playlist_id")
 
 
 def _inserted(lib: Library) -> DataFrame:

@@ -337,7 +337,7 @@ ORACLES |= {
     "playlists_synced": f"""{STAR}, feed AS (SELECT p.playlist_id, p.user_id, 'v' || (p.playlist_id % 3) AS snapshot_id FROM playlists p WHERE p.playlist_id % 4 <> 0),
         tracks_ AS (SELECT t.playlist_id, t.track_id + (CASE WHEN t.playlist_id % 3 <> 0 THEN 1 ELSE 0 END) AS track_id FROM playlist_tracks t JOIN feed USING (playlist_id)
           UNION ALL SELECT t.playlist_id, t.track_id FROM playlist_tracks t JOIN playlists p USING (playlist_id) WHERE p.user_id NOT IN (SELECT user_id FROM feed))
-        SELECT playlist_id, track_id FROM tracks_""",
+        SELECT playlist_id, track_id, count(*) OVER (PARTITION BY playlist_id) AS tracks, CAST(sum(track_id) OVER (PARTITION BY playlist_id) AS BIGINT) AS ids FROM tracks_""",
     "albums_inserted": "SELECT DISTINCT p_brand AS album_id, p_brand AS name FROM part UNION ALL SELECT 'New#' || i, 'first' FROM range(3) t(i)",
     "settings_merged": "SELECT user_id, key, value FROM (SELECT user_id, 'sort' AS key, arg_max(CASE WHEN event_id % 2 = 0 THEN 'plays' ELSE 'time' END, event_id) AS value FROM events GROUP BY 1) UNION ALL SELECT DISTINCT user_id, 'language', 'en' FROM events",
     "artists_enriched": "SELECT s_suppkey AS artist_id, CASE WHEN s_suppkey % 3 = 0 THEN 'old' WHEN s_suppkey % 2 = 0 THEN 'img' || s_suppkey END AS image_url FROM supplier",
