@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 EVENTS_AS_OF = datetime(2024, 1, 31)
 STAR_AS_OF = datetime(2001, 8, 2)
+#: Rows that a task gets of frames as long as the plays or credits.
+TASK_ROWS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -26,11 +28,28 @@ class Library:
     playlist_tracks: DataFrame
     merge_rules: DataFrame
     as_of: datetime
+    #: The table that plays or credits come from, whose rows say how many there are about.
+    sized: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.plays.sparkSession
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks over which long frames are dealt; without a table to count, the session's number."""
+        if self.sized is None:
+            return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return tasks_for(self.spark, self.sized.count())
+
+    def dealt(self, rows: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+        """``rows`` by ``keys`` over a number of tasks that follows the tables, ``times`` as many where they fan out.
+
+        Else partitions are joined up to a number of bytes as compressed for the
+        shuffle, and a task sorts or counts many times that.
+        """
+        return rows.repartition(self.tasks * times, *keys)
+
     @cached_property
     def primary_artists(self) -> DataFrame:
         """(track_id, artist_id) of first position; the smallest artist if several."""
@@ -40,12 +59,18 @@ class Library:
         return replace(self, **frames)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks of at most ``TASK_ROWS`` rows, but one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     part, supplier, item = (_read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    tasks = tasks_for(spark, item.count())
     nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
     tracks = part.select(
         F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"),
@@ -56,9 +81,10 @@ def _dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     artists = places.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
         F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("name"), F.array("n_name", "r_name").alias("genres")
     )
-    pairs = item.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("artist_id")).distinct()
+    by_track, by_playlist = item.repartition(tasks, "l_partkey"), item.repartition(tasks, "l_suppkey")
+    pairs = by_track.select(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("artist_id")).distinct()
     position = (F.expr("row_number() over (partition by track_id order by artist_id)") - 1).alias("position")
-    spt = item.select(F.col("l_suppkey").alias("playlist_id"), F.col("l_partkey").alias("track_id")).distinct()
+    spt = by_playlist.select(F.col("l_suppkey").alias("playlist_id"), F.col("l_partkey").alias("track_id")).distinct()
     return {
         "tracks": tracks,
         "albums": part.select(F.col("p_brand").alias("album_id")).distinct().withColumn("name", F.col("album_id")),
@@ -79,16 +105,17 @@ def events_library(spark: SparkSession, sf_dir: str) -> Library:
         F.col("event_id").alias("play_id"), "user_id", F.col("ts").alias("played_at"),
         F.get_json_object("props", "$.k").cast("long").alias("track_id"), F.col("event_type").alias("context_type"),
     )
-    return Library(plays, **_dimensions(spark, sf_dir), as_of=EVENTS_AS_OF)
+    return Library(plays, **_dimensions(spark, sf_dir), as_of=EVENTS_AS_OF, sized=_read(spark, sf_dir, "lineitem"))
 
 
 def star_library(spark: SparkSession, sf_dir: str) -> Library:
     """Plays from ``lineitem``: six years of weeks, five users, whole days."""
     item, orders, customer, nation = (_read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
+    tasks = tasks_for(spark, item.count())
     plays = (
-        item.join(orders, item["l_orderkey"] == orders["o_orderkey"])
+        item.repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "o_orderkey"), item["l_orderkey"] == orders["o_orderkey"])
         .join(customer, orders["o_custkey"] == customer["c_custkey"])
         .join(nation, customer["c_nationkey"] == nation["n_nationkey"])
         .select(F.col("n_regionkey").cast("long").alias("user_id"), F.col("o_orderdate").alias("played_at"), F.col("l_partkey").alias("track_id"))
     )
-    return Library(plays, **_dimensions(spark, sf_dir), as_of=STAR_AS_OF)
+    return Library(plays, **_dimensions(spark, sf_dir), as_of=STAR_AS_OF, sized=item)
