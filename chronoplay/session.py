@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a counted frame is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def session(app: str = "chronoplay", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +32,9 @@ def materialised(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chk"))
     return df.checkpoint()
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """``df``, computed and counted, with a broadcast hint if it is short: a join on a column of few values else gives a task all rows of one."""
+    rows = materialised(df)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
