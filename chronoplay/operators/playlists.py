@@ -45,7 +45,8 @@ def coverage(stats: DataFrame) -> DataFrame:
 
 def playlist_genres(lib: Library, limit: int = 20) -> DataFrame:
     """Genres of each playlist by its tracks' credits, not by plays."""
-    rows = lib.playlist_tracks.join(lib.track_artists, "track_id").groupBy("playlist_id", "artist_id").agg(F.count("*").alias("_n"))
+    rows = lib.dealt(lib.playlist_tracks.select("playlist_id", "track_id"), "track_id").join(lib.track_artists.select("track_id", "artist_id"), "track_id")
+    rows = lib.dealt(rows, "playlist_id", times=2).groupBy("playlist_id", "artist_id").agg(F.count("*").alias("_n"))
     each = rows.join(lib.artists.select("artist_id", F.explode("genres").alias("genre")), "artist_id")
     counts = each.groupBy("playlist_id", "genre").agg(F.sum("_n").alias("track_count"))
     w = Window.partitionBy("playlist_id").orderBy(F.col("track_count").desc(), "genre")
@@ -64,11 +65,11 @@ def presence(lib: Library, entity: str) -> DataFrame:
     """(user_id, entity_id, playlist_id, name): the playlists that hold an entity; artists by any credit."""
     rows = lib.playlist_tracks.select("playlist_id", "track_id")
     if entity == "artist":
-        rows = rows.join(lib.track_artists, "track_id")
+        rows = lib.dealt(lib.dealt(rows, "track_id").join(lib.track_artists.select("track_id", "artist_id"), "track_id"), "playlist_id", times=2)
     elif entity == "album":
         rows = rows.join(lib.tracks.filter("album_id is not null"), "track_id")
     rows = rows.select("playlist_id", F.col(f"{entity}_id").alias("entity_id")).distinct()
-    return rows.join(lib.playlists, "playlist_id").select("user_id", "entity_id", "playlist_id", "name")
+    return rows.join(lib.dealt(lib.playlists, "playlist_id", times=2 if entity == "artist" else 1), "playlist_id").select("user_id", "entity_id", "playlist_id", "name")
 
 
 def _candidates(counts: DataFrame, order: list[Column], limit: int) -> DataFrame:
