@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import charts, history, ingest, islands, partials, playlists, records, search, top
 from ..operators.facts import resolved_albums
+from ..session import materialised
 from ..sources import buckets, files
 from ..sources.files import normalise_basic, normalise_extended
 from ..sources.library import Library, events_library, star_library
@@ -309,8 +310,9 @@ def _shared(spark: SparkSession, name: str, kind: str = "tables") -> str:
 def _from_partials(lib: Library) -> Library:
     """The library whose plays are stored partials, added in three batches that share days."""
     path, spark = _shared(lib.spark, "partials"), lib.spark
+    plays = materialised(lib.plays.withColumn("_batch", F.pmod(F.xxhash64("user_id", "track_id", "played_at"), F.lit(3))))
     for number in range(3):
-        partials.add_plays(path)(lib.plays.filter(F.pmod(F.xxhash64("user_id", "track_id", "played_at"), F.lit(3)) == number), number)
+        partials.add_plays(path)(plays.filter(F.col("_batch") == number).drop("_batch"), number)
     return lib.but(plays=partials.partial_plays(spark, path))
 
 
