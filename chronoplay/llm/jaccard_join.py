@@ -253,6 +253,7 @@ def _first_order(base: DataFrame, percent: int, words: int, share: int) -> tuple
     # a set that several tasks sent only passes more easily
     tokens = sent.select(F.shiftrightunsigned("_s1", 64 - NARROW).alias("_s"), F.explode("_p").alias("_t"))
     shared = checkpointed(tokens.groupBy("_t").agg(F.count("*").alias("_m")).filter("_m > 1").select("_t"))
+    release(base.sparkSession)  # the shuffle that counted, before the next one is written
     counts = tokens.join(shared.hint("shuffle_hash"), "_t").groupBy("_s").agg(F.count("*").alias("_c"))
     least = F.greatest(F.lit(1), F.floor(F.col("_n") / share))
     keyed = _sets(rows).withColumn("_s", F.shiftrightunsigned("_s1", 64 - NARROW))
@@ -264,6 +265,7 @@ def _second_order(whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     """Lists (t, sig, n) of the sets whose prefix by rarity holds a token, and the whole sets that are in lists."""
     each = whole.select("sig", "n", F.explode("tokens").alias("t"))
     times = checkpointed(each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1"))
+    release(whole.sparkSession)
     ranked = (
         each.join(times.hint("shuffle_hash"), "t")
         .groupBy("sig", "n")

@@ -187,3 +187,14 @@ def test_terms_are_cut_at_their_ends():
     text = ("alpha Beta " * 5000 + "x" * 5000 + " é" * 3000).encode()
     whole = term_counts(text)
     assert whole == term_counts(text, 7) == term_counts(text, 1000) and whole[b"beta"] == 5000 and whole[b"x" * 5000] == 1
+
+
+def test_jaccard_join_frees_counts_before_it_joins(spark, monkeypatch):
+    """The shuffles that count tokens are released before the joins with those counts write theirs."""
+    from chronoplay.llm import jaccard_join
+
+    freed = []
+    monkeypatch.setattr(jaccard_join, "release", freed.append)
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert rows == {1: 1, 2: 1, 3: 3} and len(freed) == 4
