@@ -322,14 +322,15 @@ def _import_folder(spark: SparkSession, sf_dir: str) -> str:
     entry = F.struct("seq", F.to_json(F.struct(*files.EXTENDED_FIELDS)).alias("json"))
     texts = _entries(spark, sf_dir).groupBy(F.floor(F.col("seq") / 100).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["json"]), ",").alias("all"))
     begin, end = F.when(F.col("n") % 5 == 4, '{"entries":[').otherwise("["), F.when(F.col("n") % 5 == 4, "]}").when(F.col("n") % 5 == 3, ",").otherwise("]")
-    texts.select(F.lpad(F.col("n").cast("string"), 12, "0").alias("number"), F.concat(begin, "all", end).alias("value")).withColumn("number", F.concat(F.lit("f"), "number")).write.partitionBy("number").text(path)
+    name = F.concat(F.lit("f"), F.lpad(F.col("n").cast("string"), 12, "0"), F.lit(".txt"))
+    files.write_texts(texts.select(name.alias("name"), F.concat(begin, "all", end).alias("value")), path)
     return path
 
 
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each file of an import."""
     report = files.import_files(spark, _import_folder(spark, sf_dir), 1, "*.txt")[1]
-    return report.select(F.regexp_extract("file", "number=f([0-9]+)", 1).cast("long").alias("number"), "status", F.col("entries").cast("long").alias("entries"))
+    return report.select(F.regexp_extract("file", "[/=]f([0-9]{12})[.]txt", 1).cast("long").alias("number"), "status", F.col("entries").cast("long").alias("entries"))
 
 
 def import_files_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
