@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_bounds, period_label, previous_label, previous_period
-from ..session import materialised
+from ..session import BROADCAST_ROWS, broadcast_if_few, materialised
 from ..sources.library import Library
 from .facts import in_window, period_plays, play_counts, ranked
 from .islands import number_periods, run_lengths
@@ -90,9 +90,14 @@ def dropouts(facts: DataFrame, granularity: str = "week") -> DataFrame:
     return charted.join(before, ["user_id", "_p"]).join(facts, ["user_id", "period", "entity_id"], "left_anti").drop("_p")
 
 
-def period_arrays(periods: DataFrame) -> DataFrame:
-    """(user_id, _periods): each user's periods, sorted. A user has as many as there were weeks, some fifty a year."""
-    return periods.groupBy("user_id").agg(F.array_sort(F.collect_set("period")).alias("_periods"))
+def with_period_arrays(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """``rows`` (user_id, …) with ``_periods``, their user's periods, sorted. A user has as many as there were weeks, some fifty a year.
+
+    Few users' lists are broadcast: by user, a task would get all rows of one, and expand them.
+    """
+    periods = materialised(periods.select("user_id", "period").distinct())
+    lists = periods.groupBy("user_id").agg(F.array_sort(F.collect_list("period")).alias("_periods"))
+    return rows.join(F.broadcast(lists) if periods.count() <= BROADCAST_ROWS else lists, "user_id")
 
 
 def since(firsts: DataFrame, periods: DataFrame, first: str) -> DataFrame:
@@ -100,7 +105,7 @@ def since(firsts: DataFrame, periods: DataFrame, first: str) -> DataFrame:
 
     Rows meet their user's list of periods, not the periods, so nothing is joined that is dropped again.
     """
-    rows = firsts.join(period_arrays(periods), "user_id")
+    rows = with_period_arrays(firsts, periods)
     return rows.withColumn("period", F.explode(F.filter("_periods", lambda p: p >= F.col(first)))).drop("_periods", first)
 
 
@@ -123,18 +128,20 @@ def run_length(rows: DataFrame, periods: DataFrame, values: list[str]) -> DataFr
     """(user_id, entity_id, since, *values) of rows (user_id, period, entity_id, *values): one where the values change, so that many can be stored as few.
 
     An entity that has no row in its user's next period gets one of nulls there.
-    What comes later adds rows only where something changes.
+    What comes later adds rows only where something changes. Both kinds of rows
+    come from one pass over ``rows``.
     """
     order = Window.partitionBy("user_id").orderBy("period")
     numbered = periods.select("user_id", "period").distinct().select("user_id", "period", F.row_number().over(order).alias("_i"), F.lead("period").over(order).alias("_next"))
     own = Window.partitionBy("user_id", "entity_id").orderBy("_i")
-    each = rows.join(numbered, ["user_id", "period"]).withColumn("_v", F.struct(*values))
+    each = rows.join(broadcast_if_few(numbered), ["user_id", "period"]).withColumn("_v", F.struct(*values))
     each = each.withColumns({"_before": F.lag(F.struct("_i", "_v")).over(own), "_after": F.lead("_i").over(own)})
     same = (F.col("_before._i") == F.col("_i") - 1) & F.col("_before._v").eqNullSafe(F.col("_v"))
-    starts = each.filter(~F.coalesce(same, F.lit(False))).select("user_id", "entity_id", F.col("period").alias("since"), *values)
     gone = F.col("_next").isNotNull() & (F.coalesce("_after", F.lit(0)) != F.col("_i") + 1)
     nothing = [F.lit(None).cast(rows.schema[v].dataType).alias(v) for v in values]
-    return starts.unionByName(each.filter(gone).select("user_id", "entity_id", F.col("_next").alias("since"), *nothing))
+    starts = F.when(~F.coalesce(same, F.lit(False)), F.struct(F.col("period").alias("since"), *values))
+    ends = F.when(gone, F.struct(F.col("_next").alias("since"), *nothing))
+    return each.select("user_id", "entity_id", F.explode(F.array_compact(F.array(starts, ends))).alias("_c")).select("user_id", "entity_id", "_c.*")
 
 
 def expanded(changes: DataFrame, periods: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -147,7 +154,7 @@ def expanded(changes: DataFrame, periods: DataFrame, start: str | None = None, e
     rows = changes.withColumn("_until", until)
     if start is not None:
         rows = rows.filter(F.col("_until").isNull() | (F.col("_until") > start))
-    rows = rows.join(period_arrays(periods), "user_id")
+    rows = with_period_arrays(rows, periods)
     inside = F.filter("_periods", lambda p: (p >= F.col("since")) & (F.col("_until").isNull() | (p < F.col("_until"))))
     return rows.withColumn("period", F.explode(inside)).drop("_periods", "_until", "since")
 

@@ -97,13 +97,15 @@ def rankings(lib: Library, entity: str, sort: str = "time") -> DataFrame:
     return values.select("user_id", "entity_id", *(rank(n).alias(f"rank_{a}") for n, a in (("week", "week"), ("month", "month"), ("thisYear", "this_year"), ("all", "all"))))
 
 
-def ranking_history(lib: Library, entity: str, sort: str = "time") -> DataFrame:
+def ranking_history(lib: Library, entity: str, sort: str = "time", facts: DataFrame | None = None) -> DataFrame:
     """(user_id, period, entity_id, total, rank): each month's rank by the total until then.
 
     An entity has a row in every month with plays of its user, from its first
-    month on; the rank is among all entities seen until then.
+    month on; the rank is among all entities seen until then. ``facts`` are
+    stored ``period_plays`` by month, else one pass over the plays gives counts
+    and months.
     """
-    facts = materialised(period_plays(lib, "month"))  # one pass over the plays gives counts and months
+    facts = materialised(period_plays(lib, "month")) if facts is None else facts
     monthly = play_counts(lib, entity, {"period": F.col("period")}, facts)
     monthly = materialised(monthly.select("user_id", "period", "entity_id", F.col(metric(sort)).alias("_v")))
     months = facts.select("user_id", "period").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import charts, history, ingest, islands, partials, playlists, records, search, top
-from ..operators.facts import resolved_albums
+from ..operators.facts import period_plays, resolved_albums
 from ..session import materialised
 from ..sources import buckets, files
 from ..sources.files import normalise_basic, normalise_extended
@@ -386,8 +386,9 @@ def _chart_history_from_changes(lib: Library, start: str | None = None, end: str
 
 
 def _ranking_history_from_changes(lib: Library) -> DataFrame:
-    months = charts.available_periods(lib, "month")
-    return charts.expanded(_stored(lib, "ranking_changes", charts.run_length(top.ranking_history(lib, "artist"), months, ["total", "rank"])), months)
+    facts = materialised(period_plays(lib, "month"))  # one pass over the plays gives counts and months
+    months = materialised(facts.select("user_id", "period").distinct())
+    return charts.expanded(_stored(lib, "ranking_changes", charts.run_length(top.ranking_history(lib, "artist", facts=facts), months, ["total", "rank"])), months)
 
 
 def _upserted_buckets(lib: Library) -> DataFrame:
