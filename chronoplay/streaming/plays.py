@@ -154,13 +154,15 @@ class _Player(StatefulProcessor):
         self.handle = handle
         self.track, self.row = handle.getValueState("track", _TRACK), handle.getValueState("row", _ROW)
 
-    def _timers(self) -> None:
-        """One timer for each thing that may end; of those that are left from before, none."""
-        for at in list(self.handle.listTimers()):
+    def _timers(self, track: tuple | None, row: tuple | None, known: bool) -> None:
+        """One timer for each thing that may end; of those that are left from before, none. A user who wasn't known has none."""
+        ends = {_millis(track[4] + self.abandoned) + 1} if track is not None else set()
+        ends |= {_millis(row[1] + self.shown) + 1} if row is not None else set()
+        left = set(self.handle.listTimers()) if known else set()
+        for at in left - ends:
             self.handle.deleteTimer(at)
-        ends = ([self.track.get()[4] + self.abandoned] if self.track.exists() else []) + ([self.row.get()[1] + self.shown] if self.row.exists() else [])
-        for at in ends:
-            self.handle.registerTimer(_millis(at) + 1)
+        for at in ends - left:
+            self.handle.registerTimer(at)
 
     def _frame(self, user: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
@@ -168,7 +170,8 @@ class _Player(StatefulProcessor):
             yield pd.DataFrame({"user_id": user, "kind": kind, "track_id": track, "at": at, "duration_ms": length})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, out, last = tuple(self.track.get()) if self.track.exists() else None, [], None
+        track_before, row, out, last = self.track.get(), self.row.get(), [], None  # each call of a state is a round trip to the JVM
+        state = None if track_before is None else tuple(track_before)
         for track, at, progress, length, playing, item in in_order(_snapshot_rows(rows)):
             if state is not None and at - state[4] > self.abandoned:
                 out.append(("play", *state[:3]))  # its timer would have fired between these two
@@ -177,25 +180,28 @@ class _Player(StatefulProcessor):
             out += [("play", *d) for d in done]
             if last is None or at >= last[1]:
                 last = (item if playing else None, at)
-        if state is None:
-            self.track.clear()
-        else:
+        if state is not None:
             self.track.update(state)
-        if last is not None and (not self.row.exists() or last[1] >= self.row.get()[1]):
-            self.row.update(last)
-            out.append(("now", last[0], last[1], None))
-        self._timers()
+        elif track_before is not None:
+            self.track.clear()
+        known = track_before is not None or row is not None
+        if last is not None and (row is None or last[1] >= row[1]):
+            row = last
+            self.row.update(row)
+            out.append(("now", row[0], row[1], None))
+        self._timers(state, row, known)
         yield from self._frame(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What has ended leaves the state, and Spark takes its timer away; the timer of what is left stands as it is."""
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.track.exists() and _millis(self.track.get()[4] + self.abandoned) < now:
-            out.append(("play", *self.track.get()[:3]))
+        track, row = self.track.get(), self.row.get()
+        if track is not None and _millis(track[4] + self.abandoned) < now:
+            out.append(("play", *track[:3]))
             self.track.clear()
-        if self.row.exists() and _millis(self.row.get()[1] + self.shown) < now:
-            out.append(("hidden", self.row.get()[0], self.row.get()[1], None))
+        if row is not None and _millis(row[1] + self.shown) < now:
+            out.append(("hidden", row[0], row[1], None))
             self.row.clear()
-        self._timers()
         yield from self._frame(key[0], out)
 
     def close(self) -> None:
